@@ -30,9 +30,15 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def shards(spark: SparkSession, least: int = 64, each: int = 4) -> int:
-    """How many hash shards to deal work into: follows the session's shuffle partitions, which are sized to the data."""
-    return max(least, each * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables a plan reads, from their statistics; no job runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+def shards(df: DataFrame, each: int, least: int, most: int = 1 << 20) -> int:
+    """How many hash shards of about ``each`` input bytes to deal a plan's work into."""
+    return max(least, min(most, input_bytes(df) // each))
 
 
 def durable(df: DataFrame) -> DataFrame:

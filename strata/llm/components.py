@@ -1,0 +1,37 @@
+"""Connected components of an edge table by repeated contraction, without collecting anything.
+
+Each round points every node at its smallest neighbour, follows such pointers once more,
+renames the edges' ends and drops those that became loops; so the edge table shrinks, and a
+chain's length falls by a factor each round.  Rounds are cut by reliable checkpoints.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import durable
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``edges``: columns a, b (long).  Returns ``node, component`` (the smallest node reachable) for all nodes with an edge to another.
+
+    Loops, nulls and repeated edges are ignored; an empty table gives an empty table.
+    """
+    left = durable(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("to"))
+        further = near.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        near = durable(near.join(further, "to").select("node", F.col("next").alias("to")))
+        if labels is None:
+            labels = near.select("node", F.col("to").alias("component"))
+        else:
+            moved = near.select(F.col("node").alias("component"), F.col("to").alias("next"))
+            labels = durable(labels.join(moved, "component", "left").select("node", F.coalesce("next", "component").alias("component")))
+        to_a, to_b = near.select(F.col("node").alias("a"), F.col("to").alias("ta")), near.select(F.col("node").alias("b"), F.col("to").alias("tb"))
+        left = durable(left.join(to_a, "a").join(to_b, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+    if labels is None:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return labels
