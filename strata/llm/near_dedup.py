@@ -172,7 +172,8 @@ def _tasks(family: DataFrame, percent: int, block: int) -> DataFrame:
     slices = cells.join(total, "family").select("family", "cell", "total", F.ceil(F.col("m") / block).cast("int").alias("s"))
     near = slices.select("family", F.explode(F.array(*(F.struct((F.col("cell") - d).alias("cell"), F.lit(d).alias("d")) for d in (-1, 0, 1)))).alias("x"), "s").select("family", "x.cell", "x.d", "s")
     near = near.groupBy("family", "cell").agg(*(F.coalesce(F.max(F.when(F.col("d") == d, F.col("s"))), F.lit(0)).alias(f"s{d + 1}") for d in (-1, 0, 1)))
-    plan = slices.drop("s").join(near, ["family", "cell"])  # s0: slices of the cell before, s1: own, s2: of the next
+    # a table of its own, so that the join below deals out both sides and a large cell can be split
+    plan = durable(slices.drop("s").join(near, ["family", "cell"]))  # s0: slices of the cell before, s1: own, s2: of the next
     own = (F.col("u") % F.col("s1")).cast("int")
     task = lambda c, s, d, t, side: F.struct((F.col("cell") + c).alias("c"), s.alias("s"), F.lit(d).alias("d"), t.alias("t"), side.alias("side"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import matroska, near_dedup, pii, sentencepiece_codec, substring_dedup, toxicity, url_filter
+from . import decontamination, lm_scoring, matroska, near_dedup, pii, quality_ngram, sentencepiece_codec, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -37,16 +37,30 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ngram.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.with_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.size("leaks").cast("long").alias("n_items"), F.transform("leaks", lambda x: x.item_id).alias("item_ids"), F.array_min(F.transform("leaks", lambda x: x.distance)).alias("least_distance"), (F.size("leaks") > 0).alias("leaked"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digest(table(spark, sf_dir, "documents"), sentencepiece_codec.load())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_toxicity, op4_matroska, op5_near_dedup, op8_url_filter, op10_sentencepiece)
+    f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_toxicity, op4_matroska, op5_near_dedup, op6_quality, op7_decontamination, op8_url_filter, op9_lm_scoring, op10_sentencepiece)
 }
 
 #: SQL where it can express the operator; the learned and codec operators are tested by brute force, round trips and held-out accuracy.
