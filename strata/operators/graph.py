@@ -1,8 +1,8 @@
-"""Connected components of an edge table by repeated contraction, without collecting anything.
+"""Connected components by repeated contraction.
 
 Each round points every node at its smallest neighbour, follows such pointers once more,
 renames the edges' ends and drops those that became loops; so the edge table shrinks, and a
-chain's length falls by a factor each round.  Rounds are cut by reliable checkpoints.
+chain's length falls by a factor each round.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from strata.plans.lineage import durable
 
 
 def components(edges: DataFrame) -> DataFrame:
