@@ -1,4 +1,4 @@
-"""Shared pieces: reading tables, batching, vectorised word hashing, durable cuts of lineage.
+"""Shared pieces: reading tables, batching, vectorised word hashing.
 
 Word hashing works on the bytes of many texts at once.  Each word's 64-bit value is a
 polynomial over a fixed table of random 64-bit letters, taken from prefix sums modulo
@@ -8,17 +8,14 @@ Python call.
 
 from __future__ import annotations
 
-import atexit
-import functools
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.plans.lineage import delete, durable, shared_folder, stored  # noqa: F401
+
 U64 = np.uint64
 MULTIPLIER = 0x9E3779B97F4A7C13  # 3 modulo 8, so powers of it differ by few trailing zero bits
 SLICE = 1 << 20
@@ -44,54 +41,6 @@ def shards(df: DataFrame, each: int, least: int, most: int = 1 << 20) -> int:
     return max(least, min(most, input_bytes(df) // each))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; on one machine, where it is unset, a temporary one."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None)
-    if folder is None and sc.master.startswith("local["):
-        folder = _local_folder()
-    if folder is None:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return folder
-
-
-@functools.lru_cache(maxsize=1)
-def _local_folder() -> str:
-    folder = tempfile.mkdtemp(prefix="strata-checkpoint-")
-    atexit.register(shutil.rmtree, folder, True)
-    return folder
-
-
-def stored(df: DataFrame, at: str) -> DataFrame:
-    """Written as Parquet and read again."""
-    df.write.mode("overwrite").parquet(at)
-    return df.sparkSession.read.parquet(at)
-
-
-def delete(spark: SparkSession, at: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that all executors share.
-
-    The shuffle files that led to it are removed once it is written, as nothing reads them again.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
-    spark, before = df.sparkSession, df.sparkSession.conf.get(CLEANUP, None)
-    try:
-        spark.conf.set(CLEANUP, "true")
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-
-
 def texts_of(batch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null is empty."""
     import pyarrow as pa

@@ -29,8 +29,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.graph import components
+
 from .common import U64, Words, documents, durable, mix, pieces, rolling, texts_of
-from .components import components
 
 ROWS, MISS, BITS, SLACK, BLOCK = 5, 1e-7, 512, 0.22, 1_000
 FEATURES = "doc_id long, n long, digest binary, sketch binary, bands array<long>"
