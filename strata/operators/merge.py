@@ -66,7 +66,7 @@ def merged(decided: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def conflicts(decided: DataFrame, key: str, fields: list[str], kind: str) -> DataFrame:
     """A row for each clashing field and each clash of existence, with an id made of its content."""
     b, o, t = F.col("b"), F.col("o"), F.col("t")
-    text = lambda x: F.coalesce(x.cast("string"), F.lit("\x00"))
+    text = lambda x: F.coalesce(x.cast("string"), F.lit("<null>"))
     per_field = [F.when(clash3(b[f], o[f], t[f]) & o.isNotNull() & t.isNotNull(), F.struct(F.lit(f).alias("field"), b[f].cast("string").alias("base"), o[f].cast("string").alias("ours"), t[f].cast("string").alias("theirs"), F.lit(True).alias("takeable"))) for f in fields]
     nothing = F.lit(None).cast("string")
     existence = F.when(F.col("decision") == "keep_removed", F.struct(F.lit("existence").alias("field"), F.lit("present").alias("base"), nothing.alias("ours"), F.lit("edited").alias("theirs"), F.lit(False).alias("takeable")))

@@ -97,7 +97,8 @@ def align_groups(a: DataFrame, b: DataFrame, by: str, order: str, text: str, thr
     def run(left, right):
         import pandas as pd
 
-        left, right = left.sort_values(order), right.sort_values(order)
+        # an absent side comes without columns
+        left, right = (d.sort_values(order) if len(d) else pd.DataFrame({by: [], order: [], text: []}) for d in (left, right))
         x = [(t or "").lower().split() for t in left[text]]
         y = [(t or "").lower().split() for t in right[text]]
         known: dict[tuple[int, int], float] = {}

@@ -1 +1 @@
-
+"""Readers: tables, document JSON with strict schemas, HTML blocks."""
