@@ -98,9 +98,9 @@ def align_groups(a: DataFrame, b: DataFrame, by: str, order: str, text: str, thr
         import pandas as pd
 
         # an absent side comes without columns
-        left, right = (d.sort_values(order) if len(d) else pd.DataFrame({by: [], order: [], text: []}) for d in (left, right))
-        x = [(t or "").lower().split() for t in left[text]]
-        y = [(t or "").lower().split() for t in right[text]]
+        left, right = (d.sort_values("__pos") if len(d) else pd.DataFrame({"__by": [], "__pos": [], "__text": []}) for d in (left, right))
+        x = [(t or "").lower().split() for t in left["__text"]]
+        y = [(t or "").lower().split() for t in right["__text"]]
         known: dict[tuple[int, int], float] = {}
 
         def similar(i, j):
@@ -108,13 +108,14 @@ def align_groups(a: DataFrame, b: DataFrame, by: str, order: str, text: str, thr
                 known[i, j] = sequences.ratio(x[i], y[j])
             return known[i, j]
 
-        key = (left if len(left) else right)[by].iloc[0]
-        rows = [(key, None if i is None else int(left[order].iloc[i]), None if j is None else int(right[order].iloc[j]), None if i is None or j is None else similar(i, j)) for i, j in sequences.align(len(x), len(y), similar, threshold)]
+        key = (left if len(left) else right)["__by"].iloc[0]
+        rows = [(key, None if i is None else int(left["__pos"].iloc[i]), None if j is None else int(right["__pos"].iloc[j]), None if i is None or j is None else similar(i, j)) for i, j in sequences.align(len(x), len(y), similar, threshold)]
         out = pd.DataFrame(rows, columns=[by, "a_pos", "b_pos", "similarity"])
         return out.astype({"a_pos": "Int64", "b_pos": "Int64", "similarity": "float64"})
 
     kind = dict(a.dtypes)[by]
-    return a.select(by, order, text).groupBy(by).cogroup(b.select(by, order, text).groupBy(by)).applyInPandas(run, f"{by} {kind}, a_pos long, b_pos long, similarity double")
+    side = lambda df: df.select(F.col(by).alias("__by"), F.col(order).alias("__pos"), F.col(text).alias("__text")).groupBy("__by")
+    return side(a).cogroup(side(b)).applyInPandas(run, f"{by} {kind}, a_pos long, b_pos long, similarity double")
 
 
 def kept_order(df: DataFrame, by: str, was: str, now: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
@@ -31,16 +32,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Queries made and run inside remove their shuffle files when they end."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """A reliable checkpoint; the shuffle files that led to it are removed once it is written."""
-    spark, before = df.sparkSession, df.sparkSession.conf.get(CLEANUP, None)
+    spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/{uuid.uuid4().hex}")
-    try:
-        spark.conf.set(CLEANUP, "true")
+    with tidy(spark):
         return df.select("*").checkpoint(eager=True)  # a new plan, as a plan keeps the setting it was made under
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def stored(df: DataFrame, at: str) -> DataFrame:
