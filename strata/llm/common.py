@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.plans.lineage import delete, durable, shared_folder, stored  # noqa: F401
+from strata.plans.lineage import delete, durable, shared_folder, stored, tidy  # noqa: F401
 
 U64 = np.uint64
 MULTIPLIER = 0x9E3779B97F4A7C13  # 3 modulo 8, so powers of it differ by few trailing zero bits
