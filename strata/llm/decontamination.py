@@ -3,7 +3,7 @@
 Texts and benchmark items are lower-cased and their runs of white space become one space.
 An item is cut into overlapping segments of ``SEGMENT`` characters (one, if it is shorter).
 A text leaks an item if some segment aligns with a stretch of it within ``RATE`` edits a
-character.  By the q-gram lemma such a stretch shares at least ``length + 1 - q(e + 1)``
+character (fewer in segments of under 75 characters, where that many could leave no q-gram).  By the q-gram lemma such a stretch shares at least ``length + 1 - q(e + 1)``
 q-grams with the segment, on diagonals at most ``e`` apart; so shared q-grams are counted
 in overlapping bands of diagonals, and only bands that reach the bound are aligned.
 
@@ -51,8 +51,9 @@ def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
         return mix(acc)
 
 
-def budget(length: int, rate: float = RATE) -> int:
-    return int(length * rate)
+def budget(length: int, rate: float = RATE, q: int = Q) -> int:
+    """Edits allowed in a segment: ``rate`` of its length, but no more than leave a shared q-gram for certain."""
+    return max(0, min(int(length * rate), length // q - 1))
 
 
 def bound(length: int, edits: int, q: int = Q) -> int:
@@ -107,7 +108,7 @@ class Index:
         self.keys = self.keys.astype(U64)
         self.bits = np.zeros(1 << 22, bool)
         self.bits[self.keys >> U64(42)] = True
-        self.edits = budget(segment, rate)
+        self.edits = budget(segment, rate, q)
         self.band = max(8, self.edits + 1)
 
     def segments(self, k: int) -> list[tuple[int, int]]:
@@ -174,12 +175,12 @@ class Index:
     def _least(self) -> int:
         """The smallest bound of any segment."""
         if not hasattr(self, "_bound"):
-            self._bound = min((bound(n, budget(n, self.rate), self.q) for n in {s[1] for k in range(len(self.texts)) for s in self.segments(k)} if n >= self.q), default=1)
+            self._bound = min((bound(n, budget(n, self.rate, self.q), self.q) for n in {s[1] for k in range(len(self.texts)) for s in self.segments(k)} if n >= self.q), default=1)
         return max(1, self._bound)
 
     def _align(self, i: int, text: str, found: dict[int, int], places: np.ndarray, lo: int, hi: int) -> None:
         for a, n in self.segments(i):
-            e = budget(n, self.rate)
+            e = budget(n, self.rate, self.q)
             inside = int(np.searchsorted(places, a + n - self.q, side="right") - np.searchsorted(places, a))
             if inside < max(1, bound(n, e, self.q)):
                 continue

@@ -175,7 +175,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + decay * np.eye(len(w)) * len(x) / 100
+        h = (x * (p * (1 - p))[:, None]).T @ x + (decay * len(x) / 100 + 1e-9) * np.eye(len(w))
         w = w - np.linalg.solve(h, x.T @ (p - y) + decay * w * len(x) / 100)
     return w
 
@@ -281,6 +281,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, id_col:
             yield pa.RecordBatch.from_pylist([dict(zip(("y", "n", "at", "words", "heads"), r, strict=True)) for r in rows], schema=pa.schema([("y", pa.int32()), ("n", pa.int64()), ("at", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("heads", pa.list_(pa.int64()))]))
 
     got = train_docs.mapInArrow(active, "y int, n long, at array<long>, words array<long>, heads array<long>").collect()
+    if len({r.y for r in got}) < 2:  # labelled documents of one kind are missing
+        return Chain(np.zeros(0, U64), np.zeros(0), prior=(toxic + 0.1) / (len(picked) + 1))
     sequences = [(r.y, r.n, np.array(r["at"], np.int64), np.stack([np.array(r.words, np.int64), np.array(r.heads, np.int64)], axis=1).view(U64).reshape(-1, 2)) for r in got]
     sequences.sort(key=lambda s: (s[0], s[1], s[2].tolist(), s[3].tolist()))
     return fit(sequences, words)
