@@ -46,3 +46,47 @@ def likeness(a: Column, b: Column, reach: float = 60.0) -> Column:
 def union(r: Column) -> Column:
     """Aggregate: the bounding box of a group."""
     return F.struct(F.min(r.x0).alias("x0"), F.min(r.y0).alias("y0"), F.max(r.x1).alias("x1"), F.max(r.y1).alias("y1"))
+
+
+def compose(p: Column, c: Column) -> Column:
+    """Six-number transforms (a, b, c, d, e, f) as struct columns: first ``c``, then ``p``."""
+    return F.struct(
+        (p.a * c.a + p.c * c.b).alias("a"), (p.b * c.a + p.d * c.b).alias("b"), (p.a * c.c + p.c * c.d).alias("c"),
+        (p.b * c.c + p.d * c.d).alias("d"), (p.a * c.e + p.c * c.f + p.e).alias("e"), (p.b * c.e + p.d * c.f + p.f).alias("f"),
+    )
+
+
+def transformed_box(m: Column, w: Column, h: Column) -> Column:
+    """The box of a w by h rectangle at the origin under a transform."""
+    xs = [m.e, m.e + m.a * w, m.e + m.c * h, m.e + m.a * w + m.c * h]
+    ys = [m.f, m.f + m.b * w, m.f + m.d * h, m.f + m.b * w + m.d * h]
+    return F.struct(F.least(*xs).alias("x0"), F.least(*ys).alias("y0"), F.greatest(*xs).alias("x1"), F.greatest(*ys).alias("y1"))
+
+
+def colour_distance(a: Column, b: Column) -> Column:
+    """Summed channel difference of two ``#rrggbb`` colours."""
+    channel = lambda c, k: F.conv(F.substring(c, 2 + 2 * k, 2), 16, 10).cast("long")
+    return sum((F.abs(channel(a, k) - channel(b, k)) for k in range(1, 3)), F.abs(channel(a, 0) - channel(b, 0)))
+
+
+def winding(px: Column, py: Column, polygon: Column) -> Column:
+    """Even-odd rule: whether a point lies in a polygon, an array of structs x, y."""
+    n = F.size(polygon)
+    crossing = lambda i: (lambda p, q: ((p.y > py) != (q.y > py)) & (px < (q.x - p.x) * (py - p.y) / (q.y - p.y) + p.x))(polygon[i], polygon[(i + 1) % n])
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(False), lambda inside, i: F.when(crossing(i), ~inside).otherwise(inside))
+
+
+def placement(x: Column, y: Column) -> tuple[Column, Column]:
+    """Aggregate: scale and shift of the least-squares line y = scale * x + shift."""
+    return F.regr_slope(y, x), F.regr_intercept(y, x)
+
+
+def common_shift(dx: Column, tolerance: float = 0.05) -> Column:
+    """Aggregate: the shift that all members share within a tolerance, else null."""
+    return F.when(F.max(dx) - F.min(dx) <= tolerance, F.avg(dx))
+
+
+def circular_mean(phase: Column, period: float) -> Column:
+    """Aggregate: mean of values on a circle of the given length."""
+    turn = 2 * 3.141592653589793 / period
+    return F.pmod(F.atan2(F.avg(F.sin(phase * turn)), F.avg(F.cos(phase * turn))) / turn, F.lit(period))
