@@ -29,11 +29,30 @@ from .common import documents
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 300_000
+CACHE, SHORT = 150_000, 48  # texts in each of two generations, and the longest kept
 UNKNOWN = -1e10
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
+class Memo:
+    """Ids by text in two generations: what is found in the old one moves to the young one, and the old is dropped when the young is full."""
+
+    def __init__(self, make):
+        self.make, self.young, self.old = make, {}, {}
+
+    def find(self, key: str) -> tuple[int, ...]:
+        ids = self.young.get(key)
+        if ids is None:
+            ids = self.old.get(key)
+            if ids is None:
+                ids = self.make(key)
+            if len(key) <= SHORT:
+                if len(self.young) >= CACHE:
+                    self.old, self.young = self.young, {}
+                self.young[key] = ids
+        return ids
+
+
 class Vocabulary:
     """Pieces with ids and scores, ready for the search; small, so that it can be sent to every worker."""
 
@@ -55,16 +74,15 @@ class Vocabulary:
         self._index()
         self.pieces = {p: v for p, v in scored.items() if len(p) == 1 or self._needed(p, v[0])}
         self._index()
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self._memos()
 
     def _index(self) -> None:
-        self.reach: dict[str, int] = {}
-        for p in self.pieces:
-            if len(p) > 1:
-                self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 0))
+        """By each beginning of a piece: its score and id if it is one itself (else None and -1), and whether longer ones go on from it."""
         self.longest = max(map(len, self.pieces), default=1)
         self.inside = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.crosses = any(c[1] == SPACE != c[0] for c in self.inside)
+        longer = {p[:n] for p in self.pieces for n in range(1, len(p))}
+        self.starts = {p: (*self.pieces.get(p, (None, -1)), p in longer) for p in longer | set(self.pieces)}
 
     def _needed(self, piece: str, score: float) -> bool:
         best = [0.0] + [-float("inf")] * len(piece)
@@ -74,14 +92,22 @@ class Vocabulary:
                     best[j] = max(best[j], best[i] + v[0])
         return score >= best[-1]
 
+    def _memos(self) -> None:
+        self.stretches = Memo(self._cut)
+        self.words = Memo(self._word)
+
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("stretches", "words")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._memos()
 
     # -------------------------------------------------------------- encoding
 
     def search(self, text: str, watch=None) -> list[int]:
         """Ids of a text in which spaces are already U+2581.  ``watch`` is told the window's length at each commit attempt."""
-        get, reach, n = self.pieces.get, self.reach, len(text)
+        starts, n = self.starts.get, len(text)
         ids: list[int] = []
         done = 0  # committed up to here; the lists below begin here
         score, back, piece = [0.0], [0], [-1]
@@ -92,6 +118,7 @@ class Vocabulary:
             if i and furthest <= i:
                 ids += self._path(text, done, back, piece, at)
                 done, at, score, back, piece = i, 0, [0.0], [0], [-1]
+                look = 4 * self.longest
             elif at >= look:
                 shared = self._shared(back, at, furthest - done)
                 if watch:
@@ -103,47 +130,55 @@ class Vocabulary:
                     score, back, piece = score[shared:], [b - shared for b in back[shared:]], piece[shared:]
                 look = at + 4 * self.longest
             base = score[at]
-            one = get(text[i])
-            stop = min(n, i + reach.get(text[i : i + 2], 1))
-            while len(score) <= max(at + 1, stop - done):
-                score.append(-float("inf"))
-                back.append(0)
-                piece.append(-1)
-            value, which = one if one is not None else (UNKNOWN, -1)
-            if base + value > score[at + 1]:
-                score[at + 1], back[at + 1], piece[at + 1] = base + value, at, which
-            furthest = max(furthest, i + 1)
-            for j in range(i + 2, stop + 1):
-                v = get(text[i:j])
-                if v is not None:
+            for j in range(i + 1, n + 1):
+                found = starts(text[i:j])
+                value, which = (found[0], found[1]) if found else (None, -1)
+                if value is None and j == i + 1:
+                    value, which = UNKNOWN, -1
+                if value is not None:
                     if j > furthest:
                         furthest = j
-                    if base + v[0] > score[j - done]:
-                        score[j - done], back[j - done], piece[j - done] = base + v[0], at, v[1]
+                    k = j - done
+                    while len(score) <= k:
+                        score.append(-float("inf"))
+                        back.append(0)
+                        piece.append(-1)
+                    if base + value > score[k]:
+                        score[k], back[k], piece[k] = base + value, at, which
+                if not found or not found[2]:
+                    break
         if n > done:
             ids += self._path(text, done, back, piece, n - done)
         return ids
 
     def _short(self, text: str) -> list[int]:
         """``search`` for a text no longer than the window, where nothing can be committed early."""
-        get, reach, n = self.pieces.get, self.reach.get, len(text)
-        if n == 1:
-            one = get(text)
-            return [one[1]] if one else [self.byte_ids[b] for b in text.encode()]
+        starts, n = self.starts.get, len(text)
         score, back, piece = [-1e300] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         score[0] = 0.0
         for i in range(n):
             base = score[i]
-            value, which = get(text[i]) or (UNKNOWN, -1)
             j = i + 1
-            if base + value > score[j]:
-                score[j], back[j], piece[j] = base + value, i, which
-            far = reach(text[i : i + 2])
-            if far:
-                for j in range(i + 2, min(n, i + far) + 1):
-                    v = get(text[i:j])
-                    if v and base + v[0] > score[j]:
-                        score[j], back[j], piece[j] = base + v[0], i, v[1]
+            found = starts(text[i])
+            if found is None or found[0] is None:
+                value = base + UNKNOWN
+                if value > score[j]:
+                    score[j], back[j], piece[j] = value, i, -1
+                if found is None:
+                    continue
+            else:
+                value = base + found[0]
+                if value > score[j]:
+                    score[j], back[j], piece[j] = value, i, found[1]
+            while found[2] and j < n:
+                j += 1
+                found = starts(text[i:j])
+                if found is None:
+                    break
+                if found[0] is not None:
+                    value = base + found[0]
+                    if value > score[j]:
+                        score[j], back[j], piece[j] = value, i, found[1]
         return self._path(text, 0, back, piece, n)
 
     @staticmethod
@@ -157,37 +192,35 @@ class Vocabulary:
         return min(live.pop(), at)
 
     def _path(self, text: str, done: int, back: list[int], piece: list[int], stop: int) -> list[int]:
-        out: list[list[int]] = []
+        out: list[int] = []
         while stop:
-            k = back[stop]
-            out.append([piece[stop]] if piece[stop] >= 0 else [self.byte_ids[b] for b in text[done + k : done + stop].encode()])
+            k, which = back[stop], piece[stop]
+            if which >= 0:
+                out.append(which)
+            else:
+                out += [self.byte_ids[b] for b in reversed(text[done + k : done + stop].encode())]
             stop = k
-        return [i for part in reversed(out) for i in part]
+        out.reverse()
+        return out
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """Ids of a stretch, through the cache; it is cut where no piece crosses, which is where the search would commit."""
+    def _cut(self, stretch: str) -> tuple[int, ...]:
+        """A stretch is cut where no piece crosses, which is where the search would commit."""
         inside, cuts = self.inside, [0]
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in inside:
+        for i in range(1, len(stretch)):
+            if stretch[i - 1 : i + 1] not in inside:
                 cuts.append(i)
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
         if len(cuts) == 1:
-            ids = tuple(self._short(word) if len(word) <= 48 else self.search(word))
-        else:
-            ids = ()
-            for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True):
-                part = word[a:b]
-                got = cache.get(part)
-                if got is None:
-                    got = tuple(self._short(part) if b - a <= 48 else self.search(part))
-                    if b - a <= 48:
-                        cache[part] = got
-                ids += got
-        if len(word) <= 48:
-            cache[word] = ids
-        return ids
+            return tuple(self._short(stretch) if len(stretch) <= SHORT else self.search(stretch))
+        ids: list[int] = []
+        for a, b in zip(cuts, [*cuts[1:], len(stretch)], strict=True):
+            ids += self.stretches.find(stretch[a:b])
+        return tuple(ids)
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of a space and a word; a last character that no piece joins to the others is taken off, so that punctuation shares the word's ids."""
+        if 1 < len(word) <= SHORT and word[-2:] not in self.inside:
+            return self.words.find(word[:-1]) + self.stretches.find(word[-1])
+        return tuple(self._short(SPACE + word)) if len(word) < SHORT else self._cut(SPACE + word)
 
     def encode(self, text: str) -> list[int]:
         if not text:
@@ -200,20 +233,21 @@ class Vocabulary:
                 out += mark
                 out += self._plain(p.replace(" ", SPACE)) if p else []
             return out
-        return self._plain(SPACE + text.replace(" ", SPACE))
+        if self.crosses or "  " in text or text[0] == " " or text[-1] == " ":
+            return self._plain(SPACE + text.replace(" ", SPACE))
+        # the common case: every word has one space before it and is kept without it
+        out: list[int] = []
+        find, young = self.words.find, self.words.young
+        for w in text.split(" "):
+            out += young.get(w) or find(w)
+        return out
 
     def _plain(self, text: str) -> list[int]:
         if self.crosses:
             return self.search(text)
         out: list[int] = []
-        get, word = self.cache.get, self._word
-        if SPACE * 2 in text:
-            parts = _RUNS.findall(text)
-        else:
-            head, *rest = text.split(SPACE)
-            parts = [head, *[SPACE + p for p in rest]] if head else [SPACE + p for p in rest]
-        for w in parts:
-            out += get(w) or word(w)
+        for w in _RUNS.findall(text):
+            out += self.stretches.find(w)
         return out
 
     # -------------------------------------------------------------- decoding
