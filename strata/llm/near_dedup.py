@@ -6,12 +6,15 @@ that holds the parity of how many samples fall on each bit, so that the popcount
 sketches' XOR estimates how many samples differ.
 
 Nodes that share a band key form families (connected components over each key's smallest
-member; no pair is listed).  Within a family, sketches rule out pairs that cannot reach the
+member; no pair is listed).  First each node is held, on the full sets, against the one of
+its keys' smallest members that its sketch is nearest to; most large groups of copies are
+joined by that.  In families that are not, sketches rule out pairs that cannot reach the
 threshold, and the rest are confirmed on the full sets, but only while the two are not yet
 joined: a task returns a spanning forest of its confirmed links.  A family over ``BLOCK``
 nodes is cut by set size (sets whose sizes differ too much cannot be linked) and slices of
-those, and each pair of slices that can hold a link is one task; so no task grows with a
-family, and no link between different components is lost.
+those, and each pair of slices that can hold a link is one task, except where both are of
+the family's largest part that is joined already; so no task grows with a family, and no
+link between different components is lost.
 
 The number of bands follows from the threshold: a pair at it shares no band key with
 probability ``MISS``.  The sketch filter keeps pairs down to ``SLACK`` below the threshold.
@@ -33,7 +36,7 @@ from strata.operators.graph import components
 
 from .common import U64, Words, documents, durable, mix, pieces, rolling, texts_of
 
-ROWS, MISS, BITS, SLACK, BLOCK = 5, 1e-7, 512, 0.22, 1_000
+ROWS, MISS, BITS, SLACK, BLOCK = 5, 1e-7, 512, 0.22, 500
 FEATURES = "doc_id long, n long, digest binary, sketch binary, bands array<long>"
 
 
@@ -124,10 +127,10 @@ def estimate(differing: np.ndarray, samples: int, bits: int = BITS) -> np.ndarra
     return 1 + bits / (4 * samples) * np.log1p(-share)
 
 
-def spanning_links(ids: np.ndarray, side: np.ndarray | None, sets: list[np.ndarray], sketches: np.ndarray, samples: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the confirmed links; with ``side``, only of those between different sides.
+def spanning_links(ids: np.ndarray, side: np.ndarray | None, part: np.ndarray, sets: list[np.ndarray], sketches: np.ndarray, samples: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the confirmed links between different parts; with ``side``, only of those between different sides.
 
-    ``sketches``: uint64 words by row.  Every pair in different trees is either ruled out by size or sketch, or checked on the full sets.
+    ``sketches``: uint64 words by row.  Every such pair in different trees is either ruled out by size or sketch, or checked on the full sets.
     """
     n = np.array([len(s) for s in sets], np.int64)
     left = np.arange(len(sets))  # not yet reached
@@ -140,7 +143,7 @@ def spanning_links(ids: np.ndarray, side: np.ndarray | None, sets: list[np.ndarr
         while queue and len(left):
             i = queue.pop()
             small, large = np.minimum(n[left], n[i]), np.maximum(n[left], n[i])
-            may = 100 * small >= percent * large
+            may = (100 * small >= percent * large) & (part[left] != part[i])
             if side is not None:
                 may &= side[left] != side[i]
             at = np.flatnonzero(may)
@@ -164,29 +167,59 @@ def spanning_links(ids: np.ndarray, side: np.ndarray | None, sets: list[np.ndarr
     return out
 
 
-def _tasks(family: DataFrame, percent: int, block: int) -> DataFrame:
-    """``node, family, n`` to ``node, task, side``: a row for each task that a node takes part in."""
+def _tasks(open_nodes: DataFrame, percent: int, block: int) -> DataFrame:
+    """``node, family, n, part`` to ``node, part, task, side``: a row for each task that a node takes part in."""
     ratio = math.log(100 / percent)
-    cell = family.withColumn("cell", F.floor(F.log("n") / F.lit(ratio)).cast("int")).withColumn("u", F.abs(F.xxhash64("node")))
-    cells = cell.groupBy("family", "cell").agg(F.count("*").alias("m"))
-    total = cells.groupBy("family").agg(F.sum("m").alias("total"))
-    slices = cells.join(total, "family").select("family", "cell", "total", F.ceil(F.col("m") / block).cast("int").alias("s"))
-    near = slices.select("family", F.explode(F.array(*(F.struct((F.col("cell") - d).alias("cell"), F.lit(d).alias("d")) for d in (-1, 0, 1)))).alias("x"), "s").select("family", "x.cell", "x.d", "s")
-    near = near.groupBy("family", "cell").agg(*(F.coalesce(F.max(F.when(F.col("d") == d, F.col("s"))), F.lit(0)).alias(f"s{d + 1}") for d in (-1, 0, 1)))
-    # a table of its own, so that the join below deals out both sides and a large cell can be split
-    plan = durable(slices.drop("s").join(near, ["family", "cell"]))  # s0: slices of the cell before, s1: own, s2: of the next
-    own = (F.col("u") % F.col("s1")).cast("int")
-    task = lambda c, s, d, t, side: F.struct((F.col("cell") + c).alias("c"), s.alias("s"), F.lit(d).alias("d"), t.alias("t"), side.alias("side"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    zero = F.lit(0)
-    many = F.concat(
-        F.transform(upto(F.col("s1")), lambda t: task(0, F.least(own, t), 0, F.greatest(own, t), F.when(t == own, -1).when(own < t, 0).otherwise(1))),
-        F.transform(upto(F.col("s2")), lambda t: task(0, own, 1, t, F.lit(0))),
-        F.transform(upto(F.col("s0")), lambda t: task(-1, t, 1, own, F.lit(1))),
-    )
-    one = F.array(F.struct(zero.alias("c"), zero.alias("s"), zero.alias("d"), zero.alias("t"), F.lit(-1).alias("side")))
-    dealt = cell.join(plan, ["family", "cell"]).select("node", "family", F.explode(F.when(F.col("total") <= block, one).otherwise(many)).alias("x"))
-    return dealt.select("node", F.struct("family", "x.c", "x.s", "x.d", "x.t").alias("task"), F.col("x.side").alias("side"))
+    sizes = open_nodes.groupBy("family", "part").agg(F.count("*").alias("m"))
+    major = durable(sizes.groupBy("family").agg(F.max_by("part", F.struct("m", "part")).alias("major"), F.sum("m").alias("total")))
+    cell = open_nodes.join(major, "family").withColumn("cell", F.floor(F.log("n") / F.lit(ratio)).cast("int")).withColumn("other", (F.col("part") != F.col("major")).cast("int"))
+    slices = cell.groupBy("family", "cell", "other").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("s"))
+    spread = slices.select("family", F.explode(F.array(*(F.col("cell") + d for d in (-1, 0, 1)))).alias("cell"), F.struct(F.col("cell").alias("c"), F.col("other").alias("o"), F.col("s").alias("s")).alias("x"))
+    # a table of its own, so that the join below deals out both sides and a large cell can be split; six entries a cell at most
+    plan = durable(spread.groupBy("family", "cell").agg(F.collect_list("x").alias("near")))
+    dealt = cell.join(plan, ["family", "cell"])
+    mine = F.struct(F.col("cell").alias("c"), F.col("other").alias("o"), F.pmod(F.xxhash64("node"), F.filter("near", lambda x: (x.c == F.col("cell")) & (x.o == F.col("other")))[0].s).cast("int").alias("k"))
+    dealt = dealt.select("node", "part", "family", "total", mine.alias("mine"), "near")
+    # the other slices met: all near ones, but none of the major part for one of its own
+    met = F.filter("near", lambda x: (x.o == 1) | (F.col("mine.o") == 1))
+    met = F.flatten(F.transform(met, lambda x: F.transform(F.sequence(F.lit(0), x.s - 1), lambda k: F.struct(x.c.alias("c"), x.o.alias("o"), k.alias("k")))))
+    none = F.struct(F.lit(0).alias("c"), F.lit(0).alias("o"), F.lit(0).alias("k"))
+    pair = lambda a, b, side: F.struct(a.alias("a"), b.alias("b"), F.lit(side).alias("side"))
+    many = F.transform(met, lambda y: F.when(F.col("mine") < y, pair(F.col("mine"), y, 0)).when(F.col("mine") > y, pair(y, F.col("mine"), 1)).otherwise(pair(y, y, -1)))
+    out = dealt.select("node", "part", "family", F.explode(F.when(F.col("total") <= block, F.array(pair(none, none, -1))).otherwise(many)).alias("x"))
+    return out.select("node", "part", F.struct("family", "x.a", "x.b").alias("task"), F.col("x.side").alias("side"))
+
+
+def _nearest(star: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``node, low``: of each node's smallest members by key the one whose sketch is nearest, where sizes allow a link."""
+    mine, theirs = sketches.select("node", F.col("sketch").alias("x"), "n"), sketches.select(F.col("node").alias("low"), F.col("sketch").alias("y"), F.col("n").alias("m"))
+    both = star.join(mine, "node").join(theirs, "low").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+
+    def differing(it):
+        import pyarrow as pa
+
+        for batch in it:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U64).reshape(-1, BITS // 64) for c in ("x", "y"))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("low"), pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))], ["node", "low", "d"])
+
+    return both.select("node", "low", "x", "y").mapInArrow(differing, "node long, low long, d long").groupBy("node").agg(F.min_by("low", F.struct("d", "low")).alias("low"))
+
+
+def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of rows a, b, x, y whose sets x and y reach the threshold."""
+
+    def run(it):
+        import pyarrow as pa
+
+        for batch in it:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
@@ -197,9 +230,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = durable(seen.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch", "bands")).alias("x")).select("digest", F.col("x.doc_id").alias("node"), "x.n", "x.sketch", "x.bands"))
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    family = components(keyed.join(shared, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))).select("node", F.col("component").alias("family"))
+    star = durable(keyed.join(shared, "key").where("node <> low").select("node", "low").distinct())
+    family = components(star.select(F.col("node").alias("a"), F.col("low").alias("b"))).select("node", F.col("component").alias("family"))
     inside = durable(nodes.select("node", "n", "sketch").join(family, "node"))
-    dealt = _tasks(inside.select("node", "family", "n"), percent, block)
 
     def to_sets(it):
         import pyarrow as pa
@@ -208,9 +241,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             texts = texts_of(batch)
             for a, b in pieces(texts):
                 sets = pa.array([s.tobytes() for s in shingle_sets(texts[a:b], size)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), batch.column("sketch").slice(a, b - a), sets], ["node", "sketch", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), sets], ["node", "set"])
 
-    sets = inside.select("node", "sketch").join(docs.withColumnRenamed("doc_id", "node"), "node").mapInArrow(to_sets, "node long, sketch binary, set binary")
+    sets = durable(inside.select("node").join(docs.withColumnRenamed("doc_id", "node"), "node").mapInArrow(to_sets, "node long, set binary"))
+    nearest = _nearest(star, inside, percent).join(sets.withColumnRenamed("set", "x"), "node").join(sets.select(F.col("node").alias("low"), F.col("set").alias("y")), "low")
+    first = durable(_confirmed(nearest.select(F.col("node").alias("a"), F.col("low").alias("b"), "x", "y"), percent))
+    parts = inside.join(components(first).select("node", F.col("component").alias("part")), "node", "left").select("node", "n", "sketch", "family", F.coalesce("part", "node").alias("part"))
+    split = parts.groupBy("family").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("family")
+    open_nodes = durable(parts.join(split, "family"))
+    dealt = _tasks(open_nodes.select("node", "family", "n", "part"), percent, block)
 
     def links(group):
         import pyarrow as pa
@@ -218,10 +257,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ids, raw, sk = group.column("node").to_numpy(), group.column("set").to_pylist(), group.column("sketch").to_pylist()
         side = group.column("side").to_numpy()
         sketches = np.frombuffer(b"".join(sk), U64).reshape(len(sk), BITS // 64)
-        got = spanning_links(ids, None if (side < 0).all() else side, [np.frombuffer(x, U64) for x in raw], sketches, bands * ROWS, percent)
+        got = spanning_links(ids, None if (side < 0).all() else side, group.column("part").to_numpy(), [np.frombuffer(x, U64) for x in raw], sketches, bands * ROWS, percent)
         return pa.table({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([y for _, y in got], pa.int64())})
 
-    confirmed = sets.join(dealt, "node").groupBy("task").applyInArrow(links, "a long, b long")
-    joined = components(confirmed).select("node", "component")
+    confirmed = open_nodes.select("node", "sketch").join(sets, "node").join(dealt, "node").groupBy("task").applyInArrow(links, "a long, b long")
+    joined = components(first.unionByName(confirmed)).select("node", "component")
     by_digest = nodes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return seen.select("doc_id", "n", "digest").join(by_digest, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
