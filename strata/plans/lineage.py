@@ -49,7 +49,11 @@ def durable(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/{uuid.uuid4().hex}")
     with tidy(spark):
-        return df.select("*").checkpoint(eager=True)  # a new plan, as a plan keeps the setting it was made under
+        kept = df.select("*").checkpoint(eager=True)  # a new plan, as a plan keeps the setting it was made under
+    # a checkpoint also keeps the size once guessed for its plan; in loops of joins such guesses multiply without end
+    made = kept._jdf.queryExecution()
+    plain = spark._jsparkSession.internalCreateDataFrame(made.toRdd(), kept._jdf.schema(), False)
+    return type(kept)(plain, spark)
 
 
 def stored(df: DataFrame, at: str) -> DataFrame:

@@ -1 +1 @@
-
+"""Structured Streaming over event tables and document revisions."""

@@ -1,0 +1,238 @@
+"""Operators against brute force and the rules that are easy to get wrong."""
+
+import itertools
+import random
+
+import pytest
+
+from strata.functions import geometry as geo
+from strata.functions import sequences as seq
+from strata.functions import text as tx
+from strata.operators import audit, graph, layout, merge, resolve, segment, state, stats
+from strata.sources import html, strict_json
+
+
+def test_ratio_of_empty_texts():
+    assert seq.word_ratio("", None) == 1.0 and seq.word_ratio("a", "") == 0.0 and seq.word_ratio("A b", "a B") == 1.0
+
+
+def test_longest_increasing_equals_brute_force():
+    r = random.Random(1)
+    for _ in range(200):
+        v = [r.randint(0, 9) for _ in range(r.randint(0, 8))]
+        got = seq.longest_increasing(v)
+        assert all(v[a] < v[b] for a, b in zip(got, got[1:]))
+        best = max((len(c) for n in range(len(v) + 1) for c in itertools.combinations(v, n) if all(a < b for a, b in zip(c, c[1:]))), default=0)
+        assert len(got) == best
+
+
+def test_alignment_is_optimal():
+    r = random.Random(2)
+    for _ in range(150):
+        n, m = r.randint(0, 5), r.randint(0, 5)
+        s = [[r.choice([0.0, 0.4, 0.6, 0.9]) for _ in range(m)] for _ in range(n)]
+        got = seq.align(n, m, lambda i, j: s[i][j], 0.5)
+        assert [i for i, _ in got if i is not None] == list(range(n)) and [j for _, j in got if j is not None] == list(range(m))
+        total = sum(s[i][j] for i, j in got if i is not None and j is not None)
+        best = 0.0
+        for k in range(min(n, m) + 1):
+            for a in itertools.combinations(range(n), k):
+                for b in itertools.combinations(range(m), k):
+                    if all(s[i][j] >= 0.5 for i, j in zip(a, b)):
+                        best = max(best, sum(s[i][j] for i, j in zip(a, b)))
+        assert abs(total - best) < 1e-9
+
+
+def test_three_way_words():
+    assert seq.merge_words("a b c", "a x c", "a b c d") == ("a x c d", [])
+    text, clashes = seq.merge_words("a b c", "a x c", "a y c")
+    assert text == "a y c" and [tuple(map("".join, c)) for c in clashes] == [("b", "x", "y")]
+    assert seq.merge_words("a b", "a x", "a x") == ("a x", [])
+    assert len(seq.merge_words("a b", "a NEW b", "a OTHER b")[1]) == 1
+    base, ours, theirs = "one two three four", "one two NEW three four", "one BIG four"
+    assert len(seq.merge_words(base, ours, theirs)[1]) == 1
+
+
+def test_three_way_merge_takes_one_sided_changes():
+    r = random.Random(3)
+    for _ in range(300):
+        base = [r.choice("abcd") for _ in range(r.randint(0, 8))]
+        other = [x for x in base if r.random() < 0.8] + [r.choice("xyz")] * r.randint(0, 2)
+        assert seq.merge3(base, other, base) == (other, []) and seq.merge3(base, base, other) == (other, []) and seq.merge3(base, other, other) == (other, [])
+
+
+def test_three_way_paragraphs_are_taken_whole():
+    merged, told = seq.merge_paragraphs("a\nb c\nd", "a\nX c\nd", "a\nY c\nd!")
+    assert merged == "a\nY c\nd!" and told == [("b c", "X c", "Y c")]
+    assert seq.merge_paragraphs("a\nb c\nd", "a\nX c\nd", "a\nY c\nd!", take=True)[0] == "a\nX c\nd!"
+    assert seq.merge_paragraphs("a b", "a b", "a c") == ("a c", [])
+
+
+def test_edit_script_round_trips():
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(r.choice("ab \U0001f600é.") for _ in range(r.randint(0, 20))) for _ in range(2))
+        script = seq.edit_script(a, b)
+        assert seq.apply_script(a, script) == b
+        assert [s[1] for s in script] == sorted((s[1] for s in script), reverse=True)
+
+
+def test_greedy_match_equals_sequential(spark):
+    r = random.Random(5)
+    pairs = [(i, j, round(r.random(), 2)) for i in range(25) for j in range(25) if r.random() < 0.4]
+    df = spark.createDataFrame(pairs, "a long, b long, score double")
+    want = seq.greedy_pairs([(s, i, j) for i, j, s in pairs], 0.35)
+    assert sorted(map(tuple, resolve.greedy_match(df, "a", "b", "score", 0.35).collect())) == sorted(want)
+    assert resolve.greedy_match(df.limit(0), "a", "b", "score", 0.35).count() == 0
+
+
+def test_components_equal_union_find(spark):
+    r = random.Random(6)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 360)] + [(5, 5), (None, 3)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = {n: c for n, c in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in parent}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rectangles(spark):
+    rect = lambda *v: "named_struct('x0',%sD,'y0',%sD,'x1',%sD,'y1',%sD)" % v
+    df = spark.range(1).selectExpr(f"{rect(0, 0, 2, 2)} a", f"{rect(2, 0, 3, 2)} b", f"{rect(1, 1, 3, 3)} c")
+    from pyspark.sql import functions as F
+
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    row = df.select(geo.intersects(a, b).alias("touch"), geo.intersects(a, c).alias("over"), geo.iou(a, c).alias("iou"), geo.likeness(a, a).alias("same")).first()
+    assert (row.touch, row.over, round(row.iou, 6), row.same) == (False, True, round(1 / 7, 6), 1.0)
+
+
+def test_near_pairs_equal_all_pairs(spark):
+    r = random.Random(7)
+    boxes = [(k, "p", x := r.uniform(0, 100), y := r.uniform(0, 100), x + r.uniform(0, 30), y + r.uniform(0, 10)) for k in range(80)]
+    got = {(a, b) for _, a, b in resolve.near_pairs(spark.createDataFrame(boxes, "k long, page string, x0 double, y0 double, x1 double, y1 double"), "k", ["page"], 4.0, 12.0).collect()}
+    want = {(p[0], q[0]) for p in boxes for q in boxes if p[0] < q[0] and p[2] - 2 <= q[4] + 2 and q[2] - 2 <= p[4] + 2 and p[3] - 2 <= q[5] + 2 and q[3] - 2 <= p[5] + 2}
+    assert got == want
+
+
+def test_merge_rules(spark):
+    rows = lambda *v: spark.createDataFrame(list(v), "k long, x string")
+    base = rows((1, "a"), (2, "a"), (3, "a"), (4, "a"), (5, "a"), (6, None))
+    ours = rows((1, "b"), (4, "b"), (5, "c"), (6, "z"), (8, "new"))
+    theirs = rows((1, "a"), (2, "b"), (3, "a"), (5, "d"), (6, None), (9, "user"))
+    decided = merge.decisions(merge.versions(base, ours, theirs, "k", ["x"]), ["x"])
+    assert {r.k: r.decision for r in decided.collect()} == {1: "take_ours", 2: "keep_removed", 3: "delete", 4: "stay_deleted", 5: "conflict", 6: "take_ours", 8: "create", 9: "keep_user"}
+    assert {r.k: r.x for r in merge.merged(decided, "k", ["x"]).collect()} == {1: "b", 2: "b", 5: "d", 6: "z", 8: "new", 9: "user"}
+    found = merge.conflicts(decided, "k", ["x"], "row")
+    assert {(r.k, r.field, r.takeable) for r in found.collect()} == {(5, "x", True), (2, "existence", False)}
+    ids = found.select("conflict_id").unionByName(spark.createDataFrame([("stale",)], "conflict_id string"))
+    settled, unmatched = merge.settle(found, ids)
+    assert {r.k: r.resolution for r in settled.collect()} == {5: "ours", 2: "theirs"} and unmatched.count() == 2
+    again = merge.decisions(merge.versions(base, base, base, "k", ["x"]), ["x"])
+    assert {r.decision for r in again.collect()} == {"keep"}
+
+
+def test_islands_runs_and_gaps(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("d", i, s, t) for i, (s, t) in enumerate([("x", "a"), ("x", ""), ("x", "b"), ("y", "c"), ("x", "d")])], "doc string, pos long, style string, text string")
+    got = segment.merge_equal_neighbours(df, ["doc"], "pos", ["style"], "text").orderBy("run").collect()
+    assert [(r.style, r.text, r.parts) for r in got] == [("x", "ab", 2), ("y", "c", 1), ("x", "d", 1)]
+    marked = segment.gap_ids(df.withColumn("anchor", F.when(F.col("pos").isin(1, 3), F.col("pos"))), ["doc"], "pos", "anchor")
+    assert [(r.before, r.after) for r in marked.orderBy("pos").collect()] == [(None, 1), (None, 3), (1, 3), (1, None), (3, None)]
+    off = segment.run_offsets(spark.createDataFrame([("d", 0, "a\U0001f600"), ("d", 1, "b")], "doc string, pos long, text string"), ["doc"], "pos", "text").orderBy("pos").collect()
+    assert [(r.start, r.stop, r.start16, r.stop16) for r in off] == [(0, 2, 0, 3), (2, 3, 3, 4)]
+
+
+def test_overlay_share_is_one_sided(spark):
+    df = spark.createDataFrame([(1, 0, "f", ["a", "b"]), (1, 1, "f", ["a", "b", "c", "d"]), (1, 2, "g", ["a"])], "doc long, page long, label string, words array<string>")
+    got = segment.overlay_steps(df, ["doc"], "page", "label", "words").orderBy("page").collect()
+    assert [(r.share, r.superseded) for r in got] == [(1.0, True), (0.25, False), (0.0, False)]
+
+
+def test_stats_edge_cases(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("g", 1.0, 2), ("g", 2.0, 2), ("h", 5.0, 0)], "g string, v double, w long")
+    assert {r.g: r.mode for r in stats.weighted_mode(df, ["g"], F.col("v"), F.col("w")).collect()} == {"g": 1.0, "h": 5.0}
+    scores = spark.createDataFrame([("a", 1, 1.0), ("a", 0, 1.0), ("b", 1, 2.0)], "g string, y int, s double")
+    assert {r.g: r.auc for r in stats.auc(scores, ["g"], F.col("y") == 1, F.col("s")).collect()} == {"a": 0.5, "b": None}
+
+
+def test_text_functions(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("Ünïx – “ﬁne” co-\noperation",), ("",), (None,)], "t string")
+    got = df.select(tx.norm_title(F.col("t")).alias("title"), tx.norm_text(F.col("t")).alias("text"), tx.slug(F.col("t")).alias("slug"), tx.has_junk(F.col("t")).alias("junk")).collect()
+    assert got[0].title == "ünïx ﬁne co operation" and got[0].text == 'Ünïx - "fine" cooperation' and got[1].slug == "item" and not got[2].junk
+    half = spark.createDataFrame([(0.25,), (0.75,), (1.0,)], "x double").select(tx.half_point(F.col("x")).alias("h")).collect()
+    assert [r.h for r in half] == [0.0, 1.0, 1.0]
+
+
+def test_html_blocks():
+    page = "<html><head><title>T &amp; x</title><script>var t='<p>no</p>'</script></head><body>stray<h2>H <b>i</b></h2><ul><li>a<ul><li>b</ul></ul><p>x<br>y<!-- no --><table><tr><td>1<td>2</table>"
+    assert html.parse(page) == [("title", 0, "T & x"), ("text", 0, "stray"), ("heading", 2, "H i"), ("item", 1, "a"), ("item", 2, "b"), ("paragraph", 0, "x y"), ("cell", 0, "1"), ("cell", 0, "2")]
+    assert html.parse(None) == [] and html.parse("<<<>&#xZZ;</nope>") is not None
+
+
+def test_strict_json(spark):
+    schema = {"id": "string", "size": "number", "box?": {"x": "integer"}}
+    rows = ['{"id": "a", "size": 1.5}', '{"id": 1, "size": 2}', '{"id": "a"}', '{"id": "a", "size": 1, "box": {"y": 1}}', '{"id": "a", "size": 1, "box": 3, "q": null}', "[1]", "{", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, j string")
+    got = sorted(map(tuple, strict_json.violations(df, "k", "j", schema).collect()))
+    assert got == [(1, "$.id", "type"), (2, "$.size", "missing"), (3, "$.box.x", "missing"), (3, "$.box.y", "unknown"), (4, "$.box", "type"), (4, "$.q", "unknown"), (5, "$", "malformed"), (6, "$", "malformed")]
+
+
+def test_snapshot_store(spark, tmp_path):
+    store = state.SnapshotStore(spark, f"file://{tmp_path}/s")
+    one = spark.createDataFrame([(1, "a")], "k long, x string")
+    assert store.version() == 0 and store.write(one, 0) == 1
+    with pytest.raises(state.Conflict):
+        store.write(one, 0)
+    tries = []
+
+    def plan(base):
+        tries.append(base.count())
+        if len(tries) == 1:
+            store.write(base, 1)  # another writer comes first
+        return base.unionByName(one)
+
+    assert store.update(plan) == 3 and len(tries) == 2 and store.read().count() == 2
+    fs = store._fs()
+    fs.create(store._path("journal", 4), True).close()
+    fs.createNewFile(store._path("committed", 4))
+    one.write.parquet(f"{store.root}/data/orphan")
+    assert store.version() == 3 and store.recover() == [4] and store.versions() == [1, 2, 3]
+    assert store.prune(1) == [1, 2] and store.read().count() == 2
+
+
+def test_stream_of_revisions_chains_merges(spark, tmp_path):
+    from strata.streaming import revisions
+
+    store = state.SnapshotStore(spark, f"file://{tmp_path}/store")
+    store.write(spark.createDataFrame([(1, "a"), (2, "b")], "k long, x string"), 0)
+    spark.createDataFrame([(1, "c", False), (2, "", True), (3, "n", False)], "k long, x string, deleted boolean").coalesce(1).write.parquet(f"{tmp_path}/in")
+    for _ in range(2):  # the second run finds nothing new
+        revisions.merge_revisions(revisions.read_stream(spark, f"{tmp_path}/in"), store, "k", ["x"], f"{tmp_path}/ckpt")
+    assert store.version() == 2 and sorted(map(tuple, store.read().collect())) == [(1, "c"), (3, "n")]
+
+
+def test_audits(spark):
+    items, owners = spark.createDataFrame([(1,), (2,), (3,)], "item long"), spark.createDataFrame([(1,), (3,), (3,), (9,)], "claim long")
+    assert {(r.item, r.problem) for r in audit.ownership(items, owners, "item", "claim").collect()} == {(2, "unowned"), (3, "shared"), (9, "dangling")}
+
+
+def test_reading_order_and_levels(spark):
+    df = spark.createDataFrame([("p", 1, "body", 10.0, 5.0), ("p", 2, "title", 50.0, 0.0), ("p", 3, "body", 11.0, 1.0)], "page string, pos long, role string, y0 double, x0 double")
+    assert [r.pos for r in layout.reading_order(df, ["page"]).orderBy("order").collect()] == [2, 1, 3]
+    levels = layout.list_levels(spark.createDataFrame([("p", 0.0), ("p", 1.5), ("p", 9.0)], "page string, x double"), ["page"], "x")
+    assert sorted((r.x, r.level) for r in levels.collect()) == [(0.0, 1), (1.5, 1), (9.0, 2)]
