@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+MOST_BYTES = 1 << 50  # a guess above this is forgotten
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -50,10 +51,11 @@ def durable(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/{uuid.uuid4().hex}")
     with tidy(spark):
         kept = df.select("*").checkpoint(eager=True)  # a new plan, as a plan keeps the setting it was made under
-    # a checkpoint also keeps the size once guessed for its plan; in loops of joins such guesses multiply without end
+    # a checkpoint also keeps the size guessed for its plan; in loops of joins such guesses multiply without end
     made = kept._jdf.queryExecution()
-    plain = spark._jsparkSession.internalCreateDataFrame(made.toRdd(), kept._jdf.schema(), False)
-    return type(kept)(plain, spark)
+    if int(made.optimizedPlan().stats().sizeInBytes()) < MOST_BYTES:
+        return kept
+    return type(kept)(spark._jsparkSession.internalCreateDataFrame(made.toRdd(), kept._jdf.schema(), False), spark)
 
 
 def stored(df: DataFrame, at: str) -> DataFrame:
