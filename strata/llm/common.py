@@ -18,7 +18,7 @@ from strata.plans.lineage import delete, durable, shared_folder, stored, tidy  #
 
 U64 = np.uint64
 MULTIPLIER = 0x9E3779B97F4A7C13  # 3 modulo 8, so powers of it differ by few trailing zero bits
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
