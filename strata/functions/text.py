@@ -60,3 +60,28 @@ def half_point(x: Column) -> Column:
 def field_hash(*fields: Column, length: int = 12) -> Column:
     """Hash of one canonical string of fields; null and empty stay apart."""
     return F.substring(F.sha1(F.concat_ws("\x1f", *(F.coalesce(f.cast("string"), F.lit("\x00")) for f in fields))), 1, length)
+
+
+def prose_share(text: Column) -> Column:
+    """Share of words that are two or more letters and nothing else."""
+    every = F.regexp_count(text, F.lit(r"\S+"))
+    return F.when(every > 0, F.regexp_count(text, F.lit(r"(?<!\S)\p{L}{2,}(?!\S)")) / every).otherwise(0.0)
+
+
+def first_words(text: Column, n: int) -> Column:
+    return F.array_join(F.slice(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), 1, n), " ")
+
+
+def script_counts(text: Column) -> Column:
+    """Letters by script, as a struct."""
+    return F.struct(*(F.regexp_count(text, F.lit(rf"\p{{Is{s}}}")).cast("long").alias(s.lower()) for s in ("Latin", "Greek", "Cyrillic", "Han")))
+
+
+def composed(text: Column) -> Column:
+    """Canonical composition, so that a letter and its accent are one character; in Arrow batches."""
+    import unicodedata
+
+    def run(s):
+        return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
+    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(text)

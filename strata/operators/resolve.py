@@ -135,8 +135,53 @@ def word_similarity(a: Column, b: Column) -> Column:
     """Word ratio of two texts, in Arrow batches."""
     import pandas as pd
 
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+    def run(x, y):
         return pd.Series([sequences.word_ratio(i, j) for i, j in zip(x, y, strict=True)])
 
-    return run(a, b)
+    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)(a, b)
+
+
+def points_in_rectangles(points: DataFrame, key: str, rectangles: DataFrame, panel: str, by: list[str], cell: float) -> DataFrame:
+    """Each point (x, y) with the first rectangle, by ``panel``, that holds it; by cells of a grid."""
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
+    p = points.withColumn("__cx", F.floor(F.col("x") / cell)).withColumn("__cy", F.floor(F.col("y") / cell))
+    r = rectangles.withColumn("__cx", span(F.col("x0"), F.col("x1"))).withColumn("__cy", span(F.col("y0"), F.col("y1")))
+    met = p.join(r, [*by, "__cx", "__cy"]).where("x >= x0 and x <= x1 and y >= y0 and y <= y1")
+    return met.groupBy(*by, key).agg(F.min(panel).alias(panel))
+
+
+def crossings(pairs: DataFrame, by: list[str], left: str, right: str) -> DataFrame:
+    """How many other pairs of the group each pair crosses, from ranks alone: no pair of pairs is made.
+
+    A pair at place i on one side whose partner has rank j crosses at least |i - j| others; groups without a crossing are left out.
+    """
+    i = F.row_number().over(Window.partitionBy(*by).orderBy(left))
+    j = F.row_number().over(Window.partitionBy(*by).orderBy(right))
+    return pairs.withColumn("place", i.cast("long")).withColumn("rank", j.cast("long")).where("place <> rank").withColumn("least_crossings", F.abs(F.col("place") - F.col("rank")))
+
+
+def rivals(scored: DataFrame, left: str, right: str, score: str) -> DataFrame:
+    """Each pair with the best score that another pair sharing either side has (null where there is none)."""
+    best = lambda side: F.row_number().over(Window.partitionBy(side).orderBy(F.desc(score), left, right))
+
+    def two(df: DataFrame, side: str, name: str) -> DataFrame:
+        top = df.withColumn("__r", best(side)).where("__r <= 2").groupBy(side).agg(F.max(F.when(F.col("__r") == 1, F.col(score))).alias("__1"), F.max(F.when(F.col("__r") == 2, F.col(score))).alias("__2"), F.max(F.when(F.col("__r") == 1, F.struct(left, right))).alias("__top"))
+        mine = F.struct(F.col(left), F.col(right))
+        return df.join(top, side).withColumn(name, F.when(mine == F.col("__top"), F.col("__2")).otherwise(F.col("__1"))).drop("__1", "__2", "__top")
+
+    out = two(two(scored, left, "__l"), right, "__r2")
+    return out.withColumn("rival", F.greatest("__l", "__r2")).drop("__l", "__r2")
+
+
+def flatten_groups(nodes: DataFrame, key: str, parent: str, x: str, most_depth: int = 16) -> DataFrame:
+    """Places of a forest's nodes added up along their parents: ``key, root, depth, x`` (a node whose parents form a ring is left out)."""
+    tree = nodes.select(F.col(key).alias("__k"), F.col(parent).alias("__p"), F.col(x).cast("double").alias("__x"))
+    level = durable(tree.where("__p is null").select("__k", F.col("__k").alias("root"), F.lit(0).cast("long").alias("depth"), F.col("__x").alias("total")))
+    found = level
+    for _ in range(most_depth):
+        up = level.select(F.col("__k").alias("__p"), "root", "depth", "total")
+        level = durable(tree.join(up, "__p").select("__k", "root", (F.col("depth") + 1).alias("depth"), (F.col("total") + F.col("__x")).alias("total")))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return found.select(F.col("__k").alias(key), "root", "depth", F.col("total").alias(x))

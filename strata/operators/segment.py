@@ -50,3 +50,44 @@ def gap_ids(df: DataFrame, by: list[str], order: str, anchor: str) -> DataFrame:
     before = F.last(anchor, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(anchor, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
     return df.withColumn("before", before).withColumn("after", after)
+
+
+def carried_notes(df: DataFrame, by: list[str], order: str, label: str, note: str) -> DataFrame:
+    """The last step of each run of one label gets the notes of all its steps, in order; the others none."""
+    w = Window.partitionBy(*by).orderBy(order)
+    runs = islands(df, by, [order], F.lag(order).over(w).isNull() | ~F.col(label).eqNullSafe(F.lag(label).over(w)), "run")
+    notes = F.transform(F.array_sort(F.collect_list(F.struct(order, note))), lambda x: x[note])
+    return runs.groupBy(*by, "run", label).agg(F.max(order).alias(order), F.array_join(F.filter(notes, lambda x: x.isNotNull() & (x != "")), "\n").alias("notes"), F.count("*").alias("n_steps"))
+
+
+def broken_numbering(df: DataFrame, by: list[str], order: str, number: str) -> DataFrame:
+    """Numbered lists that don't run from 1 upwards without gaps, with their first wrong place."""
+    w = Window.partitionBy(*by).orderBy(order)
+    return df.withColumn("__want", F.row_number().over(w)).where(F.col(number) != F.col("__want")).groupBy(*by).agg(F.min("__want").cast("long").alias("first_wrong"), F.count("*").alias("n_wrong"))
+
+
+def batches(df: DataFrame, order: str, size: str, most: int) -> DataFrame:
+    """Numbers batches of whole groups: a group that would pass ``most`` together with those since the last cut starts the next.
+
+    Group sizes come first to one row a group; the fold over these is one scan of (order, size) per partition of ``order``.
+    """
+
+    def run(pdf):
+        total, n, out = 0, 0, []
+        for s in pdf.sort_values(order)[size]:
+            if total and total + s > most:
+                n, total = n + 1, 0
+            total += s
+            out.append(n)
+        pdf = pdf.sort_values(order)
+        pdf["batch"] = out
+        return pdf
+
+    kinds = dict(df.dtypes)
+    return df.groupBy("doc").applyInPandas(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", batch long")
+
+
+def best_rounds(df: DataFrame, by: list[str], round_: str, score: str) -> DataFrame:
+    """The round of each item's best score (the first that tie) and whether its last round left it worse."""
+    best = df.groupBy(*by).agg(F.max_by(round_, F.struct(score, -F.col(round_))).alias("best_round"), F.max(score).alias("best"), F.max_by(score, round_).alias("last"))
+    return best.withColumn("revert", F.col("last") < F.col("best"))

@@ -51,3 +51,41 @@ def uniform_change(df: DataFrame, by: list[str], before: str, after: str) -> Dat
     """The one value that all rows of a group were changed to, or null if there is none."""
     one = F.count_distinct(after) == 1
     return df.groupBy(*by).agg(F.when(one & (F.count(after) == F.count("*")) & F.bool_or(~F.col(before).eqNullSafe(F.col(after))), F.max(after)).alias("value"))
+
+
+def census(df: DataFrame, by: list[str], value: str, item: str, examples: int = 3) -> DataFrame:
+    """The most common value of a group (the smallest that tie) and its exceptions, with the first few of them."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), value)))
+    tops = ranked.where("__r = 1").select(*by, F.col(value).alias("usual"), F.col("n").alias("n_usual"))
+    odd = df.join(tops, by).where(~F.col(value).eqNullSafe(F.col("usual")))
+    w = Window.partitionBy(*by).orderBy(item)
+    few = odd.withColumn("__r", F.row_number().over(w)).groupBy(*by).agg(F.count("*").alias("n_odd"), F.array_sort(F.collect_list(F.when(F.col("__r") <= examples, F.col(item)))).alias("examples"))
+    return tops.join(few, by, "left").select(*by, "usual", "n_usual", F.coalesce("n_odd", F.lit(0)).alias("n_odd"), F.coalesce("examples", F.array().cast(few.schema["examples"].dataType)).alias("examples"))
+
+
+def style_hash(df: DataFrame, by: list[str], *style: str) -> DataFrame:
+    """An order-free hash of the distinct styles of a group."""
+    one = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in style))
+    return df.groupBy(*by).agg(F.sha1(F.array_join(F.array_sort(F.collect_set(one)), "\x1e")).alias("style_hash"))
+
+
+def inherited_vote(df: DataFrame, by: list[str], vote: str) -> DataFrame:
+    """Groups to drop: some member was looked for and absent (0), none was ever seen (1); null is no vote."""
+    return df.groupBy(*by).agg(F.coalesce(F.max((F.col(vote) == 1).cast("int")), F.lit(0)).alias("seen"), F.coalesce(F.max((F.col(vote) == 0).cast("int")), F.lit(0)).alias("absent")).where("seen = 0 and absent > 0").select(*by)
+
+
+def absorbed(dropped: DataFrame, gained: DataFrame, item: str, other: str, word: str, least_words: int = 6, share: float = 0.6) -> DataFrame:
+    """The other item that gained the largest share of a dropped one's distinct words of four letters or more, if that is enough."""
+    long_words = dropped.where(F.length(word) >= 4).select(item, word).distinct()
+    sizes = long_words.groupBy(item).agg(F.count("*").alias("n")).where(F.col("n") >= least_words)
+    met = long_words.join(gained.select(other, word).distinct(), word).groupBy(item, other).agg(F.count("*").alias("k")).join(sizes, item)
+    scored = met.withColumn("share", F.col("k") / F.col("n")).where(F.col("share") >= share)
+    return scored.groupBy(item).agg(F.max_by(other, F.struct("share", -F.col(other))).alias(other), F.max("share").alias("share"))
+
+
+def big_headings(df: DataFrame, by: list[str], item: str, size: str, body: str, over_body: float = 1.3, over_next: float = 1.15) -> DataFrame:
+    """A page's single largest text, if it is well above the body size and the runner-up."""
+    w = Window.partitionBy(*by).orderBy(F.desc(size), item)
+    ranked = df.withColumn("__r", F.row_number().over(w)).withColumn("__next", F.lead(size).over(w))
+    return ranked.where((F.col("__r") == 1) & (F.col(size) >= over_body * F.col(body)) & (F.col("__next").isNull() | (F.col(size) >= over_next * F.col("__next")))).drop("__r", "__next")
