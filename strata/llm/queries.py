@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, lm_scoring, matroska, near_dedup, pii, quality_ngram, sentencepiece_codec, substring_dedup, toxicity, url_filter
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,3 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_toxicity, op4_matroska, op5_near_dedup, op6_quality, op7_decontamination, op8_url_filter, op9_lm_scoring, op10_sentencepiece)
 }
-
-#: SQL where it can express the operator; the learned and codec operators are tested by brute force, round trips and held-out accuracy.
-ORACLES: dict[str, str] = {}
