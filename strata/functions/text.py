@@ -85,3 +85,14 @@ def composed(text: Column) -> Column:
         return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
     return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(text)
+
+
+def bullet(text: Column) -> Column:
+    """The mark that a list item begins with, as struct kind (glyph, number, letter, none), label and rest."""
+    glyph = r"^\s*([•◦▪‣∙*–-])\s+(.*)$"
+    number = r"^\s*\(?(\d{1,3})[.)]\s+(.*)$"
+    letter = r"^\s*\(?([a-z])[.)]\s+(.*)$"
+    out = F.lit(None)
+    for kind, pattern in (("letter", letter), ("number", number), ("glyph", glyph)):
+        out = F.when(text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(text, pattern, 1).alias("label"), F.regexp_extract(text, pattern, 2).alias("rest"))).otherwise(out)
+    return F.coalesce(out, F.struct(F.lit("none").alias("kind"), F.lit("").alias("label"), text.alias("rest")))

@@ -105,3 +105,13 @@ def merge_texts(df: DataFrame, key: str, base: str, ours: str, theirs: str, take
             yield pdf
 
     return df.select(*cols).mapInPandas(run, f"{key} {kind}, {MERGED_TEXT}")
+
+
+def has_writes(decided: DataFrame) -> DataFrame:
+    """One row: whether carrying out the decisions would change the live version."""
+    return decided.agg(F.coalesce(F.bool_or(F.col("decision").isin("create", "delete", "take_ours", "merge")), F.lit(False)).alias("has_writes"), F.count("*").alias("n_rows"))
+
+
+def union_of_keys(ours: DataFrame, base: DataFrame, key: str) -> DataFrame:
+    """The source's rows, and the base's that it lacks."""
+    return ours.withColumn("side", F.lit("ours")).unionByName(base.join(ours.select(key), key, "left_anti").withColumn("side", F.lit("base")))

@@ -185,3 +185,27 @@ def flatten_groups(nodes: DataFrame, key: str, parent: str, x: str, most_depth:
             break
         found = found.unionByName(level)
     return found.select(F.col("__k").alias(key), "root", "depth", F.col("total").alias(x))
+
+
+def label_moves(scored: DataFrame, label: str, slide: str, own: Column, score: str, bar: float, margin: float) -> DataFrame:
+    """Whether a label's content says it moved: another slide is good enough and clear of its own (``moved``), good enough but not clear (``unsure``), or neither (``stays``)."""
+    best = scored.groupBy(label).agg(F.max(F.when(own, F.col(score))).alias("own"), F.max(F.when(~own, F.col(score))).alias("best"), F.max_by(F.when(~own, F.col(slide)), F.when(~own, F.struct(F.col(score), -F.col(slide)))).alias("to"))
+    good = F.coalesce(F.col("best") >= bar, F.lit(False))
+    clear = F.col("best") - F.coalesce("own", F.lit(0.0)) >= margin
+    return best.withColumn("verdict", F.when(good & clear, "moved").when(good & (F.col("best") > F.coalesce("own", F.lit(0.0))), "unsure").otherwise("stays"))
+
+
+def units(elements: DataFrame, key: str, anchor: str) -> DataFrame:
+    """Elements with those anchored to them (an anchor that is gone counts as none): ``unit, members, n``."""
+    known = elements.select(F.col(key).alias("__anchor"))
+    j = elements.join(known, elements[anchor] == known["__anchor"], "left").withColumn("unit", F.coalesce("__anchor", key))
+    return j.groupBy("unit").agg(F.count("*").alias("n"), F.min(key).alias("first_member"), F.max(key).alias("last_member"))
+
+
+def hidden_shares(pairs: DataFrame, boxes: DataFrame, key: str, least: float) -> DataFrame:
+    """Of pairs (a below b in key order), those in which b would cover more than ``least`` of a."""
+    side = lambda p: boxes.select(F.col(key).alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("x0", "y0", "x1", "y1")))
+    j = pairs.join(side("a"), "a").join(side("b"), "b")
+    w = F.greatest(F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0"), F.lit(0.0))
+    h = F.greatest(F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0"), F.lit(0.0))
+    return j.withColumn("share", w * h / ((F.col("a_x1") - F.col("a_x0")) * (F.col("a_y1") - F.col("a_y0")))).where(F.col("share") > least).select("a", "b", "share")

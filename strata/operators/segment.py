@@ -91,3 +91,20 @@ def best_rounds(df: DataFrame, by: list[str], round_: str, score: str) -> DataFr
     """The round of each item's best score (the first that tie) and whether its last round left it worse."""
     best = df.groupBy(*by).agg(F.max_by(round_, F.struct(score, -F.col(round_))).alias("best_round"), F.max(score).alias("best"), F.max_by(score, round_).alias("last"))
     return best.withColumn("revert", F.col("last") < F.col("best"))
+
+
+def bands(df: DataFrame, by: list[str], place: str, gap: float) -> DataFrame:
+    """Runs of places that are at most ``gap`` apart: first, last and number of distinct places."""
+    rows = df.select(*by, place).distinct()
+    w = Window.partitionBy(*by).orderBy(place)
+    before = F.lag(place).over(w)
+    return islands(rows, by, [place], before.isNull() | (F.col(place) - before > gap), "band").groupBy(*by, "band").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n_places"))
+
+
+def differing_ranges(df: DataFrame, by: list[str], pos: str, was: str, want: str, neutral: Column) -> DataFrame:
+    """Maximal ranges of places whose two styles differ, each with one pair of styles; neutral places (white space) neither start, end nor break one."""
+    told = df.where(~neutral)
+    w = Window.partitionBy(*by).orderBy(pos)
+    pair = F.struct(F.col(was), F.col(want))
+    runs = islands(told.withColumn("__pair", pair), by, [pos], F.lag(pos).over(w).isNull() | ~F.col("__pair").eqNullSafe(F.lag("__pair").over(w)), "range")
+    return runs.where(~F.col(was).eqNullSafe(F.col(want))).groupBy(*by, "range", was, want).agg(F.min(pos).alias("first"), F.max(pos).alias("last")).drop("range")

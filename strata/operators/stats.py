@@ -89,3 +89,24 @@ def big_headings(df: DataFrame, by: list[str], item: str, size: str, body: str,
     w = Window.partitionBy(*by).orderBy(F.desc(size), item)
     ranked = df.withColumn("__r", F.row_number().over(w)).withColumn("__next", F.lead(size).over(w))
     return ranked.where((F.col("__r") == 1) & (F.col(size) >= over_body * F.col(body)) & (F.col("__next").isNull() | (F.col(size) >= over_next * F.col("__next")))).drop("__r", "__next")
+
+
+def majority(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The most frequent value of a group and its count; of those that tie, the smallest."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
+    return counts.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), value))).where("__r = 1").select(*by, value, "n")
+
+
+def titles(df: DataFrame, by: list[str], order: str, size: str, text: str, near: float = 0.9) -> DataFrame:
+    """A page's texts of nearly its largest size, joined in order."""
+    top = df.groupBy(*by).agg(F.max(size).alias("__top"))
+    large = df.join(top, by).where(F.col(size) >= near * F.col("__top"))
+    return large.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ").alias("title"), F.max("__top").alias("size"))
+
+
+def columns(df: DataFrame, by: list[str], left: str, right: str, slack: float = 0.5) -> DataFrame:
+    """A column's extent and how its cells are aligned: by their left edges, right edges or centres, whichever agree."""
+    middle = (F.col(left) + F.col(right)) / 2
+    agree = lambda x: F.max(x) - F.min(x) <= 2 * slack
+    out = df.groupBy(*by).agg(F.min(left).alias("x0"), F.max(right).alias("x1"), F.count("*").alias("n_cells"), agree(F.col(left)).alias("__l"), agree(F.col(right)).alias("__r"), agree(middle).alias("__c"))
+    return out.withColumn("align", F.when(F.col("__l"), "left").when(F.col("__r"), "right").when(F.col("__c"), "center").otherwise("mixed")).drop("__l", "__r", "__c")

@@ -37,12 +37,12 @@ d AS (SELECT *, CASE WHEN NOT hb AND NOT ht THEN 'create' WHEN NOT hb AND NOT ho
 """
 
 
-def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.decisions(merge.versions(*orders_versions(spark, sf_dir), "k", ORDER_FIELDS), ORDER_FIELDS)
 
 
 def m1_three_way_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.merged(_decided(spark, sf_dir), "k", ORDER_FIELDS)
+    return merge.merged(decided(spark, sf_dir), "k", ORDER_FIELDS)
 
 
 M1 = f"""
@@ -71,7 +71,7 @@ SELECT k, CASE WHEN ts IS NOT DISTINCT FROM bs THEN os ELSE ts END AS segment, (
 
 def m3_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conflicts with ids; every third key's are settled for the source."""
-    found = merge.conflicts(_decided(spark, sf_dir), "k", ORDER_FIELDS, "order")
+    found = merge.conflicts(decided(spark, sf_dir), "k", ORDER_FIELDS, "order")
     settled, _ = merge.settle(found, found.where("k % 3 = 0"))
     return settled.select("k", "field", "base", "ours", "theirs", "takeable", "conflict_id", "resolution")
 
@@ -88,7 +88,7 @@ SELECT *, substr(sha256(encode(concat_ws(chr(31), 'order', k::VARCHAR, field, co
 
 
 def m4_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decided(spark, sf_dir).groupBy("decision").agg(F.count("*").alias("n_rows"), F.min("k").alias("first_key"), F.max("k").alias("last_key"))
+    return decided(spark, sf_dir).groupBy("decision").agg(F.count("*").alias("n_rows"), F.min("k").alias("first_key"), F.max("k").alias("last_key"))
 
 
 M4 = f"WITH {V3} SELECT decision, count(*) AS n_rows, min(k) AS first_key, max(k) AS last_key FROM d GROUP BY decision"

@@ -117,7 +117,7 @@ SELECT l_returnflag, l_linestatus, range_id, count(*) AS n_lines, min(l_orderkey
 """
 
 
-def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts laid out in rows of forty."""
     parts, k = table(spark, sf_dir, "part"), F.col("p_partkey")
     x, y = (k % 40 * 9 + F.col("p_size") % 5).cast("double"), (F.floor(k / 40) * 7).cast("double")
@@ -126,26 +126,26 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q14_spatial_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes at most one unit apart, joined up: each box with its component's smallest member."""
-    boxes = _boxes(spark, sf_dir)
-    parts = graph.components(resolve.near_pairs(boxes, "p_partkey", [], 1.0, 16.0).select("a", "b"))
-    return boxes.select("p_partkey").join(parts.withColumnRenamed("node", "p_partkey"), "p_partkey", "left").select("p_partkey", F.coalesce("component", "p_partkey").alias("component"))
+    found = boxes(spark, sf_dir)
+    parts = graph.components(resolve.near_pairs(found, "p_partkey", [], 1.0, 16.0).select("a", "b"))
+    return found.select("p_partkey").join(parts.withColumnRenamed("node", "p_partkey"), "p_partkey", "left").select("p_partkey", F.coalesce("component", "p_partkey").alias("component"))
 
 
-_BOX = "b AS (SELECT p_partkey AS k, (p_partkey % 40 * 9 + p_size % 5)::DOUBLE AS x0, (p_partkey // 40 * 7)::DOUBLE AS y0, (p_partkey % 40 * 9 + p_size % 5 + 4 + p_size % 5)::DOUBLE AS x1, (p_partkey // 40 * 7 + 3 + p_size % 4)::DOUBLE AS y1 FROM part)"
-_NEAR = "p.x0 - 0.5 <= q.x1 + 0.5 AND q.x0 - 0.5 <= p.x1 + 0.5 AND p.y0 - 0.5 <= q.y1 + 0.5 AND q.y0 - 0.5 <= p.y1 + 0.5"
+BOX = "b AS (SELECT p_partkey AS k, (p_partkey % 40 * 9 + p_size % 5)::DOUBLE AS x0, (p_partkey // 40 * 7)::DOUBLE AS y0, (p_partkey % 40 * 9 + p_size % 5 + 4 + p_size % 5)::DOUBLE AS x1, (p_partkey // 40 * 7 + 3 + p_size % 4)::DOUBLE AS y1 FROM part)"
+NEAR = "p.x0 - 0.5 <= q.x1 + 0.5 AND q.x0 - 0.5 <= p.x1 + 0.5 AND p.y0 - 0.5 <= q.y1 + 0.5 AND q.y0 - 0.5 <= p.y1 + 0.5"
 Q14 = f"""
-WITH RECURSIVE {_BOX},
-e AS (SELECT p.k AS a, q.k AS b FROM b p JOIN b q ON p.k <> q.k AND {_NEAR}),
+WITH RECURSIVE {BOX},
+e AS (SELECT p.k AS a, q.k AS b FROM b p JOIN b q ON p.k <> q.k AND {NEAR}),
 r(k, c) AS (SELECT k, k FROM b UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.k)
 SELECT k AS p_partkey, min(c) AS component FROM r GROUP BY k
 """
 
 
 def q14_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.near_pairs(_boxes(spark, sf_dir), "p_partkey", [], 1.0, 16.0)
+    return resolve.near_pairs(boxes(spark, sf_dir), "p_partkey", [], 1.0, 16.0)
 
 
-Q14P = f"WITH {_BOX} SELECT p.k AS a, q.k AS b FROM b p JOIN b q ON p.k < q.k AND {_NEAR}"
+Q14P = f"WITH {BOX} SELECT p.k AS a, q.k AS b FROM b p JOIN b q ON p.k < q.k AND {NEAR}"
 
 
 def q15_band_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

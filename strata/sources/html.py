@@ -97,3 +97,20 @@ def stray_words(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     here = words(pages, bare).agg(F.count("*").alias("n"))
     there = words(blocks(df, id_col, html_col), F.col("text")).agg(F.count("*").alias("m"))
     return here.join(there, ["page_id", "word"], "left").select("page_id", "word", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")).where("n > 0")
+
+
+def escape(text):
+    for c, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(c), F.lit(entity))
+    return text
+
+
+def write(found: DataFrame) -> DataFrame:
+    """Pages from blocks, one block a line, so that text diffs are block diffs: ``page_id, html``."""
+    text = escape(F.col("text"))
+    tag = lambda name: F.concat(F.lit(f"<{name}>"), text, F.lit(f"</{name}>"))
+    level = F.col("level").cast("string")
+    line = F.when(F.col("kind") == "heading", F.concat(F.lit("<h"), level, F.lit(">"), text, F.lit("</h"), level, F.lit(">"))).when(F.col("kind") == "title", tag("title"))
+    line = line.when(F.col("kind") == "item", F.concat(F.repeat(F.lit("<ul>"), F.col("level")), tag("li"), F.repeat(F.lit("</ul>"), F.col("level")))).when(F.col("kind") == "cell", F.concat(F.lit("<table><tr>"), tag("td"), F.lit("</tr></table>")))
+    line = line.when(F.col("kind") == "paragraph", tag("p")).otherwise(tag("div"))
+    return found.withColumn("line", line).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n").alias("html"))

@@ -236,3 +236,26 @@ def test_reading_order_and_levels(spark):
     assert [r.pos for r in layout.reading_order(df, ["page"]).orderBy("order").collect()] == [2, 1, 3]
     levels = layout.list_levels(spark.createDataFrame([("p", 0.0), ("p", 1.5), ("p", 9.0)], "page string, x double"), ["page"], "x")
     assert sorted((r.x, r.level) for r in levels.collect()) == [(0.0, 1), (1.5, 1), (9.0, 2)]
+
+
+def test_grid_merge_and_shrinker():
+    grid = [["a b", "c"]]
+    assert seq.merge_grid(grid, [["a x", "c"]], [["a b", "d"]]) == ([["a x", "d"]], False)
+    assert seq.merge_grid(grid, [["a x", "c"]], [["a y", "c"]]) == ([["a y", "c"]], True)
+    assert seq.merge_grid(grid, grid, [["a b", "c"], ["n", "m"]]) is None
+    assert seq.shrink(list(range(50)), lambda v: 7 in v and 31 in v) == [7, 31]
+    assert seq.shrink([1], lambda v: True) == []
+
+
+def test_html_written_and_read_again(spark):
+    df = spark.createDataFrame([(1, "<title>A &lt; b</title><h2>x</h2><ul><li>i<ul><li>j</ul></ul><p>a &amp; b"), (2, None)], "page_id long, html string")
+    found = html.blocks(df, "page_id", "html")
+    again = html.blocks(html.write(found), "page_id", "html")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_bullets(spark):
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([("• x",), ("12) y",), ("(c) z",), ("plain",), (None,)], "t string").select(tx.bullet(F.col("t")).alias("b")).collect()
+    assert [(r.b.kind, r.b.label) for r in got] == [("glyph", "•"), ("number", "12"), ("letter", "c"), ("none", ""), ("none", "")]
