@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; on one machine, where it is unset, a temporary one."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
-    if folder is None and sc.master.startswith("local["):
+    if folder is None and sc._jsc.sc().isLocal():
         folder = _local_folder()
     if folder is None:
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
