@@ -90,3 +90,19 @@ def circular_mean(phase: Column, period: float) -> Column:
     """Aggregate: mean of values on a circle of the given length."""
     turn = 2 * 3.141592653589793 / period
     return F.pmod(F.atan2(F.avg(F.sin(phase * turn)), F.avg(F.cos(phase * turn))) / turn, F.lit(period))
+
+
+def off_page(r: Column, w: Column, h: Column) -> Column:
+    """Whether a box lies wholly outside a page of w by h."""
+    return (r.x1 <= 0) | (r.y1 <= 0) | (r.x0 >= w) | (r.y0 >= h)
+
+
+def is_band(r: Column, w: Column, h: Column, share: float = 0.12) -> Column:
+    """Whether a box is a band of decoration: nearly the page's width, low, and at its top or foot."""
+    return (width(r) >= 0.95 * w) & (height(r) <= share * h) & ((r.y0 <= 0.02 * h) | (r.y1 >= 0.98 * h))
+
+
+def turned(x: Column, y: Column, px: Column, py: Column, degrees: Column) -> Column:
+    """A point turned about a pivot."""
+    c, s = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+    return F.struct((px + (x - px) * c - (y - py) * s).alias("x"), (py + (x - px) * s + (y - py) * c).alias("y"))

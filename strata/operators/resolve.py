@@ -209,3 +209,17 @@ def hidden_shares(pairs: DataFrame, boxes: DataFrame, key: str, least: float) ->
     w = F.greatest(F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0"), F.lit(0.0))
     h = F.greatest(F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0"), F.lit(0.0))
     return j.withColumn("share", w * h / ((F.col("a_x1") - F.col("a_x0")) * (F.col("a_y1") - F.col("a_y0")))).where(F.col("share") > least).select("a", "b", "share")
+
+
+def drawn_order(nodes: DataFrame, key: str, parent: str, z: str, most_depth: int = 16) -> DataFrame:
+    """Ranks of a forest's objects from bottom to top within each root, a group before what it holds, siblings by ``z`` and then key."""
+    step = F.struct(F.col(z).cast("long").alias("z"), F.col(key).cast("long").alias("k"))
+    tree = nodes.select(F.col(key).alias("__k"), F.col(parent).alias("__p"), step.alias("__s"))
+    level = durable(tree.where("__p is null").select("__k", F.col("__k").alias("root"), F.array("__s").alias("path")))
+    found = level
+    for _ in range(most_depth):
+        level = durable(tree.join(level.select(F.col("__k").alias("__p"), "root", "path"), "__p").select("__k", "root", F.concat("path", F.array("__s")).alias("path")))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return found.select(F.col("__k").alias(key), "root", F.row_number().over(Window.partitionBy("root").orderBy("path")).cast("long").alias("rank"))

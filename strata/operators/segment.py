@@ -108,3 +108,11 @@ def differing_ranges(df: DataFrame, by: list[str], pos: str, was: str, want: str
     pair = F.struct(F.col(was), F.col(want))
     runs = islands(told.withColumn("__pair", pair), by, [pos], F.lag(pos).over(w).isNull() | ~F.col("__pair").eqNullSafe(F.lag("__pair").over(w)), "range")
     return runs.where(~F.col(was).eqNullSafe(F.col(want))).groupBy(*by, "range", was, want).agg(F.min(pos).alias("first"), F.max(pos).alias("last")).drop("range")
+
+
+def tracked_runs(df: DataFrame, by: list[str], pos: str, place: str, tolerance: float, least: int = 4) -> DataFrame:
+    """Stretches of at least ``least`` gaps that stay within ``tolerance`` of the gap before: first, last, middle gap."""
+    w = Window.partitionBy(*by).orderBy(pos)
+    gaps = df.withColumn("gap", F.col(place) - F.lag(place).over(w)).where("gap is not null")
+    runs = islands(gaps, by, [pos], F.lag("gap").over(w).isNull() | (F.abs(F.col("gap") - F.lag("gap").over(w)) > tolerance), "run")
+    return runs.groupBy(*by, "run").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.count("*").alias("n_gaps"), F.median("gap").alias("gap")).where(F.col("n_gaps") >= least).drop("run")

@@ -110,3 +110,15 @@ def columns(df: DataFrame, by: list[str], left: str, right: str, slack: float =
     agree = lambda x: F.max(x) - F.min(x) <= 2 * slack
     out = df.groupBy(*by).agg(F.min(left).alias("x0"), F.max(right).alias("x1"), F.count("*").alias("n_cells"), agree(F.col(left)).alias("__l"), agree(F.col(right)).alias("__r"), agree(middle).alias("__c"))
     return out.withColumn("align", F.when(F.col("__l"), "left").when(F.col("__r"), "right").when(F.col("__c"), "center").otherwise("mixed")).drop("__l", "__r", "__c")
+
+
+def median_pitch(df: DataFrame, by: list[str], place: str) -> DataFrame:
+    """The middle distance between neighbours of a group, and how many there are."""
+    w = Window.partitionBy(*by).orderBy(place)
+    return df.withColumn("__d", F.col(place) - F.lag(place).over(w)).groupBy(*by).agg(F.median("__d").alias("pitch"), F.count("__d").alias("n_gaps"))
+
+
+def shares(df: DataFrame, by: list[str], amount: Column, native: Column) -> DataFrame:
+    """Total and native amounts, and the share to three places (0 where there is nothing)."""
+    out = df.groupBy(*by).agg(F.sum(amount).alias("total"), F.coalesce(F.sum(F.when(native, amount)), F.lit(0)).alias("native"))
+    return out.withColumn("share", F.when(F.col("total") > 0, F.round(F.col("native") / F.col("total"), 3)).otherwise(0.0))

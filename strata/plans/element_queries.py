@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions import geometry as geo
 from strata.functions import sequences
 from strata.functions import text as tx
-from strata.operators import merge, resolve, segment, stats
+from strata.operators import merge, report, resolve, segment, stats
 from strata.plans.merge_queries import V3, decided, orders_versions
 from strata.plans.resolve_queries import BOX, NEAR, boxes
-from strata.sources import html
+from strata.sources import html, strict_json
 from strata.sources.tables import table
 
 
@@ -178,5 +179,78 @@ C9 = """
 SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderstatus || '!' || chr(9) || lower(o_orderpriority) || chr(10) || 'x' || chr(9) || CASE WHEN o_orderkey % 6 = 0 THEN 'y v' WHEN o_orderkey % 4 = 0 THEN 'y w' ELSE 'y z' END END AS merged, o_orderkey % 10 <> 0 AND o_orderkey % 12 = 0 AS clash FROM orders
 """
 
-QUERIES = {f.__name__: f for f in (a7_titles, a10_majority, a11_columns, w20_style_ranges, w22_bands, j12_label_moves, j18_units, f10_bullets, f12_would_hide, f14_has_writes, t2_union_of_keys, s11_html_round_trip, p3_text_residuals, c9_table_merge)}
-ORACLES = {"a7_titles": A7, "a10_majority": A10, "a11_columns": A11, "w20_style_ranges": W20, "w22_bands": W22, "j12_label_moves": J12, "j18_units": J18, "f10_bullets": F10, "f12_would_hide": F12, "f14_has_writes": F14, "t2_union_of_keys": T2, "c9_table_merge": C9}
+def a6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.shares(table(spark, sf_dir, "conversations"), ["conv_id"], F.length("text").cast("long"), F.col("role") == "assistant")
+
+
+A6 = """
+SELECT conv_id, sum(length(text))::BIGINT AS total, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS native, CASE WHEN sum(length(text)) > 0 THEN round(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::DOUBLE / sum(length(text)), 3) ELSE 0.0 END AS share FROM conversations GROUP BY conv_id
+"""
+
+
+def a9_median_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.median_pitch(table(spark, sf_dir, "events"), ["user_id"], "event_id")
+
+
+A9 = "SELECT user_id, median(d) AS pitch, count(d) AS n_gaps FROM (SELECT user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events) GROUP BY user_id"
+
+
+def w2_tracked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A brand's parts at places whose spacing changes by stretches."""
+    k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select((k % 20).alias("line"), k.alias("pos"), (k * 3 + F.when(k % 400 < 200, k % 400).otherwise(k % 7 * 5)).cast("double").alias("x"))
+    return segment.tracked_runs(parts, ["line"], "pos", "x", 0.5)
+
+
+W2 = """
+WITH p AS (SELECT p_partkey % 20 AS line, p_partkey AS pos, (p_partkey * 3 + CASE WHEN p_partkey % 400 < 200 THEN p_partkey % 400 ELSE p_partkey % 7 * 5 END)::DOUBLE AS x FROM part),
+g AS (SELECT line, pos, gap, lag(gap) OVER (PARTITION BY line ORDER BY pos) AS before FROM (SELECT *, x - lag(x) OVER (PARTITION BY line ORDER BY pos) AS gap FROM p) WHERE gap IS NOT NULL),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR abs(gap - before) > 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT line, min(pos) AS first, max(pos) AS last, count(*) AS n_gaps, median(gap) AS gap FROM i GROUP BY line, run HAVING count(*) >= 4
+"""
+
+
+def w17_drawn_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    nodes = table(spark, sf_dir, "part").select("p_partkey", F.when((k % 50 != 1) & (k >= 5), F.floor(k / 5)).alias("parent"), (k * 7 % 11).alias("z"))
+    return resolve.drawn_order(nodes, "p_partkey", "parent", "z")
+
+
+W17 = """
+WITH RECURSIVE n AS (SELECT p_partkey, CASE WHEN p_partkey % 50 <> 1 AND p_partkey >= 5 THEN p_partkey // 5 END AS parent, p_partkey * 7 % 11 AS z FROM part),
+t AS (SELECT p_partkey, p_partkey AS root, [z, p_partkey] AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.p_partkey, t.root, list_concat(t.path, [n.z, n.p_partkey]) FROM n JOIN t ON n.parent = t.p_partkey)
+SELECT p_partkey, root, row_number() OVER (PARTITION BY root ORDER BY path) AS rank FROM t
+"""
+
+
+def f5_off_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = boxes(spark, sf_dir).withColumn("r", F.struct((F.col("x0") - 20).alias("x0"), (F.col("y0") - 10).alias("y0"), (F.col("x1") - 20).alias("x1"), (F.col("y1") - 10).alias("y1")))
+    turn = geo.turned(F.col("r.x0"), F.col("r.y0"), F.lit(100.0), F.lit(50.0), F.lit(90.0))
+    return found.select("p_partkey", geo.off_page(F.col("r"), F.lit(250.0), F.lit(140.0)).alias("off"), F.round(turn.x, 6).alias("x"), F.round(turn.y, 6).alias("y"))
+
+
+F5 = f"WITH {BOX} SELECT k AS p_partkey, (x1 <= 20 OR y1 <= 10 OR x0 >= 270 OR y0 >= 150) AS off, round(100 - (y0 - 10 - 50), 6) AS x, round(50 + (x0 - 20 - 100), 6) AS y FROM b"
+
+
+def n5_key_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of event properties that no record reads, some nested ones added by rule."""
+    k = F.col("event_id")
+    events = table(spark, sf_dir, "events").select("event_id", F.when(k % 20 == 0, F.lit('{"k": 1, "more": {"a": [1, {"b": 2}]}}')).when(k % 20 == 1, F.lit("not json")).otherwise(F.col("props")).alias("props"))
+    return strict_json.key_paths(events, "event_id", "props", ("$.k",)).groupBy("path").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+N5 = "SELECT path, count(*) AS n, min(event_id) AS first_event FROM events, (SELECT unnest(['$.more', '$.more.a', '$.more.a[].b']) AS path) WHERE event_id % 20 = 0 GROUP BY path"
+
+
+def s24_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decided(spark, sf_dir)
+    return report.summary(found, merge.conflicts(found, "k", ["cents", "status", "priority"], "order"))
+
+
+S24 = f"""
+WITH {V3}, c AS (SELECT 'cents' AS field FROM d WHERE xc AND ho AND ht UNION ALL SELECT 'status' FROM d WHERE xs AND ho AND ht UNION ALL SELECT 'priority' FROM d WHERE xp AND ho AND ht UNION ALL SELECT 'existence' FROM d WHERE decision = 'keep_removed')
+SELECT 'decisions' AS section, decision AS what, count(*) AS n FROM d GROUP BY decision UNION ALL SELECT 'conflicts', field, count(*) FROM c GROUP BY field
+"""
+
+QUERIES = {f.__name__: f for f in (a7_titles, a10_majority, a11_columns, w20_style_ranges, w22_bands, j12_label_moves, j18_units, f10_bullets, f12_would_hide, f14_has_writes, t2_union_of_keys, s11_html_round_trip, p3_text_residuals, c9_table_merge, a6_shares, a9_median_pitch, w2_tracked_runs, w17_drawn_order, f5_off_page, n5_key_paths, s24_report)}
+ORACLES = {"a7_titles": A7, "a10_majority": A10, "a11_columns": A11, "w20_style_ranges": W20, "w22_bands": W22, "j12_label_moves": J12, "j18_units": J18, "f10_bullets": F10, "f12_would_hide": F12, "f14_has_writes": F14, "t2_union_of_keys": T2, "c9_table_merge": C9, "a6_shares": A6, "a9_median_pitch": A9, "w2_tracked_runs": W2, "w17_drawn_order": W17, "f5_off_page": F5, "n5_key_paths": N5, "s24_report": S24}

@@ -40,3 +40,35 @@ def violations(df: DataFrame, key: str, column: str, schema: dict) -> DataFrame:
     good = F.coalesce(F.substring(F.to_json(F.try_parse_json(raw)), 1, 1) == "{", F.lit(False))
     found = F.when(raw.isNull(), F.array().cast("array<struct<path:string,problem:string>>")).when(~good, broken).otherwise(F.flatten(F.array(*(F.coalesce(c, F.array().cast("array<struct<path:string,problem:string>>")) for c in _checks(raw, schema, "$")))))
     return df.select(key, F.explode(F.array_compact(found)).alias("v")).select(key, "v.path", "v.problem")
+
+
+def key_paths(df: DataFrame, key: str, column: str, known: tuple[str, ...] = ()) -> DataFrame:
+    """``key, path`` of every key in JSON text that is not among the known paths; list items are ``[]``.  Text that is no JSON has none."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches):
+        import json
+
+        import pandas as pd
+
+        def walk(value, at, out):
+            if isinstance(value, dict):
+                for k, v in value.items():
+                    out.add(f"{at}.{k}")
+                    walk(v, f"{at}.{k}", out)
+            elif isinstance(value, list):
+                for v in value:
+                    walk(v, f"{at}[]", out)
+
+        for pdf in batches:
+            rows = []
+            for k, text in zip(pdf["k"], pdf["j"], strict=True):
+                found: set[str] = set()
+                try:
+                    walk(json.loads(text or "null"), "$", found)
+                except (ValueError, RecursionError):
+                    found = set()
+                rows += [(k, p) for p in sorted(found.difference(known))]
+            yield pd.DataFrame(rows, columns=[key, "path"])
+
+    return df.select(F.col(key).alias("k"), F.col(column).alias("j")).mapInPandas(run, f"{key} {kind}, path string")

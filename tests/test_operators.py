@@ -259,3 +259,33 @@ def test_bullets(spark):
 
     got = spark.createDataFrame([("• x",), ("12) y",), ("(c) z",), ("plain",), (None,)], "t string").select(tx.bullet(F.col("t")).alias("b")).collect()
     assert [(r.b.kind, r.b.label) for r in got] == [("glyph", "•"), ("number", "12"), ("letter", "c"), ("none", ""), ("none", "")]
+
+
+@pytest.mark.parametrize("point", ["journal", "data", "commit"])
+def test_a_write_that_dies_is_recovered(spark, tmp_path, point):
+    rows = spark.createDataFrame([(1, "a")], "k long, x string")
+    root = f"file://{tmp_path}/s"
+    state.SnapshotStore(spark, root).write(rows, 0)
+    with pytest.raises(state.Crash):
+        state.SnapshotStore(spark, root, frozenset([point])).write(rows, 1)
+    store = state.SnapshotStore(spark, root)
+    assert store.version() == 1 and store.recover() == [2]
+    assert store.write(rows.unionByName(rows), 1) == 2 and store.read().count() == 2 and len(store._names("data")) == 2
+
+
+def test_engine_verbs_and_report(spark, tmp_path):
+    from strata import engine
+    from strata.operators import report
+
+    rows = lambda *v: spark.createDataFrame(list(v), "k long, x string")
+    out = engine.merge(rows((1, "a"), (2, "a")), rows((1, "b"), (2, "c")), rows((1, "a"), (2, "d")), "k", ["x"], take=spark.createDataFrame([("none",)], "conflict_id string"))
+    assert {r.k: r.x for r in out["merged"].collect()} == {1: "b", 2: "d"} and out["conflicts"].count() == 1 and out["unmatched"].count() == 1
+    report.write(out["decisions"], merge.conflicts(out["decisions"], "k", ["x"], "row"), f"file://{tmp_path}/r")
+    text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/r/summary").collect())
+    assert "| conflicts | x | 1 |" in text and spark.read.json(f"{tmp_path}/r/conflicts").count() == 1
+    chars = spark.createDataFrame([("p", i, c, i * 5.0, i * 5.0 + 5, 10.0, 10.0, "f", "#000000") for i, c in enumerate("ab")], "page string, pos long, c string, x0 double, x1 double, y double, size double, font string, color string")
+    assert [r.text for r in engine.classify(chars)["paragraphs"].collect()] == ["ab"]
+    survey = engine.label_survey(spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "label string"), "label")
+    assert survey["repeated"].count() == 1 and survey["unlabelled"].count() == 1
+    compared = engine.compare(rows((1, "a")), rows((1, "b"), (2, "c")), "k", {}, ["x"])
+    assert {r.kind: r.n_open for r in compared["open"].collect()} == {"text": 1, "missing": 1}
