@@ -36,7 +36,7 @@ from strata.operators.graph import components
 
 from .common import U64, Words, documents, durable, mix, pieces, rolling, texts_of
 
-ROWS, MISS, BITS, SLACK, BLOCK = 5, 1e-7, 512, 0.22, 500
+ROWS, MISS, BITS, SLACK, BLOCK, SALTS = 5, 1e-7, 512, 0.22, 500, 32
 FEATURES = "doc_id long, n long, digest binary, sketch binary, bands array<long>"
 
 
@@ -167,17 +167,22 @@ def spanning_links(ids: np.ndarray, side: np.ndarray | None, part: np.ndarray, s
     return out
 
 
+def _salted(many: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join of nodes with a table of one row a key: that row is repeated, so that a large family's nodes meet it in many tasks."""
+    dealt = many.withColumn("__salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return dealt.join(few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*by, "__salt"]).drop("__salt")
+
+
 def _tasks(open_nodes: DataFrame, percent: int, block: int) -> DataFrame:
     """``node, family, n, part`` to ``node, part, task, side``: a row for each task that a node takes part in."""
     ratio = math.log(100 / percent)
     sizes = open_nodes.groupBy("family", "part").agg(F.count("*").alias("m"))
     major = durable(sizes.groupBy("family").agg(F.max_by("part", F.struct("m", "part")).alias("major"), F.sum("m").alias("total")))
-    cell = open_nodes.join(major, "family").withColumn("cell", F.floor(F.log("n") / F.lit(ratio)).cast("int")).withColumn("other", (F.col("part") != F.col("major")).cast("int"))
+    cell = _salted(open_nodes, major, ["family"]).withColumn("cell", F.floor(F.log("n") / F.lit(ratio)).cast("int")).withColumn("other", (F.col("part") != F.col("major")).cast("int"))
     slices = cell.groupBy("family", "cell", "other").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("s"))
     spread = slices.select("family", F.explode(F.array(*(F.col("cell") + d for d in (-1, 0, 1)))).alias("cell"), F.struct(F.col("cell").alias("c"), F.col("other").alias("o"), F.col("s").alias("s")).alias("x"))
-    # a table of its own, so that the join below deals out both sides and a large cell can be split; six entries a cell at most
-    plan = durable(spread.groupBy("family", "cell").agg(F.collect_list("x").alias("near")))
-    dealt = cell.join(plan, ["family", "cell"])
+    plan = durable(spread.groupBy("family", "cell").agg(F.collect_list("x").alias("near")))  # six entries a cell at most
+    dealt = _salted(cell, plan, ["family", "cell"])
     mine = F.struct(F.col("cell").alias("c"), F.col("other").alias("o"), F.pmod(F.xxhash64("node"), F.filter("near", lambda x: (x.c == F.col("cell")) & (x.o == F.col("other")))[0].s).cast("int").alias("k"))
     dealt = dealt.select("node", "part", "family", "total", mine.alias("mine"), "near")
     # the other slices met: all near ones, but none of the major part for one of its own
@@ -248,7 +253,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = durable(_confirmed(nearest.select(F.col("node").alias("a"), F.col("low").alias("b"), "x", "y"), percent))
     parts = inside.join(components(first).select("node", F.col("component").alias("part")), "node", "left").select("node", "n", "sketch", "family", F.coalesce("part", "node").alias("part"))
     split = parts.groupBy("family").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("family")
-    open_nodes = durable(parts.join(split, "family"))
+    open_nodes = durable(_salted(parts, split, ["family"]))
     dealt = _tasks(open_nodes.select("node", "family", "n", "part"), percent, block)
 
     def links(group):
