@@ -8,7 +8,7 @@ Python call.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -99,7 +99,7 @@ class Words:
     ``hashes[first[i]:first[i + 1]]`` are the words of text i in order.
     """
 
-    __slots__ = ("_prefix", "_down", "buffer", "ends", "first", "hashes", "starts")
+    __slots__ = ("_prefix", "_down", "ends", "first", "hashes", "starts")
 
     def __init__(self, texts: list[bytes], separators: np.ndarray = SPACES, keep: bool = False):
         joined = b"\n".join(texts) + b"\n"
@@ -117,7 +117,7 @@ class Words:
             np.cumsum(LETTERS[buf] * up[: len(buf)], out=prefix[1:])
             self.hashes = mix((prefix[ends] - prefix[starts]) * down[starts])
         if keep:
-            self.buffer, self._prefix, self._down = buf, prefix, down
+            self._prefix, self._down = prefix, down
 
     def heads(self, n: int) -> np.ndarray:
         """Hashes of each word's first n bytes, marked apart from whole words."""
@@ -136,13 +136,3 @@ def rolling(h: np.ndarray, n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray
             acc *= U64(base)
             acc += h[k : len(h) - n + 1 + k]
         return mix(acc)
-
-
-def sets_of(values: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    return [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-
-
-def batches_of(it: Iterable, most_rows: int = 4096):
-    for batch in it:
-        for a in range(0, batch.num_rows, most_rows):
-            yield batch.slice(a, most_rows)
