@@ -36,7 +36,7 @@ from strata.operators.graph import components
 
 from .common import U64, Words, documents, durable, mix, pieces, rolling, texts_of
 
-ROWS, MISS, BITS, SLACK, BLOCK, SALTS = 5, 1e-7, 512, 0.22, 500, 32
+ROWS, MISS, BITS, SLACK, BLOCK, SALTS = 5, 1e-7, 512, 0.22, 500, 16
 FEATURES = "doc_id long, n long, digest binary, sketch binary, bands array<long>"
 
 
@@ -168,9 +168,12 @@ def spanning_links(ids: np.ndarray, side: np.ndarray | None, part: np.ndarray, s
 
 
 def _salted(many: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
-    """Inner join of nodes with a table of one row a key: that row is repeated, so that a large family's nodes meet it in many tasks."""
+    """Inner join of nodes with a table of one row a key: that row is repeated, so that a large family's nodes meet it in many tasks.
+
+    Repeated rows shuffle small but are large in memory, so the join is never one by broadcast.
+    """
     dealt = many.withColumn("__salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    return dealt.join(few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*by, "__salt"]).drop("__salt")
+    return dealt.hint("merge").join(few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), [*by, "__salt"]).drop("__salt")
 
 
 def _tasks(open_nodes: DataFrame, percent: int, block: int) -> DataFrame:
