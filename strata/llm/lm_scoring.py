@@ -7,11 +7,11 @@ probing until a probe fails.  A token's probability is the bigram estimate smoot
 unigram one (Dirichlet weight ``MU``).
 
 Documents are dealt into groups by id.  A group sends each shard of the hash space its
-distinct words and bigrams there with their training counts, so a word that every document
-holds costs one entry a group.  A shard sums them, answers each group with its words' counts
-and builds its own segment of the filter.  The filter is at most ``MAX_BYTES`` in all: a shard
-whose bigrams don't fit at ``BITS_A_KEY`` enters those from the smallest count on that fits.
-Only these segments and two totals reach the driver, and only the filter is broadcast.
+distinct words and bigrams there with their training counts (0 for those of held-out texts
+only), so a word that every document holds costs one entry a group.  A shard sums them, builds
+its own segment of the filter at ``BITS_A_KEY`` from all its bigrams, and answers each group
+with its words' counts and its bigrams' levels.  So the filter grows with the input and never
+leaves the shards; only two totals a shard reach the driver.
 
 Null texts count as empty (one token, the end).  A null id is never held out.  Rows with
 equal ids each count and each get a row.  Without training tokens all counts are 0.
@@ -27,7 +27,7 @@ from .common import U64, Words, documents, durable, mix, pieces, shards, texts_o
 from .substring_dedup import _by_shard, address
 
 END = U64(0x5851F42D4C957F2D)
-MAX_BYTES, BITS_A_KEY, PROBES, MU = 32 << 20, 10, 4, 40.0
+BITS_A_KEY, PROBES, MU = 10, 4, 40.0
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -74,13 +74,13 @@ def _spots(keys: np.ndarray, q: np.ndarray | int, probe: int, bits) -> np.ndarra
         return mix(keys + (np.asarray(q).astype(U64) * U64(8) + U64(probe)) * U64(0x9E3779B97F4A7C15)) % np.asarray(bits).astype(U64)
 
 
-def segment(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[bytes, int]:
-    """A shard's part of the filter, and the smallest count entered."""
+def segment(keys: np.ndarray, counts: np.ndarray, most_bits: int | None = None) -> tuple[bytes, int]:
+    """A shard's part of the filter, and the smallest count entered: 1, unless ``most_bits`` (which the query never sets) leaves rarer keys out."""
     least, q = 1, level(np.maximum(counts, 1))
     while True:
         kept = counts >= least
         need = int(q[kept].sum()) * BITS_A_KEY
-        if need <= most_bits or not kept.any():
+        if most_bits is None or need <= most_bits or not kept.any():
             break
         least += 1
     bits = max(64, -(-need // 64) * 64)
@@ -123,7 +123,7 @@ class LogFrequencyFilter:
         return out
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_groups: int = 0, n_shards: int = 0, max_bytes: int = MAX_BYTES) -> DataFrame:
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_groups: int = 0, n_shards: int = 0) -> DataFrame:
     """Base (unigram) and smoothed bigram log10 scores of every row; see ``OUT``."""
     n_groups = n_groups or shards(df, 1 << 20, 512)
     n_shards = n_shards or shards(df, 4 << 20, 64, 1 << 14)
@@ -135,8 +135,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
         g, t = group.column("g")[0].as_py(), Tokens(group)
         train = t.in_training()
         counts = np.bincount(t.word[train], minlength=len(t.words)).astype(np.uint32)
-        pairs, pair_counts = np.unique(address(t.pairs[train], n_shards), return_counts=True)
-        pair_counts = pair_counts.astype(np.uint32)
+        pairs, pair = np.unique(address(t.pairs, n_shards), return_inverse=True)
+        pair_counts = np.bincount(pair[train], minlength=len(pairs)).astype(np.uint32)
         rows: dict[int, list[bytes]] = {}
         for s, a, b in _by_shard((t.words >> U64(32)) * U64(n_shards) >> U64(32), n_shards):
             rows[int(s)] = [t.words[a:b].tobytes(), counts[a:b].tobytes(), b"", b""]
@@ -155,34 +155,39 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
         total = np.bincount(which, weights=np.concatenate(part("counts", np.uint32)), minlength=len(keys)).astype(np.int64)
         kind = np.uint32 if total.max(initial=0) < 1 << 32 else U64
         told = [x.tobytes() for x in np.split(total[which].astype(kind), np.cumsum([len(w) for w in words])[:-1])]
-        pairs, which = np.unique(np.concatenate(part("pairs", np.uint32)), return_inverse=True)
+        asked = part("pairs", np.uint32)
+        pairs, which = np.unique(np.concatenate(asked), return_inverse=True)
         times = np.bincount(which, weights=np.concatenate(part("pair_counts", np.uint32)), minlength=len(pairs)).astype(np.int64)
-        bits, least = segment(pairs.astype(U64), times, max_bytes * 8 // n_shards)
-        n, keep = len(gs), [k for k, x in enumerate(told) if x]
+        keys = pairs.astype(U64)
+        found = LogFrequencyFilter({0: segment(keys, times)[0]}, 1).levels(keys).astype(np.uint8)
+        levels = [x.tobytes() for x in np.split(found[which], np.cumsum([len(p) for p in asked])[:-1])]
+        n = len(gs)
         return pa.table({
-            "g": pa.array([gs[k] for k in keep] + [-1], pa.int32()), "shard": pa.array([shard] * (len(keep) + 1), pa.int32()), "data": pa.array([told[k] for k in keep] + [bits], pa.binary()),
-            "wide": pa.array([kind is U64] * (len(keep) + 1)), "tokens": pa.array([0] * len(keep) + [int(total.sum())], pa.int64()), "types": pa.array([0] * len(keep) + [int((total > 0).sum())], pa.int64()), "least": pa.array([0] * len(keep) + [least], pa.int32()),
+            "g": pa.array([*gs, -1], pa.int32()), "shard": pa.array([shard] * (n + 1), pa.int32()), "data": pa.array([*told, b""], pa.binary()), "levels": pa.array([*levels, b""], pa.binary()),
+            "wide": pa.array([kind is U64] * (n + 1)), "tokens": pa.array([0] * n + [int(total.sum())], pa.int64()), "types": pa.array([0] * n + [int((total > 0).sum())], pa.int64()),
         })
 
-    told = durable(docs.groupBy("g").applyInArrow(ask, "shard int, g int, words binary, counts binary, pairs binary, pair_counts binary").groupBy("shard").applyInArrow(count, "g int, shard int, data binary, wide boolean, tokens long, types long, least int"))
-    made = told.where("g = -1").select("shard", "data", "tokens", "types").collect()  # one row a shard, max_bytes in all
-    n_tokens, n_types = sum(r.tokens for r in made), sum(r.types for r in made)
-    sent = df.sparkSession.sparkContext.broadcast(LogFrequencyFilter({r.shard: bytes(r.data) for r in made}, n_shards))
+    told = durable(docs.groupBy("g").applyInArrow(ask, "shard int, g int, words binary, counts binary, pairs binary, pair_counts binary").groupBy("shard").applyInArrow(count, "g int, shard int, data binary, levels binary, wide boolean, tokens long, types long"))
+    made = told.where("g = -1").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+    n_tokens, n_types = made.tokens or 0, made.types or 0
 
     def score(group, answers):
         import pyarrow as pa
 
         t = Tokens(group)
-        got = {s: (d, w) for s, d, w in zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist(), answers.column("wide").to_pylist(), strict=True)}
+        got = {s: row for s, *row in zip(*(answers.column(x).to_pylist() for x in ("shard", "data", "wide", "levels")), strict=True)}
         c = np.zeros(len(t.words))
         for s, a, b in _by_shard((t.words >> U64(32)) * U64(n_shards) >> U64(32), n_shards):
-            d, wide = got[s]
+            d, wide, _ = got[s]
             c[a:b] = np.frombuffer(d, U64 if wide else np.uint32)
         share = (c + 0.1) / (n_tokens + 0.1 * (n_types + 1))
         base = np.add.reduceat(np.log10(share)[t.word], t.first[:-1])
         known = np.add.reduceat((c > 0)[t.word].astype(np.int64), t.first[:-1])
         pairs, which = np.unique(address(t.pairs, n_shards), return_inverse=True)
-        seen = typical(sent.value.levels(pairs))[which]
+        levels = np.zeros(len(pairs), np.int64)
+        for s, a, b in _by_shard(pairs >> U64(32), n_shards):
+            levels[a:b] = np.frombuffer(got[s][2], np.uint8)
+        seen = typical(levels)[which]
         context = np.maximum(c[np.searchsorted(t.words, t.before)], seen)
         score = np.add.reduceat(np.log10((seen + MU * share[t.word]) / (context + MU)), t.first[:-1])
         n = len(t.count)

@@ -53,3 +53,24 @@ def test_awkward_rows_and_shards(spark):
     key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens)
     assert all(close(a, b) for a, b in zip(sorted(got, key=key), sorted(other, key=key), strict=True))
     assert L.score_texts(empty(spark)).count() == 0
+
+
+def test_bigrams_count_whatever_room_a_shard_would_have(spark):
+    # a filter of 32 MB dealt over so many shards has 64 bits a shard, less than a bigram of level 7 takes
+    texts = {i: b"a b " * 100 + b"c%d" % i for i in range(1, 41)}
+    df = spark.createDataFrame([(i, t.decode()) for i, t in texts.items()], "doc_id long, text string")
+    token = {i: t.split() + [None] for i, t in texts.items()}
+    fit = [t for i, t in token.items() if zlib.crc32(str(i).encode()) % 10]
+    word = collections.Counter(w for t in fit for w in t)
+    pair = collections.Counter(p for t in fit for p in zip([None, *t], t, strict=False))
+    n, v = sum(word.values()), len(word)
+    seen = {p: float(L.typical(L.level(np.array([c])))[0]) for p, c in pair.items()}
+    for n_shards in (8, 1 << 22):
+        got = L.score_texts(df, n_groups=2, n_shards=n_shards).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            t, want = token[r.doc_id], 0.0
+            for p in zip([None, *t], t, strict=False):
+                s = seen.get(p, 0.0)
+                want += math.log10((s + L.MU * (word[p[1]] + 0.1) / (n + 0.1 * (v + 1))) / (max(word[p[0]], s) + L.MU))
+            assert math.isclose(r.score, want, rel_tol=0.02)
