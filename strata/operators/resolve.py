@@ -151,15 +151,30 @@ def points_in_rectangles(points: DataFrame, key: str, rectangles: DataFrame, pan
 
 
 def crossings(pairs: DataFrame, by: list[str], left: str, right: str) -> DataFrame:
-    """How many other pairs of the group each pair crosses, from ranks alone: no pair of pairs is made.
+    """A lower bound on how many other pairs of the group each pair crosses, from ranks alone: no pair of pairs is made.
 
-    A pair at place i on one side whose partner has rank j crosses at least |i - j| others; groups without a crossing are left out.
+    A pair at place i on one side whose partner has rank j crosses at least |i - j| others.  Pairs with i = j are left out, though
+    they can cross others too; ``crossed_twins`` finds and names crossings.
     """
     i = F.row_number().over(Window.partitionBy(*by).orderBy(left))
     j = F.row_number().over(Window.partitionBy(*by).orderBy(right))
     return pairs.withColumn("place", i.cast("long")).withColumn("rank", j.cast("long")).where("place <> rank").withColumn("least_crossings", F.abs(F.col("place") - F.col("rank")))
 
 
+def crossed_twins(pairs: DataFrame, scored: DataFrame, by: list[str], left: str, right: str, score: str, loss: float = 0.02) -> DataFrame:
+    """Pairs of pairs that cross and whose partners could be swapped without loss: ``by, left_1, right_1, left_2, right_2`` (left_1 < left_2, right_1 > right_2).
+
+    ``scored`` has the scores of the pairs and of what else could be paired; a swap loses nothing if each left row's score with the
+    other's partner is at most ``loss`` below its own (a swap without both scores is none).  Found by joins along the score
+    table: no more rows are made than it has.
+    """
+    scores = lambda a, b, s: scored.select(*by, F.col(left).alias(a), F.col(right).alias(b), F.col(score).alias(s))
+    own = lambda n: pairs.select(*by, F.col(left).alias(f"left_{n}"), F.col(right).alias(f"right_{n}")).join(scores(f"left_{n}", f"right_{n}", f"own_{n}"), [*by, f"left_{n}", f"right_{n}"])
+    first = own(1).join(scores("left_1", "right_2", "other_1"), [*by, "left_1"]).where((F.col("right_2") < F.col("right_1")) & (F.col("other_1") >= F.col("own_1") - loss))
+    met = first.join(own(2), [*by, "right_2"]).where("left_1 < left_2")
+    return met.join(scores("left_2", "right_1", "other_2"), [*by, "left_2", "right_1"]).where(F.col("other_2") >= F.col("own_2") - loss).select(*by, "left_1", "right_1", "left_2", "right_2")
+
+
 def rivals(scored: DataFrame, left: str, right: str, score: str) -> DataFrame:
     """Each pair with the best score that another pair sharing either side has (null where there is none)."""
     best = lambda side: F.row_number().over(Window.partitionBy(side).orderBy(F.desc(score), left, right))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions import sequences
@@ -124,6 +124,25 @@ SELECT o_custkey, o_orderkey, abs(i - j) AS least_crossings FROM r WHERE i <> j
 """
 
 
+def j11_crossed_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders, each three of them paired in reverse, with made scores for places at most two apart."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", place.alias("i"))
+    other = orders.select("o_custkey", F.col("o_orderkey").alias("other"), F.col("i").alias("j"))
+    pairs = orders.withColumn("j", (F.col("i") - F.col("i") % 3) + 2 - F.col("i") % 3).join(other, ["o_custkey", "j"])
+    near = orders.withColumn("j", F.explode(F.sequence(F.col("i") - 2, F.col("i") + 2))).join(other, ["o_custkey", "j"])
+    scored = near.withColumn("score", (F.col("o_orderkey") * 31 + F.col("other") * 17) % 5 / F.lit(100.0))
+    return resolve.crossed_twins(pairs, scored, ["o_custkey"], "o_orderkey", "other", "score")
+
+
+J11_TWINS = """
+WITH o AS (SELECT o_custkey, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+p AS (SELECT a.o_custkey, a.k AS l, b.k AS r FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND b.i = a.i - a.i % 3 + 2 - a.i % 3)
+SELECT x.o_custkey, x.l AS left_1, x.r AS right_1, y.l AS left_2, y.r AS right_2 FROM p x JOIN p y ON x.o_custkey = y.o_custkey AND x.l < y.l AND x.r > y.r
+WHERE (x.l * 31 + y.r * 17) % 5 >= (x.l * 31 + x.r * 17) % 5 - 2 AND (y.l * 31 + x.r * 17) % 5 >= (y.l * 31 + y.r * 17) % 5 - 2
+"""
+
+
 def j16_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
@@ -208,5 +227,5 @@ def s21_request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.batches(groups, "block", "n", 12).groupBy("doc", "batch").agg(F.sum("n").alias("n_requests"), F.count("*").alias("n_groups"))
 
 
-QUERIES = {f.__name__: f for f in (a8_big_headings, a13_style_census, a15_inherited_vote, a19_style_hash, a22_absorbed, w5_carried_notes, w12_numbering, w21_best_rounds, j5_paragraph_pairs, j8_rivals, j11_crossings, j16_panels, k6_group_tree, t4_symmetric_difference, c10_edit_scripts, c15_text_measures, s21_request_batches)}
-ORACLES = {"a8_big_headings": A8, "a13_style_census": A13, "a15_inherited_vote": A15, "a19_style_hash": A19, "a22_absorbed": A22, "w5_carried_notes": W5, "w12_numbering": W12, "w21_best_rounds": W21, "j8_rivals": J8, "j11_crossings": J11, "j16_panels": J16, "k6_group_tree": K6, "t4_symmetric_difference": T4, "c15_text_measures": C15}
+QUERIES = {f.__name__: f for f in (a8_big_headings, a13_style_census, a15_inherited_vote, a19_style_hash, a22_absorbed, w5_carried_notes, w12_numbering, w21_best_rounds, j5_paragraph_pairs, j8_rivals, j11_crossings, j11_crossed_twins, j16_panels, k6_group_tree, t4_symmetric_difference, c10_edit_scripts, c15_text_measures, s21_request_batches)}
+ORACLES = {"a8_big_headings": A8, "a13_style_census": A13, "a15_inherited_vote": A15, "a19_style_hash": A19, "a22_absorbed": A22, "w5_carried_notes": W5, "w12_numbering": W12, "w21_best_rounds": W21, "j8_rivals": J8, "j11_crossings": J11, "j11_crossed_twins": J11_TWINS, "j16_panels": J16, "k6_group_tree": K6, "t4_symmetric_difference": T4, "c15_text_measures": C15}

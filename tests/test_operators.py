@@ -289,3 +289,18 @@ def test_engine_verbs_and_report(spark, tmp_path):
     assert survey["repeated"].count() == 1 and survey["unlabelled"].count() == 1
     compared = engine.compare(rows((1, "a")), rows((1, "b"), (2, "c")), "k", {}, ["x"])
     assert {r.kind: r.n_open for r in compared["open"].collect()} == {"text": 1, "missing": 1}
+
+
+def test_crossed_twins_equal_all_pairs_of_pairs(spark):
+    r = random.Random(5)
+    pairs, score = [], {}
+    for g in range(12):
+        n = r.randint(1, 7)
+        order = r.sample(range(n), n) if g else [2, 1, 0]  # the middle pair of the first group crosses both others in its own place
+        n = len(order)
+        pairs += [(g, i, order[i]) for i in range(n)]
+        score |= {(g, i, j): r.choice([0.5, 0.6, 0.61, 0.9]) if g else 0.5 for i in range(n) for j in range(n) if not g or j == order[i] or r.random() < 0.8}
+    want = {(g, a, b, c, d) for g, a, b in pairs for h, c, d in pairs if g == h and a < c and b > d and score.get((g, a, d), -1) >= score[g, a, b] - 0.02 and score.get((g, c, b), -1) >= score[g, c, d] - 0.02}
+    scored = spark.createDataFrame([(*k, v) for k, v in score.items()], "g long, l long, r long, s double")
+    got = resolve.crossed_twins(spark.createDataFrame(pairs, "g long, l long, r long"), scored, ["g"], "l", "r", "s").collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want and {(0, 0, 2, 1, 1), (0, 1, 1, 2, 0)} < want
