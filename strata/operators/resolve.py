@@ -91,8 +91,11 @@ def place_after_predecessor(base: DataFrame, extra: DataFrame, key: str, order:
     return here.unionByName(there)
 
 
-def align_groups(a: DataFrame, b: DataFrame, by: str, order: str, text: str, threshold: float = 0.5) -> DataFrame:
-    """Order-keeping alignment of two versions of each group by word ratio: ``by, a_pos, b_pos, similarity``; an unpaired row has one null place."""
+def align_groups(a: DataFrame, b: DataFrame, by: str, order: str, text: str, threshold: float = 0.5, fill: bool = False) -> DataFrame:
+    """Order-keeping alignment of two versions of each group by word ratio: ``by, a_pos, b_pos, similarity``; an unpaired row has one null place.
+
+    With ``fill``, rows left between two sure pairs are paired by place, however little their texts share.
+    """
 
     def run(left, right):
         import pandas as pd
@@ -109,7 +112,8 @@ def align_groups(a: DataFrame, b: DataFrame, by: str, order: str, text: str, thr
             return known[i, j]
 
         key = (left if len(left) else right)["__by"].iloc[0]
-        rows = [(key, None if i is None else int(left["__pos"].iloc[i]), None if j is None else int(right["__pos"].iloc[j]), None if i is None or j is None else similar(i, j)) for i, j in sequences.align(len(x), len(y), similar, threshold)]
+        pairs = sequences.align(len(x), len(y), similar, threshold)
+        rows = [(key, None if i is None else int(left["__pos"].iloc[i]), None if j is None else int(right["__pos"].iloc[j]), None if i is None or j is None else similar(i, j)) for i, j in (sequences.fill_by_place(pairs) if fill else pairs)]
         out = pd.DataFrame(rows, columns=[by, "a_pos", "b_pos", "similarity"])
         return out.astype({"a_pos": "Int64", "b_pos": "Int64", "similarity": "float64"})
 

@@ -179,5 +179,12 @@ def q18_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.align_groups(turns, other, "conv_id", "turn", "text").select("conv_id", "a_pos", "b_pos", F.round("similarity", 6).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (q7_occurrence_keys, q8_label_pairs, q9_content_fifo, q10_mutual_best, q11_greedy_match, q12_gap_join, q13_interval_join, q14_near_pairs, q14_spatial_components, q15_band_cells, q17_kept_order, q18_alignment)}
+def j27_filled_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each conversation aligned with a version that lost some and reworded others from end to end, which are paired by place."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    other = turns.where("(conv_id + turn) % 6 <> 0").withColumn("text", F.when(F.col("turn") % 4 == 1, F.lit("said anew throughout")).otherwise(F.col("text")))
+    return resolve.align_groups(turns, other, "conv_id", "turn", "text", fill=True).select("conv_id", "a_pos", "b_pos", F.round("similarity", 6).alias("similarity"))
+
+
+QUERIES = {f.__name__: f for f in (q7_occurrence_keys, q8_label_pairs, q9_content_fifo, q10_mutual_best, q11_greedy_match, q12_gap_join, q13_interval_join, q14_near_pairs, q14_spatial_components, q15_band_cells, q17_kept_order, q18_alignment, j27_filled_alignment)}
 ORACLES = {"q7_occurrence_keys": Q7, "q8_label_pairs": Q8, "q9_content_fifo": Q9, "q10_mutual_best": Q10, "q12_gap_join": Q12, "q13_interval_join": Q13, "q14_near_pairs": Q14P, "q14_spatial_components": Q14, "q15_band_cells": Q15}
