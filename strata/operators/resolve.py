@@ -84,13 +84,29 @@ def band_cells(items: DataFrame, bands: DataFrame, by: list[str], slack: float)
 
 
 def place_after_predecessor(base: DataFrame, extra: DataFrame, key: str, order: str, after: str) -> DataFrame:
-    """Rows of ``extra`` go right behind the ``base`` row named in ``after`` (to the front if that is null or gone), in their own order."""
+    """Rows of ``extra`` go right behind the ``base`` row named in ``after`` (to the front if that is null or gone), in their own order.
+
+    ``place_after_nearest`` looks further back where the direct predecessor is gone.
+    """
     here = base.select(F.col(key), F.col(order).cast("double").alias("major"), F.lit(0).alias("minor"))
     at = base.select(F.col(key).alias(after), F.col(order).cast("double").alias("__at"))
     there = extra.join(at, after, "left").withColumn("minor", F.row_number().over(Window.partitionBy(after).orderBy(order))).select(F.col(key), F.coalesce("__at", F.lit(-1.0)).alias("major"), "minor")
     return here.unionByName(there)
 
 
+def place_after_nearest(base: DataFrame, own: DataFrame, by: list[str], key: str, order: str, extra: str) -> DataFrame:
+    """Rows of ``own`` marked ``extra`` go right behind their nearest predecessor in ``own`` that is in ``base`` (to the front without one).
+
+    ``own`` is the list that they come from in its order, with rows that are gone as well: ``by, key, order, extra``.  Those behind
+    the same row keep their own order.  Returns ``by, key, major, minor``; extra rows must not be in ``base``.
+    """
+    here = base.select(*by, key, F.col(order).cast("double").alias("major"), F.lit(0).alias("minor"))
+    listed = own.select(*by, key, F.col(order).alias("__own"), F.col(extra).alias("__extra")).join(base.select(*by, key, F.col(order).cast("double").alias("__at")), [*by, key], "left")
+    before = Window.partitionBy(*by).orderBy("__own", key).rowsBetween(Window.unboundedPreceding, -1)
+    there = listed.withColumn("major", F.coalesce(F.last("__at", ignorenulls=True).over(before), F.lit(-1.0))).where("__extra")
+    return here.unionByName(there.withColumn("minor", F.row_number().over(Window.partitionBy(*by, "major").orderBy("__own", key))).select(*by, key, "major", "minor"))
+
+
 def align_groups(a: DataFrame, b: DataFrame, by: str, order: str, text: str, threshold: float = 0.5, fill: bool = False) -> DataFrame:
     """Order-keeping alignment of two versions of each group by word ratio: ``by, a_pos, b_pos, similarity``; an unpaired row has one null place.
 

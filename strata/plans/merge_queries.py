@@ -256,5 +256,19 @@ SELECT o_orderkey, o_orderkey::DOUBLE AS major, 0::BIGINT AS minor FROM orders W
 UNION ALL SELECT o_orderkey, (o_orderkey - o_orderkey % 10)::DOUBLE, row_number() OVER (PARTITION BY o_orderkey - o_orderkey % 10 ORDER BY o_orderkey) FROM orders WHERE o_orderkey % 2 = 1
 """
 
-QUERIES = {f.__name__: f for f in (m1_three_way_rows, m2_column_merge, m3_conflicts, m4_existence, m5_live_edits, d1_residuals, d2_residual_summary, x1_lost_words, x2_ownership, x3_junk_text, q7_arrival, q16_order_merge, q19_text_merge, j19_anti_and_semi, o7_retention, s1_chain)}
-ORACLES = {"m1_three_way_rows": M1, "m2_column_merge": M2, "m3_conflicts": M3, "m4_existence": M4, "m5_live_edits": M5, "d1_residuals": D1, "d2_residual_summary": D2, "x1_lost_words": X1, "x2_ownership": X2, "x3_junk_text": X3, "q7_arrival": Q7A, "q16_order_merge": Q16, "j19_anti_and_semi": J19, "o7_retention": O7, "s1_chain": S1}
+def w16_nearest_predecessor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's list of orders of which every third key stays and the others, but for those that 5 divides, go back behind the nearest one before them that stayed."""
+    own = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("rank"), (F.expr("o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0")).alias("extra"))
+    placed = resolve.place_after_nearest(own.where("o_orderkey % 3 = 0"), own, ["o_custkey"], "o_orderkey", "rank", "extra")
+    return placed.select("o_custkey", "o_orderkey", "major", F.col("minor").cast("long").alias("minor"))
+
+
+W16 = """
+WITH b AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 3 = 0),
+e AS (SELECT o_custkey, o_orderkey, coalesce((SELECT max(b.o_orderkey) FROM b WHERE b.o_custkey = o.o_custkey AND b.o_orderkey < o.o_orderkey), -1)::DOUBLE AS major FROM orders o WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0)
+SELECT o_custkey, o_orderkey, o_orderkey::DOUBLE AS major, 0::BIGINT AS minor FROM b
+UNION ALL SELECT o_custkey, o_orderkey, major, row_number() OVER (PARTITION BY o_custkey, major ORDER BY o_orderkey) FROM e
+"""
+
+QUERIES = {f.__name__: f for f in (m1_three_way_rows, m2_column_merge, m3_conflicts, m4_existence, m5_live_edits, d1_residuals, d2_residual_summary, x1_lost_words, x2_ownership, x3_junk_text, q7_arrival, q16_order_merge, w16_nearest_predecessor, q19_text_merge, j19_anti_and_semi, o7_retention, s1_chain)}
+ORACLES = {"m1_three_way_rows": M1, "m2_column_merge": M2, "m3_conflicts": M3, "m4_existence": M4, "m5_live_edits": M5, "d1_residuals": D1, "d2_residual_summary": D2, "x1_lost_words": X1, "x2_ownership": X2, "x3_junk_text": X3, "q7_arrival": Q7A, "q16_order_merge": Q16, "w16_nearest_predecessor": W16, "j19_anti_and_semi": J19, "o7_retention": O7, "s1_chain": S1}

@@ -324,3 +324,11 @@ def test_alignment_fills_by_place(spark):
     places = lambda **kw: {(x.a_pos, x.b_pos) for x in resolve.align_groups(a, b, "g", "pos", "text", **kw).collect()}
     assert places(fill=True) == {(0, 0), (1, 1), (2, 2), (3, None)}
     assert places() == {(0, 0), (1, None), (None, 1), (2, 2), (3, None)}
+
+
+def test_rows_whose_predecessor_is_gone_keep_their_place(spark):
+    # own list: 9 is new at the front; 2 and 4 are gone; 5 and 6 come back behind 1, the nearest that is left
+    own = spark.createDataFrame([(1, k, pos, k in (5, 6, 8, 9)) for pos, k in enumerate([9, 1, 2, 4, 5, 6, 7, 8])], "g long, k long, pos long, extra boolean")
+    base = spark.createDataFrame([(1, 7, 0), (1, 1, 1)], "g long, k long, pos long")
+    got = resolve.place_after_nearest(base, own, ["g"], "k", "pos", "extra").orderBy("major", "minor").collect()
+    assert [r.k for r in got] == [9, 7, 8, 1, 5, 6]
