@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,17 +210,19 @@ def rivals(scored: DataFrame, left: str, right: str, score: str) -> DataFrame:
     return out.withColumn("rival", F.greatest("__l", "__r2")).drop("__l", "__r2")
 
 
-def flatten_groups(nodes: DataFrame, key: str, parent: str, x: str, most_depth: int = 16) -> DataFrame:
-    """Places of a forest's nodes added up along their parents: ``key, root, depth, x`` (a node whose parents form a ring is left out)."""
+def flatten_groups(nodes: DataFrame, key: str, parent: str, x: str) -> DataFrame:
+    """Places of a forest's nodes added up along their parents: ``key, root, depth, x`` (a node whose parents form a ring is left out).  Any depth; keys are unique."""
     tree = nodes.select(F.col(key).alias("__k"), F.col(parent).alias("__p"), F.col(x).cast("double").alias("__x"))
     level = durable(tree.where("__p is null").select("__k", F.col("__k").alias("root"), F.lit(0).cast("long").alias("depth"), F.col("__x").alias("total")))
     found = level
-    for _ in range(most_depth):
+    for depth in itertools.count(1):
         up = level.select(F.col("__k").alias("__p"), "root", "depth", "total")
         level = durable(tree.join(up, "__p").select("__k", "root", (F.col("depth") + 1).alias("depth"), (F.col("total") + F.col("__x")).alias("total")))
         if level.isEmpty():
             break
         found = found.unionByName(level)
+        if depth % 32 == 0:
+            found = durable(found)  # keeps the plan short
     return found.select(F.col("__k").alias(key), "root", "depth", F.col("total").alias(x))
 
 
@@ -246,15 +250,17 @@ def hidden_shares(pairs: DataFrame, boxes: DataFrame, key: str, least: float) ->
     return j.withColumn("share", w * h / ((F.col("a_x1") - F.col("a_x0")) * (F.col("a_y1") - F.col("a_y0")))).where(F.col("share") > least).select("a", "b", "share")
 
 
-def drawn_order(nodes: DataFrame, key: str, parent: str, z: str, most_depth: int = 16) -> DataFrame:
-    """Ranks of a forest's objects from bottom to top within each root, a group before what it holds, siblings by ``z`` and then key."""
+def drawn_order(nodes: DataFrame, key: str, parent: str, z: str) -> DataFrame:
+    """Ranks of a forest's objects from bottom to top within each root, a group before what it holds, siblings by ``z`` and then key.  Any depth; keys are unique."""
     step = F.struct(F.col(z).cast("long").alias("z"), F.col(key).cast("long").alias("k"))
     tree = nodes.select(F.col(key).alias("__k"), F.col(parent).alias("__p"), step.alias("__s"))
     level = durable(tree.where("__p is null").select("__k", F.col("__k").alias("root"), F.array("__s").alias("path")))
     found = level
-    for _ in range(most_depth):
+    for depth in itertools.count(1):
         level = durable(tree.join(level.select(F.col("__k").alias("__p"), "root", "path"), "__p").select("__k", "root", F.concat("path", F.array("__s")).alias("path")))
         if level.isEmpty():
             break
         found = found.unionByName(level)
+        if depth % 32 == 0:
+            found = durable(found)  # keeps the plan short
     return found.select(F.col("__k").alias(key), "root", F.row_number().over(Window.partitionBy("root").orderBy("path")).cast("long").alias("rank"))

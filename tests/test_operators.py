@@ -332,3 +332,12 @@ def test_rows_whose_predecessor_is_gone_keep_their_place(spark):
     base = spark.createDataFrame([(1, 7, 0), (1, 1, 1)], "g long, k long, pos long")
     got = resolve.place_after_nearest(base, own, ["g"], "k", "pos", "extra").orderBy("major", "minor").collect()
     assert [r.k for r in got] == [9, 7, 8, 1, 5, 6]
+
+
+def test_trees_of_any_depth(spark):
+    n = 20
+    nodes = spark.createDataFrame([(0, None), *((k, k - 1) for k in range(1, n)), (50, 51), (51, 50)], "k long, p long").selectExpr("k", "p", "1.0D AS x", "0L AS z")
+    flat = resolve.flatten_groups(nodes, "k", "p", "x").collect()
+    assert sorted((r.k, r.root, r.depth, r.x) for r in flat) == [(k, 0, k, k + 1.0) for k in range(n)]
+    drawn = resolve.drawn_order(nodes, "k", "p", "z").collect()
+    assert sorted((r.k, r.root, r["rank"]) for r in drawn) == [(k, 0, k + 1) for k in range(n)]
