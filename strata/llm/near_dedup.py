@@ -1,7 +1,7 @@
 """MinHash near-duplicates with odd sketches and exact confirmation.
 
-Each text becomes a set of hashed word shingles.  Texts with equal sets are one node, the
-smallest id.  A node's MinHash samples give band keys, and fold into an odd sketch: a bitmap
+Each text becomes a set of hashed word shingles.  Texts with equal sets are one node, with a
+number of its own.  A node's MinHash samples give band keys, and fold into an odd sketch: a bitmap
 that holds the parity of how many samples fall on each bit, so that the popcount of two
 sketches' XOR estimates how many samples differ.
 
@@ -19,9 +19,10 @@ link between different components is lost.
 The number of bands follows from the threshold: a pair at it shares no band key with
 probability ``MISS``.  The sketch filter keeps pairs down to ``SLACK`` below the threshold.
 
-A null text counts as empty; an empty set is linked with nothing, and a row with a null id and
-no set has a null component.  Where ids repeat, each row gets the component of its own text.
-Other columns are ignored.
+Ids only name the result: a component is called by its smallest id that is not null (null if it
+has none).  So rows with a null id link others as any row does, and where one id has several
+texts each row gets the component of its own text.  A null text counts as empty; an empty set is
+linked with nothing and called by its own id.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from strata.operators.graph import components
 from .common import U64, Words, documents, durable, mix, pieces, rolling, texts_of
 
 ROWS, MISS, BITS, SLACK, BLOCK, SALTS = 5, 1e-7, 512, 0.22, 500, 16
-FEATURES = "doc_id long, n long, digest binary, sketch binary, bands array<long>"
+FEATURES = "doc_id long, t1 long, t2 long, n long, digest binary, sketch binary, bands array<long>"
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -98,7 +99,7 @@ def _digests(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def features(df: DataFrame, size: int, bands: int) -> DataFrame:
-    """Set size, digest, odd sketch and band keys of every row of (doc_id, text)."""
+    """Set size, digest, odd sketch and band keys of every row of (doc_id, t1, t2, text)."""
 
     def run(it):
         import pyarrow as pa
@@ -116,7 +117,8 @@ def features(df: DataFrame, size: int, bands: int) -> DataFrame:
                     at = [i for i, s in enumerate(sets) if len(s)]
                     for j, i in enumerate(at):
                         digest[i], sketch[i], keys[i] = d[j].tobytes(), o[j].tobytes(), k[j]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "sketch", "bands"])
+                named = [batch.column(c).slice(a, b - a) for c in ("doc_id", "t1", "t2")]
+                yield pa.RecordBatch.from_arrays([*named, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "n", "digest", "sketch", "bands"])
 
     return df.mapInArrow(run, FEATURES)
 
@@ -230,17 +232,25 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row: texts are linked from ``percent`` per cent of shared ``size``-word shingles on."""
+def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, t1, t2, text``: the text's 128-bit value beside it, made without Python."""
     docs = documents(df, id_col, text_col)
+    return docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """All rows as ``doc_id, t1, t2, n, digest``; and ``digest, component_id, first`` of every set, where ``first`` (no_id, doc_id, t1, t2) is the least row of its component."""
+    docs = _named(df, id_col, text_col)
     bands = bands_for(percent / 100)
     seen = durable(features(docs, size, bands))
-    nodes = durable(seen.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch", "bands")).alias("x")).select("digest", F.col("x.doc_id").alias("node"), "x.n", "x.sketch", "x.bands"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")
+    by_set = seen.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min(row).alias("first"), F.min(F.struct("n", "sketch", "bands")).alias("x"))
+    nodes = durable(by_set.select(F.monotonically_increasing_id().alias("node"), "digest", "id", "first", "x.n", "x.sketch", "x.bands"))
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
     star = durable(keyed.join(shared, "key").where("node <> low").select("node", "low").distinct())
     family = components(star.select(F.col("node").alias("a"), F.col("low").alias("b"))).select("node", F.col("component").alias("family"))
-    inside = durable(nodes.select("node", "n", "sketch").join(family, "node"))
+    inside = durable(nodes.select("node", "n", "sketch", "first").join(family, "node"))
 
     def to_sets(it):
         import pyarrow as pa
@@ -251,7 +261,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 sets = pa.array([s.tobytes() for s in shingle_sets(texts[a:b], size)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), sets], ["node", "set"])
 
-    sets = durable(inside.select("node").join(docs.withColumnRenamed("doc_id", "node"), "node").mapInArrow(to_sets, "node long, set binary"))
+    # one text of each node, fetched by its whole name; repeated rows of that name meet before the shuffle
+    name = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "t1", "t2"]
+    once = docs.select(*name, "text").groupBy("id", "no_id", "t1", "t2").agg(F.first("text").alias("text"))
+    wanted = inside.select("node", "first.*").select("node", *name)
+    sets = durable(once.join(wanted, ["id", "no_id", "t1", "t2"]).select("node", "text").mapInArrow(to_sets, "node long, set binary"))
     nearest = _nearest(star, inside, percent).join(sets.withColumnRenamed("set", "x"), "node").join(sets.select(F.col("node").alias("low"), F.col("set").alias("y")), "low")
     first = durable(_confirmed(nearest.select(F.col("node").alias("a"), F.col("low").alias("b"), "x", "y"), percent))
     parts = inside.join(components(first).select("node", F.col("component").alias("part")), "node", "left").select("node", "n", "sketch", "family", F.coalesce("part", "node").alias("part"))
@@ -270,5 +284,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     confirmed = open_nodes.select("node", "sketch").join(sets, "node").join(dealt, "node").groupBy("task").applyInArrow(links, "a long, b long")
     joined = components(first.unionByName(confirmed)).select("node", "component")
-    by_digest = nodes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    return seen.select("doc_id", "n", "digest").join(by_digest, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    linked = nodes.select("node", "digest", "id", "first").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    called = durable(linked.groupBy("component").agg(F.min("id").alias("component_id"), F.min("first").alias("first")))
+    return seen.select("doc_id", "t1", "t2", "n", "digest"), _salted(linked.select("node", "digest", "component"), called, ["component"]).select("digest", "component_id", "first")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row: texts are linked from ``percent`` per cent of shared ``size``-word shingles on."""
+    seen, sets = _grouped(df, id_col, text_col, size, percent, block)
+    found = seen.select("doc_id", "n", "digest").join(sets.select("digest", "component_id", F.lit(True).alias("named")), "digest", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """The rows without near-duplicates, with the same columns: of each component the row of the smallest id stays (of one id's, that of the smallest text hash).
+
+    Null ids come after all others.  Rows of one id and one text are one document: of those one stays, the least as JSON.
+    Empty texts have no copies and all stay.
+    """
+    seen, sets = _grouped(df, id_col, text_col, size, percent, block)
+    mine = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")
+    rows = seen.where("n > 0").groupBy("doc_id", "t1", "t2", "digest").agg((F.count("*") > 1).alias("many"))
+    verdict = durable(rows.join(sets, "digest").select("doc_id", "t1", "t2", "many", (mine == F.col("first")).alias("stays")).where("many or not stays"))
+    text, cols = F.coalesce(F.col(text_col), F.lit("")), df.columns
+    names = [f"__{n}" + "_" * max(map(len, cols)) for n in ("id", "t1", "t2")]  # longer than any column's, so new
+    keyed = df.select("*", F.col(id_col).cast("long").alias(names[0]), F.xxhash64(text).alias(names[1]), F.xxhash64(F.lit(1), text).alias(names[2]))
+    met = lambda v: keyed[names[0]].eqNullSafe(v["doc_id"]) & (keyed[names[1]] == v["t1"]) & (keyed[names[2]] == v["t2"])
+    once = keyed.join(v := verdict.select("doc_id", "t1", "t2"), met(v), "left_anti")
+    twice = keyed.join(v := verdict.where("many and stays").select("doc_id", "t1", "t2"), met(v), "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in cols))
+    least = twice.groupBy(*names).agg(F.min_by(whole, F.to_json(whole)).alias("__row")).select(*(F.col("__row").getField(c).alias(c) for c in cols))
+    return once.select(*(F.col(f"`{c}`") for c in cols)).unionByName(least)

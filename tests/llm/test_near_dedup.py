@@ -86,3 +86,25 @@ def test_query_and_awkward_rows(spark):
     by_id = {r.doc_id: r for r in rows}
     assert by_id[6].component_id == 1 and by_id[2].component_id == 2 and by_id[2].n_shingles == 0 and by_id[5].n_shingles == 1
     assert N.near_duplicates(empty(spark)).count() == 0
+
+
+NEAR = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
+OTHER = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+
+
+def test_null_and_repeated_ids_lose_no_link(spark):
+    rows = [(None, NEAR), (3, NEAR), (4, NEAR), (5, NEAR + " plus"), (5, OTHER), (9, OTHER.upper()), (-(1 << 63), "quite alone in here"), (None, "")]
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=80).collect())
+    assert got == sorted([("None", 22, 3), ("3", 22, 3), ("4", 22, 3), ("5", 23, 3), ("5", 13, 5), ("9", 13, 5), (str(-(1 << 63)), 2, -(1 << 63)), ("None", 0, None)])
+    only_null = N.near_duplicates(spark.createDataFrame([(None, NEAR), (None, NEAR)], "doc_id long, text string")).collect()
+    assert [r.component_id for r in only_null] == [None, None]
+
+
+def test_keep_one_judges_by_text(spark):
+    rows = [(1, NEAR, "x"), (5, NEAR + " plus", "y"), (5, OTHER, "z"), (None, OTHER, "n"), (5, OTHER, "a"), (7, None, "p"), (7, None, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string")
+    kept = N.keep_one(docs, size=3, percent=80)
+    assert kept.dtypes == docs.dtypes
+    assert sorted(map(str, kept.collect())) == sorted(f"Row(doc_id={i}, text={t!r}, __id={x!r})" for i, t, x in [(1, NEAR, "x"), (5, OTHER, "a"), (7, None, "p"), (7, None, "q")])
+    none_but_null = spark.createDataFrame([(None, OTHER, "b"), (None, OTHER + " and", "c")], "doc_id long, text string, __id string")
+    assert N.keep_one(none_but_null, size=3, percent=80).count() == 1
