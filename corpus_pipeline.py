@@ -1,15 +1,16 @@
 """Corpus pipeline over ``documents``: toxicity, near-duplicates, decontamination, personal data, encoding.
 
 Each stage works on all rows its predecessor kept.  The first four return the columns of
-their input; the last returns ids.  Null texts pass the filters as empty texts; rows with a
-null id are never near-duplicates; of rows with one id and one component, one stays.
+their input; the last returns ids.  Null texts pass the filters as empty texts.  Near-duplicates are
+judged by text, not by id: a row with a null id is a copy as any other (one with an id stays
+rather than it), and unrelated texts that share an id all stay.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import decontamination, near_dedup, pii, sentencepiece_codec, toxicity
@@ -23,14 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
-    found = near_dedup.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    # ids repeat: one row of each, the first by its text
-    first = kept.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return first.where("__row = 1 or doc_id is null").drop("__row")
+    return near_dedup.keep_one(docs)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
