@@ -24,7 +24,7 @@ def solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     to = np.arange(len(nodes))
     while len(x):
         low = np.minimum(to[x], to[y])
-        for spot in (x, y, to[x], to[y]):
+        for spot in (to[x], to[y]):  # only roots are hooked, so no pointer that joins two nodes is lost
             np.minimum.at(to, spot, low)
         while (to[to] < to).any():
             to = to[to]
