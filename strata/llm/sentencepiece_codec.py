@@ -4,13 +4,19 @@ The search reads characters from left to right and keeps back pointers only for
 of the text that is still undecided.  Ids are committed up to a boundary as soon as every
 surviving path runs through it: at once where no piece can cross a position, else by
 following the live positions (at most the longest piece's length of them) back to the
-boundary they share.  Memory so follows the undecided part, not the text.
+boundary they share.  What is kept beside the ids so follows the undecided part, not the text.
 
-Pieces that can never lie on a best path, because their own characters split into pieces
-of a higher total score, are left out beforehand; this shortens the window and changes no
-result.  Scores are the model file's own.  For a file of the BPE kind the best path by
-score is therefore what is computed, not the merge order's result; decoding is exact for
-both.
+For a file of the unigram kind a path's worth is its pieces' summed scores, which are
+log-probabilities.  Pieces that can never lie on a best path, because their own characters
+split into pieces of a higher total score, are left out beforehand.
+
+A file of the BPE kind has ranks for scores, whose sums mean nothing: there a piece may follow
+another only if merging the two's characters in the order of the ranks would leave them side by
+side (``fits``), and pieces that merging their own characters doesn't give are left out.  Merges
+are local, so such paths are the merge order's own result: every position keeps one way back, and
+the ids are the library's.
+
+The file at hand is of the BPE kind.  Tokenizers are never trained here.
 
 Spaces become U+2581 with one in front of the text; a U+2581 in the text itself is spelled
 in bytes, as is any character without a piece, so that decoding gives back every text
@@ -19,7 +25,9 @@ exactly.  Null counts as empty and has no ids.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 import re
 
 from pyspark.sql import DataFrame
@@ -56,8 +64,9 @@ class Memo:
 class Vocabulary:
     """Pieces with ids and scores, ready for the search; small, so that it can be sent to every worker."""
 
-    def __init__(self, pieces: list[tuple[str, float, str]]):
-        """``pieces``: by id (text, score, kind), where kind is normal, byte or other."""
+    def __init__(self, pieces: list[tuple[str, float, str]], merges: bool = True):
+        """``pieces``: by id (text, score, kind), where kind is normal, byte or other.  ``merges``: the scores are negated ranks of merges (BPE), not log-probabilities."""
+        self.merges = merges
         self.by_id: list[bytes] = []
         self.byte_ids = [0] * 256
         scored: dict[str, tuple[float, int]] = {}
@@ -71,11 +80,47 @@ class Vocabulary:
             else:
                 self.by_id.append(b"")
         self.pieces = scored
-        self._index()
-        self.pieces = {p: v for p, v in scored.items() if len(p) == 1 or self._needed(p, v[0])}
+        if merges:
+            self.rank = {p: -v for p, (v, _) in scored.items() if len(p) > 1}
+            made = {p: self._merged(p) for p in self.rank}
+            self.born = {p: (self.rank[p], *m) for p, m in made.items() if m}  # rank, left and right half of the last merge
+            self.pieces = {p: v for p, v in scored.items() if len(p) == 1 or p in self.born}
+        else:
+            self._index()
+            self.pieces = {p: v for p, v in scored.items() if len(p) == 1 or self._needed(p, v[0])}
         self._index()
         self._memos()
 
+    def _merged(self, piece: str) -> tuple[str, str] | None:
+        """The halves that merging a piece's characters in the order of the ranks joins last; None if it doesn't end in the piece."""
+        parts = list(piece)
+        while len(parts) > 2:
+            found = [(r, k) for k in range(len(parts) - 1) if (r := self.rank.get(parts[k] + parts[k + 1])) is not None]
+            if not found:
+                return None
+            _, k = min(found)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return (parts[0], parts[1]) if len(parts) == 2 else None
+
+    def fits(self, a: str, b: str) -> bool:
+        """Whether two pieces side by side stay so: no two of their parts that met while they grew would have merged first.
+
+        Merges are undone one at a time, the latest first (of equal ranks the right one, as merging goes from the left); the
+        parts that touch at each time must not make a piece of a lower rank than the merge that ended them.
+        """
+        rank, born, until = self.rank, self.born, math.inf
+        while True:
+            together = rank.get(a + b)
+            if together is not None and together < until:
+                return False
+            x, y = born.get(a), born.get(b)
+            if x and (not y or x[0] > y[0]):
+                until, a = x[0], x[2]
+            elif y:
+                until, b = y[0] + 0.5, y[1]
+            else:
+                return True
+
     def _index(self) -> None:
         """By each beginning of a piece: its score and id if it is one itself (else None and -1), and whether longer ones go on from it."""
         self.longest = max(map(len, self.pieces), default=1)
@@ -109,7 +154,7 @@ class Vocabulary:
         """Ids of a text in which spaces are already U+2581.  ``watch`` is told the window's length at each commit attempt."""
         starts, n = self.starts.get, len(text)
         ids: list[int] = []
-        done = 0  # committed up to here; the lists below begin here
+        done, before = 0, ""  # committed up to here, and the piece that ends here; the lists below begin here
         score, back, piece = [0.0], [0], [-1]
         furthest = 0
         look = 4 * self.longest
@@ -117,6 +162,7 @@ class Vocabulary:
             at = i - done
             if i and furthest <= i:
                 ids += self._path(text, done, back, piece, at)
+                before = text[done + back[at] : i] if at else before
                 done, at, score, back, piece = i, 0, [0.0], [0], [-1]
                 look = 4 * self.longest
             elif at >= look:
@@ -125,16 +171,20 @@ class Vocabulary:
                     watch(at, shared)
                 if shared:
                     ids += self._path(text, done, back, piece, shared)
+                    before = text[done + back[shared] : done + shared]
                     done += shared
                     at -= shared
                     score, back, piece = score[shared:], [b - shared for b in back[shared:]], piece[shared:]
                 look = at + 4 * self.longest
             base = score[at]
+            last = text[done + back[at] : i] if at else before
             for j in range(i + 1, n + 1):
                 found = starts(text[i:j])
                 value, which = (found[0], found[1]) if found else (None, -1)
                 if value is None and j == i + 1:
                     value, which = UNKNOWN, -1
+                if value is not None and self.merges:
+                    value = 0.0 if not i or self.fits(last, text[i:j]) else None
                 if value is not None:
                     if j > furthest:
                         furthest = j
@@ -153,32 +203,39 @@ class Vocabulary:
 
     def _short(self, text: str) -> list[int]:
         """``search`` for a text no longer than the window, where nothing can be committed early."""
+        if self.merges:
+            return self._short_merged(text)
         starts, n = self.starts.get, len(text)
         score, back, piece = [-1e300] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         score[0] = 0.0
         for i in range(n):
             base = score[i]
-            j = i + 1
-            found = starts(text[i])
-            if found is None or found[0] is None:
-                value = base + UNKNOWN
-                if value > score[j]:
-                    score[j], back[j], piece[j] = value, i, -1
-                if found is None:
-                    continue
-            else:
-                value = base + found[0]
-                if value > score[j]:
-                    score[j], back[j], piece[j] = value, i, found[1]
-            while found[2] and j < n:
-                j += 1
+            for j in range(i + 1, n + 1):
                 found = starts(text[i:j])
-                if found is None:
+                value, which = (found[0], found[1]) if found else (None, -1)
+                if value is None and j == i + 1:
+                    value = UNKNOWN
+                if value is not None and base + value > score[j]:
+                    score[j], back[j], piece[j] = base + value, i, which
+                if not found or not found[2]:
                     break
-                if found[0] is not None:
-                    value = base + found[0]
-                    if value > score[j]:
-                        score[j], back[j], piece[j] = value, i, found[1]
+        return self._path(text, 0, back, piece, n)
+
+    def _short_merged(self, text: str) -> list[int]:
+        starts, fits, n = self.starts.get, self.fits, len(text)
+        ends, back, piece = [""] * (n + 1), [0] * (n + 1), [-1] * (n + 1)  # by position: the one piece that may end there
+        for i in range(n):
+            last, j = ends[i], i + 1
+            part = text[i]
+            found = starts(part)
+            if not ends[j] and (not i or fits(last, part)):
+                ends[j], back[j], piece[j] = part, i, found[1] if found else -1
+            while found and found[2] and j < n:
+                j += 1
+                part = text[i:j]
+                found = starts(part)
+                if found and found[0] is not None and not ends[j] and (not i or fits(last, part)):
+                    ends[j], back[j], piece[j] = part, i, found[1]
         return self._path(text, 0, back, piece, n)
 
     @staticmethod
@@ -205,15 +262,14 @@ class Vocabulary:
 
     def _cut(self, stretch: str) -> tuple[int, ...]:
         """A stretch is cut where no piece crosses, which is where the search would commit."""
-        inside, cuts = self.inside, [0]
-        for i in range(1, len(stretch)):
-            if stretch[i - 1 : i + 1] not in inside:
-                cuts.append(i)
-        if len(cuts) == 1:
-            return tuple(self._short(stretch) if len(stretch) <= SHORT else self.search(stretch))
-        ids: list[int] = []
-        for a, b in zip(cuts, [*cuts[1:], len(stretch)], strict=True):
-            ids += self.stretches.find(stretch[a:b])
+        inside, ids, at, n = self.inside, [], 0, len(stretch)
+        for i in range(1, n + 1):
+            if i < n and stretch[i - 1 : i + 1] in inside:
+                continue
+            if i - at == n:
+                return tuple(self._short(stretch) if n <= SHORT else self.search(stretch))
+            ids += self.stretches.find(stretch[at:i])
+            at = i
         return tuple(ids)
 
     def _word(self, word: str) -> tuple[int, ...]:
@@ -258,13 +314,18 @@ class Vocabulary:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def load(path: str = MODEL) -> Vocabulary:
-    """Reads a model file on the driver; workers get its pieces (a vocabulary's size, not the data's)."""
+@functools.lru_cache(maxsize=4)
+def load(path: str = MODEL, merges: bool | None = None) -> Vocabulary:
+    """Reads a model file on the driver; workers get its pieces (a vocabulary's size, not the data's).
+
+    ``merges`` is told from the scores where it isn't given: those of a BPE file are whole numbers.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     kind = lambda i: "byte" if sp.is_byte(i) else "other" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else "normal"
-    return Vocabulary([(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())])
+    pieces = [(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())]
+    return Vocabulary(pieces, all(float(s).is_integer() for _, s, k in pieces if k == "normal") if merges is None else merges)
 
 
 def encode_documents(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,6 +16,12 @@ def vocabulary():
     return S.load()
 
 
+@pytest.fixture(scope="module")
+def summed():
+    """The same pieces with their scores taken as log-probabilities."""
+    return S.load(merges=False)
+
+
 def brute(v, text, reach=16):
     """Viterbi over the whole text at once, with the pieces of the file before any are left out."""
     n = len(text)
@@ -32,14 +38,44 @@ def brute(v, text, reach=16):
 
 
 
-def test_ids_have_the_best_score_and_round_trip(vocabulary):
+def texts_for(r):
+    return ["".join(r.choice("aaabther \n▁é梦\U0001f600") for _ in range(r.randint(0, 120))) for _ in range(150)] + ["", " ", "  ", "▁", " ▁ ", "a" * 3000, "ab" * 1500, "    x    ", "-" * 777]
+
+
+def test_ids_are_the_librarys(spark, vocabulary):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=S.MODEL)
-    every = {sp.id_to_piece(i): (sp.get_score(i), i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
-    r = random.Random(3)
-    texts = ["".join(r.choice("aaabther \n▁é梦\U0001f600") for _ in range(r.randint(0, 120))) for _ in range(150)] + ["", " ", "  ", "▁", " ▁ ", "a" * 3000, "ab" * 1500, "    x    "]
+    texts = [t for t in texts_for(random.Random(3)) if S.SPACE not in t] + [r.text for r in table(spark, SF, "documents").collect() if S.SPACE not in r.text]
     for t in texts:
+        ids = vocabulary.encode(t)
+        assert ids == sp.encode(t) and vocabulary.decode(ids) == t
+        if t:
+            assert vocabulary.search(S.SPACE + t.replace(" ", S.SPACE)) == ids
+
+
+def test_summed_scores_equal_another_unigram_encoder():
+    import tokenizers
+
+    r = random.Random(7)
+    pieces = {"".join(r.choice("abcd") for _ in range(r.randint(2, 5))) for _ in range(120)}
+    rows = [("<unk>", -30.0), *((c, -6.0 - r.random()) for c in "abcd"), *((p, -4.0 - 6 * r.random()) for p in sorted(pieces))]
+    other = tokenizers.Tokenizer(tokenizers.models.Unigram(rows, unk_id=0))
+    mine = S.Vocabulary([(p, v, "normal" if k else "other") for k, (p, v) in enumerate(rows)], merges=False)
+    for _ in range(300):
+        t = "".join(r.choice("abcd") for _ in range(r.choice([3, 20, 300])))
+        worth = lambda ids: sum(rows[i][1] for i in ids)  # noqa: E731  (of paths of one worth either may be taken)
+        assert abs(worth(mine.search(t)) - worth(other.encode(t).ids)) < 1e-6
+
+
+def test_ids_have_the_best_score_and_round_trip(summed):
+    import sentencepiece
+
+    vocabulary = summed
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=S.MODEL)
+    every = {sp.id_to_piece(i): (sp.get_score(i), i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    for t in texts_for(random.Random(3)):
         ids = vocabulary.encode(t)
         assert vocabulary.decode(ids) == t
         if t and S.SPACE not in t:
@@ -64,10 +100,11 @@ def test_ids_have_the_best_score_and_round_trip(vocabulary):
             assert at == len(whole) and abs(total - want) < 1e-3 * max(1, abs(want) * 1e-9)
 
 
-def test_window_stays_bounded(vocabulary):
-    seen = []
-    vocabulary.search("ab" * 20_000, lambda at, shared: seen.append(at))
-    assert seen and max(seen) <= 8 * vocabulary.longest
+def test_window_stays_bounded(vocabulary, summed):
+    for v in (vocabulary, summed):
+        seen = []
+        v.search("ab" * 20_000, lambda at, shared: seen.append(at))  # noqa: B023
+        assert seen and max(seen) <= 8 * v.longest
 
 
 def test_query_and_data_frames(spark, vocabulary):
