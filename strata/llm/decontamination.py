@@ -1,22 +1,28 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts and benchmark items are lower-cased and their runs of white space become one space.
-An item is cut into overlapping segments of ``SEGMENT`` characters (one, if it is shorter).
+An item is cut into overlapping segments of ``SEGMENT`` characters, one every ``STRIDE`` (one, if it
+is shorter), so any passage of ``SEGMENT + STRIDE`` characters holds a whole one.
 A text leaks an item if some segment aligns with a stretch of it within ``RATE`` edits a
 character (fewer in segments of under 75 characters, where that many could leave no q-gram).  By the q-gram lemma such a stretch shares at least ``length + 1 - q(e + 1)``
 q-grams with the segment, on diagonals at most ``e`` apart; so shared q-grams are counted
-in overlapping bands of diagonals, and only bands that reach the bound are aligned.
+in overlapping bands of diagonals, and only bands that reach the bound are aligned.  Where texts
+and items repeat themselves the shared q-grams are as many as the product of their lengths; they
+are counted in overlapping tiles of text and items of at most ``TILE`` at a time, each of which
+holds any stretch and segment that fit in it whole.
 
-Benchmark items are dealt into chunks of about ``CHUNK`` characters, so that what is
-broadcast has a bound whatever the benchmark's size; texts pass all chunks in one stage.
+Benchmark items are dealt into chunks of about ``CHUNK`` characters, and one chunk's index is
+broadcast at a time: with more than one, the texts pass them one after the other, each pass
+ends in a checkpoint, and the index that it used is destroyed.
 
 Null texts count as empty and leak nothing.  Items with fewer characters than a q-gram
 count as leaked where they occur literally between non-letters; empty and null items never.
-Repeated rows give repeated results.
+Ids that are not whole numbers are taken as strings.  Repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -24,10 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, mix
+from .common import U64, durable, mix
 
-Q, SEGMENT, RATE, CHUNK, SLICE = 10, 80, 0.08, 4_000_000, 1 << 20
-LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType())]))
+Q, SEGMENT, STRIDE, RATE, CHUNK, SLICE, TILE = 10, 80, 10, 0.08, 4_000_000, 1 << 20, 1 << 20
 
 
 def normal(text: str) -> str:
@@ -89,34 +94,33 @@ def banded_distance(segment: str, stretch: str, edits: int) -> int | None:
 class Index:
     """Q-grams of one chunk of items, with their places."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, segment: int = SEGMENT, rate: float = RATE):
-        self.q, self.segment, self.rate = q, segment, rate
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, segment: int = SEGMENT, rate: float = RATE, tile: int = TILE):
+        self.q, self.segment, self.rate, self.tile = q, segment, rate, tile
         self.ids = [i for i, _ in items]
         self.texts = [normal(t) for _, t in items]
         self.short = [(i, re.compile(rf"(?<!\w){re.escape(t)}(?!\w)")) for i, t in zip(self.ids, self.texts, strict=True) if 0 < len(t) < q]
-        keys, item, place = [], [], []
+        self.begin = np.concatenate([[0], np.cumsum([len(t) for t in self.texts])]).astype(np.int64)  # where each item begins in all of them
+        keys, place = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         for k, t in enumerate(self.texts):
-            g = grams(np.frombuffer(folded(t), np.uint8), q)
-            keys.append(g)
-            item.append(np.full(len(g), k))
-            place.append(np.arange(len(g)))
-        keys, item, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, item, place))
+            keys.append(grams(np.frombuffer(folded(t), np.uint8), q))
+            place.append(np.arange(len(keys[-1])) + self.begin[k])
+        keys, place = np.concatenate(keys), np.concatenate(place)
         order = np.argsort(keys, kind="stable")
-        self.item, self.place = item[order], place[order]
+        self.place = place[order]  # of each q-gram's occurrences, in rising order
         self.keys, self.start = np.unique(keys[order], return_index=True)
         self.start = np.append(self.start, len(keys)).astype(np.int64)
-        self.keys = self.keys.astype(U64)
         self.bits = np.zeros(1 << 22, bool)
         self.bits[self.keys >> U64(42)] = True
         self.edits = budget(segment, rate, q)
         self.band = max(8, self.edits + 1)
+        self.reach = segment + 2 * (self.band + self.edits)  # longer than any segment, or stretch that one can align with
 
     def segments(self, k: int) -> list[tuple[int, int]]:
         """(start, length) of an item's segments, the last one at its end."""
         n = len(self.texts[k])
         if n <= self.segment:
             return [(0, n)]
-        return [(a, self.segment) for a in [*range(0, n - self.segment, self.segment // 2), n - self.segment]]
+        return [(a, self.segment) for a in [*range(0, n - self.segment, STRIDE), n - self.segment]]
 
     def leaks(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """(item id, least distance of a segment) of every leaked item of each text."""
@@ -148,22 +152,57 @@ class Index:
         where, k = where[same], k[same]
         if not len(where):
             return
-        times = self.start[k + 1] - self.start[k]
-        post = np.repeat(self.start[k] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(int(times.sum()))
-        spot = np.repeat(where, times)
-        item, place = self.item[post], self.place[post]
+        self._tiles(texts, out, begin, len(codes), where, k, 0, int(self.begin[-1]))
+
+    def _tiles(self, texts, out, begin, size: int, where: np.ndarray, k: np.ndarray, lo: int, hi: int) -> None:
+        """Counts the q-grams k at ``where`` of the texts against their occurrences at [lo, hi) of the items, in tiles that hold at most ``tile`` of such pairs."""
+        first, last = self.start[k], self.start[k + 1]
+        if lo > 0 or hi < self.begin[-1]:
+            first, last = (np.array([a + np.searchsorted(self.place[a:b], x) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.int64) for x in (lo, hi))
+        times = last - first
+        total = int(times.sum())
+        if not total:
+            return
+        owner = np.searchsorted(begin, where[[0, -1]], side="right") - 1
+        item = np.searchsorted(self.begin, [lo, hi - 1], side="right") - 1
+        if owner[0] == owner[1] and item[0] == item[1] and out[owner[0]].get(self.ids[item[0]]) == 0:
+            return
+        if total > self.tile:
+            half = (lo + hi) // 2
+            if owner[0] != owner[1]:  # between two texts, where half the pairs lie on either side
+                cut = int(begin[min(max(int(np.searchsorted(begin, where[np.searchsorted(np.cumsum(times), total // 2)], side="right")) - 1, owner[0] + 1), owner[1])])
+                for part in (where < cut, where >= cut):
+                    self._tiles(texts, out, begin, size, where[part], k[part], lo, hi)
+                return
+            if where[-1] - where[0] > 4 * self.reach:
+                cut = int(where[0] + where[-1]) // 2
+                for part in (where < cut + self.reach, where >= cut):
+                    self._tiles(texts, out, begin, size, where[part], k[part], lo, hi)
+                return
+            if hi - lo > 4 * self.reach:
+                self._tiles(texts, out, begin, size, where, k, lo, half + self.reach)
+                self._tiles(texts, out, begin, size, where, k, half, hi)
+                return
+        post = np.repeat(first - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(total)
+        self._count(texts, out, begin, size, np.repeat(where, times), self.place[post])
+
+    def _count(self, texts, out, begin, size: int, spot: np.ndarray, place: np.ndarray) -> None:
+        """Aligns what lies around bands of diagonals with enough shared q-grams."""
+        item = np.searchsorted(self.begin, place, side="right") - 1
+        place = place - self.begin[item]
         doc = np.searchsorted(begin, spot, side="right") - 1
-        offset = len(codes) + 1
+        offset = size + 1
         low = (spot - place + offset) // self.band
-        wide = (len(codes) + offset) // self.band + 3
+        wide = (size + offset) // self.band + 3
         # each shared q-gram lies in two overlapping bands, [b, b + 2) times the band's width
         key = np.concatenate([item * wide + low, item * wide + low - 1])
         key = key * len(texts) + np.tile(doc, 2)
         order = np.argsort(key, kind="stable")
         ranked = key[order]
         edge = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-        size = np.diff(np.append(edge, len(ranked)))
-        for e, n in zip(edge[size >= self._least].tolist(), size[size >= self._least].tolist(), strict=True):
+        sizes = np.diff(np.append(edge, len(ranked)))
+        enough = sizes >= self._least
+        for e, n in zip(edge[enough].tolist(), sizes[enough].tolist(), strict=True):
             rows = order[e : e + n] % len(spot)
             i, d = int(item[rows[0]]), int(doc[rows[0]])
             if out[d].get(self.ids[i]) == 0:
@@ -171,19 +210,19 @@ class Index:
             diagonal = spot[rows] - place[rows] - begin[d]
             self._align(i, texts[d], out[d], np.sort(place[rows]), int(diagonal.min()), int(diagonal.max()))
 
-    @property
+    @functools.cached_property
     def _least(self) -> int:
         """The smallest bound of any segment."""
-        if not hasattr(self, "_bound"):
-            self._bound = min((bound(n, budget(n, self.rate, self.q), self.q) for n in {s[1] for k in range(len(self.texts)) for s in self.segments(k)} if n >= self.q), default=1)
-        return max(1, self._bound)
+        lengths = {min(len(t), self.segment) for t in self.texts}
+        return max(1, min((bound(n, budget(n, self.rate, self.q), self.q) for n in lengths if n >= self.q), default=1))
 
     def _align(self, i: int, text: str, found: dict[int, int], places: np.ndarray, lo: int, hi: int) -> None:
-        for a, n in self.segments(i):
-            e = budget(n, self.rate, self.q)
-            inside = int(np.searchsorted(places, a + n - self.q, side="right") - np.searchsorted(places, a))
-            if inside < max(1, bound(n, e, self.q)):
-                continue
+        segments = self.segments(i)
+        n = segments[0][1]  # the same for all of an item's
+        starts = np.array([a for a, _ in segments])
+        e = budget(n, self.rate, self.q)
+        inside = np.searchsorted(places, starts + n - self.q, side="right") - np.searchsorted(places, starts)
+        for a in starts[inside >= max(1, bound(n, e, self.q))].tolist():
             x, y = max(0, lo + a - e), min(len(text), hi + a + n + e)
             d = banded_distance(self.texts[i][a : a + n], text[x:y], e)
             if d is not None and d < found.get(self.ids[i], e + 1):
@@ -192,37 +231,44 @@ class Index:
                     return
 
 
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", chunk: int = CHUNK) -> list:
-    """A broadcast index for each chunk of the benchmark."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null")
-    n = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // chunk))
-    sc, out = benchmark.sparkSession.sparkContext, []
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()  # about ``chunk`` characters
-        out.append(sc.broadcast(Index(sorted((r.item_id, r.text) for r in rows))))
-    return out
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    kind = "long" if isinstance(benchmark.schema[id_col].dataType, T.IntegralType) else "string"
+    return benchmark.select(F.col(id_col).cast(kind).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
 
 
-def with_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", out_col: str = "leaks") -> DataFrame:
+def with_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", out_col: str = "leaks", id_col: str = "item_id", item_col: str = "text") -> DataFrame:
     """The rows with a column of leaked items and distances (``out_col`` must be a new name)."""
     if out_col in df.columns:
         raise ValueError(f"{out_col} is taken")
-    sent = indexes(benchmark)
-    schema = T.StructType([*df.schema.fields, T.StructField(out_col, LEAKS)])
-
-    def run(it):
-        import pyarrow as pa
-
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
-        for batch in it:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            found: list[list[tuple[int, int]]] = [[] for _ in texts]
-            for index in sent:
-                found = [a + b for a, b in zip(found, index.value.leaks(texts), strict=True)]
-            column = pa.array([[{"item_id": i, "distance": d} for i, d in sorted(f)] for f in found], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, out_col])
-
-    return df.mapInArrow(run, schema)
+    items = _items(benchmark, id_col, item_col)
+    kind = items.schema["item_id"].dataType
+    leaks = T.ArrayType(T.StructType([T.StructField("item_id", kind), T.StructField("distance", T.IntegerType())]))
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, leaks)])
+    n = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // CHUNK))
+    out = df
+    for k in range(n):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()  # about CHUNK characters
+        sent = df.sparkSession.sparkContext.broadcast(Index(sorted((r.item_id, r.text) for r in rows)))
+        out = out.mapInArrow(functools.partial(_search, sent=sent, text_col=text_col, out_col=out_col, whole=isinstance(kind, T.LongType)), schema)
+        if n > 1:
+            out = durable(out)
+            sent.destroy()
+    return out
+
+
+def _search(batches, sent, text_col: str, out_col: str, whole: bool):
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("item_id", pa.int64() if whole else pa.string()), ("distance", pa.int32())]))
+    for batch in batches:
+        found = sent.value.leaks([t or "" for t in batch.column(text_col).to_pylist()])
+        rows = [[{"item_id": i, "distance": d} for i, d in f] for f in found]
+        names, columns = batch.schema.names, batch.columns
+        if out_col in names:  # what earlier chunks found
+            k = names.index(out_col)
+            rows = [sorted(a + b, key=lambda x: x["item_id"]) for a, b in zip(columns[k].to_pylist(), rows, strict=True)]
+            names, columns = names[:k], columns[:k]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, kind)], [*names, out_col])
 
 
 def drop_leaked(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

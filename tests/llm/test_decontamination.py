@@ -91,3 +91,46 @@ def test_chunks_awkward_rows_and_names(spark):
     assert kept.columns == awkward(spark).columns and {r.doc_id for r in kept.collect()} >= {2, 3, None} and 1 not in {r.doc_id for r in kept.collect()}
     assert D.drop_leaked(empty(spark), items).count() == 0
     assert D.drop_leaked(awkward(spark), items.limit(0)).count() == len(ROWS)
+
+
+def test_partial_passages_at_every_offset():
+    r = random.Random(5)
+    item = " ".join("".join(r.choice("abcdefghijklmno") for _ in range(r.randint(2, 9))) for _ in range(60))
+    index = D.Index([(1, item)])
+    need = D.SEGMENT + D.STRIDE
+    for at in range(len(item) - need):
+        assert index.leaks(["qqq " * 5 + "|" + item[at : at + need] + "| " + "rrr " * 5])[0] == [(1, 0)]
+
+
+def test_tiles_change_nothing():
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randint(1, 4)))
+    items = [(i, " ".join(word() for _ in range(r.choice([8, 40, 300])))) for i in range(8)]
+    texts = []
+    for _ in range(12):
+        _, item = r.choice(items)
+        at = r.randrange(len(item))
+        texts.append(" ".join(word() for _ in range(200)) + " " + edited(r, item[at : at + 120], r.randint(0, 9), "ab ") + " " + " ".join(word() for _ in range(100)))
+    whole, tiled = D.Index(items), D.Index(items, tile=3000)
+    assert whole.leaks(texts) == tiled.leaks(texts) and any(whole.leaks(texts))
+
+
+def test_one_letter_texts_stay_within_a_tile():
+    import tracemalloc
+
+    index = D.Index([(1, "a" * 4000), (2, "ab" * 2000), (3, "x" * 300)])
+    tracemalloc.start()
+    got = index.leaks(["a" * 20_000, "ba" * 9000 + "c", "a" * 79 + "b" * 500])
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert got == [[(1, 0)], [(2, 0)], [(1, 1)]]
+
+
+def test_ids_of_other_kinds_and_chunks(spark):
+    items = spark.createDataFrame([("x-1", ROWS[0][1]), ("y", "lorem ipsum dolor +1 (234) 555-7890 " * 4)], "item_id string, text string")
+    docs = awkward(spark).drop("leaks")
+    old = D.CHUNK
+    for D.CHUNK in (old, 60):
+        got = {r.doc_id: [x.item_id for x in r.leaks] for r in D.with_leaks(docs, items).collect()}
+        assert got[1] == ["x-1"] and got[7] == ["y"] and got[5] == []
+    D.CHUNK = old
