@@ -8,6 +8,7 @@ Python call.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from strata.plans.lineage import delete, durable, shared_folder, stored, tidy  #
 U64 = np.uint64
 MULTIPLIER = 0x9E3779B97F4A7C13  # 3 modulo 8, so powers of it differ by few trailing zero bits
 SLICE = 1 << 19
+GROUP_BYTES, SHARD_BYTES = 8 << 20, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,15 +32,22 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of the tables a plan reads, from their statistics; no job runs."""
+def input_bytes(df: DataFrame, text_col: str = "text") -> int:
+    """Size of the tables a plan reads, from their statistics; no job runs but where they have none, to add up the texts."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return size if size < 1 << 50 else df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
-def shards(df: DataFrame, each: int, least: int, most: int = 1 << 20) -> int:
-    """How many hash shards of about ``each`` input bytes to deal a plan's work into."""
-    return max(least, min(most, input_bytes(df) // each))
+def dealt(size: int, groups: int, shards: int) -> tuple[int, int]:
+    """How many document groups and hash shards to deal ``size`` input bytes into; ``groups`` and ``shards`` are the numbers at half a gigabyte.
+
+    Both grow as the square root of the input, so the messages between them, one a group and shard, grow with the input and not
+    as its square.  Groups grow up to GROUP_BYTES and shards up to SHARD_BYTES, what a task holds; beyond that (32 to 130 GB)
+    their numbers follow the input, until a message is down to one value, which is a plain shuffle of the values.
+    """
+    root = math.sqrt(size / (1 << 29))
+    return max(16, round(groups * root), size // GROUP_BYTES), max(8, round(shards * root), size // SHARD_BYTES)
 
 
 def texts_of(batch, column: str = "text") -> list[bytes]:

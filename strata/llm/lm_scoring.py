@@ -1,10 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter over exact unigram counts.
 
 Tokens are the words of the text, A-Z lower-cased, and one end per document.  Unigram counts
-are exact.  Bigram counts are quantised to powers of two and held in a Bloom filter: a bigram
-of level q is entered q times, as (bigram, 1) ... (bigram, q), and its level is read back by
-probing until a probe fails.  A token's probability is the bigram estimate smoothed by the
-unigram one (Dirichlet weight ``MU``).
+are exact.  Bigram counts are quantised to the next smaller of ``VALUES`` and held in a Bloom
+filter: a bigram of level q is entered q times, as (bigram, 1) ... (bigram, q), and its level is
+read back by probing until a probe fails.  A shard holds the bigrams that its filter was made of,
+so a level that false probes raised is put right there (an exact check behind the probes).
+
+The probability of w after v is (seen + MU * p(w)) / (c(v) + MU): seen is the quantised count of
+v w, c(v) the exact count of v and p the base's unigram probability.  As seen is never more than
+the count, the probabilities of all next tokens (an unknown one among them) sum to at most 1,
+and to less by the share that quantising leaves out.
 
 Documents are dealt into groups by id.  A group sends each shard of the hash space its
 distinct words and bigrams there with their training counts (0 for those of held-out texts
@@ -23,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, documents, durable, mix, pieces, shards, texts_of
+from .common import U64, Words, dealt, documents, durable, input_bytes, mix, pieces, texts_of
 from .substring_dedup import _by_shard, address
 
 END = U64(0x5851F42D4C957F2D)
@@ -60,13 +65,12 @@ class Tokens:
         return np.repeat(self.train, self.count)
 
 
-def level(counts: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(counts)).astype(np.int64) + 1
+#: The count that each level stands for: 0, 1, 2, 3, 4, 6, 8, 12, 16, 24 and so on.
+VALUES = np.array([0, 1, *(v << k for k in range(60) for v in (2, 3))], np.int64)
 
 
-def typical(levels: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: the middle of its range."""
-    return np.where(levels < 2, levels, 1.5 * 2.0 ** (levels - 1))
+def level(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(VALUES, counts, side="right") - 1
 
 
 def _spots(keys: np.ndarray, q: np.ndarray | int, probe: int, bits) -> np.ndarray:
@@ -74,23 +78,15 @@ def _spots(keys: np.ndarray, q: np.ndarray | int, probe: int, bits) -> np.ndarra
         return mix(keys + (np.asarray(q).astype(U64) * U64(8) + U64(probe)) * U64(0x9E3779B97F4A7C15)) % np.asarray(bits).astype(U64)
 
 
-def segment(keys: np.ndarray, counts: np.ndarray, most_bits: int | None = None) -> tuple[bytes, int]:
-    """A shard's part of the filter, and the smallest count entered: 1, unless ``most_bits`` (which the query never sets) leaves rarer keys out."""
-    least, q = 1, level(np.maximum(counts, 1))
-    while True:
-        kept = counts >= least
-        need = int(q[kept].sum()) * BITS_A_KEY
-        if most_bits is None or need <= most_bits or not kept.any():
-            break
-        least += 1
-    bits = max(64, -(-need // 64) * 64)
+def segment(keys: np.ndarray, levels: np.ndarray) -> bytes:
+    """A shard's part of the filter: every bigram, at ``BITS_A_KEY`` bits a level."""
+    bits = max(64, -(-int(levels.sum()) * BITS_A_KEY // 64) * 64)
     field = np.zeros(bits, bool)
-    k, qk = keys[kept], q[kept]
-    for step in range(1, int(qk.max(initial=0)) + 1):
-        at = k[qk >= step]
+    for step in range(1, int(levels.max(initial=0)) + 1):
+        at = keys[levels >= step]
         for p in range(PROBES):
             field[_spots(at, step, p, bits)] = True
-    return np.packbits(field).tobytes(), least
+    return np.packbits(field).tobytes()
 
 
 class LogFrequencyFilter:
@@ -118,15 +114,15 @@ class LogFrequencyFilter:
                 bit = self.start[s] + _spots(addresses[live] & U64(0xFFFFFFFF), step, p, self.bits[s]).astype(np.int64)
                 live = live[(self.field[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0]
             out[live] = step
-            if step == 62:
+            if step == len(VALUES) - 1:
                 break
         return out
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_groups: int = 0, n_shards: int = 0) -> DataFrame:
     """Base (unigram) and smoothed bigram log10 scores of every row; see ``OUT``."""
-    n_groups = n_groups or shards(df, 1 << 20, 512)
-    n_shards = n_shards or shards(df, 4 << 20, 64, 1 << 14)
+    many = dealt(input_bytes(df, text_col), 512, 128)
+    n_groups, n_shards = n_groups or many[0], n_shards or many[1]
     docs = documents(df, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id"))).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).cast("int"))
 
     def ask(group):
@@ -159,7 +155,9 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
         pairs, which = np.unique(np.concatenate(asked), return_inverse=True)
         times = np.bincount(which, weights=np.concatenate(part("pair_counts", np.uint32)), minlength=len(pairs)).astype(np.int64)
         keys = pairs.astype(U64)
-        found = LogFrequencyFilter({0: segment(keys, times)[0]}, 1).levels(keys).astype(np.uint8)
+        true = level(times)
+        # probes only ever add, so the lower of both is the level that the filter was given
+        found = np.minimum(LogFrequencyFilter({0: segment(keys, true)}, 1).levels(keys), true).astype(np.uint8)
         levels = [x.tobytes() for x in np.split(found[which], np.cumsum([len(p) for p in asked])[:-1])]
         n = len(gs)
         return pa.table({
@@ -187,8 +185,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
         levels = np.zeros(len(pairs), np.int64)
         for s, a, b in _by_shard(pairs >> U64(32), n_shards):
             levels[a:b] = np.frombuffer(got[s][2], np.uint8)
-        seen = typical(levels)[which]
-        context = np.maximum(c[np.searchsorted(t.words, t.before)], seen)
+        context = c[np.searchsorted(t.words, t.before)]
+        seen = np.minimum(VALUES[levels][which], np.minimum(context, c[t.word]))  # two bigrams of one hash can't go beyond their words
         score = np.add.reduceat(np.log10((seen + MU * share[t.word]) / (context + MU)), t.first[:-1])
         n = len(t.count)
         return pa.table([group.column("doc_id"), group.column("held_out"), pa.array(t.count, pa.int64()), pa.array(known, pa.int64()), pa.array([n_tokens] * n, pa.int64()), pa.array(base), pa.array(score)], names=[x.split()[0] for x in OUT.split(", ")])

@@ -26,21 +26,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, documents, pieces, rolling, shards, texts_of
+from .common import U64, Words, dealt, documents, input_bytes, pieces, rolling, texts_of
 
 WINDOW, BLOCK = 20, 10
 OUT = "doc_id long, n_words long, n_removed long, n_repeats long, kept_sha256 string, kept string"
-NO_ID = -(1 << 63)
 
 
 class Group:
     """The texts of one group in order of id, with block-length window values."""
 
     def __init__(self, table, window: int, block: int):
-        ids = [NO_ID if i is None else i for i in table.column("doc_id").to_pylist()]
+        ids = table.column("doc_id").to_pylist()
         texts = texts_of(table)
-        order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
-        self.ids = np.array([ids[k] for k in order], np.int64)
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, texts[k]))
+        self.has_id = np.array([ids[k] is not None for k in order], bool)
+        self.ids = np.array([ids[k] or 0 for k in order], np.int64)
         self.texts = [texts[k] for k in order]
         hashes, counts = [], []
         for a, b in pieces(self.texts):
@@ -103,8 +103,8 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     """
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block at any alignment")
-    n_groups = n_groups or shards(df, 1 << 20, 1024)
-    n_shards = n_shards or shards(df, 4 << 20, 64, 1 << 16)
+    many = dealt(input_bytes(df, text_col), 1024, 128)
+    n_groups, n_shards = n_groups or many[0], n_shards or many[1]
     docs = documents(df, id_col, text_col).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).cast("int"))
 
     def ask_anchors(group):
@@ -164,10 +164,11 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             texts = Group(group, window, block)
             _, values, _, first = texts.candidates(hot_of(answers), n_shards)
             shard = ((values["one"] >> U64(32)) * U64(n_shards) >> U64(32)).astype(np.int64)  # values are sorted, so shards are
-            owner = texts.ids[texts.owner[first]]
-            rows = [(int(s), g, values[a:b].tobytes(), owner[a:b].tobytes()) for s, a, b in _by_shard(shard, n_shards)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.table({"shard": pa.array(cols[0], pa.int32()), "g": pa.array(cols[1], pa.int32()), "windows": pa.array(cols[2], pa.binary()), "ids": pa.array(cols[3], pa.binary())})
+            owner = texts.owner[first]
+            ids, has = texts.ids[owner], texts.has_id[owner]
+            rows = [(int(s), g, values[a:b].tobytes(), ids[a:b].tobytes(), has[a:b].tobytes()) for s, a, b in _by_shard(shard, n_shards)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.table({"shard": pa.array(cols[0], pa.int32()), "g": pa.array(cols[1], pa.int32()), "windows": pa.array(cols[2], pa.binary()), "ids": pa.array(cols[3], pa.binary()), "has_id": pa.array(cols[4], pa.binary())})
 
     def find_first(group):
         import pyarrow as pa
@@ -176,8 +177,9 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         shard, gs = group.column("shard")[0].as_py(), group.column("g").to_pylist()
         values = [np.frombuffer(x, kind) for x in group.column("windows").to_pylist()]
         sizes = [len(v) for v in values]
-        flat, ids, g = np.concatenate(values), np.concatenate([np.frombuffer(x, np.int64) for x in group.column("ids").to_pylist()]), np.repeat(gs, sizes)
-        order = np.lexsort((g, ids, flat["two"], flat["one"]))
+        ids, has = (np.concatenate([np.frombuffer(x, kind) for x in group.column(c).to_pylist()]) for c, kind in (("ids", np.int64), ("has_id", bool)))
+        flat, g = np.concatenate(values), np.repeat(gs, sizes)
+        order = np.lexsort((g, ids, has, flat["two"], flat["one"]))
         ranked = flat[order]
         new = np.ones(len(order), bool)
         new[1:] = ranked[1:] != ranked[:-1]
@@ -211,11 +213,11 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             if n:
                 words = [w for w, x in zip(words, off.tolist(), strict=True) if not x]
             kept = b" ".join(words)
-            rows.append((None if texts.ids[k] == NO_ID else int(texts.ids[k]), int(b - a), n, int((np.diff(off.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+            rows.append((int(texts.ids[k]) if texts.has_id[k] else None, int(b - a), n, int((np.diff(off.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         return pa.table([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "n_repeats", "kept_sha256", "kept"])
 
     answer = "g int, kind int, shard int, data binary"
     hits = docs.groupBy("g").applyInArrow(ask_anchors, "shard int, g int, p1 binary, p2 binary, b1 binary, b2 binary").groupBy("shard").applyInArrow(find_hits, answer)
-    firsts = docs.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(ask_first, "shard int, g int, windows binary, ids binary").groupBy("shard").applyInArrow(find_first, answer)
+    firsts = docs.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(ask_first, "shard int, g int, windows binary, ids binary, has_id binary").groupBy("shard").applyInArrow(find_first, answer)
     return docs.groupBy("g").cogroup(hits.unionByName(firsts).groupBy("g")).applyInArrow(strip, OUT)

@@ -7,7 +7,7 @@ from edge import ROWS, awkward, empty
 
 from strata.llm import lm_scoring as L
 from strata.llm import queries
-from strata.llm.common import table
+from strata.llm.common import dealt, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,15 +32,60 @@ def test_filter_has_no_false_negatives_and_few_false_positives():
     keys = rng.integers(0, 1 << 32, 50_000).astype(np.uint64)
     keys = np.unique(keys)
     counts = np.minimum(rng.zipf(1.8, len(keys)), 5000)
-    data, least = L.segment(keys, counts, 1 << 24)
-    assert least == 1
-    field = L.LogFrequencyFilter({0: data}, 1)
+    field = L.LogFrequencyFilter({0: L.segment(keys, L.level(counts))}, 1)
     read = field.levels(keys)
     assert (read >= L.level(counts)).all() and (read == L.level(counts)).mean() > 0.95
     fresh = np.setdiff1d(rng.integers(0, 1 << 32, 50_000).astype(np.uint64), keys)
     assert (field.levels(fresh) > 0).mean() < 0.03
-    small, least = L.segment(keys, counts, 1 << 17)
-    assert len(small) * 8 <= 1 << 17 and least > 1
+    assert (L.VALUES[L.level(counts)] <= counts).all() and (L.VALUES[L.level(counts)] > counts / 1.5).all()
+
+
+def probability(word, pair, v, w):
+    """The model's probability of w after v, from exact counts; ``None`` is the end, and also what stands before a text."""
+    n, types = sum(word.values()), len(word)
+    seen = int(L.VALUES[L.level(np.array([pair[v, w]]))[0]])
+    return (seen + L.MU * (word[w] + 0.1) / (n + 0.1 * (types + 1))) / (word[v] + L.MU)
+
+
+def test_scores_equal_brute_force_and_probabilities_sum_to_one_at_most(spark):
+    texts = {i: b"a b a c " * (i % 4) + [b"d a b", b"c c c c a", b"e", b"b d"][i % 4] for i in range(1, 41)}
+    token = {i: [*t.split(), None] for i, t in texts.items()}
+    fit = [t for i, t in token.items() if zlib.crc32(str(i).encode()) % 10]
+    word = collections.Counter(w for t in fit for w in t)
+    pair = collections.Counter(p for t in fit for p in zip([None, *t], t, strict=False))
+    for v in word:
+        every = sum(probability(word, pair, v, w) for w in [*word, "unknown"])
+        assert 0.5 < every <= 1 + 1e-12
+    df = spark.createDataFrame([(i, t.decode()) for i, t in texts.items()], "doc_id long, text string")
+    for n_groups, n_shards in ((0, 0), (3, 5)):
+        for r in L.score_texts(df, n_groups=n_groups, n_shards=n_shards).collect():
+            t = token[r.doc_id]
+            want = sum(math.log10(probability(word, pair, v, w)) for v, w in zip([None, *t], t, strict=False))
+            assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
+def test_query_scores_equal_brute_force(spark):
+    token = {r.doc_id: [*(r.text or "").encode().lower().split(), None] for r in table(spark, SF, "documents").collect()}
+    fit = [t for i, t in token.items() if zlib.crc32(str(i).encode()) % 10]
+    word = collections.Counter(w for t in fit for w in t)
+    pair = collections.Counter(p for t in fit for p in zip([None, *t], t, strict=False))
+    seen = {p: int(L.VALUES[L.level(np.array([c]))[0]]) for p, c in pair.items()}
+    n, v = sum(word.values()), len(word)
+    for r in queries.op9_lm_scoring(spark, SF).collect():
+        t = token[r.doc_id]
+        want = sum(math.log10((seen.get(p, 0) + L.MU * (word[p[1]] + 0.1) / (n + 0.1 * (v + 1))) / (word[p[0]] + L.MU)) for p in zip([None, *t], t, strict=False))
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
+def test_messages_grow_as_the_input():
+    for groups, shards in ((512, 128), (1024, 128)):
+        size = 1 << 27
+        for _ in range(3):
+            (a, b), (c, d) = dealt(size, groups, shards), dealt(4 * size, groups, shards)
+            assert 3.9 < c * d / (a * b) < 4.1
+            size *= 4
+        a, b = dealt(1 << 47, groups, shards)
+        assert (1 << 47) / a <= 1 << 23 and (1 << 47) / b <= 1 << 26
 
 
 def test_awkward_rows_and_shards(spark):
@@ -53,24 +98,3 @@ def test_awkward_rows_and_shards(spark):
     key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens)
     assert all(close(a, b) for a, b in zip(sorted(got, key=key), sorted(other, key=key), strict=True))
     assert L.score_texts(empty(spark)).count() == 0
-
-
-def test_bigrams_count_whatever_room_a_shard_would_have(spark):
-    # a filter of 32 MB dealt over so many shards has 64 bits a shard, less than a bigram of level 7 takes
-    texts = {i: b"a b " * 100 + b"c%d" % i for i in range(1, 41)}
-    df = spark.createDataFrame([(i, t.decode()) for i, t in texts.items()], "doc_id long, text string")
-    token = {i: t.split() + [None] for i, t in texts.items()}
-    fit = [t for i, t in token.items() if zlib.crc32(str(i).encode()) % 10]
-    word = collections.Counter(w for t in fit for w in t)
-    pair = collections.Counter(p for t in fit for p in zip([None, *t], t, strict=False))
-    n, v = sum(word.values()), len(word)
-    seen = {p: float(L.typical(L.level(np.array([c])))[0]) for p, c in pair.items()}
-    for n_shards in (8, 1 << 22):
-        got = L.score_texts(df, n_groups=2, n_shards=n_shards).collect()
-        assert len(got) == len(texts)
-        for r in got:
-            t, want = token[r.doc_id], 0.0
-            for p in zip([None, *t], t, strict=False):
-                s = seen.get(p, 0.0)
-                want += math.log10((s + L.MU * (word[p[1]] + 0.1) / (n + 0.1 * (v + 1))) / (max(word[p[0]], s) + L.MU))
-            assert math.isclose(r.score, want, rel_tol=0.02)

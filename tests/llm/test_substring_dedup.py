@@ -51,3 +51,10 @@ def test_awkward_rows(spark):
     assert substring_dedup.repeats(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         substring_dedup.repeats(empty(spark), window=18, block=10)
+
+
+def test_the_smallest_id_is_an_id(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    least = -(1 << 63)
+    rows = {r.doc_id: r.n_removed for r in substring_dedup.repeats(spark.createDataFrame([(least, text), (0, text), (None, text)], "doc_id long, text string")).collect()}
+    assert rows == {None: 0, least: 30, 0: 30}
