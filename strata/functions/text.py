@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,10 +82,10 @@ def composed(text: Column) -> Column:
     """Canonical composition, so that a letter and its accent are one character; in Arrow batches."""
     import unicodedata
 
-    def run(s):
+    def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
-    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(text)
+    return F.pandas_udf(run, "string")(text)
 
 
 def bullet(text: Column) -> Column:

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 def lost_words(before: DataFrame, after: DataFrame, by: str, word: str) -> DataFrame:
     """Words of a group that occur fewer times afterwards, with how many are missing."""
-    a = before.groupBy(by, word).agg(F.count("*").alias("n_before"))
-    b = after.groupBy(by, word).agg(F.count("*").alias("n_after"))
-    return a.join(b, [by, word], "left").select(by, word, (F.col("n_before") - F.coalesce("n_after", F.lit(0))).alias("n_lost")).where("n_lost > 0")
+    signed = lambda df, sign: df.select(by, word, F.lit(sign).cast("long").alias("n_lost"))
+    return signed(before, 1).unionByName(signed(after, -1)).groupBy(by, word).agg(F.sum("n_lost").alias("n_lost")).where("n_lost > 0")
 
 
 def ownership(items: DataFrame, owners: DataFrame, item: str, claim: str) -> DataFrame:

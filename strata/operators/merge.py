@@ -89,22 +89,29 @@ def edited_fields(base: DataFrame, live: DataFrame, key: str, fields: list[str])
     return j.select(key, F.when(F.col("t").isNull(), F.array(F.lit("deleted"))).otherwise(names).alias("edits"))
 
 
-MERGED_TEXT = "merged string, conflicts int, clashes array<struct<base:string,ours:string,theirs:string>>"
+MERGED_TEXT = "merged string, conflicts int, clashes array<struct<base:string,ours:string,theirs:string,paragraph:int>>"
 
 
 def merge_texts(df: DataFrame, key: str, base: str, ours: str, theirs: str, take: str | None = None) -> DataFrame:
-    """Paragraph- and word-wise three-way merge of text columns; ``take`` names a boolean column that settles clashes for ours.  Nulls count as empty."""
-    kind = dict(df.dtypes)[key]
+    """Paragraph- and word-wise three-way merge of text columns.  Nulls count as empty.
+
+    ``take`` names a column that settles clashes for ours: a boolean for all of a row's, or an array of the paragraphs whose are.
+    """
+    kinds = dict(df.dtypes)
     cols = [F.col(key), *(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((base, "b"), (ours, "o"), (theirs, "t"))), (F.col(take) if take else F.lit(False)).alias("take")]
+    every = not take or kinds[take] == "boolean"
 
     def run(batches):
-        for pdf in batches:
-            out = [sequences.merge_paragraphs(b, o, t, bool(k)) for b, o, t, k in zip(pdf["b"], pdf["o"], pdf["t"], pdf["take"], strict=True)]
-            pdf = pdf[[key]].assign(merged=[m for m, _ in out], conflicts=[len(c) for _, c in out])
-            pdf["clashes"] = [[{"base": x, "ours": y, "theirs": z} for x, y, z in c] for _, c in out]
-            yield pdf
+        import pyarrow as pa
+
+        clash = pa.list_(pa.struct([("base", pa.string()), ("ours", pa.string()), ("theirs", pa.string()), ("paragraph", pa.int32())]))
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("b", "o", "t", "take")), strict=True)
+            out = [sequences.merge_paragraphs(b, o, t, bool(k) if every else k or ()) for b, o, t, k in rows]
+            told = pa.array([[c._asdict() for c in clashes] for _, clashes in out], clash)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([m for m, _ in out], pa.string()), pa.array([len(c) for _, c in out], pa.int32()), told], [key, "merged", "conflicts", "clashes"])
 
-    return df.select(*cols).mapInPandas(run, f"{key} {kind}, {MERGED_TEXT}")
+    return df.select(*cols).mapInArrow(run, f"{key} {kinds[key]}, {MERGED_TEXT}")
 
 
 def has_writes(decided: DataFrame) -> DataFrame:

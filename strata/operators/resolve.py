@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,17 +12,34 @@ from strata.functions import sequences
 from strata.plans.lineage import durable
 
 
-def occurrence_keys(df: DataFrame, stem: list[str], order: list, name: str = "key") -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Numbers each group's rows from 1 on, however large a group is.
+
+    Rows are dealt by ranges of (``by``, ``order``), so a large group lies in several parts; each is numbered by itself and goes on
+    from how many rows of the group the parts before it hold.
+    """
+    placed = durable(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*by, "__part").agg(F.count("*").alias("__m")).withColumn("__before", F.sum("__m").over(earlier)).where("__before is not null")
+    offset = counts.select(*(F.col(c).alias(f"__{c}_of") for c in by), F.col("__part").alias("__at"), "__before")
+    same = F.col("__part") == F.col("__at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}_of"))
+    row = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
+    found = placed.withColumn("__row", row).join(offset, same, "left")
+    return found.select(*(F.col(c) for c in df.columns), (F.col("__row") + F.coalesce("__before", F.lit(0))).cast("long").alias(name))
+
+
+def occurrence_keys(df: DataFrame, stem: list[str], order: list[str], name: str = "key") -> DataFrame:
     """``stem`` for the first of its kind, ``stem#2`` for the second and so on."""
-    n = F.row_number().over(Window.partitionBy(*stem).orderBy(*order))
+    n = F.col("n")
     base = F.concat_ws("/", *stem)
-    return df.withColumn("n", n.cast("long")).withColumn(name, F.when(n == 1, base).otherwise(F.concat(base, F.lit("#"), n.cast("string"))))
+    return numbered(df, stem, order, "n").withColumn(name, F.when(n == 1, base).otherwise(F.concat(base, F.lit("#"), n.cast("string"))))
 
 
 def ordinal_join(a: DataFrame, b: DataFrame, on: list[str], order_a: list, order_b: list, how: str = "inner") -> DataFrame:
     """The n-th row of a value on one side meets the n-th of that value on the other (first in, first out)."""
-    number = lambda df, order: df.withColumn("ordinal", F.row_number().over(Window.partitionBy(*on).orderBy(*order)).cast("long"))
-    return number(a, order_a).join(number(b, order_b), [*on, "ordinal"], how)
+    return numbered(a, on, order_a, "ordinal").join(numbered(b, on, order_b, "ordinal"), [*on, "ordinal"], how)
 
 
 def mutual_best(scored: DataFrame, left: str, right: str, score: str, least: float, margin: float) -> DataFrame:
@@ -116,8 +134,6 @@ def align_groups(a: DataFrame, b: DataFrame, by: str, order: str, text: str, thr
     """
 
     def run(left, right):
-        import pandas as pd
-
         # an absent side comes without columns
         left, right = (d.sort_values("__pos") if len(d) else pd.DataFrame({"__by": [], "__pos": [], "__text": []}) for d in (left, right))
         x = [(t or "").lower().split() for t in left["__text"]]
@@ -154,13 +170,12 @@ def kept_order(df: DataFrame, by: str, was: str, now: str) -> DataFrame:
 
 
 def word_similarity(a: Column, b: Column) -> Column:
-    """Word ratio of two texts, in Arrow batches."""
-    import pandas as pd
+    """Word ratio of two texts, in Arrow batches; equal texts' is known without splitting them."""
 
-    def run(x, y):
-        return pd.Series([sequences.word_ratio(i, j) for i, j in zip(x, y, strict=True)])
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([1.0 if i == j else sequences.word_ratio(i, j) for i, j in zip(x, y, strict=True)])
 
-    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)(a, b)
+    return F.pandas_udf(run, "double")(a, b)
 
 
 def points_in_rectangles(points: DataFrame, key: str, rectangles: DataFrame, panel: str, by: list[str], cell: float) -> DataFrame:

@@ -66,10 +66,10 @@ def broken_numbering(df: DataFrame, by: list[str], order: str, number: str) -> D
     return df.withColumn("__want", F.row_number().over(w)).where(F.col(number) != F.col("__want")).groupBy(*by).agg(F.min("__want").cast("long").alias("first_wrong"), F.count("*").alias("n_wrong"))
 
 
-def batches(df: DataFrame, order: str, size: str, most: int) -> DataFrame:
+def batches(df: DataFrame, by: str, order: str, size: str, most: int) -> DataFrame:
     """Numbers batches of whole groups: a group that would pass ``most`` together with those since the last cut starts the next.
 
-    Group sizes come first to one row a group; the fold over these is one scan of (order, size) per partition of ``order``.
+    Each list ``by`` is cut by itself, in one task, as a cut follows from all before it; it has one row a group of requests.
     """
 
     def run(pdf):
@@ -84,7 +84,7 @@ def batches(df: DataFrame, order: str, size: str, most: int) -> DataFrame:
         return pdf
 
     kinds = dict(df.dtypes)
-    return df.groupBy("doc").applyInPandas(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", batch long")
+    return df.groupBy(by).applyInPandas(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", batch long")
 
 
 def best_rounds(df: DataFrame, by: list[str], round_: str, score: str) -> DataFrame:

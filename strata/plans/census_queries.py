@@ -224,8 +224,15 @@ def s21_request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders as groups of requests, as many as their lines, cut into batches of at most twelve between groups."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     groups = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("block"), "n")
-    return segment.batches(groups, "block", "n", 12).groupBy("doc", "batch").agg(F.sum("n").alias("n_requests"), F.count("*").alias("n_groups"))
+    return segment.batches(groups, "doc", "block", "n", 12).groupBy("doc", "batch").agg(F.sum("n").alias("n_requests"), F.count("*").alias("n_groups"))
 
 
+S21 = """
+WITH RECURSIVE g AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, n FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+t AS (SELECT doc, k, n, n AS total, 0::BIGINT AS batch FROM g WHERE k = 1
+  UNION ALL SELECT g.doc, g.k, g.n, CASE WHEN t.total + g.n > 12 THEN g.n ELSE t.total + g.n END, t.batch + CASE WHEN t.total + g.n > 12 THEN 1 ELSE 0 END FROM t JOIN g ON g.doc = t.doc AND g.k = t.k + 1)
+SELECT doc, batch, sum(n)::BIGINT AS n_requests, count(*) AS n_groups FROM t GROUP BY ALL
+"""
+
 QUERIES = {f.__name__: f for f in (a8_big_headings, a13_style_census, a15_inherited_vote, a19_style_hash, a22_absorbed, w5_carried_notes, w12_numbering, w21_best_rounds, j5_paragraph_pairs, j8_rivals, j11_crossings, j11_crossed_twins, j16_panels, k6_group_tree, t4_symmetric_difference, c10_edit_scripts, c15_text_measures, s21_request_batches)}
-ORACLES = {"a8_big_headings": A8, "a13_style_census": A13, "a15_inherited_vote": A15, "a19_style_hash": A19, "a22_absorbed": A22, "w5_carried_notes": W5, "w12_numbering": W12, "w21_best_rounds": W21, "j8_rivals": J8, "j11_crossings": J11, "j11_crossed_twins": J11_TWINS, "j16_panels": J16, "k6_group_tree": K6, "t4_symmetric_difference": T4, "c15_text_measures": C15}
+ORACLES = {"a8_big_headings": A8, "a13_style_census": A13, "a15_inherited_vote": A15, "a19_style_hash": A19, "a22_absorbed": A22, "w5_carried_notes": W5, "w12_numbering": W12, "w21_best_rounds": W21, "j8_rivals": J8, "j11_crossings": J11, "j11_crossed_twins": J11_TWINS, "j16_panels": J16, "k6_group_tree": K6, "t4_symmetric_difference": T4, "c15_text_measures": C15, "s21_request_batches": S21}

@@ -158,6 +158,14 @@ def p3_text_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.mapInPandas(run, "k long, n long, start long, stop long, new string")
 
 
+P3 = r"""
+WITH t AS (SELECT conv_id * 1000 + turn AS k, regexp_split_to_array(trim(text), '\s+') AS w FROM conversations),
+p AS (SELECT k, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS a FROM t), c AS (SELECT k, i, regexp_replace(a, '(^|[^\p{L}\p{N}_])(en|die|the)($|[^\p{L}\p{N}_])', '\1X\3', 'g') AS b FROM p WHERE b <> a),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY k ORDER BY i) AS run FROM c)
+SELECT k, row_number() OVER (PARTITION BY k ORDER BY min(i)) - 1 AS n, min(i) AS start, max(i) + 1 AS stop, string_agg(b, ' ' ORDER BY i) AS new FROM g GROUP BY k, run
+"""
+
+
 def c9_table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as small tables in three versions, merged cell by cell."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
@@ -253,4 +261,4 @@ SELECT 'decisions' AS section, decision AS what, count(*) AS n FROM d GROUP BY d
 """
 
 QUERIES = {f.__name__: f for f in (a7_titles, a10_majority, a11_columns, w20_style_ranges, w22_bands, j12_label_moves, j18_units, f10_bullets, f12_would_hide, f14_has_writes, t2_union_of_keys, s11_html_round_trip, p3_text_residuals, c9_table_merge, a6_shares, a9_median_pitch, w2_tracked_runs, w17_drawn_order, f5_off_page, n5_key_paths, s24_report)}
-ORACLES = {"a7_titles": A7, "a10_majority": A10, "a11_columns": A11, "w20_style_ranges": W20, "w22_bands": W22, "j12_label_moves": J12, "j18_units": J18, "f10_bullets": F10, "f12_would_hide": F12, "f14_has_writes": F14, "t2_union_of_keys": T2, "c9_table_merge": C9, "a6_shares": A6, "a9_median_pitch": A9, "w2_tracked_runs": W2, "w17_drawn_order": W17, "f5_off_page": F5, "n5_key_paths": N5, "s24_report": S24}
+ORACLES = {"p3_text_residuals": P3, "a7_titles": A7, "a10_majority": A10, "a11_columns": A11, "w20_style_ranges": W20, "w22_bands": W22, "j12_label_moves": J12, "j18_units": J18, "f10_bullets": F10, "f12_would_hide": F12, "f14_has_writes": F14, "t2_union_of_keys": T2, "c9_table_merge": C9, "a6_shares": A6, "a9_median_pitch": A9, "w2_tracked_runs": W2, "w17_drawn_order": W17, "f5_off_page": F5, "n5_key_paths": N5, "s24_report": S24}

@@ -172,6 +172,14 @@ def q17_kept_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.count_if("kept_order").alias("n_kept"))
 
 
+# a longest increasing run's length by patience: each value takes the place of the first end that is no smaller, or goes behind all
+Q17 = """
+WITH o AS (SELECT o_custkey, o_orderkey AS was, epoch(o_orderdate::TIMESTAMP)::BIGINT * 10000 + o_orderkey % 10000 AS now FROM orders),
+l AS (SELECT o_custkey, list([was] ORDER BY now) AS l FROM o GROUP BY o_custkey)
+SELECT o_custkey, len(l)::BIGINT AS n_orders, len(list_reduce(l, lambda t, x: CASE WHEN x[1] > t[len(t)] THEN list_concat(t, x) ELSE list_transform(t, lambda y, i: CASE WHEN y >= x[1] AND (i = 1 OR t[i - 1] < x[1]) THEN x[1] ELSE y END) END))::BIGINT AS n_kept FROM l
+"""
+
+
 def q18_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of each conversation aligned with a version that lost and reworded some."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
@@ -187,4 +195,4 @@ def j27_filled_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (q7_occurrence_keys, q8_label_pairs, q9_content_fifo, q10_mutual_best, q11_greedy_match, q12_gap_join, q13_interval_join, q14_near_pairs, q14_spatial_components, q15_band_cells, q17_kept_order, q18_alignment, j27_filled_alignment)}
-ORACLES = {"q7_occurrence_keys": Q7, "q8_label_pairs": Q8, "q9_content_fifo": Q9, "q10_mutual_best": Q10, "q12_gap_join": Q12, "q13_interval_join": Q13, "q14_near_pairs": Q14P, "q14_spatial_components": Q14, "q15_band_cells": Q15}
+ORACLES = {"q7_occurrence_keys": Q7, "q8_label_pairs": Q8, "q9_content_fifo": Q9, "q10_mutual_best": Q10, "q12_gap_join": Q12, "q13_interval_join": Q13, "q14_near_pairs": Q14P, "q14_spatial_components": Q14, "q15_band_cells": Q15, "q17_kept_order": Q17}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions import text as tx
+from strata.operators import resolve
 from strata.sources import html
 from strata.sources.tables import table
 
@@ -24,8 +25,7 @@ def c2_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's first line as a title: its normal form, a unique slug, and lengths."""
     line = F.split("text", "\n")[0]
     docs = table(spark, sf_dir, "documents").select("doc_id", tx.norm_title(line).alias("title"), tx.slug(line).alias("stem"), F.size(tx.words(F.col("text"))).cast("long").alias("n_words"), tx.utf16_length(F.col("text")).alias("utf16"))
-    n = F.row_number().over(Window.partitionBy("stem").orderBy("doc_id"))
-    return docs.withColumn("n", n).select("doc_id", "title", F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", F.col("n").cast("string"))).alias("slug"), "n_words", "utf16")
+    return resolve.numbered(docs, ["stem"], ["doc_id"], "n").select("doc_id", "title", F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", F.col("n").cast("string"))).alias("slug"), "n_words", "utf16")
 
 
 C2 = """

@@ -1,6 +1,7 @@
 """Operators against brute force and the rules that are easy to get wrong."""
 
 import itertools
+import functools
 import random
 
 import pytest
@@ -8,7 +9,7 @@ import pytest
 from strata.functions import geometry as geo
 from strata.functions import sequences as seq
 from strata.functions import text as tx
-from strata.operators import audit, graph, layout, merge, resolve, segment, state, stats
+from strata.operators import audit, elements, figures, graph, layout, merge, resolve, segment, state, stats
 from strata.sources import html, strict_json
 
 
@@ -63,7 +64,7 @@ def test_three_way_merge_takes_one_sided_changes():
 
 def test_three_way_paragraphs_are_taken_whole():
     merged, told = seq.merge_paragraphs("a\nb c\nd", "a\nX c\nd", "a\nY c\nd!")
-    assert merged == "a\nY c\nd!" and told == [("b c", "X c", "Y c")]
+    assert merged == "a\nY c\nd!" and told == [("b c", "X c", "Y c", 1)]
     assert seq.merge_paragraphs("a\nb c\nd", "a\nX c\nd", "a\nY c\nd!", take=True)[0] == "a\nX c\nd!"
     assert seq.merge_paragraphs("a b", "a b", "a c") == ("a c", [])
 
@@ -342,3 +343,104 @@ def test_trees_of_any_depth(spark):
     assert sorted((r.k, r.root, r.depth, r.x) for r in flat) == [(k, 0, k, k + 1.0) for k in range(n)]
     drawn = resolve.drawn_order(nodes, "k", "p", "z").collect()
     assert sorted((r.k, r.root, r["rank"]) for r in drawn) == [(k, 0, k + 1) for k in range(n)]
+
+
+OLD = "first the plan\nthen the budget\nwho signs it off?\n"
+
+
+def test_a_line_added_beside_a_clash_still_arrives():
+    ours, theirs = "first the plan\nthen the budget\nwho signs it away?\nand by which day\n", "first the plan\nthen the budget\nwho signs it today?\n"
+    merged, told = seq.merge_paragraphs(OLD, ours, theirs)
+    assert merged == "first the plan\nthen the budget\nwho signs it today?\nand by which day\n"
+    assert told == [("who signs it off?", "who signs it away?", "who signs it today?", 2)]
+    assert seq.merge_paragraphs(OLD, ours, theirs, take=[2]) == (ours, [])
+    assert seq.merge_paragraphs(OLD, ours, theirs, take=[1])[0] == merged
+
+
+def test_paragraphs_are_lined_up_before_they_are_merged():
+    m = seq.merge_paragraphs
+    assert m("p\nq\n", "p\nnew\nq\n", "p\nq but longer\n") == ("p\nnew\nq but longer\n", [])
+    # what theirs put in front moves the place that names a clash
+    merged, told = m("p\nq\nr\n", "p\nq\nr mine\ns\n", "p\nmore\nq\nr yours\n")
+    assert merged == "p\nmore\nq\nr yours\ns\n" and [c.paragraph for c in told] == [3]
+    assert m("p\nq\nr\n", "p\nq\nr mine\ns\n", "p\nmore\nq\nr yours\n", take=[3])[0] == "p\nmore\nq\nr mine\ns\n"
+    # two lines put in at one place, and one reworded that the other side dropped
+    assert m("p\nq\n", "p\nq\nmine\n", "p\nq\nyours\n") == ("p\nq\nyours\n", [("", "mine", "yours", 2)])
+    merged, told = m("p\nq\nr\n", "p\nq again\nr\ns\n", "p\nr\n")
+    assert merged == "p\nr\ns\n" and [c.base for c in told] == ["q"]
+    # a text of one paragraph is merged by words whatever the sides add
+    assert m("a b", "a b\nnew", "c b") == ("c b\nnew", [])
+
+
+def test_paragraph_changes_pair_what_was_reworded():
+    base, other = ["alpha beta gamma", "one two three four"], ["zeta", "alpha beta delta", "one two three five", "omega"]
+    got = seq.paragraph_changes(base, other)
+    assert [(c.start, c.stop, c.new) for c in got] == [(0, 0, ("zeta",)), (0, 1, ("alpha beta delta",)), (1, 2, ("one two three five",)), (2, 2, ("omega",))]
+
+
+def test_changes_rebuild_the_other_side():
+    r = random.Random(12)
+    for _ in range(300):
+        a, b = ([r.choice("abc") for _ in range(r.randint(0, 9))] for _ in range(2))
+        out, at = [], 0
+        for c in seq.changes(a, b):
+            out += [*a[at : c.start], *c.new]
+            at = c.stop
+        assert out + a[at:] == b
+
+
+def test_alignment_has_the_largest_sum():
+    r = random.Random(13)
+    for _ in range(150):
+        n, m = r.randint(0, 6), r.randint(0, 6)
+        sim = [[round(r.random(), 1) for _ in range(m)] for _ in range(n)]
+
+        @functools.cache
+        def best(i, j):
+            if i == n or j == m:
+                return 0.0
+            return max(best(i + 1, j), best(i, j + 1), best(i + 1, j + 1) + sim[i][j] if sim[i][j] >= 0.5 else 0)  # noqa: B023
+
+        pairs = seq.align(n, m, lambda i, j: sim[i][j], 0.5)  # noqa: B023
+        assert [i for i, _ in pairs if i is not None] == list(range(n)) and [j for _, j in pairs if j is not None] == list(range(m))
+        both = [sim[i][j] for i, j in pairs if i is not None and j is not None]
+        assert all(s >= 0.5 for s in both) and abs(sum(both) - best(0, 0)) < 1e-9
+
+
+def test_merge_texts_takes_named_paragraphs(spark):
+    rows = [(1, OLD, OLD.replace("off", "away"), OLD.replace("off", "today"), [2]), (2, OLD, OLD.replace("off", "away"), OLD.replace("off", "today"), None), (3, None, "x", None, [])]
+    df = spark.createDataFrame(rows, "k long, b string, o string, t string, take array<int>")
+    got = {r.k: r for r in merge.merge_texts(df, "k", "b", "o", "t", "take").collect()}
+    assert got[1].merged == OLD.replace("off", "away") and got[1].conflicts == 0
+    assert got[2].merged == OLD.replace("off", "today") and [c.paragraph for c in got[2].clashes] == [2]
+    assert got[3].merged == "x"
+
+
+def test_numbers_of_a_large_group_run_on(spark):
+    rows = [("hot", k) for k in range(5000)] + [(None, k) for k in range(30)] + [(f"v{k % 7}", k) for k in range(100)]
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = resolve.numbered(spark.createDataFrame(rows, "g string, k long").repartition(8), ["g"], ["k"], "n").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    seen, want = {}, {}
+    for g, k in sorted(rows, key=lambda r: r[1]):
+        want[g, k] = seen[g] = seen.get(g, 0) + 1
+    assert {(r.g, r.k): r.n for r in got} == want and len(got) == len(rows)
+
+
+def test_request_trees_and_canonical_json(spark):
+    assert elements.same_tree({"a": [1, {"translateX": 100.0}]}, {"a": [1, {"translateX": 6000.0}]}) and not elements.same_tree({"a": 1}, {"a": 1, "b": 2})
+    assert not elements.same_tree(True, 1) and elements.same_tree(2.0, 2.04) and not elements.same_tree([1], [2]) and elements.same_tree({"translateY": 0}, {"translateY": 50_000}, (0, 50_000))
+    assert elements.canonical({"id": 1, "anchor": "x", "k": ["p3t1", "#page=2", 1.239, "p3"]}, "a", {2: "two"}) == {"anchor": "a", "k": ["t1", "#slide=two", 1.24, "p3"]}
+    bad = spark.createDataFrame([(1, "{", "a", {1: "s"}), (2, None, None, None)], "k long, t string, a string, p map<int,string>")
+    assert [r.canonical for r in elements.canonical_json(bad, "k", "t", "a", "p").collect()] == [None, None]
+
+
+def test_figures_take_empty_tables(spark):
+    px = spark.createDataFrame([], "page long, x long, y long, rgb long")
+    boxes = spark.createDataFrame([], "page long, x0 double, y0 double, x1 double, y1 double")
+    one = spark.createDataFrame([(1, 3, 4, 7)], "page long, x long, y long, rgb long")
+    assert figures.page_ground(px, ["page"]).count() == figures.ink_overlap(px, px, ["page"]).count() == figures.labels(px, "page").count() == figures.uncovered(px, boxes, ["page"], 4.0).count() == 0
+    assert figures.ink_overlap(one, px, ["page"]).collect()[0].overlap == 0 and figures.ink_overlap(one, one, ["page"]).collect()[0].overlap == 1
+    assert figures.labels(one, "page").count() == figures.uncovered(one, boxes, ["page"], 4.0).count() == 1
