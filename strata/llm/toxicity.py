@@ -23,9 +23,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, documents, pieces, texts_of
+from .common import U64, Words, documents, durable, pieces, texts_of
 
-MAX_DOCS, MAX_FEATURES, HEAD = 20_000, 4_096, 6
+MAX_DOCS, MAX_FEATURES, MAX_TOKENS, HEAD = 20_000, 4_096, 4_000_000, 6
 THRESHOLD = 0.3
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[97:123] = False
@@ -233,8 +233,8 @@ def fit(sequences: list[tuple[int, int, np.ndarray, np.ndarray]], words: dict[in
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
     """Trains on at most ``max_docs`` labelled documents that are not held out.
 
-    What reaches the driver is bounded: counts of the MAX_FEATURES best features, and of each training
-    document the tokens that have one of them.
+    What reaches the driver is bounded: counts of the MAX_FEATURES best features, and the tokens that have one of them of
+    training documents in the order of a hash of their id, up to and with the one that reaches ``MAX_TOKENS``.
     """
     spark = docs.sparkSession
     lab = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -269,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, id_col:
         import pyarrow as pa
 
         for batch in it:
-            texts, ys = texts_of(batch), batch.column("y").to_pylist()
+            texts, ys, ids = texts_of(batch), batch.column("y").to_pylist(), batch.column("doc_id").to_pylist()
             rows = []
             for a, b in pieces(texts):
                 w, heads = tokens(texts[a:b])
@@ -277,10 +277,17 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, id_col:
                 for k in range(b - a):
                     lo, hi = w.first[k], w.first[k + 1]
                     at = np.flatnonzero(hit[lo:hi])
-                    rows.append((ys[a + k], int(hi - lo), at.astype(np.int64).tolist(), w.hashes[lo + at].view(np.int64).tolist(), heads[lo + at].view(np.int64).tolist()))
-            yield pa.RecordBatch.from_pylist([dict(zip(("y", "n", "at", "words", "heads"), r, strict=True)) for r in rows], schema=pa.schema([("y", pa.int32()), ("n", pa.int64()), ("at", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("heads", pa.list_(pa.int64()))]))
-
-    got = train_docs.mapInArrow(active, "y int, n long, at array<long>, words array<long>, heads array<long>").collect()
+                    rows.append((ids[a + k], ys[a + k], int(hi - lo), at.astype(np.int64).tolist(), w.hashes[lo + at].view(np.int64).tolist(), heads[lo + at].view(np.int64).tolist()))
+            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "y", "n", "at", "words", "heads"), r, strict=True)) for r in rows], schema=pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("n", pa.int64()), ("at", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("heads", pa.list_(pa.int64()))]))
+
+    found = durable(train_docs.mapInArrow(active, "doc_id long, y int, n long, at array<long>, words array<long>, heads array<long>"))
+    sizes = {r.doc_id: r.m for r in found.groupBy("doc_id").agg(F.sum(F.size("at") + 1).alias("m")).collect()}  # at most max_docs rows
+    left_out, total = [], 0
+    for i, _ in picked:
+        if total >= MAX_TOKENS:
+            left_out.append(i)
+        total += sizes.get(i, 0)
+    got = (found.where(~F.col("doc_id").isin(left_out)) if left_out else found).drop("doc_id").collect()
     if len({r.y for r in got}) < 2:  # labelled documents of one kind are missing
         return Chain(np.zeros(0, U64), np.zeros(0), prior=(toxic + 0.1) / (len(picked) + 1))
     sequences = [(r.y, r.n, np.array(r["at"], np.int64), np.stack([np.array(r.words, np.int64), np.array(r.heads, np.int64)], axis=1).view(U64).reshape(-1, 2)) for r in got]
@@ -290,8 +297,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, id_col:
 
 # ---------------------------------------------------------------- DataFrame operators
 
-def score_documents(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` of every row."""
+def score_documents(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least: float = 0.5) -> DataFrame:
+    """``doc_id, score, spans`` of every row; ``spans``: the offending ``start:end`` (code points) of texts from ``threshold`` on, those of marginals from ``least`` on."""
 
     def run(it):
         import pyarrow as pa
@@ -299,9 +306,11 @@ def score_documents(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_co
         for batch in it:
             texts = texts_of(batch)
             out = [chain.scores(texts[a:b]) for a, b in pieces(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "score"])
+            score = np.concatenate(out) if out else np.zeros(0)
+            spans = [",".join(f"{a}:{b}" for a, b, _ in chain.spans(t.decode(), least)) if s >= threshold else "" for t, s in zip(texts, score.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(spans, pa.string())], ["doc_id", "score", "spans"])
 
-    return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, score double, spans string")
 
 
 def toxic_spans(df: DataFrame, chain: Chain, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -55,6 +55,8 @@ def test_awkward_rows_spans_and_missing_labels(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     chain = toxicity.train(docs, labels)
     got = toxicity.score_documents(awkward(spark), chain).collect()
+    told = {r.doc_id: ",".join(f"{x.start}:{x.end}" for x in r.spans) for r in toxicity.toxic_spans(awkward(spark), chain).collect()}
+    assert all(r.spans == (told[r.doc_id] if r.score >= toxicity.THRESHOLD else "") for r in got)
     assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score_documents(empty(spark), chain).count() == 0
     text = "é you idiot é"
