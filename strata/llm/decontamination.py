@@ -97,6 +97,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], q: int = Q, segment: int = SEGMENT, rate: float = RATE, tile: int = TILE):
         self.q, self.segment, self.rate, self.tile = q, segment, rate, tile
         self.ids = [i for i, _ in items]
+        self.starts: dict[int, np.ndarray] = {}
         self.texts = [normal(t) for _, t in items]
         self.short = [(i, re.compile(rf"(?<!\w){re.escape(t)}(?!\w)")) for i, t in zip(self.ids, self.texts, strict=True) if 0 < len(t) < q]
         self.begin = np.concatenate([[0], np.cumsum([len(t) for t in self.texts])]).astype(np.int64)  # where each item begins in all of them
@@ -201,14 +202,18 @@ class Index:
         ranked = key[order]
         edge = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
         sizes = np.diff(np.append(edge, len(ranked)))
-        enough = sizes >= self._least
+        enough, done = sizes >= self._least, set()
         for e, n in zip(edge[enough].tolist(), sizes[enough].tolist(), strict=True):
             rows = order[e : e + n] % len(spot)
             i, d = int(item[rows[0]]), int(doc[rows[0]])
             if out[d].get(self.ids[i]) == 0:
                 continue
-            diagonal = spot[rows] - place[rows] - begin[d]
-            self._align(i, texts[d], out[d], np.sort(place[rows]), int(diagonal.min()), int(diagonal.max()))
+            diagonal, places = spot[rows] - place[rows] - begin[d], np.sort(place[rows])
+            told = (d, i, int(diagonal.min()), int(diagonal.max()), places.tobytes())
+            if told in done:
+                continue  # hits that all lie where two bands overlap
+            done.add(told)
+            self._align(i, texts[d], out[d], places, told[2], told[3])
 
     @functools.cached_property
     def _least(self) -> int:
@@ -217,18 +222,21 @@ class Index:
         return max(1, min((bound(n, budget(n, self.rate, self.q), self.q) for n in lengths if n >= self.q), default=1))
 
     def _align(self, i: int, text: str, found: dict[int, int], places: np.ndarray, lo: int, hi: int) -> None:
-        segments = self.segments(i)
-        n = segments[0][1]  # the same for all of an item's
-        starts = np.array([a for a, _ in segments])
+        """Segments with the most shared q-grams come first; those with too few to be nearer than what is found are left."""
+        if i not in self.starts:
+            self.starts[i] = np.array([a for a, _ in self.segments(i)])
+        starts, n = self.starts[i], min(len(self.texts[i]), self.segment)
         e = budget(n, self.rate, self.q)
         inside = np.searchsorted(places, starts + n - self.q, side="right") - np.searchsorted(places, starts)
-        for a in starts[inside >= max(1, bound(n, e, self.q))].tolist():
+        for k in np.argsort(-inside, kind="stable").tolist():
+            nearer = min(e, found.get(self.ids[i], e + 1) - 1)
+            if nearer < 0 or inside[k] < max(1, bound(n, nearer, self.q)):
+                return
+            a = int(starts[k])
             x, y = max(0, lo + a - e), min(len(text), hi + a + n + e)
-            d = banded_distance(self.texts[i][a : a + n], text[x:y], e)
-            if d is not None and d < found.get(self.ids[i], e + 1):
+            d = banded_distance(self.texts[i][a : a + n], text[x:y], nearer)
+            if d is not None:
                 found[self.ids[i]] = d
-                if d == 0:
-                    return
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
