@@ -65,30 +65,42 @@ def bound(length: int, edits: int, q: int = Q) -> int:
     return length + 1 - q * (edits + 1)
 
 
+@functools.lru_cache(maxsize=1 << 12)
+def letter_rows(segment: str) -> dict[str, int]:
+    """For each letter, the rows of a column (as bits) whose segment character it is."""
+    rows: dict[str, int] = {}
+    for i, c in enumerate(segment):
+        rows[c] = rows.get(c, 0) | 1 << i
+    return rows
+
+
 def banded_distance(segment: str, stretch: str, edits: int) -> int | None:
-    """Least edits between the segment and any part of the stretch, if within the budget; rows keep the band around the stretch's diagonals."""
+    """Least edits between the segment and any part of the stretch, if within the budget.
+
+    The stretch is what the band's diagonals reach.  A column of the alignment is two bit vectors, of the rows where it rises
+    and where it falls (Myers), so the band needs no narrower column; it ends once too few columns are left to come into the budget.
+    """
     if segment in stretch:
         return 0
-    s, t = np.array([ord(c) for c in segment]), np.array([ord(c) for c in stretch])
-    m, n = len(s), len(t)
-    spare = max(0, n - m) + edits  # diagonals from -edits to spare
-    width = spare + edits + 1
-    steps = np.arange(width)
-    far = edits + 1
-    padded = np.full(n + 2 * width + m, -1)
-    padded[edits : edits + n] = t
-    row = np.where((steps - edits >= 0) & (steps - edits <= n), 0, far)
-    for i in range(1, m + 1):
-        j = steps + i - edits  # the column of each band cell
-        cost = padded[i - 1 + steps] != s[i - 1]
-        new = np.minimum(row + cost, np.append(row[1:], far) + 1)
-        new[(j < 0) | (j > n)] = far
-        new = np.minimum.accumulate(new - steps) + steps
-        new[(j < 0) | (j > n)] = far
-        row = np.minimum(new, far)
-        if row.min() >= far:
-            return None
-    return int(row.min()) if row.min() <= edits else None
+    m, rows = len(segment), letter_rows(segment)
+    full, last = (1 << m) - 1, 1 << (m - 1)
+    up, down, score, best = full, 0, m, min(m, edits + 1)
+    left = len(stretch)
+    for c in stretch:
+        eq = rows.get(c, 0)
+        straight = (((eq & up) + up) ^ up) | eq | down
+        more, less = down | (full & ~(straight | up)), straight & up
+        if more & last:
+            score += 1
+        elif less & last:
+            score -= 1
+            best = min(best, score)
+        left -= 1
+        if score - left >= best:
+            break
+        more, less = more << 1, less << 1  # the first row costs nothing anywhere
+        up, down = full & (less | ~(straight | more)), full & more & straight
+    return best if best <= edits else None
 
 
 class Index:
