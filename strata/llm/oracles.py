@@ -43,4 +43,22 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre):
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
 """
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": OP2, "op5_near_dedup": OP5, "op12_fill_in_middle": OP12}
+CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split_regex(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"
+
+#: All prefixes of all rebuilt conversations; a subtree's sums by every node's path upwards, on its smallest conversation.
+OP13 = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, n, {CRC32} % 6 AS h, conv_id - conv_id % 100 AS p FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id)),
+r AS (SELECT c.conv_id, c.h, c.p, least(c.h, coalesce(f.n, 0)) AS m FROM c LEFT JOIN c f ON f.conv_id = c.p),
+e AS (SELECT r.conv_id, k AS place, role, text FROM r JOIN t ON t.conv_id = p AND k <= m UNION ALL SELECT r.conv_id, m + k - h, role, text FROM r JOIN t ON t.conv_id = r.conv_id WHERE k > h),
+w AS (SELECT r.conv_id, coalesce(s, []) AS s, coalesce(l, []) AS l FROM r LEFT JOIN (SELECT conv_id, list(role || chr(31) || text ORDER BY place) AS s, list(length(text) ORDER BY place) AS l FROM e GROUP BY conv_id) x ON x.conv_id = r.conv_id),
+v AS (SELECT conv_id, d, len(s) AS whole, CASE WHEN d > 0 THEN l[d] ELSE 0 END AS chars, md5(array_to_string(s[1:d], chr(30))) AS key, md5(array_to_string(s[1:d - 1], chr(30))) AS up FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM w)),
+n AS (SELECT d, key, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (whole = d), '') AS ends FROM v GROUP BY d, key),
+k AS (SELECT d - 1 AS d, up AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY d, up),
+o AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.d = n.d AND k.key = n.key),
+a AS (SELECT v.d, v.key, count(*) FILTER (o.n_children = 0) AS n_leaves, sum((o.n_convs - 1) * o.chars)::BIGINT AS saved_tokens FROM o JOIN v ON v.conv_id = o.conv_id AND v.d <= o.d GROUP BY v.d, v.key)
+SELECT o.conv_id, o.d::BIGINT AS depth, q.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens, sha256(o.ends) AS ends_sha256
+FROM o JOIN a ON a.d = o.d AND a.key = o.key LEFT JOIN o q ON q.d = o.d - 1 AND q.key = o.up
+"""
+
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2, "op5_near_dedup": OP5, "op12_fill_in_middle": OP12, "op13_conversation_trie": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fill_in_middle, lm_scoring, matroska, near_dedup, pii, quality_ngram, sentencepiece_codec, substring_dedup, toxicity, url_filter
+from . import conversation_trie, decontamination, fill_in_middle, lm_scoring, matroska, near_dedup, pii, quality_ngram, sentencepiece_codec, substring_dedup, toxicity, url_filter
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -65,6 +65,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("id").alias("doc_id"), F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie_nodes(*conversation_trie.rebuilt(conversation_trie.hashed_turns(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_toxicity, op4_matroska, op5_near_dedup, op6_quality, op7_decontamination, op8_url_filter, op9_lm_scoring, op10_sentencepiece, op12_fill_in_middle)
+    f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_toxicity, op4_matroska, op5_near_dedup, op6_quality, op7_decontamination, op8_url_filter, op9_lm_scoring, op10_sentencepiece, op12_fill_in_middle, op13_conversation_trie)
 }
