@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_trie, decontamination, fill_in_middle, lm_scoring, matroska, near_dedup, pii, quality_ngram, sentencepiece_codec, substring_dedup, toxicity, url_filter
+from . import conversation_trie, decontamination, fill_in_middle, lm_scoring, matroska, near_dedup, pii, quality_ngram, sentencepiece_codec, source_mixing, substring_dedup, toxicity, url_filter
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -60,6 +60,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digest(table(spark, sf_dir, "documents"), sentencepiece_codec.load())
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.Mix(table(spark, sf_dir, "documents")).taken()
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle.restore(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
     return made.select(F.col("id").alias("doc_id"), F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"))
@@ -70,5 +74,5 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_toxicity, op4_matroska, op5_near_dedup, op6_quality, op7_decontamination, op8_url_filter, op9_lm_scoring, op10_sentencepiece, op12_fill_in_middle, op13_conversation_trie)
+    f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_toxicity, op4_matroska, op5_near_dedup, op6_quality, op7_decontamination, op8_url_filter, op9_lm_scoring, op10_sentencepiece, op11_source_mixing, op12_fill_in_middle, op13_conversation_trie)
 }
