@@ -207,7 +207,7 @@ class Mix:
         """
         b = self.block
         cut = F.expr(f"case when size > 0 then sequence(start div {b}, (start + size - 1) div {b}) end")
-        met = self.documents.withColumn("block", F.explode_outer(cut)).join(draws(self.sources, self.shards, b, self.seed), ["place", "block"], "left")
+        met = self.documents.withColumn("block", F.explode_outer(cut)).join(draws(self.sources, self.shards, b, self.seed).hint("merge"), ["place", "block"], "left")  # no plan can guess how many they are
         begin, end = F.greatest("start", F.col("block") * b), F.least(F.col("start") + F.col("size"), "stop")
         return met.withColumn("first_word", begin - F.col("start")).withColumn("n_words", F.when(F.col("stop").isNotNull() & (end > begin), end - begin))
 
