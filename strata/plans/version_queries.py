@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators import alignment, ordering, pairing
+from strata.operators import alignment, marks, ordering, pairing
 from strata.sources.tables import table
 
 
@@ -95,5 +95,43 @@ s AS (SELECT r.*, CASE WHEN pos IS NOT NULL THEN 'stays' WHEN high <= low THEN '
 SELECT conv_id, key, row_number() OVER (PARTITION BY conv_id ORDER BY slot, side, depth, -turn, key) AS position, told FROM s
 """
 
-QUERIES = {f.__name__: f for f in (j29_foreign_pairs, j26_weak_alignment, o8_order_merge, k8_stacking)}
+def styled_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns' texts in three versions and their marks: words of each side's edits, bold and colour on stretches that each side keeps, moves or adds to."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("block"), "text")
+    h = F.col("block") % 1_000_000 * 7 + F.floor(F.col("block") / 1_000_000)
+    word, n = F.split("text", " "), F.size(F.split("text", " "))
+    put = lambda at, new: F.array_join(F.transform(word, lambda w, i: F.when(i == at, F.concat(w, F.lit(new))).otherwise(w)), " ")
+    cut = lambda at: F.array_join(F.filter(word, lambda w, i: i != at), " ")
+    ours = F.when(h % 4 == 1, put(h % n, " of ours")).when(h % 4 == 2, cut(h * 3 % n)).otherwise(F.col("text"))
+    theirs = F.when(h % 3 == 1, put(h * 5 % n, " theirs")).when(h % 3 == 2, cut((h * 3 + h % 2) % n)).otherwise(F.col("text"))
+    texts = turns.select("block", F.col("text").alias("base"), ours.alias("ours"), theirs.alias("theirs"))
+    every = turns.select("block", "text", h.alias("h"), F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 40).cast("int"))).alias("mark"))
+    at = F.col("mark") * 40 + (F.col("h") + F.col("mark")) % 11
+    g = (F.col("h") + F.col("mark") * 3) % 10
+
+    def of(side: str, keep, prop, value, start=at, length=None) -> DataFrame:
+        stop = start + (F.lit(9) + F.col("mark") % 13 if length is None else length)
+        row = every.where(keep).select("block", F.lit(side).alias("side"), F.col("mark").cast("long").alias("mark"), prop.alias("prop"), value.alias("value"), start.cast("long").alias("start"), stop.cast("long").alias("stop"))
+        return row.where("stop > start")
+
+    bold, colour = F.lit("bold"), F.lit("colour")
+    prop = F.when(g % 2 == 0, bold).otherwise(colour)
+    one = F.when(g % 2 == 0, F.lit("true")).otherwise(F.lit("#cc0000"))
+    found = of("base", g < 7, prop, one)
+    found = found.unionByName(of("ours", (g < 7) & (g != 2), prop, F.when(g == 3, F.lit("#0000cc")).otherwise(one)))
+    found = found.unionByName(of("theirs", (g < 7) & (g != 4), prop, F.when((g == 3) | (g == 5), F.lit("#00cc00")).otherwise(one))).unionByName(of("theirs", g == 8, bold, F.lit("true"), length=F.lit(5)))
+    return texts, found
+
+
+def m10_block_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The marks of the merged texts."""
+    return marks.merge_styled(*styled_versions(spark, sf_dir), "block")[1]
+
+
+def m21_styling_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks that clash, and those whose words the merge no longer has."""
+    return marks.merge_styled(*styled_versions(spark, sf_dir), "block")[2]
+
+
+QUERIES = {f.__name__: f for f in (j29_foreign_pairs, j26_weak_alignment, o8_order_merge, k8_stacking, m10_block_marks, m21_styling_told)}
 ORACLES = {"k8_stacking": K8}
