@@ -7,9 +7,9 @@ threshold is missed, or that have the same title.  The alignment of a group is a
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from strata.functions import chains, sequences, text
 from strata.plans.lineage import durable
@@ -87,19 +87,22 @@ def scores(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
     return told.withColumn("worth", F.round(worth * UNIT).cast("long")).where(F.col("worth") >= int(MATCH * UNIT)).select(F.col("g").alias(by), "a", "b", "worth", "b_label")
 
 
-def aligned(scored: DataFrame, by: str, near: float = TIE) -> DataFrame:
-    """``by, a, b, similarity, weak``: a best order-keeping alignment; ``twins`` for a pair without a label on the second side that another reading could replace."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+PAIR = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64()), ("weak", pa.string())])
+
 
-    schema = StructType([StructField(n, k) for n, k in ((by, scored.schema[by].dataType), ("a", LongType()), ("b", LongType()), ("similarity", DoubleType()), ("weak", StringType()))])
-    kinds = to_arrow_schema(schema)
+def aligned(scored: DataFrame, by: str, near: float = TIE) -> DataFrame:
+    """``by, a, b, similarity, weak``: a best order-keeping alignment; ``twins`` for a pair without a label on the second side that another reading could replace.
 
-    def run(key, t):
-        import pyarrow as pa
+    A group's scored pairs are one array, so an Arrow batch holds many groups.
+    """
 
-        labels = dict(zip(t.column("b").to_pylist(), t.column("b_label").to_pylist(), strict=True))
-        got = chains.aligned(list(zip(*(t.column(c).to_pylist() for c in ("a", "b", "worth")), strict=True)), round(near * UNIT))
-        rows = [(key[0].as_py(), i, j, s / UNIT, "twins" if tie and not labels[j] else None) for i, j, s, tie in got]
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds) if rows else kinds.empty_table()
+    def run(arrays: pa.Array) -> pa.Array:
+        out = []
+        for pairs in arrays.to_pylist():
+            label = {p["b"]: p["b_label"] for p in pairs}
+            got = chains.aligned([(p["a"], p["b"], p["worth"]) for p in pairs], round(near * UNIT))
+            out.append([{"a": i, "b": j, "similarity": s / UNIT, "weak": "twins" if tie and not label[j] else None} for i, j, s, tie in got])
+        return pa.array(out, pa.list_(PAIR))
 
-    return scored.groupBy(by).applyInArrow(run, schema)
+    pairs = scored.groupBy(by).agg(F.collect_list(F.struct("a", "b", "worth", "b_label")).alias("pairs"))
+    return pairs.select(by, F.explode(F.arrow_udf(run, "array<struct<a:long,b:long,similarity:double,weak:string>>")("pairs")).alias("p")).select(by, "p.*")

@@ -6,10 +6,12 @@ before them hold.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators.resolve import kept_order, numbered
+from strata.functions import sequences
+from strata.operators.resolve import numbered
 from strata.plans.lineage import durable
 
 
@@ -24,8 +26,22 @@ def carried(df: DataFrame, by: list[str], order: list[str], value: str, name: st
 
 
 def out_of_place(lists: DataFrame, by: str, key: str, was: str, now: str) -> DataFrame:
-    """``by, key`` of rows outside one longest run that both orders agree on."""
-    return lists.join(kept_order(lists, by, was, now).where("not kept_order").select(by, was), [by, was]).select(by, key)
+    """``by, key`` of rows outside one longest run that both orders agree on.
+
+    A group's places are one array, so an Arrow batch holds many groups and a small one costs no call of its own.
+    """
+
+    def run(arrays: pa.Array) -> pa.Array:
+        out = []
+        for places in arrays.to_pylist():
+            keep = set(sequences.longest_increasing(places))
+            out.append([k not in keep for k in range(len(places))])
+        return pa.array(out, pa.list_(pa.bool_()))
+
+    row = F.struct(F.col(now).alias("now"), F.col(was).cast("long").alias("was"), F.col(key).alias("key"))
+    rows = lists.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    moved = rows.withColumn("off", F.arrow_udf(run, "array<boolean>")(F.transform("rows", lambda r: r.was)))
+    return moved.select(by, F.explode(F.arrays_zip("rows", "off")).alias("r")).where("r.off").select(by, F.col("r.rows.key").alias(key))
 
 
 def merged_order(base: DataFrame, ours: DataFrame, live: DataFrame, by: str, key: str, pos: str) -> DataFrame:
