@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators import elements, figures
+from strata.operators import elements, figures, trees
 from strata.sources.tables import table
 
 
@@ -207,7 +207,7 @@ def n1_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.format_string('{"w": %s, "id": "x%d", "anchor": "old", "parts": [{"px": 3, "name": "p12t%d", "to": "#page=%d"}, null, true, %d]}', width.cast("string"), k, k, k % 4, k)
     slides = F.create_map(*(x for n in range(3) for x in (F.lit(n), F.lit(f"s{n}"))))
     rows = table(spark, sf_dir, "part").select(k, text.alias("tree"), F.concat(F.lit("key"), k.cast("string")).alias("anchor"), slides.alias("pages"))
-    return elements.canonical_json(rows, "p_partkey", "tree", "anchor", "pages")
+    return trees.canonical_json(rows, "p_partkey", "tree", "anchor", "pages")
 
 
 N1J = """
@@ -221,10 +221,24 @@ def n6_same_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = lambda mag, tx, sx, at: F.format_string('{"size": {"magnitude": %d, "unit": "EMU"}, "m": {"translateX": %d, "scaleX": %s}, "index": %d}', mag, tx, sx.cast("string"), at)
     one = lambda n, step: F.when(k % 4 == n, step).otherwise(0)
     b = tree(k * 100 + one(0, k % 3 * 6350), k + one(1, k % 3 * 6350), F.lit(2.0) + F.when(k % 4 == 2, (k % 3) * 0.0015).otherwise(0.0), k + one(3, k % 3))
-    return elements.same_trees(table(spark, sf_dir, "part").select(k, tree(k * 100, k, F.lit(2.0), k).alias("a"), b.alias("b")), "p_partkey", "a", "b")
+    return trees.same_trees(table(spark, sf_dir, "part").select(k, tree(k * 100, k, F.lit(2.0), k).alias("a"), b.alias("b")), "p_partkey", "a", "b")
 
 
 N6 = "SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN p_partkey % 3 = 0 ELSE p_partkey % 3 < 2 END AS same FROM part"
 
-QUERIES = {f.__name__: f for f in (f2_visible_drawings, g4_curve_boxes, a26_page_ground, g11_ink_overlap, q2_text_mask, g12_labels, q1_lost_ink, c12_plain_text, c18_scripts, f13_editable_blocks, m4_converged, m17_edit_plan, f6_compared_texts, n1_canonical_json, n6_same_trees)}
-ORACLES = {"f2_visible_drawings": F2, "g4_curve_boxes": G4, "a26_page_ground": A26, "g11_ink_overlap": G11, "q2_text_mask": Q2M, "g12_labels": G12, "q1_lost_ink": Q1L, "c12_plain_text": C12, "c18_scripts": C18, "f13_editable_blocks": F13, "m4_converged": M4C, "m17_edit_plan": M17, "f6_compared_texts": F6, "n1_canonical_json": N1J, "n6_same_trees": N6}
+def n6_renamed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as requests whose ids stand in values and keys, with and without suffixes, some ids being the beginning of others."""
+    c, t = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    old = F.concat(F.lit("b2s_"), c)
+    text = F.concat(F.lit('{"objectId": "'), old, F.lit('", "'), old, F.lit('_g": ["'), old, t, F.lit('", "'), old, F.lit('_n'), t, F.lit('"], "role": "'), F.col("role"), F.lit('", "n": '), t, F.lit("}"))
+    mapping = F.create_map(old, F.concat(F.lit("new"), t), F.concat(old, F.lit("_g")), F.lit("group"))
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("k"), text.alias("tree"), mapping.alias("ids"))
+    return trees.renamed_ids(rows, "k", "tree", "ids")
+
+
+N6R = """
+SELECT conv_id * 1000000 + turn AS k, '{"objectId": "new' || turn || '", "group": ["b2s_' || conv_id || turn || '", "new' || turn || '_n' || turn || '"], "role": "' || role || '", "n": ' || turn || '}' AS renamed FROM conversations
+"""
+
+QUERIES = {f.__name__: f for f in (f2_visible_drawings, g4_curve_boxes, a26_page_ground, g11_ink_overlap, q2_text_mask, g12_labels, q1_lost_ink, c12_plain_text, c18_scripts, f13_editable_blocks, m4_converged, m17_edit_plan, f6_compared_texts, n1_canonical_json, n6_same_trees, n6_renamed_ids)}
+ORACLES = {"f2_visible_drawings": F2, "g4_curve_boxes": G4, "a26_page_ground": A26, "g11_ink_overlap": G11, "q2_text_mask": Q2M, "g12_labels": G12, "q1_lost_ink": Q1L, "c12_plain_text": C12, "c18_scripts": C18, "f13_editable_blocks": F13, "m4_converged": M4C, "m17_edit_plan": M17, "f6_compared_texts": F6, "n1_canonical_json": N1J, "n6_same_trees": N6, "n6_renamed_ids": N6R}

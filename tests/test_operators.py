@@ -1,7 +1,8 @@
 """Operators against brute force and the rules that are easy to get wrong."""
 
-import itertools
 import functools
+import itertools
+import json
 import random
 
 import pytest
@@ -9,7 +10,7 @@ import pytest
 from strata.functions import geometry as geo
 from strata.functions import sequences as seq
 from strata.functions import text as tx
-from strata.operators import audit, elements, figures, graph, layout, merge, resolve, segment, state, stats
+from strata.operators import audit, elements, figures, graph, layout, merge, resolve, segment, state, stats, trees
 from strata.sources import html, strict_json
 
 
@@ -430,11 +431,69 @@ def test_numbers_of_a_large_group_run_on(spark):
 
 
 def test_request_trees_and_canonical_json(spark):
-    assert elements.same_tree({"a": [1, {"translateX": 100.0}]}, {"a": [1, {"translateX": 6000.0}]}) and not elements.same_tree({"a": 1}, {"a": 1, "b": 2})
-    assert not elements.same_tree(True, 1) and elements.same_tree(2.0, 2.04) and not elements.same_tree([1], [2]) and elements.same_tree({"translateY": 0}, {"translateY": 50_000}, (0, 50_000))
-    assert elements.canonical({"id": 1, "anchor": "x", "k": ["p3t1", "#page=2", 1.239, "p3"]}, "a", {2: "two"}) == {"anchor": "a", "k": ["t1", "#slide=two", 1.24, "p3"]}
-    bad = spark.createDataFrame([(1, "{", "a", {1: "s"}), (2, None, None, None)], "k long, t string, a string, p map<int,string>")
-    assert [r.canonical for r in elements.canonical_json(bad, "k", "t", "a", "p").collect()] == [None, None]
+    def same(a, b, **moved):
+        dump = lambda x: x if isinstance(x, str) or x is None else json.dumps(x)
+        return trees.same_trees(spark.createDataFrame([(1, dump(a), dump(b))], "k long, a string, b string"), "k", "a", "b", **moved).collect()[0].same
+
+    assert same({"a": [1, {"translateX": 100.0}]}, {"a": [1, {"translateX": 6000.0}]}) and not same({"a": 1}, {"a": 1, "b": 2})
+    assert not same("true", "1") and same("2.0", "2.04") and not same([1], [2]) and same({"translateY": 0}, {"translateY": 50_000}, dy=50_000.0)
+    emu = lambda n, unit="EMU": {"size": {"unit": unit, "magnitude": n}}
+    assert same(emu(100), emu(6400)) and not same(emu(100), emu(6500)) and not same(emu(100, "PT"), emu(101, "PT")) and not same(emu(100), emu(100, "PT"))
+    assert same({"scaleX": 2.0}, {"scaleX": 2.0015}) and not same({"scaleX": 2.0}, {"scaleX": 2.01}) and not same([[]], [{}]) and not same(["0"], {"0": "0"}) and same({"a/b": 1}, {"a/b": 1}) and not same({"a": {"b": 1}}, {"a/b": 1})
+    assert same("{", "{") and not same("{", "[") and same(None, None) and not same(None, 1) and same("null", "null") and not same("[" * 200_000, "[")
+    canonical = lambda tree, anchor, pages: json.loads(trees.canonical(json.dumps(tree), anchor, pages))
+    assert canonical({"id": 1, "anchor": "x", "k": ["p3t1", "#page=2", 1.239, "p3", 'q"p3t1', "p4x2\nz"], "p3t1": {}}, "p3t1", {2: "two"}) == {"anchor": "p3t1", "k": ["t1", "#slide=two", 1.24, "p3", 'q"p3t1', "p4x2\nz"], "p3t1": {}}
+    bad = spark.createDataFrame([(1, "{", "a", {1: "s"}), (2, None, None, None), (3, "[" * 200_000, None, None)], "k long, t string, a string, p map<int,string>")
+    assert [r.canonical for r in trees.canonical_json(bad, "k", "t", "a", "p").collect()] == [None, None, None]
+
+
+def test_ids_are_renamed_by_the_longest(spark):
+    rows = [(1, '{"a1": "a12", "a": ["a_x", "b\\"a1", "a1"]}', {"a": "A", "a1": "ONE"}), (2, None, {"a": "A"}), (3, '"a"', None), (4, '["\\u0061x", "A"]', {"a": "z", "q": None})]
+    got = {r.k: r.renamed for r in trees.renamed_ids(spark.createDataFrame(rows, "k long, t string, m map<string,string>"), "k", "t", "m").collect()}
+    assert got == {1: '{"ONE": "a12", "A": ["A_x", "b\\"a1", "ONE"]}', 2: None, 3: '"a"', 4: '["zx", "A"]'}
+
+
+def close(a, b, key=None):
+    """Two trees, by recursion."""
+    if type(a) is not type(b) and not (isinstance(a, (int, float)) and isinstance(b, (int, float)) and bool not in (type(a), type(b))):
+        return False
+    if isinstance(a, (dict, list)):
+        keys = (set(a), set(b)) if isinstance(a, dict) else (range(len(a)), range(len(b)))
+        emu = isinstance(a, dict) and a.get("unit") == "EMU"
+        return keys[0] == keys[1] and all(close(a[k], b[k], "EMU" if emu and k == "magnitude" else k if isinstance(a, dict) else None) for k in keys[0])
+    if isinstance(a, (str, bool)) or a is None:
+        return a == b
+    if key in ("EMU", "translateX", "translateY"):
+        return abs(a - b) <= 6350
+    if key in ("scaleX", "shearY"):
+        return abs(a - b) <= 1e-9 + 1e-3 * max(abs(a), abs(b))
+    return a == b if isinstance(a, int) and isinstance(b, int) else abs(a - b) <= 0.05 + 1e-3 * max(abs(a), abs(b))
+
+
+def test_random_trees_agree_as_by_recursion(spark):
+    r = random.Random(4)
+
+    def tree(depth):
+        kind = r.random()
+        if depth and kind < 0.35:
+            return {k: tree(depth - 1) for k in r.sample(["magnitude", "unit", "translateX", "scaleX", "shearY", "x", "y"], r.randint(0, 4))}
+        if depth and kind < 0.5:
+            return [tree(depth - 1) for _ in range(r.randint(0, 3))]
+        return r.choice([0, 1, 100, 1.5, 2000.25, "EMU", "PT", "t", True, None])
+
+    def shaken(x):
+        if isinstance(x, dict):
+            return {k: shaken(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [shaken(v) for v in x]
+        if isinstance(x, (int, float)) and not isinstance(x, bool) and r.random() < 0.3:
+            return x + r.choice([1, 0.04, 0.2, 3000, -6350, 6351, 0.0001])
+        return x
+
+    pairs = [(a, shaken(a)) for a in (tree(4) for _ in range(400))]
+    rows = spark.createDataFrame([(k, json.dumps(a), json.dumps(b)) for k, (a, b) in enumerate(pairs)], "k long, a string, b string")
+    got = {x.k: x.same for x in trees.same_trees(rows, "k", "a", "b").collect()}
+    assert got == {k: close(a, b) for k, (a, b) in enumerate(pairs)} and 50 < sum(got.values()) < 400
 
 
 def test_figures_take_empty_tables(spark):
