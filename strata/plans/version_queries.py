@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators import alignment, marks, ordering, pairing
+from strata.operators import alignment, locate, marks, ordering, pairing
 from strata.sources.tables import table
 
 
@@ -133,5 +133,42 @@ def m21_styling_told(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.merge_styled(*styled_versions(spark, sf_dir), "block")[2]
 
 
-QUERIES = {f.__name__: f for f in (j29_foreign_pairs, j26_weak_alignment, o8_order_merge, k8_stacking, m10_block_marks, m21_styling_told)}
-ORACLES = {"k8_stacking": K8}
+def written_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns as elements, some reworded, and their conversations as pages."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    page = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t.text), "\n\n").alias("text"))
+    h, word = (F.col("conv_id") * 3 + F.col("turn")) % 5, F.split("text", " ")
+    edit = F.when(h == 1, F.array_join(F.transform(word, lambda w, i: F.when(i % 9 == 4, F.concat(w, F.lit(","))).when(i % 9 == 7, F.upper(w)).otherwise(w)), " "))
+    edit = edit.when(h == 2, F.array_join(F.filter(word, lambda w, i: i % 8 != 3), " ")).when(h == 3, F.concat(F.lit("Now "), "text", F.lit(" indeed"))).otherwise(F.col("text"))
+    return turns.select("conv_id", "turn", edit.alias("text")), page
+
+
+def j30_located_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each element's words stand on its page, from the first to the last, and how many were found."""
+    found = locate.located(*written_pages(spark, sf_dir), "conv_id", "turn")
+    return locate.blocks(found, "conv_id", "turn")
+
+
+def j31_frame_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as pages whose words vote for the frames that their numbers as lines fall into; some conversations have no votes that count."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), "role", F.length("text").alias("n_chars"))
+    file = F.concat(F.lit("f"), (F.col("page") % 2).cast("string"))
+    frames = turns.select("doc", F.col("page").alias("frame"), file.alias("file"), (F.col("page") * 10).alias("first"), (F.col("page") * 10 + F.when(F.col("page") % 3 == 0, 30).otherwise(7)).alias("last"))
+    votes = turns.where("doc % 4 <> 0").select("doc", "page", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"), "n_chars")
+    votes = votes.select("doc", "page", F.concat(F.lit("f"), (F.col("k") % 2).cast("string")).alias("file"), (F.col("page") * 10 + F.col("k") * 7 - 9).alias("line"), (F.col("n_chars") % (F.col("k") + 2)).cast("long").alias("n")).where("n > 0")
+    return locate.voted_frames(votes, frames, turns.select("doc", "page", F.col("role").alias("label")), "doc")
+
+
+J31 = """
+WITH t AS (SELECT conv_id AS doc, turn AS page, role, length(text) AS c FROM conversations),
+f AS (SELECT doc, page AS frame, 'f' || page % 2 AS file, page * 10 AS lo, page * 10 + CASE WHEN page % 3 = 0 THEN 30 ELSE 7 END AS hi FROM t),
+v AS (SELECT doc, page, 'f' || k % 2 AS file, page * 10 + k * 7 - 9 AS line, c % (k + 2) AS n FROM t, range(0, 6) r(k) WHERE doc % 4 <> 0),
+m AS (SELECT v.doc, v.page, v.file, line, n, max(frame) AS frame FROM v JOIN f ON f.doc = v.doc AND f.file = v.file AND line BETWEEN lo AND hi WHERE n > 0 GROUP BY ALL),
+s AS (SELECT doc, page, frame, sum(n) AS votes FROM m GROUP BY ALL),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc, page ORDER BY votes DESC, frame) = 1),
+g AS (SELECT doc, page, sum(new) OVER (PARTITION BY doc ORDER BY page) - 1 AS guess FROM (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY doc ORDER BY page) = role THEN 0 ELSE 1 END AS new FROM t))
+SELECT g.doc, g.page, CASE WHEN g.doc IN (SELECT doc FROM b) THEN b.frame WHEN EXISTS (SELECT 1 FROM f WHERE f.doc = g.doc AND f.frame = guess) THEN guess END::BIGINT AS frame, coalesce(b.votes, 0)::BIGINT AS votes FROM g LEFT JOIN b ON b.doc = g.doc AND b.page = g.page
+"""
+
+QUERIES = {f.__name__: f for f in (j29_foreign_pairs, j26_weak_alignment, o8_order_merge, k8_stacking, m10_block_marks, m21_styling_told, j30_located_words, j31_frame_votes)}
+ORACLES = {"k8_stacking": K8, "j31_frame_votes": J31}
