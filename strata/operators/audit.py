@@ -30,3 +30,29 @@ def arrived(base: DataFrame, ours: DataFrame, merged: DataFrame, theirs: DataFra
 def repeated(df: DataFrame, by: list[str]) -> DataFrame:
     """Groups with more than one row."""
     return df.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def ledger(versions: dict[str, DataFrame], by: list[str]) -> DataFrame:
+    """One row for each unit (``by, kind, unit``) with how often each version has it; every table is ``by, kind, unit`` or more columns."""
+    rows = None
+    for name, df in versions.items():
+        one = df.select(*by, "kind", "unit", *(F.lit(int(name == v)).alias(v) for v in versions))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy(*by, "kind", "unit").agg(*(F.sum(v).cast("long").alias(v) for v in versions))
+
+
+def untold_losses(base: DataFrame, before: DataFrame, after: DataFrame, told: DataFrame, by: list[str]) -> DataFrame:
+    """What a sync took from the reader and did not say: ``by, kind, unit, own, gone, told, lost``.
+
+    ``base``: what was last written; ``before`` and ``after``: the live version around the sync; each a row for every word, mark, cell or
+    row of it (``kind, unit``).  The reader's ``own`` units are those of ``before`` beyond ``base``.  Of these ``gone`` are missing
+    after, wherever in ``by`` they stood; ``told`` (``by, kind, unit, n``) takes off what was reported; what is left is ``lost``.
+    Units are counted, so of two alike that one is lost is seen; what the source itself took away of the base is no loss.
+    """
+    counts = ledger({"base": base, "before": before, "after": after}, by)
+    own = F.greatest(F.col("before") - F.col("base"), F.lit(0))
+    gone = F.least(own, F.greatest(F.col("before") - F.col("after"), F.lit(0)))
+    missing = counts.withColumn("own", own).withColumn("gone", gone).where("gone > 0")
+    said = told.groupBy(*by, "kind", "unit").agg(F.sum("n").alias("told"))
+    out = missing.join(said, [*by, "kind", "unit"], "left").withColumn("told", F.least(F.coalesce("told", F.lit(0)), "gone").cast("long"))
+    return out.select(*by, "kind", "unit", F.col("own").cast("long").alias("own"), F.col("gone").cast("long").alias("gone"), "told", (F.col("gone") - F.col("told")).cast("long").alias("lost")).where("lost > 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators import elements, figures, trees
+from strata.operators import diagrams, elements, figures, trees
 from strata.sources.tables import table
 
 
@@ -240,5 +240,43 @@ N6R = """
 SELECT conv_id * 1000000 + turn AS k, '{"objectId": "new' || turn || '", "group": ["b2s_' || conv_id || turn || '", "new' || turn || '_n' || turn || '"], "role": "' || role || '", "n": ' || turn || '}' AS renamed FROM conversations
 """
 
-QUERIES = {f.__name__: f for f in (f2_visible_drawings, g4_curve_boxes, a26_page_ground, g11_ink_overlap, q2_text_mask, g12_labels, q1_lost_ink, c12_plain_text, c18_scripts, f13_editable_blocks, m4_converged, m17_edit_plan, f6_compared_texts, n1_canonical_json, n6_same_trees, n6_renamed_ids)}
-ORACLES = {"f2_visible_drawings": F2, "g4_curve_boxes": G4, "a26_page_ground": A26, "g11_ink_overlap": G11, "q2_text_mask": Q2M, "g12_labels": G12, "q1_lost_ink": Q1L, "c12_plain_text": C12, "c18_scripts": C18, "f13_editable_blocks": F13, "m4_converged": M4C, "m17_edit_plan": M17, "f6_compared_texts": F6, "n1_canonical_json": N1J, "n6_same_trees": N6, "n6_renamed_ids": N6R}
+def k7_diagram_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as boxes, some with one in them, and lines from each towards the next, which end in, at or off them."""
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("k"))
+    h = (F.col("page") * 5 + F.col("k") * 3) % 22
+    x, y = 150.0 * (F.col("k") % 2), 50.0 * F.col("k")
+    nodes = t.select("page", F.col("k").alias("node"), x.alias("x0"), y.alias("y0"), (x + 120.0).alias("x1"), (y + 40.0).alias("y1"))
+    nodes = nodes.unionByName(t.where(h % 4 == 0).select("page", (F.col("k") + 1000).alias("node"), (x + 40.0).alias("x0"), (y + 20.0).alias("y0"), (x + 80.0).alias("x1"), (y + 40.0).alias("y1")))
+    down = 150.0 * ((F.col("k") + 1) % 2) + 60.0
+    lines = t.select("page", F.col("k").alias("line"), F.when(h == 7, x + 135.0).otherwise(x + 60.0).alias("fx"), F.when(h == 7, y + 20.0).otherwise(y + 38.0 + h % 8 * 2).alias("fy"), F.when(h == 9, x + 10.0).otherwise(down).alias("tx"), F.when(h == 9, y + 10.0).otherwise(y + 50.0 - h % 5 * 3).alias("ty"))
+    beside = t.where(h == 7).select("page", (F.col("k") + 2000).alias("node"), (x + 150.0).alias("x0"), y.alias("y0"), (x + 151.0).alias("x1"), (y + 40.0).alias("y1"))
+    return diagrams.edges(lines, nodes.unionByName(beside), ["page"], "line", "node", 15.0, 60.0)
+
+
+K7 = """
+WITH t AS (SELECT conv_id AS page, turn AS k, (conv_id * 5 + turn * 3) % 22 AS h, 150.0::DOUBLE * (turn % 2) AS x, 50.0::DOUBLE * turn AS y FROM conversations),
+n AS (SELECT page, k AS node, x AS x0, y AS y0, x + 120 AS x1, y + 40 AS y1 FROM t UNION ALL SELECT page, k + 1000, x + 40, y + 20, x + 80, y + 40 FROM t WHERE h % 4 = 0 UNION ALL SELECT page, k + 2000, x + 150, y, x + 151, y + 40 FROM t WHERE h = 7),
+e AS (SELECT page, k AS line, 0 AS e, CASE WHEN h = 7 THEN x + 135 ELSE x + 60 END AS px, CASE WHEN h = 7 THEN y + 20 ELSE y + 38 + h % 8 * 2 END AS py FROM t
+  UNION ALL SELECT page, k, 1, CASE WHEN h = 9 THEN x + 10 ELSE 150.0 * ((k + 1) % 2) + 60 END, CASE WHEN h = 9 THEN y + 10 ELSE y + 50 - h % 5 * 3 END FROM t),
+g AS (SELECT e.*, node, (x1 - x0) * (y1 - y0) AS area, round(sqrt(greatest(x0 - px, px - x1, 0) ** 2 + greatest(y0 - py, py - y1, 0) ** 2), 6) AS gap FROM e JOIN n ON n.page = e.page),
+r AS (SELECT *, row_number() OVER (PARTITION BY page, line, e ORDER BY gap, CASE WHEN gap = 0 THEN area ELSE 0 END, node) AS i, count(*) OVER (PARTITION BY page, line, e, gap) AS m FROM g WHERE gap <= 15),
+b AS (SELECT page, line, max(CASE WHEN e = 0 THEN node END) AS src, max(CASE WHEN e = 1 THEN node END) AS dst, bool_or(gap > 0 AND m > 1) AS tied FROM r WHERE i = 1 GROUP BY page, line)
+SELECT t.page, k AS line, src, dst, CASE WHEN src IS NULL AND dst IS NULL THEN 'open' WHEN src IS NULL OR dst IS NULL THEN 'dangling' WHEN tied THEN 'tied' WHEN src = dst THEN 'loop' ELSE 'edge' END AS verdict FROM t LEFT JOIN b ON b.page = t.page AND line = k
+"""
+
+
+def coloured_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as pixels of a page: two places, three colours that follow them more or less, some far off."""
+    e = lambda k: F.col("embedding")[k].cast("double")
+    off = F.when(F.col("vec_id") % (F.col("label") + 3) == 0, 60.0 * e(5)).otherwise(0.0)
+    colours = [(40.0 * e(0) - 25.0 * e(1) + 8.0 * k + off + 4.0 * e(2 + k)).alias(f"c{k}") for k in range(3)]
+    return table(spark, sf_dir, "embeddings").select("label", F.lit(1.0).alias("one"), e(0).alias("px"), e(1).alias("py"), *colours)
+
+
+def a27_trimmed_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's colours as a plane over its pixels, fitted anew without the worst tenth where the plain fit explains too few."""
+    return diagrams.trimmed_fit(coloured_pixels(spark, sf_dir), "label", ["one", "px", "py"], ["c0", "c1", "c2"], 1.5)
+
+
+QUERIES = {f.__name__: f for f in (f2_visible_drawings, g4_curve_boxes, a26_page_ground, g11_ink_overlap, q2_text_mask, g12_labels, q1_lost_ink, c12_plain_text, c18_scripts, f13_editable_blocks, m4_converged, m17_edit_plan, f6_compared_texts, n1_canonical_json, n6_same_trees, n6_renamed_ids, k7_diagram_edges, a27_trimmed_fit)}
+ORACLES = {"f2_visible_drawings": F2, "g4_curve_boxes": G4, "a26_page_ground": A26, "g11_ink_overlap": G11, "q2_text_mask": Q2M, "g12_labels": G12, "q1_lost_ink": Q1L, "c12_plain_text": C12, "c18_scripts": C18, "f13_editable_blocks": F13, "m4_converged": M4C, "m17_edit_plan": M17, "f6_compared_texts": F6, "n1_canonical_json": N1J, "n6_same_trees": N6, "n6_renamed_ids": N6R, "k7_diagram_edges": K7}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators import alignment, locate, marks, ordering, pairing
+from strata.operators import alignment, audit, locate, marks, ordering, pairing
 from strata.sources.tables import table
 
 
@@ -170,5 +170,35 @@ g AS (SELECT doc, page, sum(new) OVER (PARTITION BY doc ORDER BY page) - 1 AS gu
 SELECT g.doc, g.page, CASE WHEN g.doc IN (SELECT doc FROM b) THEN b.frame WHEN EXISTS (SELECT 1 FROM f WHERE f.doc = g.doc AND f.frame = guess) THEN guess END::BIGINT AS frame, coalesce(b.votes, 0)::BIGINT AS votes FROM g LEFT JOIN b ON b.doc = g.doc AND b.page = g.page
 """
 
-QUERIES = {f.__name__: f for f in (j29_foreign_pairs, j26_weak_alignment, o8_order_merge, k8_stacking, m10_block_marks, m21_styling_told, j30_located_words, j31_frame_votes)}
-ORACLES = {"k8_stacking": K8, "j31_frame_votes": J31}
+def q6_untold_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and whole turns that a live version had beyond the base and lost in a sync, less those that were told."""
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), "turn", "text")
+    h, word = F.col("doc") * 3 + F.col("turn") * 7, F.split("text", " ")
+    n = F.size(word)
+    put = lambda at, new: F.transform(word, lambda w, i: F.when(i == at, F.concat(w, new)).otherwise(w))
+    live = F.when(h % 3 == 1, put(h * 5 % n, F.concat(F.lit("_"), F.col("turn").cast("string")))).otherwise(word)
+    cut = h % 6 == 4
+    t = t.select("doc", "turn", h.alias("h"), word.alias("base"), live.alias("before"), F.when(cut, F.filter(live, lambda w, i: i != h * 5 % n)).when(h % 15 == 0, put(F.lit(0), F.lit("!"))).otherwise(live).alias("after"), F.when(cut & (h % 12 == 4), F.element_at(live, (h * 5 % n + 1).cast("int"))).alias("said"))
+
+    def units(version: str) -> DataFrame:
+        rows = t.select("doc", F.lit("row").alias("kind"), F.md5(F.array_join(version, " ")).alias("unit"))
+        return rows.unionByName(t.select("doc", F.lit("word").alias("kind"), F.explode(version).alias("unit")))
+
+    told = t.where("said is not null").select("doc", F.lit("word").alias("kind"), F.col("said").alias("unit"), F.lit(1).cast("long").alias("n"))
+    return audit.untold_losses(units("base"), units("before"), units("after"), told, ["doc"])
+
+
+Q6 = """
+WITH t AS (SELECT conv_id AS doc, turn, conv_id * 3 + turn * 7 AS h, string_split(text, ' ') AS base FROM conversations),
+l AS (SELECT *, h * 5 % len(base) + 1 AS spot, CASE WHEN h % 3 = 1 THEN list_transform(base, lambda w, i: CASE WHEN i = h * 5 % len(base) + 1 THEN w || '_' || turn ELSE w END) ELSE base END AS live FROM t),
+s AS (SELECT *, CASE WHEN h % 6 = 4 THEN live[1:spot - 1] || live[spot + 1:len(live)] WHEN h % 15 = 0 THEN [base[1] || '!'] || base[2:len(base)] ELSE live END AS post FROM l),
+u AS (SELECT doc, 'word' AS kind, unnest(base) AS unit, 1 AS a, 0 AS b, 0 AS c FROM s UNION ALL SELECT doc, 'word', unnest(live), 0, 1, 0 FROM s UNION ALL SELECT doc, 'word', unnest(post), 0, 0, 1 FROM s
+  UNION ALL SELECT doc, 'row', md5(array_to_string(base, ' ')), 1, 0, 0 FROM s UNION ALL SELECT doc, 'row', md5(array_to_string(live, ' ')), 0, 1, 0 FROM s UNION ALL SELECT doc, 'row', md5(array_to_string(post, ' ')), 0, 0, 1 FROM s),
+g AS (SELECT doc, kind, unit, greatest(sum(b) - sum(a), 0)::BIGINT AS own, greatest(sum(b) - sum(c), 0)::BIGINT AS less FROM u GROUP BY ALL),
+m AS (SELECT doc, live[spot] AS unit, count(*) AS n FROM s WHERE h % 12 = 4 GROUP BY ALL),
+r AS (SELECT g.doc, kind, g.unit, own, least(own, less) AS gone, least(coalesce(n, 0), least(own, less)) AS told FROM g LEFT JOIN m ON m.doc = g.doc AND m.unit = g.unit AND kind = 'word')
+SELECT *, gone - told AS lost FROM r WHERE gone > told
+"""
+
+QUERIES = {f.__name__: f for f in (j29_foreign_pairs, j26_weak_alignment, o8_order_merge, k8_stacking, m10_block_marks, m21_styling_told, j30_located_words, j31_frame_votes, q6_untold_losses)}
+ORACLES = {"k8_stacking": K8, "j31_frame_votes": J31, "q6_untold_losses": Q6}
