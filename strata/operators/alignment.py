@@ -1,18 +1,18 @@
 """Order-keeping alignment of two versions' items by content, with what makes a pair of it doubtful.
 
-Pairs to be scored are found by joins: items of one group that share one of their rarer words, few enough that no pair over the
-threshold is missed, or that have the same title.  The alignment of a group is a heaviest chain over those pairs alone.
+A group is one thing's items in two versions.  Its pairs are held against what their words could make at most inside the join, so
+only those that may reach the threshold leave it, and only these are compared word by word.  The alignment of a group is a heaviest
+chain over the pairs that do.
 """
 
 from __future__ import annotations
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions import chains, sequences, text
-from strata.plans.lineage import durable
 
 # The least similarity, what the same title adds, how close another reading counts as one, and how much less an item counts that the source dropped.
 MATCH, TITLE, TIE, DROPPED = 0.6, 0.5, 0.02, 1e-4
@@ -22,33 +22,13 @@ UNIT = 1_000_000  # similarities become whole numbers of millionths
 def _side(df: DataFrame, by: str, p: str) -> DataFrame:
     bag = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
     label = F.coalesce("label", F.lit(""))
-    return df.select(F.col(by).alias("g"), F.col("pos").cast("long").alias(p), bag.alias(f"{p}_words"), text.norm_title(F.coalesce("title", F.lit(""))).alias(f"{p}_title"), label.alias(f"{p}_label"), F.coalesce("removed", F.lit(False)).alias(f"{p}_removed"))
+    return df.select(F.col(by).alias("g"), F.col("pos").cast("long").alias(p), bag.alias(f"{p}_words"), F.array_distinct(F.transform(bag, lambda w: F.xxhash64(w))).alias(f"{p}_set"), text.norm_title(F.coalesce("title", F.lit(""))).alias(f"{p}_title"), label.alias(f"{p}_label"), F.coalesce("removed", F.lit(False)).alias(f"{p}_removed"))
 
 
-def _numbered_words(df: DataFrame, p: str) -> DataFrame:
-    """A row for each word, the n-th of its kind in the item being ``word n``."""
-    rows = df.select("g", p, F.size(f"{p}_words").alias(f"{p}_n"), F.explode(f"{p}_words").alias("w"))
-    counted = rows.groupBy("g", p, f"{p}_n", "w").agg(F.count("*").alias("m"))
-    return counted.select("g", p, f"{p}_n", "w", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("nth"))
-
-
-def sharing(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """Pairs ``g, a, b`` of items whose bags of words could make a ratio of ``least``.
-
-    Two bags of x and y words that reach a ratio r share r (x + y) / 2 words or more, so at least r x / (2 - r) of x; leave that
-    many but one of an item's commonest words out, and such a pair still meets in what is left of both.
-    """
-    x, y = durable(_numbered_words(a, "a")), durable(_numbered_words(b, "b"))
-    seen = x.select("g", "w", "nth").unionByName(y.select("g", "w", "nth")).groupBy("g", "w", "nth").agg(F.count("*").alias("df"))
-
-    def rare(df: DataFrame, p: str) -> DataFrame:
-        n = F.col(f"{p}_n")
-        keep = n - F.ceil(n * (least / (2 - least)) - 1e-9) + 1
-        rank = F.row_number().over(Window.partitionBy("g", p).orderBy("df", "w", "nth"))
-        return df.join(seen, ["g", "w", "nth"]).withColumn("rank", rank).where(F.col("rank") <= keep).select("g", "w", "nth", p, n)
-
-    met = rare(x, "a").join(rare(y, "b"), ["g", "w", "nth"])
-    return met.where(2 * F.least("a_n", "b_n") >= least * (F.col("a_n") + F.col("b_n"))).select("g", "a", "b").distinct()
+def at_most(a: Column, b: Column, m: Column, n: Column) -> Column:
+    """The largest ratio that two texts of m and n words could have, by their distinct words: what is shared, and words said again."""
+    shared = F.size(F.array_intersect(a, b)) + F.least(m - F.size(a), n - F.size(b))
+    return F.when(m + n == 0, 1.0).otherwise(2 * F.least(shared, m, n) / (m + n))
 
 
 def _ratio(a: str, b: str) -> Column:
@@ -58,7 +38,7 @@ def _ratio(a: str, b: str) -> Column:
     return F.pandas_udf(run, "double")(a, b)
 
 
-def pairable(a: DataFrame, b: DataFrame) -> Column:
+def pairable() -> Column:
     """Whether an item of each side may be one: not if both have labels that differ, unless neither label exists on the other side.
 
     A join's condition over ``a_label, b_label`` and ``a_known, b_known``, which ``with_known`` adds.
@@ -76,13 +56,15 @@ def with_known(df: DataFrame, other: DataFrame, p: str, q: str) -> DataFrame:
 def scores(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
     """Scored pairs ``by, a, b, worth, b_label`` that may be one and reach MATCH; ``worth`` in millionths."""
     left, right = _side(a, by, "a"), _side(b, by, "b")
-    left, right = durable(with_known(left, right, "a", "b")), durable(with_known(right, left, "b", "a"))
-    titled = left.where("a_title <> ''").join(right.where("b_title <> ''"), [left["g"] == right["g"], F.col("a_title") == F.col("b_title")]).select(left["g"], "a", "b")
-    found = sharing(left, right, MATCH).unionByName(titled).distinct()
-    both = found.join(left, ["g", "a"]).join(right, ["g", "b"]).where(pairable(left, right))
+    left, right = with_known(left, right, "a", "b"), with_known(right, left, "b", "a").withColumnRenamed("g", "h")
+    title = F.when((F.col("a_title") != "") & (F.col("a_title") == F.col("b_title")), TITLE).otherwise(0.0)
+    m, n = F.size("a_words"), F.size("b_words")
+    least = MATCH - title
+    long_enough = 2 * F.least(m, n) >= least * (m + n) - 1e-9
+    enough = at_most(F.col("a_set"), F.col("b_set"), m, n) >= least - 1e-9
+    both = left.join(right, (F.col("g") == F.col("h")) & pairable() & long_enough & enough)
     same = F.col("a_words") == F.col("b_words")
     told = both.where(same).withColumn("r", F.lit(1.0)).unionByName(both.where(~same).withColumn("r", _ratio("a_words", "b_words")))
-    title = F.when((F.col("a_title") != "") & (F.col("a_title") == F.col("b_title")), TITLE).otherwise(0.0)
     worth = F.col("r") + title - F.when(F.col("a_removed"), DROPPED).otherwise(0.0)
     return told.withColumn("worth", F.round(worth * UNIT).cast("long")).where(F.col("worth") >= int(MATCH * UNIT)).select(F.col("g").alias(by), "a", "b", "worth", "b_label")
 
