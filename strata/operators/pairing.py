@@ -7,8 +7,6 @@ pairs before any text is compared.  All choices are aggregations and joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,9 +25,9 @@ SLACK, SHARE, INSIDE, HOLDS = 8.0, 0.25, 2.0, 0.85
 BOX = ("x0", "y0", "x1", "y1")
 
 
-def _side(df: DataFrame, by: list[str], key: str, p: str) -> DataFrame:
+def _side(df: DataFrame, by: list[str], key: str, p: str, *more: Column) -> DataFrame:
     text = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""), " ")
-    return df.select(*by, F.col(key).alias(p), F.struct(F.col("kind"), text.alias("text"), *(F.col(c).cast("double").alias(c) for c in BOX)).alias(f"{p}_el"))
+    return df.select(*by, F.col(key).alias(p), F.struct(F.col("kind"), text.alias("text"), *(F.col(c).cast("double").alias(c) for c in BOX)).alias(f"{p}_el"), *more)
 
 
 def near(a: DataFrame, b: DataFrame, by: list[str], cell: float = 2 * REACH) -> DataFrame:
@@ -52,25 +50,31 @@ def kind_fit(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(a.isin(*DRAWN) | b.isin(*DRAWN), SWAPPED).otherwise(OTHER)
 
 
-def _text_ratio(a: Column, b: Column) -> Column:
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([sequences.ratio(i, j) for i, j in zip(x, y, strict=True)], dtype="float64")
+def _text_ratio(a: Column, b: Column, need: Column) -> Column:
+    def run(x: pd.Series, y: pd.Series, need: pd.Series) -> pd.Series:
+        return pd.Series([sequences.ratio_from(*row) for row in zip(x, y, need, strict=True)], dtype="float64")
 
-    return F.pandas_udf(run, "double")(a, b)
+    return F.pandas_udf(run, "double")(a, b, need)
 
 
 def scored(a: DataFrame, b: DataFrame, by: list[str], least: float) -> DataFrame:
-    """Near pairs that score at least ``least``: kinds, times words and place weighed (place alone where neither has words)."""
+    """Near pairs with their ``score``: kinds, times words and place weighed (place alone where neither has words).
+
+    A score under ``least`` is told as 0; most such pairs' words are never compared, by what their lengths, and then a common
+    subsequence, allow.
+    """
     x, y = F.col("a_el"), F.col("b_el")
     place, silent = geometry.likeness(x, y, REACH), (x.text == "") & (y.text == "")
     together = F.length(x.text) + F.length(y.text)
     at_most = F.when(together > 0, 2 * F.least(F.length(x.text), F.length(y.text)) / together).otherwise(0.0)
     found = near(a, b, by).withColumn("fit", kind_fit(x.kind, y.kind)).withColumn("place", place)
     weigh = lambda words: F.col("fit") * F.when(silent, F.col("place")).otherwise(WORDS * words + (1 - WORDS) * F.col("place"))
-    found = found.where(F.round(weigh(at_most), 4) >= least)
-    words = F.when(silent | (x.text == y.text), F.lit(1.0)).when(at_most == 0, F.lit(0.0))
-    told = found.where(words.isNotNull()).withColumn("words", words).unionByName(found.where(words.isNull()).withColumn("words", _text_ratio(x.text, y.text)))
-    return told.withColumn("score", F.round(weigh(F.col("words")), 4)).where(F.col("score") >= least)
+    words = F.when(silent | (x.text == y.text), F.lit(1.0)).when((at_most == 0) | (F.round(weigh(at_most), 4) < least), F.lit(0.0))
+    need = ((least - 5e-5) / F.col("fit") - (1 - WORDS) * F.col("place")) / WORDS - 1e-9
+    found = found.withColumn("words", words).withColumn("need", need)
+    told = found.where("words is not null").unionByName(found.where("words is null").withColumn("words", _text_ratio(x.text, y.text, F.col("need"))))
+    score = F.round(weigh(F.col("words")), 4)
+    return told.withColumn("score", F.when(score >= least, score).otherwise(0.0)).drop("fit", "place", "words", "need")
 
 
 def _two_best(pairs: DataFrame, by: list[str], side: str, other: str) -> DataFrame:
@@ -109,34 +113,22 @@ def holds(outer: Column, inner: Column) -> Column:
 def explain(a: DataFrame, b: DataFrame, by: list[str], key_a: str, key_b: str, inherited: str = "inherited") -> DataFrame:
     """Every element of ``a`` with the object of ``b`` it was drawn from, or the reason why none: ``by, a, b, score, verdict, owner``.
 
-    Rows of ``b`` marked ``inherited`` are drawn by the page's layout and never paired.  What the mutual pairing leaves goes through
-    passes, each by an anti join over what the one before left: the layout draws it (``layout``); it stands in a table (``table``);
-    it stands in an object that another element is tied to (``drawn_from``, the first such element in ``owner``).  The rest keep ``not_best``, ``ambiguous`` or ``no_candidate``.  Keys are unique within a page.
+    Rows of ``b`` marked ``inherited`` are drawn by the page's layout and never paired.  What the mutual pairing leaves is explained by
+    what is near it, the first that holds: the layout draws it (``layout``); it stands in a table (``table``); it stands in an object
+    that another element is tied to (``drawn_from``, the first such element in ``owner``).  The rest are ``not_best``, ``ambiguous`` or
+    ``no_candidate``.  Keys are unique within a page.  Near pairs are made once, as a narrow table that all of this is read from.
     """
-    left, objects = _side(a, by, key_a, "a"), b.where(~F.coalesce(F.col(inherited), F.lit(False)))
-    mine, layout = _side(objects, by, key_b, "b"), _side(b.where(inherited), by, key_b, "b")
-    first = durable(mutual(scored(left, mine, by, SURE - MARGIN), by))
-    named = [*by, "a"]
+    named, x, y = [*by, "a"], F.col("a_el"), F.col("b_el")
+    left, right = _side(a, by, key_a, "a"), _side(b, by, key_b, "b", F.coalesce(F.col(inherited), F.lit(False)).alias("inherited"))
+    holding = F.when(~F.col("inherited"), holds(y, x)).otherwise(False)
+    met = scored(left, right, by, SURE - MARGIN).select(*named, "b", "inherited", "score", holding.alias("held"), (F.col("inherited") & one_drawing(x, y)).alias("drawing"), (y.kind == "table").alias("is_table"))
+    met = durable(met.where("score > 0 or held"))
+    first = durable(mutual(met.where("not inherited and score > 0"), by))
     paired = first.where("verdict = 'paired'")
-    rest = left.join(paired.select(*named), named, "left_anti")
-    found: list[DataFrame] = [paired.select(*named, "b", "score", "verdict", F.lit(None).cast("long").alias("owner"))]
-    over = lambda keep: F.col("b_el")[keep]
-
-    def a_pass(verdict: str, hit: Callable[[DataFrame], DataFrame]) -> None:
-        nonlocal rest
-        owner = hit(rest)
-        found.append(owner.select(*named, F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("score"), F.lit(verdict).alias("verdict"), "owner"))
-        rest = rest.join(owner.select(*named), named, "left_anti")
-
-    nobody = F.min(F.lit(None).cast("long")).alias("owner")
-    a_pass("layout", lambda r: scored(r, layout, by, SURE).where(one_drawing(F.col("a_el"), F.col("b_el"))).groupBy(*named).agg(nobody))
-    in_box = lambda r, boxes: near(r, boxes, by).where(holds(F.col("b_el"), F.col("a_el")))
-    a_pass("table", lambda r: in_box(r, mine.where(over("kind") == "table")).groupBy(*named).agg(nobody))
-    tied = mine.join(paired.select(*by, "b", F.col("a").alias("mate")), [*by, "b"])
-    a_pass("drawn_from", lambda r: in_box(r, tied).groupBy(*named).agg(F.min("mate").alias("owner")))
-    why = rest.select(*named).join(first.select(*named, "score", "verdict"), named, "left")
-    found.append(why.select(*named, F.lit(None).cast("long").alias("b"), "score", F.coalesce("verdict", F.lit("no_candidate")).alias("verdict"), F.lit(None).cast("long").alias("owner")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    around = met.groupBy(*named).agg(F.bool_or(F.col("drawing") & (F.col("score") >= SURE)).alias("layout"), F.bool_or(F.col("held") & F.col("is_table")).alias("in_table"))
+    owners = met.where("held").join(paired.select(*by, "b", F.col("a").alias("mate")), [*by, "b"]).groupBy(*named).agg(F.min("mate").alias("owner"))
+    rows = left.select(*named).join(first, named, "left").join(around, named, "left").join(owners, named, "left")
+    is_paired = F.coalesce(F.col("verdict") == "paired", F.lit(False))
+    why = F.when(is_paired, "paired").when(F.col("layout"), "layout").when(F.col("in_table"), "table").when(F.col("owner").isNotNull(), "drawn_from").otherwise(F.coalesce("verdict", F.lit("no_candidate")))
+    told = rows.withColumn("b", F.when(is_paired, F.col("b"))).withColumn("verdict", why)
+    return told.select(*named, "b", "score", "verdict", F.when(F.col("verdict") == "drawn_from", F.col("owner")).alias("owner"))

@@ -447,6 +447,18 @@ def test_request_trees_and_canonical_json(spark):
     assert [r.canonical for r in trees.canonical_json(bad, "k", "t", "a", "p").collect()] == [None, None, None]
 
 
+def test_common_subsequences_bound_ratios():
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(r.choices("abcd", k=r.randint(0, 12))) for _ in range(2))
+        most = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            most[i + 1][j + 1] = most[i][j] + 1 if a[i] == b[j] else max(most[i][j + 1], most[i + 1][j])
+        assert seq.common_length(a, b) == most[-1][-1]
+        for least in (0.0, 0.5, 0.8):
+            assert seq.ratio_from(a, b, least) in ({seq.ratio(a, b)} if seq.ratio(a, b) >= least else {0.0, seq.ratio(a, b)})
+
+
 def test_ids_are_renamed_by_the_longest(spark):
     rows = [(1, '{"a1": "a12", "a": ["a_x", "b\\"a1", "a1"]}', {"a": "A", "a1": "ONE"}), (2, None, {"a": "A"}), (3, '"a"', None), (4, '["\\u0061x", "A"]', {"a": "z", "q": None})]
     got = {r.k: r.renamed for r in trees.renamed_ids(spark.createDataFrame(rows, "k long, t string, m map<string,string>"), "k", "t", "m").collect()}
