@@ -39,9 +39,9 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def folded(text: str) -> bytes:
-    """One byte a character; equal characters stay equal, which keeps the lemma's bound."""
-    return text.encode("latin-1", "replace")
+def codes_of(text: str) -> np.ndarray:
+    """A text's code points, so q-grams of every script differ where their letters do."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
@@ -115,7 +115,7 @@ class Index:
         self.begin = np.concatenate([[0], np.cumsum([len(t) for t in self.texts])]).astype(np.int64)  # where each item begins in all of them
         keys, place = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         for k, t in enumerate(self.texts):
-            keys.append(grams(np.frombuffer(folded(t), np.uint8), q))
+            keys.append(grams(codes_of(t), q))
             place.append(np.arange(len(keys[-1])) + self.begin[k])
         keys, place = np.concatenate(keys), np.concatenate(place)
         order = np.argsort(keys, kind="stable")
@@ -154,7 +154,7 @@ class Index:
         return [sorted(x.items()) for x in out]
 
     def _slice(self, texts: list[str], out: list[dict[int, int]]) -> None:
-        codes = np.frombuffer(b"\0".join(folded(t) for t in texts) + b"\0", np.uint8)
+        codes = codes_of("\0".join(texts) + "\0")
         begin = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=begin[1:])
         g = grams(codes, self.q)
@@ -267,7 +267,7 @@ def with_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", out_
     n = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // CHUNK))
     out = df
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()  # about CHUNK characters
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # about CHUNK characters
         sent = df.sparkSession.sparkContext.broadcast(Index(sorted((r.item_id, r.text) for r in rows)))
         out = out.mapInArrow(functools.partial(_search, sent=sent, text_col=text_col, out_col=out_col, whole=isinstance(kind, T.LongType)), schema)
         if n > 1:
@@ -276,6 +276,14 @@ def with_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", out_
     return out
 
 
+def _nearest(found: list[dict]) -> list[dict]:
+    """One entry for each item, with its least distance, by id."""
+    least: dict = {}
+    for x in found:
+        least[x["item_id"]] = min(x["distance"], least.get(x["item_id"], x["distance"]))
+    return [{"item_id": i, "distance": d} for i, d in sorted(least.items())]
+
+
 def _search(batches, sent, text_col: str, out_col: str, whole: bool):
     import pyarrow as pa
 
@@ -286,7 +294,7 @@ def _search(batches, sent, text_col: str, out_col: str, whole: bool):
         names, columns = batch.schema.names, batch.columns
         if out_col in names:  # what earlier chunks found
             k = names.index(out_col)
-            rows = [sorted(a + b, key=lambda x: x["item_id"]) for a, b in zip(columns[k].to_pylist(), rows, strict=True)]
+            rows = [_nearest(a + b) for a, b in zip(columns[k].to_pylist(), rows, strict=True)]  # texts of one id may lie in several
             names, columns = names[:k], columns[:k]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, kind)], [*names, out_col])
 

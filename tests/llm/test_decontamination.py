@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from edge import ROWS, awkward, empty
 
 from strata.llm import decontamination as D
@@ -134,3 +135,29 @@ def test_ids_of_other_kinds_and_chunks(spark):
         got = {r.doc_id: [x.item_id for x in r.leaks] for r in D.with_leaks(docs, items).collect()}
         assert got[1] == ["x-1"] and got[7] == ["y"] and got[5] == []
     D.CHUNK = old
+
+
+@pytest.mark.parametrize(("first", "last"), [(0x4E00, 0x9FFF), (0x410, 0x44F), (0xAC00, 0xD7A3), (0x1F300, 0x1F5FF)])
+def test_every_script_has_its_own_grams(first, last):
+    """Unrelated texts of a script share hardly a q-gram, so nothing of them is aligned; a planted passage is found."""
+    r = random.Random(first)
+    script = lambda n: "".join(chr(r.randint(first, last)) for _ in range(n))
+    item, text = script(2000), script(10_000)
+    index = D.Index([(1, item)])
+    aligned = []
+    index._align = lambda *a: aligned.append(a)
+    assert index.leaks([text]) == [[]] and not aligned
+    planted = item[500:590][:40] + chr(first) + item[500:590][41:]
+    assert D.Index([(1, item)]).leaks([text[:3000] + planted + text[3000:], text]) == [[(1, 1 if planted != item[500:590] else 0)], []]
+
+
+def test_texts_of_one_id_in_several_chunks(spark):
+    texts = ["the quick brown fox jumps over the lazy dog", "pack my box with five dozen liquor jugs now", "how vexingly quick daft zebras jump in there"]
+    bench = spark.createDataFrame([(7, t) for t in texts] + [(8, texts[0])], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"a {texts[0]} b {texts[1][:-1]}x"), (2, "nothing of it")], "doc_id long, text string")
+    old, D.CHUNK = D.CHUNK, 30
+    try:
+        got = {x.doc_id: [tuple(y) for y in x.leaks] for x in D.with_leaks(docs, bench).collect()}
+    finally:
+        D.CHUNK = old
+    assert got == {1: [(7, 0), (8, 0)], 2: []}
