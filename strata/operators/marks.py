@@ -7,8 +7,10 @@ each other's ends, and on each cut piece every property is merged by itself.  Wh
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,19 +20,39 @@ from strata.plans.lineage import durable
 
 SIDES = ("base", "ours", "theirs")
 BUCKET = 256
+LINES = re.compile(r"[^\n]*\n|[^\n]+")
+
+
+def _agree(lists: list[list[str]]) -> tuple[int, int]:
+    """How many items all lists share at their heads, and then at their tails."""
+    short = min(map(len, lists))
+    head = next((k for k in range(short) if any(x[k] != lists[0][k] for x in lists)), short)
+    tail = next((k for k in range(short - head) if any(x[-1 - k] != lists[0][-1 - k] for x in lists)), short - head)
+    return head, tail
 
 
 def shared_stretches(a: str, b: str) -> list[tuple[int, int, int]]:
-    """Stretches (start, stop, at) of ``a`` that stand in ``b`` at ``at``, in whole words."""
-    if a == b:
-        return [(0, len(a), 0)] if a else []
+    """Stretches (start, stop, at) of ``a`` that stand in ``b`` at ``at``, in whole words: what both begin and end with, and matching stretches between."""
     x, y = sequences.TOKENS.findall(a), sequences.TOKENS.findall(b)
-    places = [[0], [0]]
-    for tokens, out in ((x, places[0]), (y, places[1])):
-        for t in tokens:
-            out.append(out[-1] + len(t))
-    blocks = SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
-    return [(places[0][m.a], places[0][m.a + m.size], places[1][m.b]) for m in blocks if m.size]
+    head, tail = _agree([x, y])
+    x_at, y_at = ([0, *accumulate(map(len, tokens))] for tokens in (x, y))
+    blocks = SequenceMatcher(None, x[head : len(x) - tail], y[head : len(y) - tail], autojunk=False).get_matching_blocks()
+    found = [(0, 0, head), *((head + m.a, head + m.b, m.size) for m in blocks), (len(x) - tail, len(y) - tail, tail)]
+    return [(x_at[i], x_at[i + n], y_at[j]) for i, j, n in found if n]
+
+
+def merged_text(base: str, ours: str, theirs: str) -> tuple[str, int]:
+    """A three-way merge and how many clashes it has; only what lies between the lines, or words of a single line, that all versions begin and end with is merged."""
+    if ours == base:
+        return theirs, 0
+    if theirs == base:
+        return ours, 0
+    many = any("\n" in t for t in (base, ours, theirs))
+    parts = [(LINES if many else sequences.TOKENS).findall(t) for t in (base, ours, theirs)]
+    head, tail = _agree(parts)
+    middle = ["".join(p[head : len(p) - tail]) for p in parts]
+    merged, clashes = sequences.merge_paragraphs(*middle, False)
+    return "".join(parts[0][:head]) + merged + "".join(parts[0][len(parts[0]) - tail :]), len(clashes)
 
 
 MERGED = "merged string, clashes int, stretches array<struct<side:string,start:long,stop:long,at:long>>"
@@ -47,9 +69,9 @@ def merged_words(texts: DataFrame, key: str) -> DataFrame:
         for batch in batches:
             out, told, shared = [], [], []
             for row in zip(*(batch.column(s).to_pylist() for s in SIDES), strict=True):
-                merged, clashes = (row[2], []) if row[0] == row[1] else sequences.merge_paragraphs(*row, False)
+                merged, clashes = merged_text(*row)
                 out.append(merged)
-                told.append(len(clashes))
+                told.append(clashes)
                 shared.append([{"side": s, "start": i, "stop": j, "at": k} for s, t in zip(SIDES, row, strict=True) for i, j, k in shared_stretches(t, merged)])
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.string()), pa.array(told, pa.int32()), pa.array(shared, piece)], [key, *(c.split()[0] for c in MERGED.split(", ", 2))])
 
