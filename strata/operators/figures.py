@@ -1,17 +1,20 @@
 """Drawings, curves and pixels: what shows, what bounds a curve, how two pages' ink compares.
 
-Pixels are rows (page, x, y and a packed colour or a mark), so a page's size never bounds a task.
+Pixels are rows (page, x, y and a packed colour or a mark).  What looks at neighbours takes a page's pixels as two arrays, which is
+what a page is bounded by, and works on them with numpy; no pixel's neighbours are shuffled.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators import graph
 
 #: What the stroke alone, or the fill alone, says of a drawing.
-OF_STROKE, OF_FILL = ("color", "stroke_opacity", "width", "dash"), ("fill", "fill_opacity", "even_odd")
+OF_STROKE, OF_FILL = ("color", "stroke_opacity", "width", "dash", "dash_phase"), ("fill", "fill_opacity", "even_odd")
 #: Steps to the eight neighbours of a pixel, and to the four that share a side with it.
 EIGHT = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
 FOUR = [(dx, dy) for dx, dy in EIGHT if dx == 0 or dy == 0]
@@ -50,38 +53,78 @@ def page_ground(pixels: DataFrame, by: list[str], colour: str = "rgb") -> DataFr
     return n.groupBy(*by).agg(F.max_by(colour, F.struct(F.col("n"), -F.col(colour))).alias("ground"), (F.max("n") / F.sum("n")).alias("share"))
 
 
-def _moved(mask: DataFrame, by: list[str], steps: list[tuple[int, int]]) -> DataFrame:
-    at = F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in steps)))
-    return mask.select(*by, at.alias("p")).select(*by, "p.x", "p.y").distinct()
+def _by_page(mask: DataFrame, by: list[str], xs: str = "xs", ys: str = "ys") -> DataFrame:
+    return mask.where("x is not null and y is not null").groupBy(*by).agg(F.collect_list(F.col("x").cast("long")).alias(xs), F.collect_list(F.col("y").cast("long")).alias(ys))
+
+
+def _packed(x: np.ndarray, y: np.ndarray, frame: tuple[int, int, int]) -> np.ndarray:
+    """Places as numbers in the order of y and then x, in a frame (least x, least y, width with a margin), so steps to neighbours never wrap."""
+    return (y - frame[1]) * frame[2] + (x - frame[0])
+
+
+def _frame(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
+    return (int(x.min()) - 1, int(y.min()) - 1, int(x.max()) - int(x.min()) + 3) if len(x) else (0, 0, 3)
+
+
+def _has(cells: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``wanted`` are among sorted ``cells``, and where."""
+    at = np.minimum(np.searchsorted(cells, wanted), max(len(cells) - 1, 0))
+    return (cells[at] == wanted) if len(cells) else np.zeros(len(wanted), bool), at
+
+
+def _arrays(f, kind: str, *columns: str) -> Column:
+    """A column of lists: ``f`` of each page's arrays."""
+
+    def run(*arrays: pa.Array) -> pa.Array:
+        return pa.array([f(*(np.array(v or (), np.int64) for v in row)) for row in zip(*(a.to_pylist() for a in arrays), strict=True)])
+
+    return F.arrow_udf(run, kind)(*columns)
+
+
+CELL = "array<struct<x:long,y:long,label_x:long,label_y:long>>"
 
 
 def text_mask(ink: DataFrame, by: list[str], least: int = 4) -> DataFrame:
     """Pixels of a mask with at least ``least`` set in the three by three around them, themselves included."""
-    ink = ink.select(*by, "x", "y").distinct()
-    around = ink.select(*by, F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit((dx, dy) == (0, 0)).alias("own")) for dx, dy in [(0, 0), *EIGHT]))).alias("p"))
-    counts = around.groupBy(*by, "p.x", "p.y").agg(F.count("*").alias("n"), F.bool_or("p.own").alias("own"))
-    return counts.where(F.col("own") & (F.col("n") >= least)).select(*by, "x", "y")
+
+    def kept(x, y):
+        frame = _frame(x, y)
+        cells = np.unique(_packed(x, y, frame))
+        n = 1 + sum(_has(cells, cells + dy * frame[2] + dx)[0].astype(np.int64) for dx, dy in EIGHT)
+        some = cells[n >= least]
+        return [{"x": int(c % frame[2]) + frame[0], "y": int(c // frame[2]) + frame[1]} for c in some]
+
+    cell = _arrays(kept, "array<struct<x:long,y:long>>", "xs", "ys")
+    return _by_page(ink, by).select(*by, F.explode(cell).alias("p")).select(*by, "p.x", "p.y")
 
 
 def ink_overlap(ref: DataFrame, got: DataFrame, by: list[str]) -> DataFrame:
     """How far each page's ink agrees on both sides: pixels of either that lie on the other's, grown by one to its four sides, of all pixels (1 where there are none on a page named by either)."""
-    a, b = (m.select(*by, "x", "y").distinct() for m in (ref, got))
-    on = lambda m, other: m.join(_moved(other, by, [(0, 0), *FOUR]), [*by, "x", "y"], "left_semi").groupBy(*by).agg(F.count("*").alias("hit"), F.lit(0).cast("long").alias("n"))
-    size = lambda m: m.groupBy(*by).agg(F.lit(0).cast("long").alias("hit"), F.count("*").alias("n"))
-    every = on(a, b).unionByName(on(b, a)).unionByName(size(a)).unionByName(size(b))
-    return every.groupBy(*by).agg((F.sum("hit") / F.sum("n")).alias("overlap"))
-
-
-def labels(cells: DataFrame, page: str, side: int = 1 << 20) -> DataFrame:
-    """``page, x, y, label``: cells that touch, also at corners, share the label of their first (by y, then x).  0 <= x, y < ``side``; pages count from 0 to 2**23."""
-    key = F.col(page) * side * side + F.col("y") * side + F.col("x")
-    cells = cells.select(page, "x", "y").distinct()
-    named = cells.withColumn("k", key.cast("long"))
-    ahead = [(1, 0), (-1, 1), (0, 1), (1, 1)]
-    step = F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ahead)))
-    pairs = named.select(page, F.col("k").alias("a"), step.alias("p")).select(page, "a", "p.x", "p.y").join(named, [page, "x", "y"]).select("a", F.col("k").alias("b"))
-    found = graph.components(pairs).withColumnRenamed("node", "k")
-    return named.join(found, "k", "left").select(page, "x", "y", F.coalesce("component", "k").alias("label"))
+
+    def share(ax, ay, bx, by_):
+        frame = _frame(np.concatenate([ax, bx]), np.concatenate([ay, by_]))
+        a, b = np.unique(_packed(ax, ay, frame)), np.unique(_packed(bx, by_, frame))
+        on = lambda m, other: int(np.logical_or.reduce([_has(other, m + dy * frame[2] + dx)[0] for dx, dy in [(0, 0), *FOUR]]).sum())
+        return (on(a, b) + on(b, a)) / (len(a) + len(b)) if len(a) + len(b) else 1.0
+
+    pages = _by_page(ref, by, "ax", "ay").join(_by_page(got, by, "bx", "by_"), by, "full_outer")
+    return pages.select(*by, _arrays(share, "double", "ax", "ay", "bx", "by_").alias("overlap"))
+
+
+def labels(cells: DataFrame, page: str) -> DataFrame:
+    """``page, x, y, label_x, label_y``: cells that touch, also at corners, are told by their first (by y, then x)."""
+
+    def shapes(x, y):
+        frame = _frame(x, y)
+        at = np.unique(_packed(x, y, frame))
+        pairs = [(np.flatnonzero(hit), where[hit]) for hit, where in (_has(at, at + dy * frame[2] + dx) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1)))]
+        first = np.arange(len(at))
+        nodes, to = graph.solve(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
+        first[nodes] = to
+        place = lambda c: (int(c % frame[2]) + frame[0], int(c // frame[2]) + frame[1])
+        return [dict(zip(("x", "y", "label_x", "label_y"), (*place(c), *place(at[f])), strict=True)) for c, f in zip(at, first, strict=True)]
+
+    return _by_page(cells, [page]).select(page, F.explode(_arrays(shapes, CELL, "xs", "ys")).alias("p")).select(page, "p.*")
 
 
 def uncovered(cells: DataFrame, rectangles: DataFrame, by: list[str], cell: float) -> DataFrame:

@@ -14,7 +14,7 @@ def f2_visible_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     parts = table(spark, sf_dir, "part").select(
         k, F.element_at(F.array(F.lit("f"), F.lit("s"), F.lit("fs")), (k % 3 + 1).cast("int")).alias("type"), F.when(k % 4 == 0, 0.0).when(k % 4 == 1, None).otherwise(0.5).alias("fill_opacity"),
-        F.when(k % 5 == 0, 0.0).when(k % 5 == 2, None).otherwise(1.0).alias("stroke_opacity"), F.col("p_brand").alias("color"), F.col("p_size").alias("width"), F.col("p_type").alias("fill"),
+        F.when(k % 5 == 0, 0.0).when(k % 5 == 2, None).otherwise(1.0).alias("stroke_opacity"), F.col("p_brand").alias("color"), F.col("p_size").alias("width"), (k % 7).alias("dash_phase"), F.col("p_type").alias("fill"),
     )
     return figures.visible_drawings(parts)
 
@@ -24,7 +24,7 @@ WITH d AS (SELECT p_partkey, ['f', 's', 'fs'][p_partkey % 3 + 1] AS type, CASE W
   CASE WHEN p_partkey % 5 = 0 THEN 0.0 WHEN p_partkey % 5 <> 2 THEN 1.0 END::DOUBLE AS stroke_opacity, p_brand, p_size, p_type FROM part),
 s AS (SELECT *, type <> 's' AND coalesce(fill_opacity, 1) > 0 AS f, type <> 'f' AND coalesce(stroke_opacity, 1) > 0 AS s FROM d)
 SELECT p_partkey, CASE WHEN f AND s THEN 'fs' WHEN f THEN 'f' ELSE 's' END AS type, CASE WHEN f OR type = 's' THEN fill_opacity END AS fill_opacity, CASE WHEN s OR type = 'f' THEN stroke_opacity END AS stroke_opacity,
-  CASE WHEN s OR type = 'f' THEN p_brand END AS color, CASE WHEN s OR type = 'f' THEN p_size END AS width, CASE WHEN f OR type = 's' THEN p_type END AS fill FROM s WHERE f OR s
+  CASE WHEN s OR type = 'f' THEN p_brand END AS color, CASE WHEN s OR type = 'f' THEN p_size END AS width, CASE WHEN s OR type = 'f' THEN p_partkey % 7 END AS dash_phase, CASE WHEN f OR type = 's' THEN p_type END AS fill FROM s WHERE f OR s
 """
 
 
@@ -91,7 +91,8 @@ SELECT page, count(*) AS n_pixels FROM c GROUP BY page"""
 def g12_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of each supplier's page that one line in five inks, by connected shape."""
     cells = _pixels(spark, sf_dir).where("rgb % 65536 = 0 and rgb < 2 * 65536").withColumn("x", F.col("x") * 2 % 23)
-    return figures.labels(cells, "page").groupBy("page", "label").agg(F.count("*").alias("n_cells"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    label = F.col("page") * (1 << 40) + F.col("label_y") * (1 << 20) + F.col("label_x")
+    return figures.labels(cells, "page").groupBy("page", label.alias("label")).agg(F.count("*").alias("n_cells"), F.min("x").alias("x0"), F.max("x").alias("x1"))
 
 
 G12 = _PIXELS.replace("WITH px", "WITH RECURSIVE px") + """, c AS (SELECT DISTINCT page, x * 2 % 23 AS x, y FROM px WHERE rgb % 65536 = 0 AND rgb < 2 * 65536), k AS (SELECT *, page * 1099511627776 + y * 1048576 + x AS k FROM c),

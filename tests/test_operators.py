@@ -515,3 +515,29 @@ def test_figures_take_empty_tables(spark):
     assert figures.page_ground(px, ["page"]).count() == figures.ink_overlap(px, px, ["page"]).count() == figures.labels(px, "page").count() == figures.uncovered(px, boxes, ["page"], 4.0).count() == 0
     assert figures.ink_overlap(one, px, ["page"]).collect()[0].overlap == 0 and figures.ink_overlap(one, one, ["page"]).collect()[0].overlap == 1
     assert figures.labels(one, "page").count() == figures.uncovered(one, boxes, ["page"], 4.0).count() == 1
+
+
+def test_shapes_of_pages_far_from_the_origin(spark):
+    """Cells that only seem near when places are packed, negative ones, and labels against a flood fill."""
+    r = random.Random(5)
+    cells = {(p, x + dx, y + dy) for p, dx, dy in ((1, 0, 0), (2, -9, 1 << 40), (1 << 40, 1 << 30, -5), (-3, -1 << 20, 7)) for x in range(9) for y in range(9) if r.random() < 0.4}
+    cells |= {(9, -1, 1), (9, (1 << 20) - 1, 0), (9, 1 << 21, 0)}
+    first = {}
+    for p, x, y in sorted(cells, key=lambda c: (c[0], c[2], c[1])):
+        if (p, x, y) in first:
+            continue
+        todo = [(x, y)]
+        while todo:
+            a, b = todo.pop()
+            if (p, a, b) in cells and (p, a, b) not in first:
+                first[p, a, b] = (x, y)
+                todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    df = spark.createDataFrame([*cells, *list(cells)[:5]], "page long, x long, y long")
+    assert {(c.page, c.x, c.y): (c.label_x, c.label_y) for c in figures.labels(df, "page").collect()} == first
+    around = lambda p, x, y, steps: sum((p, x + i, y + j) in cells for i, j in steps)
+    nine = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    assert {tuple(c) for c in figures.text_mask(df, ["page"], 3).collect()} == {c for c in cells if around(*c, nine) >= 3}
+    other = {c for c in cells if r.random() < 0.5 and c[0] != 9} | {(5, 1, 1)}
+    both = lambda p, m, o: sum(any((q, x + i, y + j) in o for i, j in [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]) for q, x, y in m if q == p)
+    got = {c.page: c.overlap for c in figures.ink_overlap(df, spark.createDataFrame([*other], "page long, x long, y long"), ["page"]).collect()}
+    assert got == pytest.approx({p: (both(p, cells, other) + both(p, other, cells)) / sum(q == p for m in (cells, other) for q, *_ in m) for p in {c[0] for c in cells | other}})
