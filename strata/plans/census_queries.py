@@ -67,12 +67,12 @@ SELECT conv_id, turn, size FROM r WHERE r = 1 AND size >= 1.3::DOUBLE * 400 AND
 
 
 def w5_carried_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 2).cast("long").alias("label"), tx.first_words(F.col("text"), 2).alias("note"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 2).cast("long").alias("label"), F.col("text").alias("note"))
     return segment.carried_notes(turns, ["conv_id"], "turn", "label", "note").select("conv_id", "turn", "notes", "n_steps")
 
 
 W5 = """
-WITH t AS (SELECT conv_id, turn, turn // 2 AS label, array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[:2], ' ') AS note FROM conversations),
+WITH t AS (SELECT conv_id, turn, turn // 2 AS label, text AS note FROM conversations),
 c AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM label THEN 1 ELSE 0 END AS cut FROM t),
 r AS (SELECT *, sum(cut) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM c)
 SELECT conv_id, max(turn) AS turn, coalesce(string_agg(note, chr(10) ORDER BY turn) FILTER (note <> ''), '') AS notes, count(*) AS n_steps FROM r GROUP BY conv_id, run

@@ -16,12 +16,12 @@ from strata.sources.tables import table
 
 
 def a7_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("double").alias("size"), tx.first_words(F.col("text"), 3).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("double").alias("size"), "text")
     return stats.titles(turns, ["conv_id"], "turn", "size", "text")
 
 
 A7 = """
-WITH t AS (SELECT conv_id, turn, length(text)::DOUBLE AS size, max(length(text)::DOUBLE) OVER (PARTITION BY conv_id) AS top, array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[:3], ' ') AS text FROM conversations)
+WITH t AS (SELECT conv_id, turn, length(text)::DOUBLE AS size, max(length(text)::DOUBLE) OVER (PARTITION BY conv_id) AS top, text FROM conversations)
 SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS title, max(top) AS size FROM t WHERE size >= 0.9::DOUBLE * top GROUP BY conv_id
 """
 

@@ -106,7 +106,7 @@ def q13_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"))
     steps = spark.range(0, 40).select(F.col("id").alias("range_id"), (F.col("id") * 3000.0).alias("low"), (F.col("id") * 3000.0 + 2500.0).alias("high"))
     keys = lines.select("l_returnflag", "l_linestatus").distinct()
-    ranges = keys.join(F.broadcast(steps))  # 40 ranges for each of a handful of flags
+    ranges = keys.crossJoin(F.broadcast(steps))  # 40 ranges for each of a handful of flags
     met = resolve.interval_join(lines, "price", ranges, "low", "high", ["l_returnflag", "l_linestatus"], 5000.0)
     return met.groupBy("l_returnflag", "l_linestatus", "range_id").agg(F.count("*").alias("n_lines"), F.min("l_orderkey").alias("first_order"))
 
