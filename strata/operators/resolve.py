@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import itertools
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,14 +190,28 @@ def points_in_rectangles(points: DataFrame, key: str, rectangles: DataFrame, pan
 
 
 def crossings(pairs: DataFrame, by: list[str], left: str, right: str) -> DataFrame:
-    """A lower bound on how many other pairs of the group each pair crosses, from ranks alone: no pair of pairs is made.
+    """``by, left, right, crossings`` of pairs that cross others of their group, with how many; places on a side are unique and not null.
 
-    A pair at place i on one side whose partner has rank j crosses at least |i - j| others.  Pairs with i = j are left out, though
-    they can cross others too; ``crossed_twins`` finds and names crossings.
+    A pair at place i of the left order and rank j of the right one, with e pairs before it on both, crosses i + j - 2e.  A group's
+    ranks are one array, so no pair of pairs is made.
     """
-    i = F.row_number().over(Window.partitionBy(*by).orderBy(left))
-    j = F.row_number().over(Window.partitionBy(*by).orderBy(right))
-    return pairs.withColumn("place", i.cast("long")).withColumn("rank", j.cast("long")).where("place <> rank").withColumn("least_crossings", F.abs(F.col("place") - F.col("rank")))
+
+    def run(arrays: pa.Array) -> pa.Array:
+        out = []
+        for values in arrays.to_pylist():
+            rank = {v: j for j, v in enumerate(sorted(values))}
+            seen: list = []
+            told = []
+            for i, v in enumerate(values):
+                e = bisect.bisect_left(seen, v)
+                seen.insert(e, v)
+                told.append(i + rank[v] - 2 * e)
+            out.append(told)
+        return pa.array(out, pa.list_(pa.int64()))
+
+    rows = pairs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(left).alias("l"), F.col(right).alias("r")))).alias("rows"))
+    told = rows.withColumn("n", F.arrow_udf(run, "array<long>")(F.transform("rows", lambda x: x.r)))
+    return told.select(*by, F.explode(F.arrays_zip("rows", "n")).alias("p")).where("p.n > 0").select(*by, F.col("p.rows.l").alias(left), F.col("p.rows.r").alias(right), F.col("p.n").alias("crossings"))
 
 
 def crossed_twins(pairs: DataFrame, scored: DataFrame, by: list[str], left: str, right: str, score: str, loss: float = 0.02) -> DataFrame:

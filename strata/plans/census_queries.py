@@ -115,12 +115,12 @@ SELECT o_custkey, grp, score, greatest(CASE WHEN lr = 1 THEN l2 ELSE l1 END, CAS
 
 def j11_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") * 7919 % 100_003).alias("other"))
-    return resolve.crossings(orders, ["o_custkey"], "o_orderkey", "other").select("o_custkey", "o_orderkey", "least_crossings")
+    return resolve.crossings(orders, ["o_custkey"], "o_orderkey", "other").select("o_custkey", "o_orderkey", "crossings")
 
 
 J11 = """
-WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey * 7919 % 100003) AS j FROM orders)
-SELECT o_custkey, o_orderkey, abs(i - j) AS least_crossings FROM r WHERE i <> j
+WITH o AS (SELECT o_custkey, o_orderkey, o_orderkey * 7919 % 100003 AS other FROM orders)
+SELECT a.o_custkey, a.o_orderkey, count(*) AS crossings FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND (a.o_orderkey < b.o_orderkey) <> (a.other < b.other) AND a.o_orderkey <> b.o_orderkey GROUP BY ALL
 """
 
 
