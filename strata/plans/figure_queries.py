@@ -101,6 +101,17 @@ l AS (SELECT page, x, y, min(label) AS label FROM r GROUP BY ALL)
 SELECT page, label, count(*) AS n_cells, min(x) AS x0, max(x) AS x1 FROM l GROUP BY ALL"""
 
 
+def g12_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the outlines of each page's ink enclose, holes taken off, and how long they are."""
+    cells = _pixels(spark, sf_dir).where("rgb < 2 * 65536")
+    return figures.contours(cells, "page").groupBy("page").agg(F.sum("area").alias("area"), F.sum("n_edges").alias("n_edges"))
+
+
+G12C = _PIXELS + """, c AS (SELECT DISTINCT page, x, y FROM px WHERE rgb < 2 * 65536),
+s AS (SELECT c.page, c.x, c.y, count(n.x) AS n FROM c LEFT JOIN c n ON n.page = c.page AND abs(n.x - c.x) + abs(n.y - c.y) = 1 GROUP BY ALL)
+SELECT page, count(*) AS area, sum(4 - n)::BIGINT AS n_edges FROM s GROUP BY page"""
+
+
 def q1_lost_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of each page that none of its elements' boxes covers."""
     px = _pixels(spark, sf_dir)
@@ -279,5 +290,5 @@ def a27_trimmed_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagrams.trimmed_fit(coloured_pixels(spark, sf_dir), "label", ["one", "px", "py"], ["c0", "c1", "c2"], 1.5)
 
 
-QUERIES = {f.__name__: f for f in (f2_visible_drawings, g4_curve_boxes, a26_page_ground, g11_ink_overlap, q2_text_mask, g12_labels, q1_lost_ink, c12_plain_text, c18_scripts, f13_editable_blocks, m4_converged, m17_edit_plan, f6_compared_texts, n1_canonical_json, n6_same_trees, n6_renamed_ids, k7_diagram_edges, a27_trimmed_fit)}
-ORACLES = {"f2_visible_drawings": F2, "g4_curve_boxes": G4, "a26_page_ground": A26, "g11_ink_overlap": G11, "q2_text_mask": Q2M, "g12_labels": G12, "q1_lost_ink": Q1L, "c12_plain_text": C12, "c18_scripts": C18, "f13_editable_blocks": F13, "m4_converged": M4C, "m17_edit_plan": M17, "f6_compared_texts": F6, "n1_canonical_json": N1J, "n6_same_trees": N6, "n6_renamed_ids": N6R, "k7_diagram_edges": K7}
+QUERIES = {f.__name__: f for f in (f2_visible_drawings, g4_curve_boxes, a26_page_ground, g11_ink_overlap, q2_text_mask, g12_labels, g12_contours, q1_lost_ink, c12_plain_text, c18_scripts, f13_editable_blocks, m4_converged, m17_edit_plan, f6_compared_texts, n1_canonical_json, n6_same_trees, n6_renamed_ids, k7_diagram_edges, a27_trimmed_fit)}
+ORACLES = {"f2_visible_drawings": F2, "g4_curve_boxes": G4, "a26_page_ground": A26, "g11_ink_overlap": G11, "q2_text_mask": Q2M, "g12_labels": G12, "g12_contours": G12C, "q1_lost_ink": Q1L, "c12_plain_text": C12, "c18_scripts": C18, "f13_editable_blocks": F13, "m4_converged": M4C, "m17_edit_plan": M17, "f6_compared_texts": F6, "n1_canonical_json": N1J, "n6_same_trees": N6, "n6_renamed_ids": N6R, "k7_diagram_edges": K7}

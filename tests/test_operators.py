@@ -3,6 +3,7 @@
 import functools
 import itertools
 import json
+import math
 import random
 
 import pytest
@@ -541,3 +542,47 @@ def test_shapes_of_pages_far_from_the_origin(spark):
     both = lambda p, m, o: sum(any((q, x + i, y + j) in o for i, j in [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]) for q, x, y in m if q == p)
     got = {c.page: c.overlap for c in figures.ink_overlap(df, spark.createDataFrame([*other], "page long, x long, y long"), ["page"]).collect()}
     assert got == pytest.approx({p: (both(p, cells, other) + both(p, other, cells)) / sum(q == p for m in (cells, other) for q, *_ in m) for p in {c[0] for c in cells | other}})
+
+
+def test_outlines_enclose_their_cells(spark):
+    r = random.Random(7)
+    cells = {(p, x + 1000 * p, y - 50) for p in range(12) for x in range(8) for y in range(8) if r.random() < (0.35, 0.6, 0.8)[p % 3]} | {(40, 0, 0), (41, -5, 3), (41, -4, 4)}
+    cells |= {(50, x, y) for x in range(5) for y in range(5) if (x, y) != (2, 2)}
+    rows = figures.contours(spark.createDataFrame([*cells], "page long, x long, y long"), "page").collect()
+
+    def shapes(inside, steps):
+        left, n = set(inside), 0
+        while left:
+            n, todo = n + 1, [left.pop()]
+            while todo:
+                x, y = todo.pop()
+                near = {(x + i, y + j) for i, j in steps} & left
+                left -= near
+                todo += near
+        return n
+
+    four, eight = [(1, 0), (-1, 0), (0, 1), (0, -1)], [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    for p in {c[0] for c in cells}:
+        own = {(x, y) for q, x, y in cells if q == p}
+        mine = [x for x in rows if x.page == p]
+        xs, ys = [x for x, _ in own], [y for _, y in own]
+        around = {(x, y) for x in range(min(xs) - 1, max(xs) + 2) for y in range(min(ys) - 1, max(ys) + 2)} - own
+        assert sum(x.area for x in mine) == len(own)
+        assert sum(x.n_edges for x in mine) == sum((x + i, y + j) not in own for x, y in own for i, j in four)
+        assert sum(x.area > 0 for x in mine) == shapes(own, four) and sum(x.area < 0 for x in mine) == shapes(around, eight) - 1
+        for x in mine:
+            points = [(q.x, q.y) for q in x.points]
+            assert sum(a * d - c * b for (a, b), (c, d) in zip(points, points[1:] + points[:1], strict=True)) == 2 * x.area
+            assert all((a == c) != (b == d) for (a, b), (c, d) in zip(points, points[1:] + points[:1], strict=True))
+
+
+def test_simplified_rings_stay_near():
+    r = random.Random(2)
+    circle = [(50 * math.cos(t / 40 * math.pi) + r.uniform(-1, 1), 50 * math.sin(t / 40 * math.pi) + r.uniform(-1, 1)) for t in range(80)]
+    for tol in (0.5, 2.0, 6.0):
+        kept = figures.simplified(circle, tol)
+        assert 3 <= len(kept) < 80 and set(kept) <= set(circle)
+        sides = list(zip(kept, kept[1:] + kept[:1], strict=True))
+        for x, y in circle:
+            assert min(abs((x - a) * (d - b) - (y - b) * (c - a)) / math.hypot(c - a, d - b) for (a, b), (c, d) in sides) <= tol + 1e-9
+    assert figures.simplified([(0, 0), (1, 0), (1, 1)], 9) == [(0, 0), (1, 0), (1, 1)]
