@@ -54,12 +54,30 @@ def editable_block(kind: Column, runs: Column) -> Column:
     return (F.coalesce(kind, F.lit("")) != "toc") & F.coalesce(F.forall(runs, writable), F.lit(True))
 
 
-def converged_fields(text: Column, live: Column, want: tuple[Column, Column], place: tuple[Column, Column], edits: Column, near: float = 2.0) -> Column:
-    """Which of a row's ``edits`` (text, geometry) the live version already shows as the source wants it: the same words, or a place at most ``near`` off on both axes."""
-    words = lambda t: F.trim(F.regexp_replace(F.replace(F.coalesce(t, F.lit("")), F.lit(HOLE), F.lit(" ")), r"\s+", " "))
+# How far a place, and the four numbers of scale and shear, may be off and still be the same.
+NEAR, SCALE_NEAR = 2.0, 1e-3
+
+
+def converged_fields(
+    text: Column, live: Column, want: tuple[Column, Column], place: tuple[Column, Column], edits: Column, near: float = NEAR,
+    kind: Column | None = None, alone: Column | None = None, scales: tuple[Column, Column] | None = None,
+) -> Column:
+    """Which of a row's ``edits`` (text, geometry) the live version already shows as the source wants it: the same words, or a place at most ``near`` off on both axes.
+
+    ``kind``: texts and tables have words to compare (of a table cell by cell, tabs and lines between them), other kinds none; all are
+    texts without it.  ``alone``: whether the source left the unit's other members as they were; if not nothing has converged.
+    ``scales``: arrays of scale and shear as last written and live, which must agree for a place to count.
+    """
+    said = lambda t: F.replace(F.coalesce(t, F.lit("")), F.lit(HOLE), F.lit(" "))
+    trimmed = lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))
+    cells = lambda t: F.transform(F.split(F.coalesce(t, F.lit("")), "\n"), lambda row: F.transform(F.split(row, "\t"), trimmed))
+    kind = F.lit("text") if kind is None else kind
+    same = F.when(kind == "text", trimmed(said(text)) == trimmed(said(live))).when(kind == "table", cells(text) == cells(live)).otherwise(False)
     off = F.greatest(F.abs(want[0] - place[0]), F.abs(want[1] - place[1]))
-    told = [F.when(F.array_contains(edits, "text") & (words(text) == words(live)), "text"), F.when(F.array_contains(edits, "geometry") & (off <= near), "geometry")]
-    return F.array_compact(F.array(*told))
+    turned = F.lit(True) if scales is None else F.coalesce(F.forall(F.zip_with(*scales, lambda x, y: F.abs(x - y) <= SCALE_NEAR), lambda s: s), F.lit(False))
+    told = [F.when(F.array_contains(edits, "text") & same, "text"), F.when(F.array_contains(edits, "geometry") & (off <= near) & turned, "geometry")]
+    found = F.array_compact(F.array(*told))
+    return found if alone is None else F.when(F.coalesce(alone, F.lit(False)), found).otherwise(F.array().cast("array<string>"))
 
 
 def edit_plan(edits: DataFrame, by: list[str], start: str, stop: str, order: str) -> DataFrame:

@@ -122,3 +122,23 @@ def has_writes(decided: DataFrame) -> DataFrame:
 def union_of_keys(ours: DataFrame, base: DataFrame, key: str) -> DataFrame:
     """The source's rows, and the base's that it lacks."""
     return ours.withColumn("side", F.lit("ours")).unionByName(base.join(ours.select(key), key, "left_anti").withColumn("side", F.lit("base")))
+
+
+def kept_joined(units: DataFrame, by: str, key: str, decision: str = "decision", base: str = "base", ours: str = "ours") -> DataFrame:
+    """Units with ``kept_joined`` for those to be deleted whose words live on inside a unit of the same page that stays as the live version has it, and ``into``, the first such unit.
+
+    ``units``: ``by, key``, the decision (``delete``, ``conflict`` and others), and its words in the base and in the source.  A clash
+    keeps the live version's words, so the source's joined words would not arrive, and deleting the unit they came from would lose them.
+    """
+    words = lambda c: F.array_join(F.filter(F.split(F.coalesce(F.col(c), F.lit("")), r"\s+"), lambda w: w != ""), " ")
+    gone = units.where(F.col(decision) == "delete").select(by, key, words(base).alias("__words")).where("__words <> ''")
+    stays = units.where(F.col(decision) == "conflict").select(F.col(by).alias("__by"), F.col(key).alias("into"), words(ours).alias("__text")).where("__text <> ''")
+    held = gone.join(stays, (F.col(by) == F.col("__by")) & F.col("__text").contains(F.col("__words"))).groupBy(by, key).agg(F.min("into").alias("into"))
+    out = units.join(held, [by, key], "left")
+    return out.withColumn(decision, F.when(F.col("into").isNotNull(), "kept_joined").otherwise(F.col(decision)))
+
+
+def held_pages(decided: DataFrame, moves: DataFrame, by: str, decision: str = "decision") -> DataFrame:
+    """Decisions with ``hold`` for all of a page on which something would be written while it is unsure which page it is: ``moves`` has ``by, verdict`` (moved, unsure, stays)."""
+    doubt = moves.where("verdict = 'unsure'").select(by, F.lit(True).alias("__doubt")).distinct()
+    return decided.join(doubt, by, "left").withColumn(decision, F.when(F.col("__doubt"), "hold").otherwise(F.col(decision))).drop("__doubt")

@@ -177,12 +177,15 @@ def m4_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = F.when(k % 3 == 0, F.regexp_replace("p_name", " ", "  ")).when(k % 3 == 1, F.upper("p_name")).otherwise(F.col("p_name"))
     edits = F.when(k % 4 == 0, F.array(F.lit("text"))).when(k % 4 == 1, F.array(F.lit("geometry"))).when(k % 4 == 2, F.array(F.lit("text"), F.lit("geometry"))).otherwise(F.array().cast("array<string>"))
     place = (k % 50).cast("double"), (k % 70).cast("double")
-    got = elements.converged_fields(F.col("p_name"), live, (place[0] + k % 5 * 0.8, place[1] - k % 7 * 0.5), place, edits)
+    kind = F.when(k % 13 == 0, "image").when(k % 11 == 0, "table").otherwise("text")
+    scales = F.array(*(F.lit(x) for x in (1.0, 0.0, 0.0, 1.0))), F.array((1 + k % 6 * 0.0003), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    got = elements.converged_fields(F.col("p_name"), live, (place[0] + k % 5 * 0.8, place[1] - k % 7 * 0.5), place, edits, kind=kind, alone=k % 9 != 4, scales=scales)
     return table(spark, sf_dir, "part").select(k, F.array_join(got, ",").alias("converged"))
 
 
 M4C = """
-SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 4 IN (0, 2) AND (p_partkey % 3 <> 1 OR upper(p_name) = p_name) THEN 'text' END, CASE WHEN p_partkey % 4 IN (1, 2) AND p_partkey % 5 * 0.8 <= 2 AND p_partkey % 7 * 0.5 <= 2 THEN 'geometry' END) AS converged FROM part
+SELECT p_partkey, CASE WHEN p_partkey % 9 = 4 THEN '' ELSE concat_ws(',', CASE WHEN p_partkey % 13 <> 0 AND p_partkey % 4 IN (0, 2) AND (p_partkey % 3 <> 1 OR upper(p_name) = p_name) THEN 'text' END,
+  CASE WHEN p_partkey % 4 IN (1, 2) AND p_partkey % 5 * 0.8 <= 2 AND p_partkey % 7 * 0.5 <= 2 AND p_partkey % 6 < 4 THEN 'geometry' END) END AS converged FROM part
 """
 
 

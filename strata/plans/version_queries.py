@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators import alignment, audit, locate, marks, ordering, pairing
+from strata.operators import alignment, audit, locate, marks, merge, ordering, pairing, resolve
 from strata.sources.tables import table
 
 
@@ -200,5 +200,43 @@ r AS (SELECT g.doc, kind, g.unit, own, least(own, less) AS gone, least(coalesce(
 SELECT *, gone - told AS lost FROM r WHERE gone > told
 """
 
-QUERIES = {f.__name__: f for f in (j29_foreign_pairs, j26_weak_alignment, o8_order_merge, k8_stacking, m10_block_marks, m21_styling_told, j30_located_words, j31_frame_votes, q6_untold_losses)}
-ORACLES = {"k8_stacking": K8, "j31_frame_votes": J31, "q6_untold_losses": Q6}
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as units of pages: some dropped by the source, whose words it joined to the next turn, some of those in a clash."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    h = (F.col("conv_id") * 3 + F.col("turn")) % 6
+    before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("above"))
+    return t.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", F.when(h == 1, "delete").when((h == 2) & (F.col("conv_id") % 2 == 0), "conflict").when(h == 4, "take_ours").otherwise("keep").alias("decision"), F.col("text").alias("base"), F.when(h == 2, F.concat_ws("  ", "above", "text")).otherwise(F.col("text")).alias("ours"))
+
+
+def m5_kept_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.kept_joined(_units(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", "decision", "into")
+
+
+M5 = r"""
+WITH t AS (SELECT conv_id, turn, (conv_id * 3 + turn) % 6 AS h, trim(regexp_replace(text, '\s+', ' ', 'g')) AS words FROM conversations),
+u AS (SELECT t.conv_id, t.turn, CASE WHEN t.h = 1 THEN 'delete' WHEN t.h = 2 AND t.conv_id % 2 = 0 THEN 'conflict' WHEN t.h = 4 THEN 'take_ours' ELSE 'keep' END AS decision, t.words, CASE WHEN t.h = 2 THEN trim(coalesce(b.words, '') || ' ' || t.words) ELSE t.words END AS ours
+  FROM t LEFT JOIN t b ON b.conv_id = t.conv_id AND b.turn = t.turn - 1),
+j AS (SELECT a.conv_id, a.turn, min(b.turn) AS kept FROM u a JOIN u b ON b.conv_id = a.conv_id AND a.decision = 'delete' AND b.decision = 'conflict' AND a.words <> '' AND contains(b.ours, a.words) GROUP BY ALL)
+SELECT u.conv_id, u.turn, CASE WHEN kept IS NOT NULL THEN 'kept_joined' ELSE decision END AS decision, kept AS "into" FROM u LEFT JOIN j ON j.conv_id = u.conv_id AND j.turn = u.turn
+"""
+
+
+def m6_held_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose label could be another's are left alone: turns' roles as labels, scored by made evidence."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    label = F.col("conv_id")
+    scored = t.select(label.alias("label"), (label + F.col("turn") % 3).alias("slide"), ((label * 31 + F.col("turn") * 17) % 10 / 10.0).alias("score")).groupBy("label", "slide").agg(F.max("score").alias("score"))
+    moves = resolve.label_moves(scored, "label", "slide", F.col("label") == F.col("slide"), "score", 0.6, 0.2).withColumnRenamed("label", "conv_id")
+    return merge.held_pages(_units(spark, sf_dir), moves, "conv_id").groupBy("conv_id", "decision").agg(F.count("*").alias("n"))
+
+
+M6 = """
+WITH s AS (SELECT conv_id AS label, conv_id + turn % 3 AS slide, max((conv_id * 31 + turn * 17) % 10 / 10.0::DOUBLE) AS score FROM conversations GROUP BY ALL),
+v AS (SELECT label, max(score) FILTER (label = slide) AS own, max(score) FILTER (label <> slide) AS best FROM s GROUP BY label),
+d AS (SELECT label FROM v WHERE best >= 0.6 AND best > coalesce(own, 0) AND NOT best - coalesce(own, 0) >= 0.2),
+u AS (SELECT conv_id, CASE WHEN conv_id IN (SELECT label FROM d) THEN 'hold' WHEN (conv_id * 3 + turn) % 6 = 1 THEN 'delete' WHEN (conv_id * 3 + turn) % 6 = 2 AND conv_id % 2 = 0 THEN 'conflict' WHEN (conv_id * 3 + turn) % 6 = 4 THEN 'take_ours' ELSE 'keep' END AS decision FROM conversations)
+SELECT conv_id, decision, count(*) AS n FROM u GROUP BY ALL
+"""
+
+QUERIES = {f.__name__: f for f in (j29_foreign_pairs, j26_weak_alignment, o8_order_merge, k8_stacking, m10_block_marks, m21_styling_told, j30_located_words, j31_frame_votes, q6_untold_losses, m5_kept_joined, m6_held_pages)}
+ORACLES = {"k8_stacking": K8, "j31_frame_votes": J31, "q6_untold_losses": Q6, "m5_kept_joined": M5, "m6_held_pages": M6}
