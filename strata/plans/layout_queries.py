@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions import geometry as geo
-from strata.operators import layout, stats
+from strata.operators import grid, layout, stats
 from strata.sources import strict_json
 from strata.sources.tables import table
 
@@ -205,5 +205,20 @@ WITH l AS (SELECT l_orderkey, floor(l_discount * 100 / 5)::BIGINT AS was, CASE W
 SELECT l_orderkey, max(now) AS value FROM l GROUP BY l_orderkey HAVING count(DISTINCT now) = 1 AND bool_or(was <> now)
 """
 
-QUERIES = {f.__name__: f for f in (w1_glyph_spans, k2_lines, w9_paragraphs, a1_body_size, a2_furniture, w8_regular_rows, w11_list_levels, o1_reading_order, f1_visible, g1_transforms, g2_placement, g10_colours, f3_point_in_polygon, s7_strict_json, a18_uniform_change)}
+def listed_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as glyphs, conversations as lines and fifty of them as a page: tokens of four glyphs in columns of seven points, an empty column behind each; some tokens off their columns, some pages letter-spaced."""
+    c, k = F.col("conv_id"), F.col("turn")
+    token, page = F.floor(k / 4), F.floor(c / 50).cast("long")
+    advance = F.when(page % 5 == 4, 4.0).otherwise(4.0 + (c + token) % 3 * 0.5)
+    glue = (28.0 - 4 * advance) / 5
+    x = 35.0 * token + page % 3 * 2.5 + F.when((c % 7 == 0) & (token % 2 == 1), 2.3).otherwise(0.0) + glue + k % 4 * (advance + glue)
+    return table(spark, sf_dir, "conversations").select(page.alias("page"), c.alias("line"), k.alias("pos"), x.alias("x"), advance.alias("advance"), F.lit(10.0).alias("size"))
+
+
+def w3_column_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = grid.column_grid(listed_glyphs(spark, sf_dir), ["page"], "line", "pos")
+    return found.select("page", "line", F.round("pitch", 6).alias("pitch"), F.round(F.pmod(F.col("edge") + 1e-7, F.col("pitch")), 5).alias("edge"), "n_stretches", F.round("worst", 6).alias("worst"), "on_grid")
+
+
+QUERIES = {f.__name__: f for f in (w1_glyph_spans, k2_lines, w9_paragraphs, a1_body_size, a2_furniture, w8_regular_rows, w11_list_levels, o1_reading_order, f1_visible, g1_transforms, g2_placement, g10_colours, f3_point_in_polygon, s7_strict_json, a18_uniform_change, w3_column_grid)}
 ORACLES = {"w1_glyph_spans": W1, "k2_lines": K2, "a1_body_size": A1, "a2_furniture": A2, "w8_regular_rows": W8, "w11_list_levels": W11, "o1_reading_order": O1, "f1_visible": F1, "g1_transforms": G1, "g2_placement": G2, "g10_colours": G10, "f3_point_in_polygon": F3, "s7_strict_json": S7, "a18_uniform_change": A18}
