@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions import sequences
+from strata.plans.lineage import durable
 
 
 def merge3(base: Column, ours: Column, theirs: Column) -> Column:
@@ -114,6 +115,28 @@ def merge_texts(df: DataFrame, key: str, base: str, ours: str, theirs: str, take
     return df.select(*cols).mapInArrow(run, f"{key} {kinds[key]}, {MERGED_TEXT}")
 
 
+def text_conflicts(merged: DataFrame, key: str) -> DataFrame:
+    """A row for each clash of ``merge_texts``: ``key, paragraph`` (its place in theirs; null for a text of one paragraph), its three versions and an id made of all that."""
+    c = merged.select(key, F.explode("clashes").alias("c")).select(key, "c.paragraph", "c.base", "c.ours", "c.theirs")
+    ident = F.substring(F.sha2(F.concat_ws("\x1f", F.lit("text"), F.col(key).cast("string"), F.coalesce(F.col("paragraph").cast("string"), F.lit("-")), "base", "ours", "theirs"), 256), 1, 16)
+    return c.withColumn("conflict_id", ident)
+
+
+def settled_texts(df: DataFrame, key: str, base: str, ours: str, theirs: str, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts merged again with the clashes named in ``taken`` (``conflict_id``) settled for ours, each paragraph by itself, and the ids that settle nothing.
+
+    Keys are unique.  An id is of one clash as it was told, so one whose texts have changed since is stale and changes nothing.
+    """
+    told = durable(text_conflicts(merge_texts(df, key, base, ours, theirs), key))
+    ids = taken.select("conflict_id").distinct()
+    chosen = told.join(ids, "conflict_id").groupBy(key).agg(F.collect_set(F.coalesce("paragraph", F.lit(-1))).alias("__take"))
+    again = df.select(key, base, ours, theirs).join(chosen, key, "left").withColumn("__take", F.coalesce("__take", F.array().cast("array<int>")))
+    whole = F.array_contains("__take", -1)
+    kept = merge_texts(again.where(~whole), key, base, ours, theirs, "__take")
+    one = merge_texts(again.where(whole).withColumn("__all", F.lit(True)), key, base, ours, theirs, "__all")
+    return kept.unionByName(one), ids.join(told.select("conflict_id"), "conflict_id", "left_anti")
+
+
 def has_writes(decided: DataFrame) -> DataFrame:
     """One row: whether carrying out the decisions would change the live version."""
     return decided.agg(F.coalesce(F.bool_or(F.col("decision").isin("create", "delete", "take_ours", "merge")), F.lit(False)).alias("has_writes"), F.count("*").alias("n_rows"))

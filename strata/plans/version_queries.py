@@ -238,5 +238,31 @@ u AS (SELECT conv_id, CASE WHEN conv_id IN (SELECT label FROM d) THEN 'hold' WHE
 SELECT conv_id, decision, count(*) AS n FROM u GROUP BY ALL
 """
 
-QUERIES = {f.__name__: f for f in (j29_foreign_pairs, j26_weak_alignment, o8_order_merge, k8_stacking, m10_block_marks, m21_styling_told, j30_located_words, j31_frame_votes, q6_untold_losses, m5_kept_joined, m6_held_pages)}
-ORACLES = {"k8_stacking": K8, "j31_frame_votes": J31, "q6_untold_losses": Q6, "m5_kept_joined": M5, "m6_held_pages": M6}
+def paragraph_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as texts, a turn each a paragraph, which one side or both begin anew."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", "\n", " ").alias("text"))
+    h = F.col("conv_id") + F.col("turn") * 3
+    side = lambda m, word: F.when(h % m == 1, F.concat(F.lit(word), F.col("turn").cast("string"), F.regexp_replace("text", "^[^ ]*", ""))).otherwise(F.col("text"))
+    rows = t.select("conv_id", F.struct("turn", F.col("text").alias("b"), side(2, "ours").alias("o"), side(3, "theirs").alias("t")).alias("p")).groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    part = lambda c: F.array_join(F.transform("p", lambda x: x[c]), "\n")
+    return rows.select("conv_id", part("b").alias("base"), part("o").alias("ours"), part("t").alias("theirs"))
+
+
+def m8_settled_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clashing paragraphs, every second of which is settled for ours."""
+    texts = paragraph_versions(spark, sf_dir)
+    told = merge.text_conflicts(merge.merge_texts(texts, "conv_id", "base", "ours", "theirs"), "conv_id")
+    taken = told.where("paragraph % 2 = 0").select("conflict_id")
+    settled, _ = merge.settled_texts(texts, "conv_id", "base", "ours", "theirs", taken)
+    return settled.select("conv_id", F.md5("merged").alias("merged"), F.col("conflicts").cast("long").alias("conflicts"))
+
+
+M8 = r"""
+WITH t AS (SELECT conv_id, turn, replace(text, chr(10), ' ') AS b, conv_id + turn * 3 AS h, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+v AS (SELECT *, CASE WHEN h % 2 = 1 THEN 'ours' || turn || regexp_replace(b, '^[^ ]*', '') ELSE b END AS o, CASE WHEN h % 3 = 1 THEN 'theirs' || turn || regexp_replace(b, '^[^ ]*', '') ELSE b END AS t FROM t),
+m AS (SELECT *, h % 2 = 1 AND h % 3 = 1 AND n > 1 AS clash FROM v)
+SELECT conv_id, md5(string_agg(CASE WHEN clash AND k % 2 = 0 THEN o WHEN h % 3 = 1 THEN t ELSE o END, chr(10) ORDER BY turn)) AS merged, count(*) FILTER (clash AND k % 2 = 1) AS conflicts FROM m GROUP BY conv_id
+"""
+
+QUERIES = {f.__name__: f for f in (j29_foreign_pairs, j26_weak_alignment, o8_order_merge, k8_stacking, m10_block_marks, m21_styling_told, j30_located_words, j31_frame_votes, q6_untold_losses, m5_kept_joined, m6_held_pages, m8_settled_paragraphs)}
+ORACLES = {"k8_stacking": K8, "j31_frame_votes": J31, "q6_untold_losses": Q6, "m5_kept_joined": M5, "m6_held_pages": M6, "m8_settled_paragraphs": M8}

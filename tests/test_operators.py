@@ -586,3 +586,13 @@ def test_simplified_rings_stay_near():
         for x, y in circle:
             assert min(abs((x - a) * (d - b) - (y - b) * (c - a)) / math.hypot(c - a, d - b) for (a, b), (c, d) in sides) <= tol + 1e-9
     assert figures.simplified([(0, 0), (1, 0), (1, 1)], 9) == [(0, 0), (1, 0), (1, 1)]
+
+
+def test_clashes_of_texts_are_settled_one_by_one(spark):
+    rows = [(1, "a b\nc d\ne f", "a x\nc x\ne f", "a y\nc y\ne z"), (2, "one two", "one 2", "one zwei"), (3, "p q", "p q", "p r"), (4, "one two", "one 2", "one zwei")]
+    df = spark.createDataFrame(rows, "k long, b string, o string, t string")
+    told = {(r.k, r.paragraph): r.conflict_id for r in merge.text_conflicts(merge.merge_texts(df, "k", "b", "o", "t"), "k").collect()}
+    assert set(told) == {(1, 0), (1, 1), (2, None), (4, None)} and len(set(told.values())) == 4
+    taken = spark.createDataFrame([(told[1, 1],), (told[2, None],), ("stale",), (told[1, 1],)], "conflict_id string")
+    settled, stale = merge.settled_texts(df, "k", "b", "o", "t", taken)
+    assert {r.k: (r.merged, r.conflicts) for r in settled.collect()} == {1: ("a y\nc x\ne z", 1), 2: ("one 2", 0), 3: ("p r", 0), 4: ("one zwei", 1)} and [r.conflict_id for r in stale.collect()] == ["stale"]
