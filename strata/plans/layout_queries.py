@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions import geometry as geo
-from strata.operators import grid, layout, stats
+from strata.operators import grid, layout, listings, stats
 from strata.sources import strict_json
 from strata.sources.tables import table
 
@@ -220,5 +220,55 @@ def w3_column_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page", "line", F.round("pitch", 6).alias("pitch"), F.round(F.pmod(F.col("edge") + 1e-7, F.col("pitch")), 5).alias("edge"), "n_stretches", F.round("worst", 6).alias("worst"), "on_grid")
 
 
-QUERIES = {f.__name__: f for f in (w1_glyph_spans, k2_lines, w9_paragraphs, a1_body_size, a2_furniture, w8_regular_rows, w11_list_levels, o1_reading_order, f1_visible, g1_transforms, g2_placement, g10_colours, f3_point_in_polygon, s7_strict_json, a18_uniform_change, w3_column_grid)}
-ORACLES = {"w1_glyph_spans": W1, "k2_lines": K2, "a1_body_size": A1, "a2_furniture": A2, "w8_regular_rows": W8, "w11_list_levels": W11, "o1_reading_order": O1, "f1_visible": F1, "g1_transforms": G1, "g2_placement": G2, "g10_colours": G10, "f3_point_in_polygon": F3, "s7_strict_json": S7, "a18_uniform_change": A18}
+def w6_leader_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines, some of which are nothing but dots."""
+    c, k = F.col("conv_id"), F.col("turn")
+    n = c % 7 + 2
+    text = F.when((c + k) % 3 == 0, F.repeat(F.lit(" ."), n.cast("int"))).when((c + k) % 3 == 1, F.repeat(F.lit("."), n.cast("int"))).otherwise(F.col("text"))
+    pitch = listings.leader_pitch(text, F.lit(10.0), 10.0 + n * (4.0 + k % 3), 9.0 + k % 2, (c + k) % 5 == 0)
+    return table(spark, sf_dir, "conversations").select(c, k, pitch.alias("pitch")).where("pitch is not null")
+
+
+W6 = r"""
+WITH t AS (SELECT conv_id, turn, conv_id % 7 + 2 AS n, 9.0::DOUBLE + turn % 2 AS size, CASE (conv_id + turn) % 3 WHEN 0 THEN repeat(' .', conv_id % 7 + 2) WHEN 1 THEN repeat('.', conv_id % 7 + 2) ELSE text END AS text FROM conversations)
+SELECT conv_id, turn, round((n * (4.0 + turn % 3) - 0.278 * size) / (n - 1) / size, 4) AS pitch FROM t WHERE regexp_full_match(trim(text), '\.(\s*\.){3,}') AND (conv_id + turn) % 5 <> 0
+"""
+
+
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines, four conversations a page, each a column of its own; some count on, some don't, some stand beside code."""
+    c, k = F.col("conv_id"), F.col("turn")
+    first = F.when((c + k) % 9 == 4, "word").when(c % 3 == 1, ((k * 5) % 7).cast("string")).otherwise((k + 3).cast("string"))
+    return table(spark, sf_dir, "conversations").select(F.floor(c / 4).cast("long").alias("page"), (c * 1000 + k).alias("line"), first.alias("first"), (c % 4 * 60.0 + k % 3 * 0.4).alias("right"), (k * 12.0).alias("baseline"), F.when((c % 11 == 0) & (k == 2), 7.0).otherwise(9.0).alias("size"), ((c + k) % 4 < c % 5).alias("code"))
+
+
+def w7_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.line_numbers(numbered_lines(spark, sf_dir), "page", "line")
+
+
+W7 = """
+WITH t AS (SELECT conv_id AS c, turn AS k, CASE WHEN (conv_id + turn) % 9 = 4 THEN NULL WHEN conv_id % 3 = 1 THEN turn * 5 % 7 ELSE turn + 3 END AS n, (conv_id + turn) % 4 < conv_id % 5 AS code, CASE WHEN conv_id % 11 = 0 AND turn = 2 THEN 7 ELSE 9 END AS size FROM conversations),
+m AS (SELECT * FROM t WHERE n IS NOT NULL),
+g AS (SELECT *, coalesce(n > lag(n) OVER (PARTITION BY c ORDER BY k), true) AS up FROM m),
+a AS (SELECT c, count(*) >= 3 AND bool_and(up) AND count(DISTINCT size) = 1 AND count(*) FILTER (code) >= greatest(2, count(*) / 2) AS good, row_number() OVER (PARTITION BY c // 4 ORDER BY c) AS col FROM g GROUP BY c)
+SELECT m.c // 4 AS page, m.c * 1000 + k AS line, col AS "column", good AS numbers_code FROM m JOIN a ON a.c = m.c
+"""
+
+
+def measured_pictures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns as holes of a page's lines, and pictures somewhat off them."""
+    c, k = F.col("conv_id"), F.col("turn")
+    t = table(spark, sf_dir, "conversations").select(c.alias("page"), k.alias("k"))
+    h = (F.col("page") * 5 + F.col("k") * 3) % 13
+    x, y = 9.0 * F.col("k"), 6.0 * (F.col("k") % 3)
+    box = lambda dx, dy: ((x + dx).alias("x0"), (y + dy).alias("y0"), (x + dx + 8.0).alias("x1"), (y + dy + 6.0).alias("y1"))
+    holes = t.where(h != 0).select("page", F.col("k").alias("hole"), *box(0.0, 0.0), F.lit(10.0).alias("size"))
+    return t.where(h != 1).select("page", (F.col("k") + 500).alias("picture"), *box(h - 6.0, h % 5 * 3.0 - 5.0)), holes
+
+
+def j32_over_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.over_holes(*measured_pictures(spark, sf_dir), "page", "picture", "hole")
+
+
+QUERIES = {f.__name__: f for f in (w1_glyph_spans, k2_lines, w9_paragraphs, a1_body_size, a2_furniture, w8_regular_rows, w11_list_levels, o1_reading_order, f1_visible, g1_transforms, g2_placement, g10_colours, f3_point_in_polygon, s7_strict_json, a18_uniform_change, w3_column_grid, w6_leader_pitch, w7_line_numbers, j32_over_holes)}
+ORACLES = {"w1_glyph_spans": W1, "k2_lines": K2, "a1_body_size": A1, "a2_furniture": A2, "w8_regular_rows": W8, "w11_list_levels": W11, "o1_reading_order": O1, "f1_visible": F1, "g1_transforms": G1, "g2_placement": G2, "g10_colours": G10, "f3_point_in_polygon": F3, "s7_strict_json": S7, "a18_uniform_change": A18, "w6_leader_pitch": W6, "w7_line_numbers": W7}
