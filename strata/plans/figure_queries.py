@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators import diagrams, elements, figures, trees
+from strata.operators import diagrams, elements, figures, pictures, trees
 from strata.sources.tables import table
 
 
@@ -293,5 +293,32 @@ def a27_trimmed_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagrams.trimmed_fit(coloured_pixels(spark, sf_dir), "label", ["one", "px", "py"], ["c0", "c1", "c2"], 1.5)
 
 
-QUERIES = {f.__name__: f for f in (f2_visible_drawings, g4_curve_boxes, a26_page_ground, g11_ink_overlap, q2_text_mask, g12_labels, g12_contours, q1_lost_ink, c12_plain_text, c18_scripts, f13_editable_blocks, m4_converged, m17_edit_plan, f6_compared_texts, n1_canonical_json, n6_same_trees, n6_renamed_ids, k7_diagram_edges, a27_trimmed_fit)}
-ORACLES = {"f2_visible_drawings": F2, "g4_curve_boxes": G4, "a26_page_ground": A26, "g11_ink_overlap": G11, "q2_text_mask": Q2M, "g12_labels": G12, "g12_contours": G12C, "q1_lost_ink": Q1L, "c12_plain_text": C12, "c18_scripts": C18, "f13_editable_blocks": F13, "m4_converged": M4C, "m17_edit_plan": M17, "f6_compared_texts": F6, "n1_canonical_json": N1J, "n6_same_trees": N6, "n6_renamed_ids": N6R, "k7_diagram_edges": K7}
+def thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as thumbnails, mostly white; every third is one of the vector before it with a little noise."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    drawn = F.transform("embedding", lambda e: F.least(F.greatest(F.floor((e.cast("double") - 0.1) * 1500), F.lit(0)), F.lit(255)).cast("long"))
+    n = F.col("vec_id") % 3
+    own = v.select((F.col("vec_id") - n).alias("first"), "vec_id", drawn.alias("d"), n.alias("n"))
+    base = own.where("n = 0").select("first", F.col("d").alias("base"))
+    both = own.join(base, "first", "left")
+    noisy = F.transform("base", lambda x, i: F.greatest(F.least(x + F.when((i + F.col("vec_id")) % 9 == 0, 12).otherwise(0), F.lit(255)), F.lit(0)))
+    ink = F.when((F.col("n") == 1) & F.col("base").isNotNull(), noisy).when((F.col("vec_id") % 30 == 2), F.transform("d", lambda x, i: F.when(i == F.col("vec_id") % 60, 40).otherwise(0))).otherwise(F.col("d"))
+    return both.select("vec_id", F.when(F.col("vec_id") % 7 == 0, 104).otherwise(100).cast("long").alias("width"), F.lit(100).cast("long").alias("height"), F.transform(ink, lambda x: (255 - x).cast("long")).alias("levels"))
+
+
+def c28_same_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pictures.linked_pictures(thumbnails(spark, sf_dir), "vec_id")
+
+
+C28 = """
+WITH v AS (SELECT vec_id, vec_id % 3 AS n, list_transform(embedding, lambda e: least(greatest(floor((e::DOUBLE - 0.1) * 1500), 0), 255)::BIGINT) AS d FROM embeddings),
+b AS (SELECT v.vec_id, v.n, v.d, o.d AS base FROM v LEFT JOIN v o ON o.vec_id = v.vec_id - v.n AND o.n = 0),
+i AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 104 ELSE 100 END AS w, CASE WHEN n = 1 AND base IS NOT NULL THEN list_transform(base, lambda x, i: least(x + CASE WHEN (i - 1 + vec_id) % 9 = 0 THEN 12 ELSE 0 END, 255)) WHEN vec_id % 30 = 2 THEN list_transform(d, lambda x, i: CASE WHEN i - 1 = vec_id % 60 THEN 40 ELSE 0 END) ELSE d END AS k FROM b),
+s AS (SELECT *, list_sum(k) AS s FROM i),
+c AS (SELECT min(vec_id) AS id, w, k, s FROM s GROUP BY w, k, s),
+m AS (SELECT a.id AS a, count(*) AS n FROM c a JOIN c b ON a.id <> b.id AND abs(a.w - b.w) / 100.0 <= 0.05 * greatest(a.w, b.w) / 100.0 AND list_sum(list_transform(list_zip(a.k, b.k), lambda z: abs(z[1] - z[2]))) < 0.3 * greatest(a.s, b.s, 510) GROUP BY a.id)
+SELECT s.vec_id, c.id AS class_id, coalesce(n, 0) AS n_links FROM s JOIN c ON c.w = s.w AND c.k = s.k LEFT JOIN m ON m.a = c.id
+"""
+
+QUERIES = {f.__name__: f for f in (f2_visible_drawings, g4_curve_boxes, a26_page_ground, g11_ink_overlap, q2_text_mask, g12_labels, g12_contours, q1_lost_ink, c12_plain_text, c18_scripts, f13_editable_blocks, m4_converged, m17_edit_plan, f6_compared_texts, n1_canonical_json, n6_same_trees, n6_renamed_ids, k7_diagram_edges, a27_trimmed_fit, c28_same_pictures)}
+ORACLES = {"f2_visible_drawings": F2, "g4_curve_boxes": G4, "a26_page_ground": A26, "g11_ink_overlap": G11, "q2_text_mask": Q2M, "g12_labels": G12, "g12_contours": G12C, "q1_lost_ink": Q1L, "c12_plain_text": C12, "c18_scripts": C18, "f13_editable_blocks": F13, "m4_converged": M4C, "m17_edit_plan": M17, "f6_compared_texts": F6, "n1_canonical_json": N1J, "n6_same_trees": N6, "n6_renamed_ids": N6R, "k7_diagram_edges": K7, "c28_same_pictures": C28}
