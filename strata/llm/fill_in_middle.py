@@ -2,7 +2,8 @@
 
 Each Arrow batch is registered with an in-process DuckDB and one SQL statement makes the whole batch: ``regexp_extract_all`` cuts a
 text into units, ``sha256`` of seed and id picks the two cuts and the form, ``list_slice`` and ``array_to_string`` put the parts
-together.  No Python runs for a row.  DuckDB takes some megabytes of text at a time, one thread, and no disk.
+together.  No Python runs for a row.  DuckDB takes some megabytes of text at a time, one thread, bounded memory (more for a single
+text of many megabytes), and no disk.
 
 A null text counts as empty, an empty or sentinel-bearing text stays ``plain``, and a null id is hashed as an empty one.  Rows are
 taken by themselves, so repeated rows or ids give repeated results; an empty table gives an empty one.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 LINES = r"[^\n]*\n|[^\n]+"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
-SLICE_BYTES, MEMORY = 8 << 20, "512MB"
+SLICE_BYTES, MEMORY, A_BYTE = 8 << 20, 512 << 20, 160  # a longer text may take A_BYTE more for each of its bytes
 COLUMNS = "id long, n_units long, form string, prefix_chars long, middle_chars long, output string"
 
 #: ``t`` is the registered slice (n, id, text); the cuts and the form come from the first four groups of eight digits of the hash.
@@ -54,7 +55,7 @@ def _by_batch(batches: Iterator, sql: str, sized: str) -> Iterator:
     import pyarrow.compute as pc
 
     con = duckdb.connect()
-    for setting in ("threads=1", f"memory_limit='{MEMORY}'", "temp_directory=''"):
+    for setting in ("threads=1", "temp_directory=''"):
         con.execute(f"SET {setting}")
     for batch in batches:
         if not batch.num_rows:
@@ -63,6 +64,8 @@ def _by_batch(batches: Iterator, sql: str, sized: str) -> Iterator:
         ends = np.cumsum(np.asarray(pc.binary_length(table[sized]).to_numpy(), np.int64))
         cuts = np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1
         for at, to in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            size = int(ends[to - 1] - (ends[at - 1] if at else 0))
+            con.execute(f"SET memory_limit='{(MEMORY + A_BYTE * max(0, size - SLICE_BYTES)) >> 20}MB'")
             con.register("t", table.slice(at, to - at))
             made = con.sql(sql).to_arrow_table()
             con.unregister("t")

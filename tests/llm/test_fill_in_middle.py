@@ -54,6 +54,16 @@ def test_slices_of_a_batch(spark, monkeypatch):
     assert got == [(i, *plain_python(i, t)) for i, t in data]
 
 
+def test_a_text_of_many_megabytes():
+    import pyarrow as pa
+
+    sql = fim.CUT.format(unit=fim.LINES, seed=7, rate=100, spm=50, P="<P>", S="<S>", M="<M>")
+    for text in ("l\n" * (9 << 20), "a line of some length that is said again\n" * (1 << 20)):
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([text, "short\n"])], ["id", "text"])
+        got = [r for made in fim._by_batch(iter([batch]), sql, "text") for r in made.to_pylist()]
+        assert [tuple(r.values()) for r in got] == [(1, *plain_python(1, text)), (2, *plain_python(2, "short\n"))]
+
+
 def test_awkward_and_empty_tables(spark):
     docs = awkward(spark)
     cut = fim.fill_in_middle(docs)
