@@ -121,6 +121,13 @@ def test_quotas_are_hypergeometric():
     assert abs(left.mean() - 30) < 0.3 and abs(left.var() - 50 * 0.6 * 0.4 * 50 / 99) < 0.6  # n K/N (1-K/N) (N-n)/(N-1)
 
 
+def test_words_are_counted_by_the_pattern(spark):
+    r = random.Random(9)
+    texts = ["".join(r.choices("ab\u00a0\u2003é\x1c\x85 \t\n\x0b\x0c\r", k=r.randint(0, 12))) for _ in range(300)] + [None, "", "w " * 200_000]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", sm.words(sm.F.col("t")).alias("n")).collect()
+    assert [x.n for x in got] == [n_words(t) for t in texts]
+
+
 def test_permutation():
     for n in (1, 2, 3, 5, 64, 65, 1000):
         out = sm.permuted(np.arange(n), np.full(n, n), np.full(n, 77, np.uint64))
