@@ -7,6 +7,8 @@ chain over the pairs that do.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,13 +18,16 @@ from strata.functions import chains, sequences, text
 
 # The least similarity, what the same title adds, how close another reading counts as one, and how much less an item counts that the source dropped.
 MATCH, TITLE, TIE, DROPPED = 0.6, 0.5, 0.02, 1e-4
+SPACE = r"[ \t\n\x0b\f\r]+"
 UNIT = 1_000_000  # similarities become whole numbers of millionths
 
 
 def _side(df: DataFrame, by: str, p: str) -> DataFrame:
-    bag = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
-    label = F.coalesce("label", F.lit(""))
-    return df.select(F.col(by).alias("g"), F.col("pos").cast("long").alias(p), bag.alias(f"{p}_words"), F.array_distinct(F.transform(bag, lambda w: F.xxhash64(w))).alias(f"{p}_set"), text.norm_title(F.coalesce("title", F.lit(""))).alias(f"{p}_title"), label.alias(f"{p}_label"), F.coalesce("removed", F.lit(False)).alias(f"{p}_removed"))
+    """Items dealt by their group once, as plain texts; what is made of the words is made where it is used."""
+    raw = df.select(F.col(by).alias("g"), F.col("pos").cast("long").alias("pos"), "title", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("removed", F.lit(False)).alias("removed")).repartition("g")
+    bag = F.filter(F.split("text", SPACE), lambda w: w != "")
+    made = {p: F.col("pos"), f"{p}_title": text.norm_title(F.coalesce("title", F.lit(""))), f"{p}_label": F.col("label"), f"{p}_text": F.col("text"), f"{p}_removed": F.col("removed"), f"{p}_n": F.size(bag), f"{p}_set": F.array_distinct(F.transform(bag, lambda w: F.xxhash64(w)))}
+    return raw.select("g", *(c.alias(n) for n, c in made.items()))
 
 
 def at_most(a: Column, b: Column, m: Column, n: Column) -> Column:
@@ -32,8 +37,10 @@ def at_most(a: Column, b: Column, m: Column, n: Column) -> Column:
 
 
 def _ratio(a: str, b: str) -> Column:
+    words = re.compile(r"[^ \t\n\x0b\f\r]+").findall
+
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([sequences.ratio(list(i), list(j)) for i, j in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series([1.0 if i == j else sequences.ratio(words(i), words(j)) for i, j in zip(x, y, strict=True)], dtype="float64")
 
     return F.pandas_udf(run, "double")(a, b)
 
@@ -47,26 +54,24 @@ def pairable() -> Column:
     return ~both | (F.col("a_label") == F.col("b_label")) | (~F.col("a_known") & ~F.col("b_known"))
 
 
-def with_known(df: DataFrame, other: DataFrame, p: str, q: str) -> DataFrame:
-    """Whether an item's label exists on the other side of its group."""
-    labels = other.where(F.col(f"{q}_label") != "").select("g", F.col(f"{q}_label").alias(f"{p}_label"), F.lit(True).alias("k")).distinct()
-    return df.join(labels, ["g", f"{p}_label"], "left").withColumn(f"{p}_known", F.coalesce("k", F.lit(False))).drop("k")
+def with_known(df: DataFrame, other: DataFrame, by: str, p: str) -> DataFrame:
+    """Whether an item's label is among the labels of the other side's group (``other``: ``by, label``)."""
+    labels = other.where("label <> ''").groupBy(F.col(by).alias("g")).agg(F.collect_set("label").alias("labels"))
+    return df.join(labels, "g", "left").withColumn(f"{p}_known", F.coalesce(F.array_contains("labels", F.col(f"{p}_label")), F.lit(False))).drop("labels")
 
 
 def scores(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
     """Scored pairs ``by, a, b, worth, b_label`` that may be one and reach MATCH; ``worth`` in millionths."""
-    left, right = _side(a, by, "a"), _side(b, by, "b")
-    left, right = with_known(left, right, "a", "b"), with_known(right, left, "b", "a").withColumnRenamed("g", "h")
+    left, right = with_known(_side(a, by, "a"), b, by, "a"), with_known(_side(b, by, "b"), a, by, "b").withColumnRenamed("g", "h")
     title = F.when((F.col("a_title") != "") & (F.col("a_title") == F.col("b_title")), TITLE).otherwise(0.0)
-    m, n = F.size("a_words"), F.size("b_words")
+    m, n = F.col("a_n"), F.col("b_n")
     least = MATCH - title
     long_enough = 2 * F.least(m, n) >= least * (m + n) - 1e-9
     enough = at_most(F.col("a_set"), F.col("b_set"), m, n) >= least - 1e-9
     both = left.join(right, (F.col("g") == F.col("h")) & pairable() & long_enough & enough)
-    same = F.col("a_words") == F.col("b_words")
-    told = both.where(same).withColumn("r", F.lit(1.0)).unionByName(both.where(~same).withColumn("r", _ratio("a_words", "b_words")))
-    worth = F.col("r") + title - F.when(F.col("a_removed"), DROPPED).otherwise(0.0)
-    return told.withColumn("worth", F.round(worth * UNIT).cast("long")).where(F.col("worth") >= int(MATCH * UNIT)).select(F.col("g").alias(by), "a", "b", "worth", "b_label")
+    worth = _ratio("a_text", "b_text") + title - F.when(F.col("a_removed"), DROPPED).otherwise(0.0)
+    told = both.withColumn("worth", F.round(worth * UNIT).cast("long")).where(F.col("worth") >= int(MATCH * UNIT))
+    return told.select(F.col("g").alias(by), "a", "b", "worth", "b_label")
 
 
 PAIR = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64()), ("weak", pa.string())])
