@@ -11,7 +11,7 @@ import pytest
 from strata.functions import geometry as geo
 from strata.functions import sequences as seq
 from strata.functions import text as tx
-from strata.operators import audit, elements, figures, graph, layout, merge, resolve, segment, state, stats, trees
+from strata.operators import audit, figures, graph, layout, merge, resolve, segment, state, stats, trees
 from strata.sources import html, strict_json
 
 
