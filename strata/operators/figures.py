@@ -6,6 +6,8 @@ what a page is bounded by, and works on them with numpy; no pixel's neighbours a
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -165,26 +167,23 @@ def _rings(cells: np.ndarray, width: int) -> list[list[tuple[int, int]]]:
     return rings
 
 
+def _farthest(p: np.ndarray, a: int, b: int, tol: float) -> list[int]:
+    """The point between two that is farthest from the line through them, if by more than ``tol``; points are complex numbers."""
+    off, way = p[a + 1 : b] - p[a], p[b] - p[a]
+    far = np.abs((off * np.conj(way)).imag) / abs(way) if abs(way) > 1e-9 else np.abs(off)
+    return [a + 1 + int(far.argmax())] if len(far) and far.max() > tol else []
+
+
 def simplified(ring: list[tuple[float, float]], tol: float) -> list[tuple[float, float]]:
-    """A ring's corners without those nearer than ``tol`` to the line between two that stay, split again and again at the farthest; a ring that would have fewer than three stays as it is."""
-    p = np.asarray(ring, float)
-    if len(p) <= 4:
-        return ring
-    p = np.vstack([p, p[:1]])
-    far = int(((p - p[0]) ** 2).sum(axis=1).argmax())
-    keep, parts = {0, far}, [(0, far), (far, len(p) - 1)]
-    while parts:
-        a, b = parts.pop()
-        if b - a > 1:
-            side, off = p[b] - p[a], p[a + 1 : b] - p[a]
-            length = np.hypot(*side)
-            d = np.abs(off[:, 0] * side[1] - off[:, 1] * side[0]) / length if length > 1e-9 else np.hypot(off[:, 0], off[:, 1])
-            if d.max() > tol:
-                mid = a + 1 + int(d.argmax())
-                keep.add(mid)
-                parts += [(a, mid), (mid, b)]
-    out = [ring[k] for k in sorted(keep)]
-    return out if len(out) >= 3 else ring
+    """A ring's corners without those nearer than ``tol`` to the line between two that stay; a ring that would have fewer than three stays as it is.
+
+    It begins with the first corner and the one farthest from it; in rounds every stretch is split at its farthest corner until none is too far.
+    """
+    p = np.array([complex(*c) for c in [*ring, ring[0]]])
+    kept = sorted({0, int(np.abs(p - p[0]).argmax()), len(ring)})
+    while more := [k for a, b in pairwise(kept) for k in _farthest(p, a, b, tol)]:
+        kept = sorted([*kept, *more])
+    return [ring[k] for k in kept[:-1]] if len(kept) > 3 else ring
 
 
 RING = "array<struct<area:long,n_edges:long,points:array<struct<x:double,y:double>>>>"
