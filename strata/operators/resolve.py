@@ -190,27 +190,31 @@ def points_in_rectangles(points: DataFrame, key: str, rectangles: DataFrame, pan
 
 
 def crossings(pairs: DataFrame, by: list[str], left: str, right: str) -> DataFrame:
-    """``by, left, right, crossings`` of pairs that cross others of their group, with how many; places on a side are unique and not null.
+    """``by, left, right, crossings`` of pairs that cross others of their group, with how many.
 
-    A pair at place i of the left order and rank j of the right one, with e pairs before it on both, crosses i + j - 2e.  A group's
-    ranks are one array, so no pair of pairs is made.
+    A pair crosses those further on at the left whose place at the right isn't, and those before it at the left that are further on
+    at the right; so of two that share a place at the right the first one counts, and those that share one at the left don't cross.
+    Pairs with a null cross nothing.  A group's ranks are one array, so no pair of pairs is made.
     """
 
     def run(arrays: pa.Array) -> pa.Array:
         out = []
-        for values in arrays.to_pylist():
-            rank = {v: j for j, v in enumerate(sorted(values))}
-            seen: list = []
-            told = []
-            for i, v in enumerate(values):
-                e = bisect.bisect_left(seen, v)
-                seen.insert(e, v)
-                told.append(i + rank[v] - 2 * e)
+        for pairs in arrays.to_pylist():
+            every = sorted(p["r"] for p in pairs)
+            seen: list = []  # what the right has up to here
+            told: list[int] = []
+            for _, rows in itertools.groupby(pairs, key=lambda p: p["l"]):
+                here = [p["r"] for p in rows]
+                above = [len(seen) - bisect.bisect_right(seen, r) for r in here]
+                for r in here:
+                    bisect.insort(seen, r)
+                told += [n + bisect.bisect_right(every, r) - bisect.bisect_right(seen, r) for n, r in zip(above, here, strict=True)]
             out.append(told)
         return pa.array(out, pa.list_(pa.int64()))
 
-    rows = pairs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(left).alias("l"), F.col(right).alias("r")))).alias("rows"))
-    told = rows.withColumn("n", F.arrow_udf(run, "array<long>")(F.transform("rows", lambda x: x.r)))
+    known = pairs.dropna(subset=[*by, left, right])
+    rows = known.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(left).alias("l"), F.col(right).alias("r")))).alias("rows"))
+    told = rows.withColumn("n", F.arrow_udf(run, "array<long>")("rows"))
     return told.select(*by, F.explode(F.arrays_zip("rows", "n")).alias("p")).where("p.n > 0").select(*by, F.col("p.rows.l").alias(left), F.col("p.rows.r").alias(right), F.col("p.n").alias("crossings"))
 
 
