@@ -1,19 +1,15 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Counts, continuation counts, discounts and interpolated probabilities are computed with
-DataFrame aggregations and joins sharded by the hash of an n-gram's context.  The model stays
-sharded, as one probability or back-off weight an entry.  Documents are dealt into groups, and a
-group sends each shard of the hash space the distinct keys that its texts look up there; the
-shard answers with those it has.  So what a group or shard holds does not grow with the corpus,
-and of the model only a bitmap of its keys, bounded by ``MAX_WORDS``, is collected and broadcast.  All documents are scored, in ``WAVES`` one
-after the other, as the keys asked for take several times the room of the texts.
-
-The model is fitted on a bounded sample of trusted (labelled) rows: of at most ``MAX_DOCS``, in
-the order of a hash of the id, whole documents up to and with the one that reaches ``MAX_WORDS``;
-no document is passed over for its length.  (All trusted text does not fit the disk that this
-query may use; the README has the figures.)
-
-One trusted document in five (by a checksum of its id) is never trained on.  A language's
+Counts, continuation counts and discounts are computed with DataFrame aggregations.  The model
+stays sharded, as one discounted count, total or back-off weight an entry, which a text's score
+interpolates, so no order is joined with another.  Documents are dealt into groups, and a group
+sends each shard of the hash space the distinct keys that its texts look up there; the shard
+answers with those it has.  So what a group or shard holds does not grow with the corpus, and of
+the model only a bitmap of its keys, of ``BITS`` bits whatever its size, is made in the shards'
+ranges and broadcast; it only keeps keys from being asked for in vain.  All documents are scored,
+in ``WAVES`` one after the other, as the keys asked for take several times the room of the texts.
+
+The model is fitted on all trusted (labelled) rows but those set aside.  One trusted document in five (by a checksum of its id) is never trained on.  A language's
 threshold is the ``QUANTILE`` of the perplexities of these (all languages' where it has none;
 without any, all is kept).  Quantiles use every such document; their ranks are off by one in ten
 thousand of these at most.  Scores cover whole texts.
@@ -34,9 +30,10 @@ from pyspark.sql import functions as F
 from .common import U64, Words, dealt, delete, durable, input_bytes, mix, pieces, shared_folder, stored, texts_of, tidy
 from .substring_dedup import _by_shard
 
-QUANTILE, MAX_DOCS, MAX_WORDS, WAVES, BITS = 0.98, 6000, 1_500_000, 6, 1 << 26
+QUANTILE, WAVES, BITS, RANGES = 0.98, 6, 1 << 26, 64
 BEGIN, END = U64(0x1B873593A5A5A5A5), U64(0x6C62272E07BB0142)
-P3, G3, P2, G2, P1 = 1, 2, 3, 4, 5
+P3, G3, P2, G2, P1, T3, T2 = 1, 2, 3, 4, 5, 6, 7  # discounted counts, back-off weights, totals of contexts (those over one)
+KINDS = {P3: "uvw", G3: "uv", T3: "uv", P2: "vw", G2: "v", T2: "v", P1: "w"}
 
 
 def key_of(kind: int, *parts: np.ndarray) -> np.ndarray:
@@ -85,20 +82,22 @@ class Model:
         k[k == len(known)] = 0
         return known[k] == keys, values[k]
 
+    def _level(self, kinds: tuple[int, int, int], context: tuple[np.ndarray, ...], token: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """One order: what its count leaves after the discount, and the lower order by the context's weight; the lower order alone where the context is new."""
+        count, weight, total = kinds
+        known, g = self._find(weight, key_of(weight, *context))
+        out, at = lower.copy(), np.flatnonzero(known)
+        here = [c[at] for c in context]
+        seen, c = self._find(count, key_of(count, *here, token[at]))
+        many, n = self._find(total, key_of(total, *here))
+        out[at] = np.where(seen, c, 0.0) / np.where(many, n, 1.0).astype(float) + g[at] * lower[at]
+        return out
+
     def log_probabilities(self, two: np.ndarray, one: np.ndarray, token: np.ndarray) -> np.ndarray:
         seen, p = self._find(P1, key_of(P1, token))
         p = np.where(seen, p, self.unknown).astype(float)
-        seen, weight = self._find(G2, key_of(G2, one))
-        backed = np.where(seen, weight, 1.0) * p
-        seen, p2 = self._find(P2, key_of(P2, one, token))
-        p = np.where(seen, p2, backed)
-        known, weight = self._find(G3, key_of(G3, two, one))
-        backed = np.where(known, weight, 1.0) * p
-        seen, p3 = np.zeros(len(p), bool), np.zeros(len(p))
-        at = np.flatnonzero(seen | known)
-        s, v = self._find(P3, key_of(P3, two[at], one[at], token[at]))
-        seen[at], p3[at] = s, v
-        return np.log(np.where(seen, p3, backed))
+        p = self._level((P2, G2, T2), (one,), token, p)
+        return np.log(self._level((P3, G3, T3), (two, one), token, p))
 
     def perplexities(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         two, one, token, first = sequences(texts)
@@ -115,27 +114,15 @@ def set_aside(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, good: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> DataFrame:
-    """The rows to train on; ``docs``: doc_id, text, ...; ``good``: doc_id."""
-    spark = docs.sparkSession
-    ids = [r.doc_id for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()]
-    of = lambda ids: F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long"))  # noqa: E731  (at most max_docs)
-    words = F.size(F.split(F.trim("text"), r"[ \t\n\x0B\f\r]+"))
-    sizes = {r.doc_id: r.n for r in docs.join(of(ids), "doc_id").groupBy("doc_id").agg(F.sum(words).alias("n")).collect()}
-    chosen, total = [], 0
-    for i in ids:
-        if i in sizes and total < max_words:
-            chosen.append(i)
-            total += sizes[i]
-    return docs.join(of(chosen), "doc_id", "left_semi")
-
-
 def _folder(df: DataFrame) -> str:
     return f"{shared_folder(df.sparkSession)}/quality-{uuid.uuid4().hex}"
 
 
 def fit(texts: DataFrame, at: str | None = None) -> tuple[DataFrame, float]:
-    """The counts of all rows' trigrams, joined order by order into entries ``kind, key, value``; and the probability of an unknown word.  ``texts``: text; ``at``: where the entries are written, a fourth of what a checkpoint of them would take."""
+    """The counts of all rows' trigrams as entries ``kind, key, value``; and the probability of an unknown word.  ``texts``: text; ``at``: the folder for them.
+
+    Each order is written as soon as its discounts are known, and its counts go again once the next order has been made of them.
+    """
 
     def trigrams(it):
         import pyarrow as pa
@@ -143,49 +130,51 @@ def fit(texts: DataFrame, at: str | None = None) -> tuple[DataFrame, float]:
         for batch in it:
             texts = texts_of(batch)
             for a, b in pieces(texts):
-                two, one, token, _ = sequences(texts[a:b])
-                table = np.rec.fromarrays([two, one, token], names="u,v,w")
-                rows, n = np.unique(table, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(_signed(np.ascontiguousarray(rows[c]))) for c in "uvw"), pa.array(n, pa.int64())], ["u", "v", "w", "c"])
+                rows = sequences(texts[a:b])[:3]
+                _, first, n = np.unique(key_of(P3, *rows), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(_signed(r[first])) for r in rows), pa.array(n, pa.int64())], ["u", "v", "w", "c"])
+
+    def keyed(kind: int, value: str):
+        def run(it):
+            import pyarrow as pa
+
+            for batch in it:
+                key = key_of(kind, *(batch.column(c).to_numpy().view(U64) for c in KINDS[kind]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(_signed(key)), batch.column(value)], ["kind", "key", "value"])
+
+        return run
+
+    spark, made, top = texts.sparkSession, at or _folder(texts), _folder(texts)
+
+    def write(frame: DataFrame, kind: int, value: F.Column) -> None:
+        rows = frame.select(*KINDS[kind], value.cast("float").alias("value"))
+        rows.mapInArrow(keyed(kind, "value"), "kind int, key long, value float").write.mode("append").parquet(made)
+
+    def order(counts: DataFrame, kinds: tuple[int, int, int]) -> None:
+        """The entries of counts above single words: what is left of them, and each context's weight and total."""
+        d, (count, weight, total) = discounts(counts, "c"), kinds
+        less = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        cut = stored(counts.groupBy(*KINDS[weight]).agg(F.sum("c").alias("total"), F.sum(less).alias("cut")), f"{top}/x{weight}")
+        write(cut, weight, F.col("cut") / F.col("total"))
+        write(cut.where("total > 1"), total, F.col("total"))
+        delete(spark, f"{top}/x{weight}")
+        write(counts, count, F.col("c") - less)
 
-    top = _folder(texts)  # the counts go again once the entries are written
     t3 = stored(texts.select("text").mapInArrow(trigrams, "u long, v long, w long, c long").groupBy("u", "v", "w").agg(F.sum("c").alias("c")), f"{top}/t3")
+    order(t3, (P3, G3, T3))
     begin = F.lit(int(_signed(np.array([BEGIN]))[0]))
     t2 = stored(t3.groupBy("v", "w").agg(F.when(F.col("v") == begin, F.sum("c")).otherwise(F.count("*")).alias("c")), f"{top}/t2")
+    delete(spark, f"{top}/t3")
+    order(t2, (P2, G2, T2))
     t1 = stored(t2.groupBy("w").agg(F.count("*").alias("c")), f"{top}/t1")
-    d3, d2, d1 = discounts(t3, "c"), discounts(t2, "c"), discounts(t1, "c")
-    less = lambda d: F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-    context = lambda t, by, d: t.groupBy(*by).agg(F.sum("c").alias("total"), F.sum(less(d)).alias("cut")).select(*by, "total", (F.col("cut") / F.col("total")).alias("g"))
-    whole = t1.agg(F.sum("c").alias("total"), F.sum(less(d1)).alias("cut"), F.count("*").alias("types")).first()
+    d1 = discounts(t1, "c")
+    less = F.when(F.col("c") == 1, d1[0]).when(F.col("c") == 2, d1[1]).otherwise(d1[2])
+    whole = t1.agg(F.sum("c").alias("total"), F.sum(less).alias("cut"), F.count("*").alias("types")).first()
     total, cut, types = whole.total or 1, whole.cut or 1.0, whole.types or 0
     unknown = cut / total / (types + 1)
-    p1 = t1.select("w", ((F.col("c") - less(d1)) / total + unknown).alias("p"))
-    x2, x3 = context(t2, ["v"], d2), context(t3, ["u", "v"], d3)
-    p2 = stored(t2.join(x2, "v").join(p1.withColumnRenamed("p", "lower"), "w").select("v", "w", ((F.col("c") - less(d2)) / F.col("total") + F.col("g") * F.col("lower")).alias("p")), f"{top}/p2")
-    p3 = t3.join(x3, ["u", "v"]).join(p2.withColumnRenamed("p", "lower"), ["v", "w"]).select("u", "v", "w", ((F.col("c") - less(d3)) / F.col("total") + F.col("g") * F.col("lower")).alias("p"))
-    none = F.lit(0).cast("long")
-    rows = [(P3, p3, ("u", "v", "w"), "p"), (G3, x3, ("u", "v"), "g"), (P2, p2, ("v", "w"), "p"), (G2, x2, ("v",), "g"), (P1, p1, ("w",), "p")]
-
-    def keyed(it):
-        import pyarrow as pa
-
-        for batch in it:
-            kind = batch.column("kind").to_numpy()
-            parts = [batch.column(c).to_numpy().view(U64) for c in "abc"]
-            key = np.zeros(len(kind), U64)
-            for k in np.unique(kind):
-                at = np.flatnonzero(kind == k)
-                key[at] = key_of(int(k), *(p[at] for p in parts[: {P3: 3, G3: 2, P2: 2, G2: 1, P1: 1}[int(k)]]))
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(_signed(key)), batch.column("value")], ["kind", "key", "value"])
-
-    def entries(kind: int, frame: DataFrame, cols: tuple[str, ...], value: str) -> DataFrame:
-        named = frame.select(F.lit(kind).alias("kind"), *(F.col(c).alias(n) for n, c in zip("abc", cols, strict=False)), *(none.alias(n) for n in "abc"[len(cols) :]), F.col(value).cast("float").alias("value"))
-        return named
-
-    every = functools.reduce(DataFrame.unionByName, (entries(*r) for r in rows))
-    made = stored(every.mapInArrow(keyed, "kind int, key long, value float"), at or _folder(texts))
-    delete(texts.sparkSession, top)
-    return made, unknown
+    write(t1, P1, (F.col("c") - less) / total + unknown)
+    delete(spark, top)
+    return spark.read.schema("kind int, key long, value float").parquet(made), unknown
 
 
 def train(docs: DataFrame, ids: list[int]) -> Model:
@@ -194,7 +183,7 @@ def train(docs: DataFrame, ids: list[int]) -> Model:
     got = entries.toArrow()
     kinds, keys, values = got.column("kind").to_numpy(), got.column("key").to_numpy().view(U64), got.column("value").to_numpy()
     order = np.argsort(keys)
-    return Model({k: (keys[order[kinds[order] == k]], values[order[kinds[order] == k]]) for k in (P3, G3, P2, G2, P1)}, unknown)
+    return Model({k: (keys[order[kinds[order] == k]], values[order[kinds[order] == k]]) for k in KINDS}, unknown)
 
 
 def _bit(keys: np.ndarray) -> np.ndarray:
@@ -202,11 +191,28 @@ def _bit(keys: np.ndarray) -> np.ndarray:
 
 
 def bitmap(entries: DataFrame) -> bytes:
-    """A bit for each key of the model, whose size ``MAX_WORDS`` bounds."""
-    field = np.zeros(BITS, bool)
-    for batch in entries.select("key").toArrow().to_batches():
-        field[_bit(batch.column("key").to_numpy().view(U64))] = True
-    return np.packbits(field).tobytes()
+    """A bit for each key of the model, found range by range of the keys: ``BITS`` bits reach the driver, however many keys there are."""
+    size = BITS // RANGES
+
+    def marks(it):
+        import pyarrow as pa
+
+        for batch in it:
+            bits = np.unique(_bit(batch.column("key").to_numpy().view(U64)))
+            parts = [(int(k), (bits[a:b] % U64(size)).astype(np.uint32).tobytes()) for k, a, b in _by_shard(bits // U64(size), RANGES)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["range", "bits"])
+
+    def joined(group):
+        import pyarrow as pa
+
+        field = np.zeros(size, bool)
+        for b in group.column("bits"):
+            field[np.frombuffer(b.as_py(), np.uint32)] = True
+        return pa.table([group.column("range").slice(0, 1), pa.array([np.packbits(field).tobytes()], pa.binary())], names=["range", "bits"])
+
+    made = entries.select("key").mapInArrow(marks, "range int, bits binary").groupBy("range").applyInArrow(joined, "range int, bits binary")
+    found = {r.range: bytes(r.bits) for r in made.collect()}
+    return b"".join(found.get(k, bytes(size // 8)) for k in range(RANGES))
 
 
 def wanted(texts: list[bytes], known: bytes) -> np.ndarray:
@@ -214,7 +220,8 @@ def wanted(texts: list[bytes], known: bytes) -> np.ndarray:
     field, out = np.frombuffer(known, np.uint8), [np.zeros(0, U64)]
     for a, b in pieces(texts):
         two, one, token, _ = sequences(texts[a:b])
-        for keys in (key_of(P3, two, one, token), key_of(G3, two, one), key_of(P2, one, token), key_of(G2, one), key_of(P1, token)):
+        named = {"u": two, "v": one, "w": token}
+        for keys in (key_of(kind, *(named[c] for c in cols)) for kind, cols in KINDS.items()):
             bit = _bit(keys)
             out.append(np.unique(keys[(field[bit >> U64(3)] >> (U64(7) - (bit & U64(7))).astype(np.uint8)) & 1 > 0]))
     return np.unique(np.concatenate(out))
@@ -274,7 +281,7 @@ def score(df: DataFrame, entries: DataFrame, unknown: float, n_groups: int = 0,
         texts, got = texts_of(group), joined(answers, "entries", entry)
         keys = got["high"].astype(U64) << U64(32) | got["low"]
         order = np.argsort(keys)
-        model = Model(dict.fromkeys((P3, G3, P2, G2, P1), (keys[order], got["value"][order])), unknown)  # a key holds its kind
+        model = Model(dict.fromkeys(KINDS, (keys[order], got["value"][order])), unknown)  # a key holds its kind
         done = [model.perplexities(texts[a:b]) for a, b in pieces(texts)]
         return pa.table([group.column("doc_id"), group.column("lang"), pa.array(np.concatenate([n for n, _ in done]), pa.int64()), pa.array(np.concatenate([p for _, p in done]))], names=["doc_id", "lang", "n_tokens", "perplexity"])
 
@@ -292,7 +299,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """``doc_id, lang, n_tokens, perplexity, threshold, kept`` of every row."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     good = trusted(labels)
-    mine = sample(docs, good.where(~set_aside()))
+    mine = docs.join(good.where(~set_aside()), "doc_id", "left_semi")
     at = _folder(df)
     with tidy(df.sparkSession):
         entries, unknown = fit(mine, at)

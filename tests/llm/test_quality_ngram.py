@@ -94,3 +94,10 @@ def test_scores_by_shards_equal_the_local_model(spark):
         for r in docs.collect():
             n_tokens, want = model.perplexities([(r.text or "").encode()])
             assert got[r.doc_id].n_tokens == n_tokens[0] and math.isclose(got[r.doc_id].perplexity, want[0], rel_tol=1e-9)
+
+
+def test_all_trusted_text_is_trained_on(spark):
+    ids = [i for i in range(8000) if zlib.crc32(str(i).encode()) % 5]
+    df = spark.createDataFrame([(i, "en", " ".join([f"w{i}"] * 260)) for i in ids], "doc_id long, lang string, text string")
+    got = Q.classify(df, df.selectExpr("doc_id", "1 quality")).collect()
+    assert len(got) == len(ids) > 6000 and max(r.perplexity for r in got) < 2
