@@ -30,3 +30,13 @@ def test_no_pair_under_the_limit_is_lost(spark):
     got = {x.k: (x.class_id, x.n_links) for x in pic.linked_pictures(df, "k").collect()}
     assert got == {k: (first[repr(s)], links[k]) for k, *s in rows} and sum(links.values()) > 200
     assert pic.linked_pictures(df.limit(0), "k").count() == 0
+
+
+def test_no_row_is_made_for_pictures_that_only_share_a_cell(spark):
+    df = spark.createDataFrame([(k, 100, 100, [255 - k % 250, 255 - 3 * k % 250, 0 if k % 2 else 200, 100 + k % 3]) for k in range(400)], "class_id long, width long, height long, levels array<long>")
+    rows = df.collect()
+    want = sorted((a.class_id, b.class_id) for a in rows for b in rows if a.class_id < b.class_id and alike(a[1:], b[1:]))
+    for block in (90, 10_000):
+        got = pic.same_pictures(df, block)
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 100
