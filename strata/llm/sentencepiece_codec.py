@@ -37,7 +37,8 @@ from .common import documents
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE, SHORT = 150_000, 48  # texts in each of two generations, and the longest kept
+CACHE, SHORT = 400_000, 48  # texts in each of two generations, and the longest kept
+PAIRS = 1 << 19  # pairs of pieces of which it is known whether they may stand side by side
 UNKNOWN = -1e10
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -140,9 +141,10 @@ class Vocabulary:
     def _memos(self) -> None:
         self.stretches = Memo(self._cut)
         self.words = Memo(self._word)
+        self.beside: dict[int, bool] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("stretches", "words")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("stretches", "words", "beside")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -222,20 +224,28 @@ class Vocabulary:
         return self._path(text, 0, back, piece, n)
 
     def _short_merged(self, text: str) -> list[int]:
-        starts, fits, n = self.starts.get, self.fits, len(text)
+        starts, known, n = self.starts.get, self.beside.get, len(text)
         ends, back, piece = [""] * (n + 1), [0] * (n + 1), [-1] * (n + 1)  # by position: the one piece that may end there
         for i in range(n):
-            last, j = ends[i], i + 1
-            part = text[i]
-            found = starts(part)
-            if not ends[j] and (not i or fits(last, part)):
-                ends[j], back[j], piece[j] = part, i, found[1] if found else -1
-            while found and found[2] and j < n:
+            last, before, j = ends[i], piece[i], i
+            while j < n:
                 j += 1
                 part = text[i:j]
                 found = starts(part)
-                if found and found[0] is not None and not ends[j] and (not i or fits(last, part)):
-                    ends[j], back[j], piece[j] = part, i, found[1]
+                which = found[1] if found else -1
+                if (which >= 0 or j == i + 1) and not ends[j]:
+                    fits = not i
+                    if not fits:
+                        pair = before << 32 | which if before >= 0 and which >= 0 else -1
+                        fits = known(pair) if pair >= 0 else self.fits(last, part)
+                        if fits is None:
+                            if len(self.beside) >= PAIRS:
+                                self.beside.clear()
+                            fits = self.beside[pair] = self.fits(last, part)
+                    if fits:
+                        ends[j], back[j], piece[j] = part, i, which
+                if not found or not found[2]:
+                    break
         return self._path(text, 0, back, piece, n)
 
     @staticmethod

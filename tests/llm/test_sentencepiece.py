@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 
 import pytest
@@ -122,3 +123,15 @@ def test_awkward_rows(spark, vocabulary):
     assert all(r.n_ids == 0 for r in got if r.doc_id in (2, 3))
     assert all(r.round_trip for r in got)
     assert S.encode_documents(empty(spark), vocabulary).count() == 0
+
+
+def test_pieces_side_by_side_are_judged_once(monkeypatch):
+    v, calls = S.Vocabulary([("a", 0.0, "normal"), ("b", 0.0, "normal"), ("ab", -1.0, "normal"), ("aab", -2.0, "normal"), (S.SPACE, 0.0, "normal")]), []
+    fits = v.fits
+    monkeypatch.setattr(v, "fits", lambda a, b: calls.append((a, b)) or fits(a, b))
+    words = ["".join(w) for w in itertools.product("ab", repeat=6)]
+    got = [v._short_merged(S.SPACE + w) for w in words]
+    assert len(calls) == len(set(calls))
+    monkeypatch.setattr(S, "PAIRS", 2)
+    v.beside.clear()
+    assert [v._short_merged(S.SPACE + w) for w in words] == got == [v.search(S.SPACE + w) for w in words]
