@@ -45,15 +45,19 @@ def ordinal_join(a: DataFrame, b: DataFrame, on: list[str], order_a: list, order
 
 
 def mutual_best(scored: DataFrame, left: str, right: str, score: str, least: float, margin: float) -> DataFrame:
-    """Pairs that are each other's best, good enough and clear of the runner-up on both sides."""
+    """Pairs that are each other's best, good enough and clear of the runner-up on both sides.
 
-    def ranked(df: DataFrame, side: str, other: str, p: str) -> DataFrame:
-        w = Window.partitionBy(side).orderBy(F.desc(score), other)
-        return df.withColumn(f"{p}_rank", F.row_number().over(w)).withColumn(f"{p}_next", F.lead(score).over(w))
+    Of a side's pairs only the best two leave the tasks that score them, so the pairs themselves are neither dealt nor kept.
+    """
+
+    def best(side: str, other: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(side).orderBy(F.desc(score), other))
+        two = scored.select(side, other, score).withColumn("__r", place).where("__r <= 2")
+        at = lambda k, c: F.max(F.when(F.col("__r") == k, F.col(c)))
+        top = two.groupBy(side).agg(at(1, other).alias(other), at(1, score).alias(score), at(2, score).alias("__next"))
+        return top.where((F.col(score) >= least) & (F.col("__next").isNull() | (F.col(score) - F.col("__next") >= margin))).drop("__next")
 
-    out = ranked(ranked(scored, left, right, "l"), right, left, "r")
-    clear = lambda p: F.col(f"{p}_next").isNull() | (F.col(score) - F.col(f"{p}_next") >= margin)
-    return out.where((F.col("l_rank") == 1) & (F.col("r_rank") == 1) & (F.col(score) >= least) & clear("l") & clear("r")).select(left, right, score)
+    return best(left, right).join(best(right, left).select(left, right), [left, right]).select(left, right, score)
 
 
 def greedy_match(scored: DataFrame, left: str, right: str, score: str, least: float) -> DataFrame:
