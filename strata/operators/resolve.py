@@ -78,6 +78,47 @@ def greedy_match(scored: DataFrame, left: str, right: str, score: str, least: fl
     return rest if found is None else found
 
 
+def greedy_match_alike(a: DataFrame, b: DataFrame, by: list[str], left: str, x: str, right: str, y: str, score: Column, least: float) -> DataFrame:
+    """``left, right, score`` as ``greedy_match`` takes them, where ``score`` is told by ``x`` and ``y`` of rows that share ``by``; keys are unique.
+
+    Rows of a group that share ``x`` (or ``y``) are one class and are scored once.  Where the best of some classes of both sides are
+    all of each other and nothing else, best-first order takes the n-th of their left rows with the n-th of their right rows, so a
+    round settles all of these; of other classes it takes single rows, each the first of what is best for the other.
+    """
+
+    def side(df: DataFrame, key: str, text: str, name: str) -> tuple[DataFrame, DataFrame]:
+        kinds = durable(df.groupBy(*by, text).agg(F.min(key).alias(name)))
+        return kinds, durable(df.join(kinds, [*by, text]).select(key, name))
+
+    (kinds_a, mine), (kinds_b, theirs) = side(a, left, x, "__lc"), side(b, right, y, "__rc")
+    rest = kinds_a.join(kinds_b, by).select("__lc", "__rc", score.alias("__s")).where(F.col("__s") >= least)
+    found = None
+    while True:
+        first = lambda df, c, key, name: df.groupBy(c).agg(F.min(key).alias(name))
+        rest = durable(rest.select("__lc", "__rc", "__s").join(first(mine, "__lc", left, "__l"), "__lc").join(first(theirs, "__rc", right, "__r"), "__rc"))
+        if rest.isEmpty():
+            break
+        best = lambda c, name: rest.groupBy(c).agg(F.max("__s").alias(name))
+        top = durable(rest.join(best("__lc", "__sl"), "__lc").join(best("__rc", "__sr"), "__rc").where("__s = __sl or __s = __sr"))
+        of_l = top.where("__s = __sl").groupBy("__lc").agg(F.count("*").alias("__nl"), F.min("__r").alias("__fr"), F.min(F.expr("if(__s = __sr, __r, null)")).alias("__kr"))
+        of_r = top.where("__s = __sr").groupBy("__rc").agg(F.count("*").alias("__nr"), F.min("__l").alias("__fl"), F.min(F.expr("if(__s = __sl, __l, null)")).alias("__kl"))
+        edges = durable(top.where("__s = __sl and __s = __sr").join(of_l, "__lc").join(of_r, "__rc"))
+        # all of one set with all of another: as many edges as the product of what each has on the other side, and none elsewhere
+        whole = edges.groupBy("__kl", "__kr").agg(F.count("*").alias("n"), F.min("__nl").alias("p"), F.max("__nl").alias("p2"), F.min("__nr").alias("q"), F.max("__nr").alias("q2"), F.bool_or(F.expr("__l = __kl and __r = __kr")).alias("home"))
+        whole = durable(whole.where("home and p = p2 and q = q2 and n = p * q").select("__kl", "__kr"))
+        sets = edges.join(whole, ["__kl", "__kr"])
+        lefts = mine.join(sets.select("__lc", "__kl", "__kr", "__s").distinct(), "__lc")
+        rights = theirs.join(sets.select("__rc", "__kl", "__kr").distinct(), "__rc")
+        many = ordinal_join(lefts, rights, ["__kl", "__kr"], [left], [right]).select(left, right, "__s")
+        one = edges.where("__l = __fl and __r = __fr").join(whole, ["__kl", "__kr"], "left_anti").select(F.col("__l").alias(left), F.col("__r").alias(right), "__s")
+        taken = durable(many.unionByName(one))
+        found = taken if found is None else found.unionByName(taken)
+        mine, theirs = durable(mine.join(taken.select(left), left, "left_anti")), durable(theirs.join(taken.select(right), right, "left_anti"))
+    if found is None:
+        found = rest.select(F.col("__l").alias(left), F.col("__r").alias(right), "__s")
+    return found.withColumnRenamed("__s", "score")
+
+
 def interval_join(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, by: list[str], bucket: float) -> DataFrame:
     """Points with the ranges [low, high) of the same key that hold them, by equal buckets of the axis."""
     axis = lambda c: F.floor(c / bucket)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators import graph, resolve, segment
@@ -48,14 +48,24 @@ SELECT doc_id, copy_id, ordinal FROM a JOIN b USING (text, ordinal)
 """
 
 
+_BLOCK = ["p_brand", "p_type", "p_size"]
+
+
+def _name_score() -> Column:
+    return F.round(1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y")), 6)
+
+
+def _part_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Part names, and reworded ones."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", *_BLOCK)
+    ours = parts.select(*_BLOCK, F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
+    return ours, parts.where("p_partkey % 3 <> 0").select(*_BLOCK, F.col("p_partkey").alias("b"), F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" new"))).otherwise(F.col("p_name")).alias("y"))
+
+
 def _part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of part names against reworded ones of the same brand, type and size; blocks are small by their three keys."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    block = ["p_brand", "p_type", "p_size"]
-    ours = parts.select(*block, F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
-    theirs = parts.where("p_partkey % 3 <> 0").select(*block, F.col("p_partkey").alias("b"), F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" new"))).otherwise(F.col("p_name")).alias("y"))
-    j = ours.join(theirs, block)
-    return j.withColumn("score", F.round(1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y")), 6))
+    """Scores of part names against reworded ones of the same brand, type and size."""
+    ours, theirs = _part_sides(spark, sf_dir)
+    return ours.join(theirs, _BLOCK).withColumn("score", _name_score())
 
 
 def q10_mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +84,9 @@ SELECT a, b, score FROM r WHERE lr = 1 AND rr = 1 AND score >= 0.5 AND (ln IS NU
 
 
 def q11_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.greedy_match(_part_names(spark, sf_dir), "a", "b", "score", 0.35)
+    """Parts and reworded ones taken best first; names are scored once for all parts of a brand, type and size that share them."""
+    ours, theirs = _part_sides(spark, sf_dir)
+    return resolve.greedy_match_alike(ours, theirs, _BLOCK, "a", "x", "b", "y", _name_score(), 0.35)
 
 
 def q12_gap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
