@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.functions import sequences
 from strata.operators import resolve
@@ -23,26 +25,43 @@ from strata.operators import resolve
 PLAIN = {"“": '"', "”": '"', "‘": "'", "’": "'", "ﬁ": "fi", "ﬂ": "fl", "…": "...", "−": "-"}
 ALIKE = 0.75
 WORD = re.compile(r"\S+")
+AT_ONCE = 50_000  # words that a task holds and sends on together
 
 
-def words(text: Column) -> Column:
-    """An array of a text's words, normalised, with their places: ``word, start, stop``."""
-    kind = pa.list_(pa.struct([("word", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
+PLACED = [("n", pa.int64()), ("word", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]
+
+
+def word_batches(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """``by, n, word, start, stop``: a row for each word of the texts (``by, __text``), normalised, with its place; ``AT_ONCE`` rows at most are held, however long a text is."""
     table = str.maketrans(PLAIN)
 
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([[{"word": unicodedata.normalize("NFC", m[0].translate(table)), "start": m.start(), "stop": m.end()} for m in WORD.finditer(t or "")] for t in texts.to_pylist()], kind)
+    def made(batch: pa.RecordBatch, owner: list[int], found: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, (_, k) in zip(zip(*found, strict=True), PLACED, strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(owner, pa.int64())) for c in by), *columns], [*by, *(c for c, _ in PLACED)])
 
-    return F.arrow_udf(run, "array<struct<word:string,start:long,stop:long>>")(text)
+    for batch in batches:
+        owner, found = [], []
+        for i, t in enumerate(batch.column("__text")):
+            for n, m in enumerate(WORD.finditer(t.as_py() or "")):
+                owner.append(i)
+                found.append((n, unicodedata.normalize("NFC", m[0].translate(table)), m.start(), m.end()))
+                if len(found) == AT_ONCE:
+                    yield made(batch, owner, found)
+                    owner, found = [], []
+        if found:
+            yield made(batch, owner, found)
 
 
 def _rows(df: DataFrame, by: list[str], text: str) -> DataFrame:
-    return df.select(*by, F.posexplode(words(F.col(text))).alias("n", "w")).select(*by, F.col("n").cast("long").alias("n"), "w.*")
+    chosen = df.select(*by, F.col(text).alias("__text"))
+    schema = T.StructType([*chosen.schema.fields[:-1], *(T.StructField(c, T.StringType() if c == "word" else T.LongType()) for c, _ in PLACED)])
+    return chosen.mapInArrow(lambda it: word_batches(it, by), schema)
 
 
 def _in_order(arrays: pa.Array) -> pa.Array:
     out = []
-    for places in arrays.to_pylist():
+    for row in arrays:
+        places = row.as_py()
         keep = set(sequences.longest_increasing(places))
         out.append([k in keep for k in range(len(places))])
     return pa.array(out, pa.list_(pa.bool_()))

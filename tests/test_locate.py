@@ -4,6 +4,8 @@ import re
 from collections import Counter
 from difflib import SequenceMatcher
 
+import pyarrow as pa
+
 from strata.functions import sequences
 from strata.operators import locate
 from strata.plans import version_queries as vq
@@ -64,6 +66,19 @@ def test_odd_elements(spark):
     assert locate.blocks(locate.located(spark.createDataFrame([], "g long, k long, text string"), pages, "g", "k"), "g", "k").count() == 0
 
 
+def test_few_words_are_held_at_once(monkeypatch):
+    """Words leave in bounded batches, within a text as well."""
+    monkeypatch.setattr(locate, "AT_ONCE", 40)
+    counts = (0, 130, 40, 3, 0)
+    texts = [" ".join(f"w{k}’" for k in range(n)) for n in counts[:-1]] + [None]
+    batch = pa.RecordBatch.from_pydict({"g": range(len(texts)), "__text": texts})
+    made = list(locate.word_batches(iter([batch]), ["g"]))
+    rows = [tuple(r.values()) for x in made for r in x.to_pylist()]
+    assert [r[:3] for r in rows] == [(g, k, f"w{k}'") for g, n in enumerate(counts) for k in range(n)]
+    assert all(texts[g][a:b] == f"w{k}’" for g, k, _, a, b in rows)
+    assert max(x.num_rows for x in made) == 40
+
+
 def test_query(spark):
     got = {(r.conv_id, r.turn): (r.lo, r.hi, round(r.score, 6)) for r in vq.j30_located_words(spark, SF).collect()}
     elements, pages = vq.written_pages(spark, SF)
