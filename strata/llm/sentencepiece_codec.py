@@ -37,7 +37,7 @@ from .common import documents
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE, SHORT = 400_000, 48  # texts in each of two generations, and the longest kept
+CACHE, SHORT = 200_000, 48  # texts in each of two generations, and the longest kept
 PAIRS = 1 << 19  # pairs of pieces of which it is known whether they may stand side by side
 UNKNOWN = -1e10
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -347,9 +347,9 @@ def encode_documents(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_i
 
         v = sent.value
         for batch in it:
-            texts = batch.column("text").to_pylist()
-            for a in range(0, len(texts), 512):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, 512), pa.array([v.encode(t or "") for t in texts[a : a + 512]], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([v.encode(t or "") for t in part.column("text").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return documents(df, id_col, text_col).mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
@@ -383,8 +383,8 @@ def encode_digest(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id",
         is_byte[v.byte_ids] = True
         for batch in it:
             rows = []
-            for t in batch.column("text").to_pylist():
-                t = t or ""
+            for x in batch.column("text"):
+                t = x.as_py() or ""
                 ids = np.array(v.encode(t), "<i4")
                 back = v.decode(ids.tolist())
                 rows.append((len(ids), int(is_byte[ids].sum()), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t))

@@ -135,3 +135,11 @@ def test_pieces_side_by_side_are_judged_once(monkeypatch):
     monkeypatch.setattr(S, "PAIRS", 2)
     v.beside.clear()
     assert [v._short_merged(S.SPACE + w) for w in words] == got == [v.search(S.SPACE + w) for w in words]
+
+
+def test_remembered_words_are_few():
+    """What a worker remembers stays beside an executor's other memory while later stages run."""
+    memo = S.Memo(lambda key: (1, 2))
+    for k in range(700_000):
+        memo.find(f"word{k}")
+    assert memo.find("word699999") == (1, 2) and len(memo.young) + len(memo.old) <= 400_000
