@@ -1,13 +1,14 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Counts, continuation counts and discounts are computed with DataFrame aggregations.  The model
-stays sharded, as one discounted count, total or back-off weight an entry, which a text's score
-interpolates, so no order is joined with another.  Documents are dealt into groups, and a group
-sends each shard of the hash space the distinct keys that its texts look up there; the shard
-answers with those it has.  So what a group or shard holds does not grow with the corpus, and of
-the model only a bitmap of its keys, of ``BITS`` bits whatever its size, is made in the shards'
-ranges and broadcast; it only keeps keys from being asked for in vain.  All documents are scored,
-in ``WAVES`` one after the other, as the keys asked for take several times the room of the texts.
+Counts, continuation counts and discounts are exact.  The model stays in shards of the hash space of
+pairs of words, as counts: a triple's, and a pair's or word's with what its followers come to, so
+discounts, totals and weights follow from an entry where it is looked up.  Entries lie in a table
+in buckets of their shards, which no wave has to shuffle again, sorted and packed.  Documents are
+dealt into groups, and a group sends each shard the distinct keys that its texts look up there;
+the shard answers with those it has.  So what a group or shard holds does not grow with the corpus,
+and of the model only a bitmap of its keys, of ``BITS`` bits whatever its size, is made in the
+shards' ranges and broadcast; it only keeps keys from being asked for in vain.  All documents are
+scored, in ``WAVES`` one after the other, as the keys asked for take several times the room of the texts.
 
 The model is fitted on all trusted (labelled) rows but those set aside.  One trusted document in five (by a checksum of its id) is never trained on.  A language's
 threshold is the ``QUANTILE`` of the perplexities of these (all languages' where it has none;
@@ -22,18 +23,20 @@ from __future__ import annotations
 
 import functools
 import uuid
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, dealt, delete, durable, input_bytes, mix, pieces, shared_folder, stored, texts_of, tidy
+from .common import SLICE, U64, Words, dealt, delete, durable, input_bytes, mix, pieces, shared_folder, texts_of, tidy
 from .substring_dedup import _by_shard
 
-QUANTILE, WAVES, BITS, RANGES = 0.98, 6, 1 << 26, 64
+QUANTILE, WAVES, BITS, RANGES = 0.98, 12, 1 << 26, 64
 BEGIN, END = U64(0x1B873593A5A5A5A5), U64(0x6C62272E07BB0142)
-P3, G3, P2, G2, P1, T3, T2 = 1, 2, 3, 4, 5, 6, 7  # discounted counts, back-off weights, totals of contexts (those over one)
-KINDS = {P3: "uvw", G3: "uv", T3: "uv", P2: "vw", G2: "v", T2: "v", P1: "w"}
+SLICES = 8  # of the shards, trained one after the other
+WORD, PAIR, TRIPLE = 1, 2, 3
+FIELDS = 5  # of a pair or word: its own count, and as a context its total and how many followers were seen once, twice, more often
 
 
 def key_of(kind: int, *parts: np.ndarray) -> np.ndarray:
@@ -58,46 +61,125 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return two, one, flat, first
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def pack(rows: np.ndarray) -> bytes:
+    """Rows of fixed width, by their bytes' places and compressed: of sorted keys and small numbers the upper bytes take next to no room."""
+    import pyarrow as pa
 
+    if not len(rows):
+        return b""
+    planes = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
-def discounts(counts: DataFrame, col: str) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of one, two, and three or more."""
-    row = counts.agg(*(F.count_if(F.col(col) == k).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
-    n1, n2, n3, n4 = (max(1, row[f"n{k}"] or 0) for k in (1, 2, 3, 4))
+
+def unpack(data: bytes, kind=np.uint64, fields: int = 1) -> np.ndarray:
+    import pyarrow as pa
+
+    width = np.dtype(kind).itemsize * fields
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True) if size else b"", np.uint8)
+    rows = np.ascontiguousarray(planes.reshape(width, size // width).T).reshape(-1).view(kind)
+    return rows.reshape(-1, fields) if fields > 1 else rows
+
+
+def unpacked(column, kind=np.uint64, fields: int = 1) -> np.ndarray:
+    return np.concatenate([unpack(b"", kind, fields), *(unpack(b, kind, fields) for b in column.to_pylist())])
+
+
+def firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each value of an ordered array begins."""
+    return np.flatnonzero(np.concatenate([ordered[:1] == ordered[:1], ordered[1:] != ordered[:-1]]))
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)  # several times faster here than np.unique
+    return keys[firsts(keys)]
+
+
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the sums of their values, and a place of each."""
+    if not len(keys):
+        return keys, values, np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = firsts(keys)
+    return keys[first], np.add.reduceat(values[order], first), order[first]
+
+
+def shard_of(keys: np.ndarray, n_shards: int) -> np.ndarray:
+    return (keys >> U64(32)) * U64(n_shards) >> U64(32)
+
+
+def _followed(counts: np.ndarray) -> np.ndarray:
+    """What each follower of a count adds to the entry of its context."""
+    return np.stack([np.zeros_like(counts), counts, counts == 1, counts == 2, counts > 2], 1).astype(np.int64)
+
+
+def _own(counts: np.ndarray) -> np.ndarray:
+    return np.stack([counts, *[np.zeros_like(counts)] * (FIELDS - 1)], 1).astype(np.int64)
+
+
+def _of_counts(counts: np.ndarray) -> list[int]:
+    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts for counts of one, two, and three or more, from how many counts are one, two, three and four."""
+    n1, n2, n3, n4 = (max(1, n or 0) for n in (n1, n2, n3, n4))
     y = n1 / (n1 + 2 * n2)
     return tuple(min(k - 1e-3, max(0.05, d)) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
 
 
+class Smoothing(NamedTuple):
+    """What of the model is not in its entries: discounts by order, single words' total and the probability of an unknown one, and the number of shards."""
+
+    d1: tuple[float, float, float]
+    d2: tuple[float, float, float]
+    d3: tuple[float, float, float]
+    total: int
+    unknown: float
+    n_shards: int
+
+
 class Model:
-    def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray]], unknown: float):
-        self.tables, self.unknown = tables, unknown
-
-    def _find(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known, values = self.tables.get(kind, (np.zeros(0, U64), np.zeros(0, np.float32)))
-        if not len(known):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-        k = np.searchsorted(known, keys)
-        k[k == len(known)] = 0
-        return known[k] == keys, values[k]
-
-    def _level(self, kinds: tuple[int, int, int], context: tuple[np.ndarray, ...], token: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """One order: what its count leaves after the discount, and the lower order by the context's weight; the lower order alone where the context is new."""
-        count, weight, total = kinds
-        known, g = self._find(weight, key_of(weight, *context))
-        out, at = lower.copy(), np.flatnonzero(known)
-        here = [c[at] for c in context]
-        seen, c = self._find(count, key_of(count, *here, token[at]))
-        many, n = self._find(total, key_of(total, *here))
-        out[at] = np.where(seen, c, 0.0) / np.where(many, n, 1.0).astype(float) + g[at] * lower[at]
+    """Entries of triples (key, count) and of pairs and words (key, FIELDS numbers), both by key, with their smoothing."""
+
+    def __init__(self, triples: tuple[np.ndarray, np.ndarray], rest: tuple[np.ndarray, np.ndarray], smoothing: Smoothing):
+        self.smoothing = smoothing
+        self.triples, self.counts = triples[0], np.append(triples[1], 0)
+        self.rest, numbers = rest[0], np.concatenate([rest[1], np.zeros((1, FIELDS), np.int64)])
+        self.own, self.total = numbers[:, 0].copy(), numbers[:, 1].copy()
+        self.cut2, self.cut3 = (numbers[:, 2] * d[0] + numbers[:, 3] * d[1] + numbers[:, 4] * d[2] for d in (smoothing.d2, smoothing.d3))
+
+    @staticmethod
+    def _find(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The places of keys among the known ones, or else the place after the last."""
+        order = np.argsort(keys)
+        ordered = keys[order]
+        k = np.searchsorted(known, ordered)  # keys in order find theirs several times faster
+        k[np.append(known, ~ordered[-1:])[k] != ordered] = len(known)
+        out = np.empty_like(k)
+        out[order] = k
         return out
 
+    @staticmethod
+    def _left(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+        return counts - np.array([0.0, *d])[np.minimum(counts, 3)]
+
+    def _level(self, counts: np.ndarray, context: np.ndarray, cut: np.ndarray, d: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
+        """One order: what its count leaves after the discount, and the lower order by the context's weight; the lower order alone where the context is new."""
+        total = self.total[context]
+        return np.where(total > 0, (self._left(counts, d) + cut[context] * lower) / np.maximum(total, 1), lower)
+
     def log_probabilities(self, two: np.ndarray, one: np.ndarray, token: np.ndarray) -> np.ndarray:
-        seen, p = self._find(P1, key_of(P1, token))
-        p = np.where(seen, p, self.unknown).astype(float)
-        p = self._level((P2, G2, T2), (one,), token, p)
-        return np.log(self._level((P3, G3, T3), (two, one), token, p))
+        """Of the tokens of whole texts, in order: each but a text's first has the pair and the word before it for contexts."""
+        s, n, begin = self.smoothing, len(token), np.array([BEGIN])
+        before = np.arange(n) - 1
+        before[one == BEGIN] = n
+        words = self._find(self.rest, key_of(WORD, np.append(token, begin)))
+        pairs = self._find(self.rest, key_of(PAIR, np.append(one, begin), np.append(token, begin)))
+        p = self._left(self.own[words[:n]], s.d1) / s.total + s.unknown
+        p = self._level(self.own[pairs[:n]], words[before], self.cut2, s.d2, p)
+        return np.log(self._level(self.counts[self._find(self.triples, key_of(TRIPLE, two, one, token))], pairs[before], self.cut3, s.d3, p))
 
     def perplexities(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         two, one, token, first = sequences(texts)
@@ -118,72 +200,126 @@ def _folder(df: DataFrame) -> str:
     return f"{shared_folder(df.sparkSession)}/quality-{uuid.uuid4().hex}"
 
 
-def fit(texts: DataFrame, at: str | None = None) -> tuple[DataFrame, float]:
-    """The counts of all rows' trigrams as entries ``kind, key, value``; and the probability of an unknown word.  ``texts``: text; ``at``: the folder for them.
+def _table_of(folder: str) -> str:
+    return folder.rsplit("/", 1)[-1].replace("-", "_")
+
 
-    Each order is written as soon as its discounts are known, and its counts go again once the next order has been made of them.
+def fit(texts: DataFrame, at: str | None = None, n_shards: int = 0) -> tuple[DataFrame, Smoothing]:
+    """The entries of all rows' triples, pairs and words, ``shard, form, keys, numbers`` (form 0: triples), in a table ``at`` a folder, and their smoothing.
+
+    Triples are counted in the shard of the pair they begin with, and once more in that of the pair they end with, so a shard has all it takes to
+    count its pairs.  The shards are made in ``SLICES``, each from the texts anew, as the triples of all take several times the room of the entries.
     """
+    spark, at = texts.sparkSession, at or _folder(texts)
+    n, name = n_shards or dealt(input_bytes(texts), 256, 64)[1], _table_of(at)
+
+    def triples(part: int):
+        def run(it):
+            import pyarrow as pa
+
+            low, high = (-(-n * k // SLICES) for k in (part, part + 1))
+            for batch in it:
+                texts = texts_of(batch)
+                for a, b in pieces(texts, 4 * SLICE):
+                    u, v, w, _ = sequences(texts[a:b])
+                    keys, rows = key_of(TRIPLE, u, v, w), []
+                    for ends, pair in enumerate((key_of(PAIR, u, v), key_of(PAIR, v, w))):
+                        shard = shard_of(pair, n)
+                        mine = np.flatnonzero((shard >= low) & (shard < high))
+                        key, times, first = summed(keys[mine], np.ones(len(mine), np.int64))
+                        first = mine[first]
+                        order = np.argsort(shard[first].astype(np.uint32), kind="stable")
+                        key, times, first = key[order], times[order], first[order]
+                        for k, i, j in _by_shard(shard[first], n):
+                            here = first[i:j]
+                            rows.append((int(k), ends, pack(key[i:j]), pack(v[here] if ends else pair[here]), pack(w[here]) if ends else b"", pack(times[i:j])))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["shard", "ends", "key", "x", "y", "times"])
+
+        return run
+
+    def entries(group):
+        """A shard's triples, pairs and sums of words, and how many of its counts are one to four."""
+        import pyarrow as pa
 
-    def trigrams(it):
+        shard, ends = group.column("shard")[0].as_py(), group.column("ends").to_numpy()
+        of = [group.filter(pa.array(ends == k)) for k in (0, 1)]
+        (key, count, place), pair = summed(unpacked(of[0].column("key")), unpacked(of[0].column("times"), np.int64)), unpacked(of[0].column("x"))
+        pair = pair[place]
+        _, times, place = summed(unpacked(of[1].column("key")), unpacked(of[1].column("times"), np.int64))
+        v, w = unpacked(of[1].column("x"))[place], unpacked(of[1].column("y"))[place]
+        ended, before, place = summed(key_of(PAIR, v, w), np.where(v == BEGIN, times, 1))
+        v, w = v[place], w[place]
+        pairs = summed(np.concatenate([pair, ended]), np.concatenate([_followed(count), _own(before)]))
+        words = summed(np.concatenate([key_of(WORD, v), key_of(WORD, w)]), np.concatenate([_followed(before), _own(np.ones_like(before))]))
+        numbers = np.array([_of_counts(count) + _of_counts(before)])
+        rows = [("model", 0, pack(key), pack(count)), ("model", 1, pack(pairs[0]), pack(pairs[1])), ("words", 1, pack(words[0]), pack(words[1])), ("counts", 2, b"", pack(numbers))]
+        return pa.table([pa.array([shard] * 4, pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True))], names=["shard", "kind", "form", "keys", "numbers"])
+
+    def dealt_words(it):
         import pyarrow as pa
 
         for batch in it:
-            texts = texts_of(batch)
-            for a, b in pieces(texts):
-                rows = sequences(texts[a:b])[:3]
-                _, first, n = np.unique(key_of(P3, *rows), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(_signed(r[first])) for r in rows), pa.array(n, pa.int64())], ["u", "v", "w", "c"])
+            keys, numbers = unpacked(batch.column("keys")), unpacked(batch.column("numbers"), np.int64, FIELDS)
+            keys, numbers, _ = summed(keys, numbers)
+            parts = [(int(k), pack(keys[a:b]), pack(numbers[a:b])) for k, a, b in _by_shard(shard_of(keys, n), n)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.binary())], ["shard", "keys", "numbers"])
+
+    def words(group):
+        import pyarrow as pa
+
+        keys, numbers, _ = summed(unpacked(group.column("keys")), unpacked(group.column("numbers"), np.int64, FIELDS))
+        own = numbers[:, 0]
+        counts = np.array([[*_of_counts(own), int((own > 2).sum()), int(own.sum()), int((own > 0).sum())]])
+        shard = group.column("shard").slice(0, 1).to_pylist() * 2
+        return pa.table([pa.array(shard, pa.int32()), pa.array(["model", "types"]), pa.array([1, 2], pa.int32()), pa.array([pack(keys), b""], pa.binary()), pa.array([pack(numbers), pack(counts)], pa.binary())], names=["shard", "kind", "form", "keys", "numbers"])
+
+    def counts_of(kind: str, size: int) -> list[int]:
+        """The sums of a few numbers of every shard."""
 
-    def keyed(kind: int, value: str):
         def run(it):
             import pyarrow as pa
 
             for batch in it:
-                key = key_of(kind, *(batch.column(c).to_numpy().view(U64) for c in KINDS[kind]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(_signed(key)), batch.column(value)], ["kind", "key", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(batch.column("numbers"), np.int64, size).sum(0)[None].tolist(), pa.list_(pa.int64()))], ["n"])
 
-        return run
+        got = made().where(F.col("kind") == kind).select("numbers").mapInArrow(run, "n array<long>")
+        return [x or 0 for x in got.agg(*(F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(size))).first()]
+
+    def write(frame: DataFrame) -> None:
+        frame.write.mode("append").partitionBy("kind").bucketBy(n, "shard").option("path", at).saveAsTable(name)
+
+    def made() -> DataFrame:
+        return spark.table(name)
+
+    kinds = "shard int, kind string, form int, keys binary, numbers binary"
+    for part in range(SLICES):
+        write(texts.select("text").mapInArrow(triples(part), "shard int, ends int, key binary, x binary, y binary, times binary").groupBy("shard").applyInArrow(entries, kinds))
+    write(made().where("kind = 'words'").select("keys", "numbers").mapInArrow(dealt_words, "shard int, keys binary, numbers binary").groupBy("shard").applyInArrow(words, kinds))
+    delete(spark, f"{at}/kind=words")
+    counts, (n1, n2, n3, n4, more, total, types) = counts_of("counts", 8), counts_of("types", 7)
+    d1 = discounts(n1, n2, n3, n4)
+    cut = n1 * d1[0] + n2 * d1[1] + more * d1[2] or 1.0
+    total = total or 1
+    return made().where("kind = 'model'").select("shard", "form", "keys", "numbers"), Smoothing(d1, discounts(*counts[4:]), discounts(*counts[:4]), total, cut / total / (types + 1), n)
 
-    spark, made, top = texts.sparkSession, at or _folder(texts), _folder(texts)
-
-    def write(frame: DataFrame, kind: int, value: F.Column) -> None:
-        rows = frame.select(*KINDS[kind], value.cast("float").alias("value"))
-        rows.mapInArrow(keyed(kind, "value"), "kind int, key long, value float").write.mode("append").parquet(made)
-
-    def order(counts: DataFrame, kinds: tuple[int, int, int]) -> None:
-        """The entries of counts above single words: what is left of them, and each context's weight and total."""
-        d, (count, weight, total) = discounts(counts, "c"), kinds
-        less = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        cut = stored(counts.groupBy(*KINDS[weight]).agg(F.sum("c").alias("total"), F.sum(less).alias("cut")), f"{top}/x{weight}")
-        write(cut, weight, F.col("cut") / F.col("total"))
-        write(cut.where("total > 1"), total, F.col("total"))
-        delete(spark, f"{top}/x{weight}")
-        write(counts, count, F.col("c") - less)
-
-    t3 = stored(texts.select("text").mapInArrow(trigrams, "u long, v long, w long, c long").groupBy("u", "v", "w").agg(F.sum("c").alias("c")), f"{top}/t3")
-    order(t3, (P3, G3, T3))
-    begin = F.lit(int(_signed(np.array([BEGIN]))[0]))
-    t2 = stored(t3.groupBy("v", "w").agg(F.when(F.col("v") == begin, F.sum("c")).otherwise(F.count("*")).alias("c")), f"{top}/t2")
-    delete(spark, f"{top}/t3")
-    order(t2, (P2, G2, T2))
-    t1 = stored(t2.groupBy("w").agg(F.count("*").alias("c")), f"{top}/t1")
-    d1 = discounts(t1, "c")
-    less = F.when(F.col("c") == 1, d1[0]).when(F.col("c") == 2, d1[1]).otherwise(d1[2])
-    whole = t1.agg(F.sum("c").alias("total"), F.sum(less).alias("cut"), F.count("*").alias("types")).first()
-    total, cut, types = whole.total or 1, whole.cut or 1.0, whole.types or 0
-    unknown = cut / total / (types + 1)
-    write(t1, P1, (F.col("c") - less) / total + unknown)
-    delete(spark, top)
-    return spark.read.schema("kind int, key long, value float").parquet(made), unknown
+
+def merged(rows) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The triples and the rest of an Arrow table of entries."""
+    import pyarrow as pa
+
+    form, out = np.array(rows.column("form").to_pylist(), int), []
+    for k, fields in enumerate((1, FIELDS)):
+        here = rows.filter(pa.array(form == k, pa.bool_()))
+        keys, numbers = unpacked(here.column("keys")), unpacked(here.column("numbers"), np.int64, fields)
+        order = np.argsort(keys)
+        out.append((keys[order], numbers[order]))
+    return out[0], out[1]
 
 
 def train(docs: DataFrame, ids: list[int]) -> Model:
     """The model of the rows with these ids as one local object, for small sets; ``docs``: doc_id, text."""
-    entries, unknown = fit(docs.where(F.col("doc_id").isin(ids)))
-    got = entries.toArrow()
-    kinds, keys, values = got.column("kind").to_numpy(), got.column("key").to_numpy().view(U64), got.column("value").to_numpy()
-    order = np.argsort(keys)
-    return Model({k: (keys[order[kinds[order] == k]], values[order[kinds[order] == k]]) for k in KINDS}, unknown)
+    entries, smoothing = fit(docs.where(F.col("doc_id").isin(ids)))
+    return Model(*merged(entries.toArrow()), smoothing)
 
 
 def _bit(keys: np.ndarray) -> np.ndarray:
@@ -198,7 +334,7 @@ def bitmap(entries: DataFrame) -> bytes:
         import pyarrow as pa
 
         for batch in it:
-            bits = np.unique(_bit(batch.column("key").to_numpy().view(U64)))
+            bits = distinct(_bit(unpacked(batch.column("keys"))))
             parts = [(int(k), (bits[a:b] % U64(size)).astype(np.uint32).tobytes()) for k, a, b in _by_shard(bits // U64(size), RANGES)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["range", "bits"])
 
@@ -210,87 +346,84 @@ def bitmap(entries: DataFrame) -> bytes:
             field[np.frombuffer(b.as_py(), np.uint32)] = True
         return pa.table([group.column("range").slice(0, 1), pa.array([np.packbits(field).tobytes()], pa.binary())], names=["range", "bits"])
 
-    made = entries.select("key").mapInArrow(marks, "range int, bits binary").groupBy("range").applyInArrow(joined, "range int, bits binary")
+    made = entries.select("keys").mapInArrow(marks, "range int, bits binary").groupBy("range").applyInArrow(joined, "range int, bits binary")
     found = {r.range: bytes(r.bits) for r in made.collect()}
     return b"".join(found.get(k, bytes(size // 8)) for k in range(RANGES))
 
 
-def wanted(texts: list[bytes], known: bytes) -> np.ndarray:
-    """The distinct keys that the perplexities of these texts look up and the bitmap has."""
-    field, out = np.frombuffer(known, np.uint8), [np.zeros(0, U64)]
-    for a, b in pieces(texts):
-        two, one, token, _ = sequences(texts[a:b])
-        named = {"u": two, "v": one, "w": token}
-        for keys in (key_of(kind, *(named[c] for c in cols)) for kind, cols in KINDS.items()):
-            bit = _bit(keys)
-            out.append(np.unique(keys[(field[bit >> U64(3)] >> (U64(7) - (bit & U64(7))).astype(np.uint8)) & 1 > 0]))
-    return np.unique(np.concatenate(out))
+def wanted(texts: list[bytes], known: bytes, n_shards: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """By shard, the distinct keys of triples and of the rest that the perplexities of these texts look up and the bitmap has."""
+    field, triples, pairs, rest = np.frombuffer(known, np.uint8), [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, U64)]
 
+    def held(keys: np.ndarray) -> np.ndarray:
+        bit = _bit(keys)
+        return (field[bit >> U64(3)] >> (U64(7) - (bit & U64(7))).astype(np.uint8)) & 1 > 0
 
-def score(df: DataFrame, entries: DataFrame, unknown: float, n_groups: int = 0, n_shards: int = 0, waves: int = WAVES) -> DataFrame:
-    """``doc_id, lang, n_tokens, perplexity`` of rows with doc_id, lang and text."""
-    many = dealt(input_bytes(df), 512, 128)
-    n_groups, n_shards = n_groups or many[0], n_shards or many[1]
+    begin = np.array([BEGIN])
+    for a, b in pieces(texts):
+        two, one, token, _ = sequences(texts[a:b])
+        keys = key_of(TRIPLE, two, one, token)
+        mine = np.flatnonzero(held(keys))
+        triples.append(keys[mine])
+        pairs.append(key_of(PAIR, two[mine], one[mine]))
+        every = distinct(np.concatenate([key_of(PAIR, np.append(one, begin), np.append(token, begin)), key_of(WORD, np.append(token, begin))]))
+        rest.append(every[held(every)])
+    keys = np.concatenate(triples)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = firsts(keys)
+    keys, shard = keys[first], shard_of(np.concatenate(pairs)[order[first]], n_shards)
+    order = np.argsort(shard.astype(np.uint32), kind="stable")
+    every = distinct(np.concatenate(rest))
+    out = {int(s): [keys[order[a:b]], every[:0]] for s, a, b in _by_shard(shard[order], n_shards)}
+    for s, a, b in _by_shard(shard_of(every, n_shards), n_shards):
+        out.setdefault(int(s), [keys[:0], None])[1] = every[a:b]
+    return [(s, *both) for s, both in out.items()]
+
+
+def score(df: DataFrame, entries: DataFrame, smoothing: Smoothing, n_groups: int = 0, n_shards: int = 0, waves: int = WAVES) -> DataFrame:
+    """``doc_id, lang, n_tokens, perplexity`` of rows with doc_id, lang and text.  ``n_shards``: how many to put the model's shards together to, if not as they are."""
+    n_groups = n_groups or dealt(input_bytes(df), 256, 64)[0]
     docs = df.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int").alias("g"))
-    entry = np.dtype([("low", np.uint32), ("high", np.uint32), ("value", np.float32)])
-
-    def shard_of(keys: np.ndarray) -> np.ndarray:
-        return (keys >> U64(32)) * U64(n_shards) >> U64(32)
+    answered = "g int, form int, keys binary, numbers binary"
 
     def ask(group):
         import pyarrow as pa
 
-        g, keys = group.column("g")[0].as_py(), wanted(texts_of(group), sent.value)
-        parts = [(int(s), keys[a:b].astype(np.uint32).tobytes()) for s, a, b in _by_shard(shard_of(keys), n_shards)]
-        return pa.table([pa.array([s for s, _ in parts], pa.int32()), pa.array([g] * len(parts), pa.int32()), pa.array([k for _, k in parts], pa.binary())], names=["shard", "g", "keys"])
-
-    def packed(it):
-        import pyarrow as pa
-
-        for batch in it:
-            keys = batch.column("key").to_numpy().view(U64)
-            order = np.argsort(keys)
-            held = np.empty(len(keys), entry)
-            held["low"], held["high"], held["value"] = keys[order].astype(np.uint32), keys[order] >> U64(32), batch.column("value").to_numpy()[order]
-            parts = [(int(s), held[a:b].tobytes()) for s, a, b in _by_shard(shard_of(keys[order]), n_shards)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["shard", "entries"])
-
-    def joined(table, column: str, kind) -> np.ndarray:
-        return np.frombuffer(b"".join(table.column(column).to_pylist()), kind) if table.num_rows else np.zeros(0, kind)
+        g, parts = group.column("g")[0].as_py(), wanted(texts_of(group), sent.value, smoothing.n_shards)
+        return pa.table([pa.array([p[0] for p in parts], pa.int32()), pa.array([g] * len(parts), pa.int32()), *(pa.array([pack(p[k]) for p in parts], pa.binary()) for k in (1, 2))], names=["shard", "g", "triples", "rest"])
 
     def answer(asks, held):
-        """Every entry whose lower half was asked for; the group knows the upper halves."""
+        """What the entries hold of the keys that were asked for."""
         import pyarrow as pa
 
         out = []
         if asks.num_rows and held.num_rows:
-            known = joined(held, "entries", entry)
-            known = known[np.argsort(known["low"], kind="stable")]
-            low = np.ascontiguousarray(known["low"])
-            for g, keys in zip(asks.column("g").to_pylist(), asks.column("keys").to_pylist(), strict=True):
-                keys = np.unique(np.frombuffer(keys, np.uint32))
-                a, b = np.searchsorted(low, keys), np.searchsorted(low, keys, side="right")
-                hits = [known[(a + k)[a + k < b]] for k in range(int((b - a).max(initial=0)))]
-                if hits:
-                    out.append((g, np.concatenate(hits).tobytes()))
-        return pa.table([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], names=["g", "entries"])
+            entries = merged(held)
+            for g, *asked in zip(*(asks.column(c).to_pylist() for c in ("g", "triples", "rest")), strict=True):
+                for form, (keys, numbers) in enumerate(entries):
+                    want = unpack(asked[form])
+                    if len(want) and len(keys):
+                        k = np.searchsorted(keys, want)
+                        k[k == len(keys)] = 0
+                        found = keys[k] == want
+                        out.append((g, form, pack(want[found]), pack(numbers[k[found]])))
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["g", "form", "keys", "numbers"])
 
     def run(group, answers):
         import pyarrow as pa
 
-        texts, got = texts_of(group), joined(answers, "entries", entry)
-        keys = got["high"].astype(U64) << U64(32) | got["low"]
-        order = np.argsort(keys)
-        model = Model(dict.fromkeys(KINDS, (keys[order], got["value"][order])), unknown)  # a key holds its kind
+        texts, model = texts_of(group), Model(*merged(answers), smoothing)
         done = [model.perplexities(texts[a:b]) for a, b in pieces(texts)]
         return pa.table([group.column("doc_id"), group.column("lang"), pa.array(np.concatenate([n for n, _ in done]), pa.int64()), pa.array(np.concatenate([p for _, p in done]))], names=["doc_id", "lang", "n_tokens", "perplexity"])
 
     sent = df.sparkSession.sparkContext.broadcast(bitmap(entries))  # BITS bits, whatever the input
-    held, out = entries.select("key", "value").mapInArrow(packed, "shard int, entries binary"), []
+    together = lambda frame: frame.withColumn("shard", F.floor(F.col("shard") * n_shards / smoothing.n_shards).cast("int")) if n_shards else frame
+    out = []
     for wave in range(waves):
         part = docs.where(F.pmod("g", F.lit(waves)) == wave)
-        asks = part.groupBy("g").applyInArrow(ask, "shard int, g int, keys binary")  # of the same rows as below, so that they are dealt once
-        answers = asks.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(answer, "g int, entries binary")
+        asks = part.groupBy("g").applyInArrow(ask, "shard int, g int, triples binary, rest binary")  # of the same rows as below, so that they are dealt once
+        answers = together(asks).groupBy("shard").cogroup(together(entries).groupBy("shard")).applyInArrow(answer, answered)
         out.append(durable(part.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, "doc_id long, lang string, n_tokens long, perplexity double")))
     return functools.reduce(DataFrame.unionByName, out)
 
@@ -300,10 +433,13 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     good = trusted(labels)
     mine = docs.join(good.where(~set_aside()), "doc_id", "left_semi")
-    at = _folder(df)
+    at, top = _folder(df), _folder(df)
     with tidy(df.sparkSession):
-        entries, unknown = fit(mine, at)
-        scored = score(docs, entries, unknown)
+        mine.select("text").write.option("compression", "zstd").parquet(f"{top}/text")  # so that texts and labels meet once, not in every slice
+        entries, smoothing = fit(df.sparkSession.read.parquet(f"{top}/text"), at, dealt(input_bytes(docs), 256, 64)[1])
+        delete(df.sparkSession, top)
+        scored = score(docs, entries, smoothing)
+    df.sparkSession.sql(f"drop table if exists {_table_of(at)}")
     delete(df.sparkSession, at)
     held = scored.join(good.where(set_aside()), "doc_id", "left_semi")
     own = held.groupBy(F.coalesce("lang", F.lit("")).alias("of")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))

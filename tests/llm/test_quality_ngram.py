@@ -101,3 +101,12 @@ def test_all_trusted_text_is_trained_on(spark):
     df = spark.createDataFrame([(i, "en", " ".join([f"w{i}"] * 260)) for i in ids], "doc_id long, lang string, text string")
     got = Q.classify(df, df.selectExpr("doc_id", "1 quality")).collect()
     assert len(got) == len(ids) > 6000 and max(r.perplexity for r in got) < 2
+
+
+def test_the_model_takes_little_room(spark, tmp_path):
+    """At rest its entries take less than the hashes of each triple's words would."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("text")
+    Q.fit(docs, str(tmp_path / "quality-room"))
+    u, v, w, _ = Q.sequences([(r.text or "").encode() for r in docs.collect()])
+    room = sum(p.stat().st_size for p in (tmp_path / "quality-room").rglob("*.parquet"))
+    assert room < 24 * len(np.unique(Q.key_of(3, u, v, w)))
