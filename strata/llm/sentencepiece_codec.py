@@ -224,29 +224,52 @@ class Vocabulary:
         return self._path(text, 0, back, piece, n)
 
     def _short_merged(self, text: str) -> list[int]:
+        """Longest pieces first, going back where none fits: as only one path of fitting pieces leads to the end, it is the one found."""
         starts, known, n = self.starts.get, self.beside.get, len(text)
-        ends, back, piece = [""] * (n + 1), [0] * (n + 1), [-1] * (n + 1)  # by position: the one piece that may end there
-        for i in range(n):
-            last, before, j = ends[i], piece[i], i
-            while j < n:
-                j += 1
-                part = text[i:j]
-                found = starts(part)
-                which = found[1] if found else -1
-                if (which >= 0 or j == i + 1) and not ends[j]:
-                    fits = not i
+        path: list[tuple[int, int, list[tuple[int, int]]]] = []  # where each piece begins, its id, and the shorter ones not tried
+        dead: set[int] = set()  # positions that lead nowhere
+        at, left = 0, None
+        while at < n:
+            if left is None:
+                left, j = [], at
+                while j < n:
+                    j += 1
+                    found = starts(text[at:j])
+                    if not found:
+                        if j == at + 1:
+                            left.append((j, -1))
+                        break
+                    if found[1] >= 0 or j == at + 1:
+                        left.append((j, found[1]))
+                    if not found[2]:
+                        break
+            while left:
+                j, which = left.pop()
+                if j in dead:
+                    continue
+                if path:
+                    begin, before, _ = path[-1]
+                    pair = before << 32 | which if before >= 0 and which >= 0 else -1
+                    fits = known(pair) if pair >= 0 else self.fits(text[begin:at], text[at:j])
+                    if fits is None:
+                        if len(self.beside) >= PAIRS:
+                            self.beside.clear()
+                        fits = self.beside[pair] = self.fits(text[begin:at], text[at:j])
                     if not fits:
-                        pair = before << 32 | which if before >= 0 and which >= 0 else -1
-                        fits = known(pair) if pair >= 0 else self.fits(last, part)
-                        if fits is None:
-                            if len(self.beside) >= PAIRS:
-                                self.beside.clear()
-                            fits = self.beside[pair] = self.fits(last, part)
-                    if fits:
-                        ends[j], back[j], piece[j] = part, i, which
-                if not found or not found[2]:
-                    break
-        return self._path(text, 0, back, piece, n)
+                        continue
+                path.append((at, which, left))
+                at, left = j, None
+                break
+            else:
+                dead.add(at)
+                at, _, left = path.pop()
+        out: list[int] = []
+        for begin, which, _ in path:
+            if which >= 0:
+                out.append(which)
+            else:
+                out += [self.byte_ids[b] for b in text[begin].encode()]
+        return out
 
     @staticmethod
     def _shared(back: list[int], at: int, furthest: int) -> int:

@@ -143,3 +143,22 @@ def test_remembered_words_are_few():
     for k in range(700_000):
         memo.find(f"word{k}")
     assert memo.find("word699999") == (1, 2) and len(memo.young) + len(memo.old) <= 400_000
+
+
+def test_a_word_is_searched_in_few_steps(spark):
+    v, asked = S.Vocabulary.__new__(S.Vocabulary), []
+    v.__setstate__(S.load().__getstate__())
+
+    class Counted(dict):
+        def get(self, *key):
+            asked.append(key)
+            return super().get(*key)
+
+    v.starts = Counted(v.starts)
+    words = sorted({w for r in table(spark, SF, "documents").collect() for w in r.text.split() if S.SPACE not in w and len(w) < S.SHORT})
+    for w in words:
+        assert v._short_merged(S.SPACE + w) == v.search(S.SPACE + w)
+    asked.clear()
+    for w in words:
+        v._short_merged(S.SPACE + w)
+    assert len(asked) < 3 * sum(len(w) + 1 for w in words)
