@@ -67,17 +67,20 @@ def pack(rows: np.ndarray) -> bytes:
 
     if not len(rows):
         return b""
+    if rows.dtype == np.int64 and rows.min() >= 0 and rows.max() < 1 << 32:
+        rows = rows.astype(np.uint32)
     planes = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1).T.tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+    return rows.itemsize.to_bytes(1, "little") + len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpack(data: bytes, kind=np.uint64, fields: int = 1) -> np.ndarray:
     import pyarrow as pa
 
-    width = np.dtype(kind).itemsize * fields
-    size = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True) if size else b"", np.uint8)
-    rows = np.ascontiguousarray(planes.reshape(width, size // width).T).reshape(-1).view(kind)
+    if not data:
+        return np.zeros((0, fields) if fields > 1 else 0, kind)
+    stored, size = kind if data[0] == np.dtype(kind).itemsize else np.uint32, int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], size, "zstd", asbytes=True), np.uint8).reshape(data[0] * fields, -1)
+    rows = np.ascontiguousarray(planes.T).reshape(-1).view(stored).astype(kind, copy=False)
     return rows.reshape(-1, fields) if fields > 1 else rows
 
 
@@ -311,8 +314,10 @@ def merged(rows) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.nd
     for k, fields in enumerate((1, FIELDS)):
         here = rows.filter(pa.array(form == k, pa.bool_()))
         keys, numbers = unpacked(here.column("keys")), unpacked(here.column("numbers"), np.int64, fields)
-        order = np.argsort(keys)
-        out.append((keys[order], numbers[order]))
+        if (keys[1:] < keys[:-1]).any():  # a shard's triples come in order
+            order = np.argsort(keys)
+            keys, numbers = keys[order], numbers[order]
+        out.append((keys, numbers))
     return out[0], out[1]
 
 
