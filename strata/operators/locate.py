@@ -1,20 +1,22 @@
 """Where the words of an element stand in the text of its page, and which frame a page shows.
 
-Words are located by joins: words that both the element and the page have once are anchors; of those the longest run in order stands;
-anchors grow over equal neighbours; and where as many words lie between two on both sides, they are held against each other one by
-one.  Nothing compares an element with the whole page.
+A page meets its elements once, as texts, and words are made where both are: words that both the element and the page have once are
+anchors; of those the longest run in order stands; anchors grow over equal neighbours; and where as many words lie between two on both
+sides, they are held against each other one by one.  No word is dealt out, and nothing compares an element with the whole page.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,14 +28,28 @@ PLAIN = {"“": '"', "”": '"', "‘": "'", "’": "'", "ﬁ": "fi", "ﬂ": "fl
 ALIKE = 0.75
 WORD = re.compile(r"\S+")
 AT_ONCE = 50_000  # words that a task holds and sends on together
+SLICE = 1 << 20  # characters of a page's elements that meet it together
 
 
 PLACED = [("n", pa.int64()), ("word", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]
+FOUND = {"n": T.LongType(), "lo": T.LongType(), "hi": T.LongType(), "how": T.StringType()}
+_TABLE = str.maketrans(PLAIN)
+
+
+def _norm(word: str) -> str:
+    return word if word.isascii() else unicodedata.normalize("NFC", word.translate(_TABLE))
+
+
+class _Known(dict):
+    """Words as they are written in texts, and as they are compared; each is normalised once."""
+
+    def __missing__(self, word: str) -> str:
+        self[word] = made = _norm(word)
+        return made
 
 
 def word_batches(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
     """``by, n, word, start, stop``: a row for each word of the texts (``by, __text``), normalised, with its place; ``AT_ONCE`` rows at most are held, however long a text is."""
-    table = str.maketrans(PLAIN)
 
     def made(batch: pa.RecordBatch, owner: list[int], found: list[tuple]) -> pa.RecordBatch:
         columns = [pa.array(c, k) for c, (_, k) in zip(zip(*found, strict=True), PLACED, strict=True)]
@@ -44,7 +60,7 @@ def word_batches(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[p
         for i, t in enumerate(batch.column("__text")):
             for n, m in enumerate(WORD.finditer(t.as_py() or "")):
                 owner.append(i)
-                found.append((n, unicodedata.normalize("NFC", m[0].translate(table)), m.start(), m.end()))
+                found.append((n, _norm(m[0]), m.start(), m.end()))
                 if len(found) == AT_ONCE:
                     yield made(batch, owner, found)
                     owner, found = [], []
@@ -52,67 +68,109 @@ def word_batches(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[p
             yield made(batch, owner, found)
 
 
-def _rows(df: DataFrame, by: list[str], text: str) -> DataFrame:
-    chosen = df.select(*by, F.col(text).alias("__text"))
-    schema = T.StructType([*chosen.schema.fields[:-1], *(T.StructField(c, T.StringType() if c == "word" else T.LongType()) for c, _ in PLACED)])
-    return chosen.mapInArrow(lambda it: word_batches(it, by), schema)
+def _listed(text: str | None, known: _Known) -> list[str]:
+    return [known[m[0]] for m in WORD.finditer(text or "")]
 
 
-def _in_order(arrays: pa.Array) -> pa.Array:
-    out = []
-    for row in arrays:
-        places = row.as_py()
-        keep = set(sequences.longest_increasing(places))
-        out.append([k in keep for k in range(len(places))])
-    return pa.array(out, pa.list_(pa.bool_()))
+def _once(words: list[str]) -> dict[str, int]:
+    """The numbers of the words that stand once."""
+    count = Counter(words)
+    return {w: n for n, w in enumerate(words) if count[w] == 1}
 
 
-def anchors(el: DataFrame, page: DataFrame, by: str, key: str) -> DataFrame:
-    """``by, key, n, v``: words that stand once in the element and once on the page, the longest run of them in order."""
-    once = lambda df, at, keys: df.groupBy(*keys, "word").agg(F.count("*").alias("m"), F.min("n").alias(at)).where("m = 1").drop("m")
-    met = once(el, "n", [by, key]).join(once(page, "v", [by]), [by, "word"])
-    rows = met.groupBy(by, key).agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("r"))
-    kept = rows.withColumn("keep", F.arrow_udf(_in_order, "array<boolean>")(F.transform("r", lambda x: x.v)))
-    return kept.select(by, key, F.explode(F.arrays_zip("r", "keep")).alias("x")).where("x.keep").select(by, key, "x.r.*")
+def _spans(text: str) -> np.ndarray:
+    """Where each word of a text starts and stops."""
+    out = array("q")
+    for m in WORD.finditer(text):
+        out.extend(m.span())
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
 
 
-def located(elements: DataFrame, pages: DataFrame, by: str, key: str, text: str = "text") -> DataFrame:
-    """``by, key, n, lo, hi, how``: for the n-th word of each element (``by, key, text``; keys unique on a page) the place of it in the page's text (``by, text``), ``exact``, ``alike`` or null."""
-    el, page = _rows(elements, [by, key], text), _rows(pages, [by], text)
-    own = Window.partitionBy(by, key).orderBy("n")
-    up, down = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
-    rows = el.join(anchors(el, page, by, key), [by, key, "n"], "left").withColumn("shift", F.col("v") - F.col("n"))
-    rows = rows.withColumn("a1", F.last(F.when(F.col("v").isNotNull(), F.struct("n", "v")), ignorenulls=True).over(up)).withColumn("a2", F.first(F.when(F.col("v").isNotNull(), F.struct("n", "v")), ignorenulls=True).over(down))
-    rows = rows.withColumn("v1", F.col("a1.v") + F.col("n") - F.col("a1.n")).withColumn("v2", F.col("a2.v") + F.col("n") - F.col("a2.n"))
-    there = lambda p: page.select(by, F.col("n").alias(f"v{p}"), F.col("word").alias(f"w{p}"))
-    rows = rows.join(there(1), [by, "v1"], "left").join(there(2), [by, "v2"], "left")
-    # an anchor reaches as far as all words from it on agree, and not beyond the next one
-    same = lambda p: F.coalesce(F.col("word") == F.col(f"w{p}"), F.lit(False))
-    after = Window.partitionBy(by, key, "a1").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(by, key, "a2").orderBy("n").rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("r1", F.bool_and(same(1) & (F.col("a2").isNull() | (F.col("v1") <= F.col("a2.v")))).over(after) & F.col("a1").isNotNull())
-    rows = rows.withColumn("r2", F.bool_and(same(2) & (F.col("a1").isNull() | (F.col("v2") >= F.col("a1.v")))).over(before) & F.col("a2").isNotNull())
-    # growing from the left comes first; what grows from the right ends where that did
-    reached = F.max(F.when(F.col("r1"), F.col("v1"))).over(after)
-    rows = rows.withColumn("v", F.when(F.col("r1"), F.col("v1")).when(F.col("r2") & (reached.isNull() | (F.col("v2") > reached)), F.col("v2")))
+def _alike(a: str, b: str) -> bool:
+    m = SequenceMatcher(None, a.casefold(), b.casefold())
+    return m.real_quick_ratio() >= ALIKE and m.quick_ratio() >= ALIKE and m.ratio() >= ALIKE
+
+
+def placed(a: list[str], b: list[str], once: dict[str, int]) -> tuple[array, set[int]]:
+    """For each word of ``a`` its place in ``b`` or -1, and which of them are not equal but alike; ``once`` has what stands once in ``b``."""
+    count = Counter(a)
+    met = [(n, once[w]) for n, w in enumerate(a) if count[w] == 1 and w in once]
+    sure = [met[k] for k in sequences.longest_increasing([v for _, v in met])]
+    at, alike = array("q", [-1]) * len(a), set()
+    before, reached = -1, -1  # the anchor before, and how far words are found on from it
+    for k, (n, v) in enumerate(sure):
+        # growing from the left comes first; what grows from the right ends where that did
+        i, j = n - 1, v - 1
+        while i > before and j > reached and at[i] < 0 and a[i] == b[j]:
+            at[i], i, j = j, i - 1, j - 1
+        stop, most = sure[k + 1] if k + 1 < len(sure) else (len(a), len(b))
+        i, j = n, v
+        while i < stop and j < len(b) and j <= most and a[i] == b[j]:
+            at[i], i, j = j, i + 1, j + 1
+        before, reached = n, j - 1
     # between two that are found, as many words on both sides: one by one
-    p, q = F.last(F.when(F.col("v").isNotNull(), F.struct("n", "v")), ignorenulls=True).over(up), F.first(F.when(F.col("v").isNotNull(), F.struct("n", "v")), ignorenulls=True).over(down)
-    rows = rows.select(by, key, "n", "word", "v", p.alias("p"), q.alias("q"))
-    even = F.col("v").isNull() & ((F.col("q.n") - F.col("p.n")) == (F.col("q.v") - F.col("p.v")))
-    rows = rows.withColumn("guess", F.when(even, F.col("p.v") + F.col("n") - F.col("p.n")))
-    at = page.select(by, F.col("n").alias("at"), F.col("word").alias("there"), F.col("start").alias("lo"), F.col("stop").alias("hi"))
-    rows = rows.withColumn("at", F.coalesce("v", "guess")).join(at, [by, "at"], "left")
-    exact = rows.where("guess is null").withColumn("how", F.when(F.col("v").isNotNull(), "exact"))
-    guessed = rows.where("guess is not null").withColumn("how", F.when(_alike(F.col("word"), F.col("there")), "alike"))
-    shown = lambda c: F.when(F.col("how").isNotNull(), F.col(c)).alias(c)
-    return exact.unionByName(guessed).select(by, key, "n", shown("lo"), shown("hi"), "how")
-
-
-def _alike(a: Column, b: Column) -> Column:
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, i.casefold(), j.casefold()).ratio() >= ALIKE for i, j in zip(x, y, strict=True)], dtype=bool)
-
-    return F.pandas_udf(run, "boolean")(a, b)
+    last = None
+    for n, v in enumerate(at):
+        if v >= 0:
+            if last is not None and 1 < n - last == v - at[last]:
+                for i in range(last + 1, n):
+                    if _alike(a[i], b[v - n + i]):
+                        at[i] = v - n + i
+                        alike.add(i)
+            last = n
+    return at, alike
+
+
+def place_batches(batches: Iterable[pa.RecordBatch], by: str, key: str) -> Iterator[pa.RecordBatch]:
+    """``by, key, n, lo, hi, how`` of pages with some of their elements (``by, __elements, __page``); rows leave ``AT_ONCE`` at a time."""
+    told = pa.array(["exact", "alike"])
+
+    def made(owners: dict[str, pa.Array], parts: list[tuple]) -> pa.RecordBatch:
+        owner, n, lo, hi, how = (np.concatenate(c) for c in zip(*parts, strict=True))
+        columns = [pa.array(n), pa.array(lo, mask=how < 0), pa.array(hi, mask=how < 0), told.take(pa.array(how, mask=how < 0))]
+        return pa.RecordBatch.from_arrays([*(c.take(pa.array(owner)) for c in owners.values()), *columns], [*owners, *FOUND])
+
+    page = None
+    for batch in batches:
+        held, pages = batch.column("__elements"), batch.column("__page")
+        each, of = held.flatten(), np.repeat(np.arange(len(held)), held.value_lengths().to_numpy(zero_copy_only=False))
+        owners, texts = {by: batch.column(by).take(pa.array(of)), key: each.field("__key")}, each.field("__text")
+        parts, size, row = [], 0, None
+        for k, i in enumerate(of):
+            if i != row:
+                row, text = i, pages[i].as_py() or ""
+                if text != page:
+                    page, known = text, _Known()
+                    words, spans = _listed(text, known), _spans(text)
+                    once = _once(words)
+            mine = _listed(texts[k].as_py(), known)
+            at, alike = placed(mine, words, once)
+            for n in range(0, len(mine), AT_ONCE):
+                v = np.frombuffer(at, np.int64)[n : n + AT_ONCE]
+                how = np.where(v < 0, -1, 0)
+                how[[x - n for x in alike if n <= x < n + len(v)]] = 1
+                place = spans[v] if len(spans) else np.zeros((len(v), 2), np.int64)
+                parts.append((np.full(len(v), k), np.arange(n, n + len(v)), place[:, 0], place[:, 1], how))
+                size += len(v)
+                if size >= AT_ONCE:
+                    yield made(owners, parts)
+                    parts, size = [], 0
+        if parts:
+            yield made(owners, parts)
+
+
+def located(elements: DataFrame, pages: DataFrame, by: str, key: str, text: str = "text") -> DataFrame:
+    """``by, key, n, lo, hi, how``: for the n-th word of each element (``by, key, text``; keys unique on a page) the place of it in the page's text (``by, text``), ``exact``, ``alike`` or null.
+
+    Both are dealt by page; of a page's elements ``SLICE`` characters or so meet it at a time, so a row stays small however many there are.
+    """
+    chosen = elements.select(by, F.col(key).alias("__key"), F.col(text).alias("__text"))
+    earlier = Window.partitionBy(by).orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
+    sliced = chosen.withColumn("__slice", F.floor(F.coalesce(F.sum(F.length("__text")).over(earlier), F.lit(0)) / SLICE))
+    rows = sliced.groupBy(by, "__slice").agg(F.collect_list(F.struct("__key", "__text")).alias("__elements"))
+    met = rows.join(pages.select(by, F.col(text).alias("__page")), by, "left").select(by, "__elements", "__page")
+    schema = T.StructType([chosen.schema[by], T.StructField(key, chosen.schema["__key"].dataType), *(T.StructField(c, k) for c, k in FOUND.items())])
+    return met.mapInArrow(lambda it: place_batches(it, by, key), schema)
 
 
 def blocks(found: DataFrame, by: str, key: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Located words against a sequential version."""
 
+import random
 import re
 from collections import Counter
 from difflib import SequenceMatcher
@@ -89,3 +90,46 @@ def test_query(spark):
             some = [x for x in found if x[3]]
             worth = sum(1.0 if x[3] == "exact" else 0.5 for x in some) / len(found)
             assert got[r.conv_id, r.turn] == (min((x[1] for x in some), default=None), max((x[2] for x in some), default=None), round(worth, 6))
+
+
+def test_no_word_is_dealt_out(spark):
+    """Elements and pages are dealt by page as texts, each once; what has a row for each word comes after all that is dealt."""
+    df = locate.located(*vq.written_pages(spark, SF), "conv_id", "turn")
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("- Exchange ") == plan.count("- Exchange hashpartitioning(conv_id") == 2
+    assert plan.count("MapInArrow") == 1 and plan.index("MapInArrow") < plan.index("Exchange ")
+
+
+def test_few_places_are_held_at_once(monkeypatch):
+    monkeypatch.setattr(locate, "AT_ONCE", 40)
+    page = " ".join(f"w{k}" for k in range(130))
+    texts = [page, None, " ".join(page.split()[30:]), "", "w5"]
+    rows = {"g": [1, 2], "__elements": [[{"__key": k, "__text": t} for k, t in enumerate(texts)], [{"__key": 9, "__text": "w7 alone"}]], "__page": [page, None]}
+    made = list(locate.place_batches(iter([pa.RecordBatch.from_pydict(rows)]), "g", "k"))
+    got = [tuple(r.values()) for x in made for r in x.to_pylist()]
+    assert got == [(1, k, *x) for k, t in enumerate(texts) for x in one_by_one(t or "", page)] + [(2, 9, n, None, None, None) for n in range(2)]
+    assert max(x.num_rows for x in made) < 80
+
+
+def test_slices_of_a_page_find_the_same(spark, monkeypatch):
+    """However many slices a page's elements are dealt in."""
+    r = random.Random(7)
+    pages = [(g, " ".join(r.choice("abcdefghijklmnopqrstuvwxyzéﬁ’") * r.choice((1, 1, 2)) for _ in range(r.choice((0, 1, 30, 60))))) for g in range(12)]
+    rows = []
+    for g, text in pages:
+        for k in range(12):
+            words = [w for w in text.split() if r.random() > 0.2]
+            words = [w + r.choice("xyz") if r.random() < 0.2 else w for w in words]
+            r.random() < 0.3 and r.shuffle(words)
+            rows.append((g, k, r.choice((" ", "\n ")).join(words)))
+    found = []
+    for size in (1 << 20, 40, 1):
+        monkeypatch.setattr(locate, "SLICE", size)
+        df = locate.located(spark.createDataFrame(rows, "g long, k long, text string"), spark.createDataFrame(pages, "g long, text string"), "g", "k")
+        got = {}
+        for x in df.collect():
+            got.setdefault((x.g, x.k), []).append((x.n, x.lo, x.hi, x.how))
+        found.append({k: sorted(v) for k, v in got.items()})
+    text = dict(pages)
+    assert found[0] == {(g, k): w for g, k, t in rows if (w := one_by_one(t, text[g]))}
+    assert found[1:] == found[:1] * 2
