@@ -44,22 +44,38 @@ def ordinal_join(a: DataFrame, b: DataFrame, on: list[str], order_a: list, order
     return numbered(a, on, order_a, "ordinal").join(numbered(b, on, order_b, "ordinal"), [*on, "ordinal"], how)
 
 
-def mutual_best(scored: DataFrame, left: str, right: str, score: str, least: float, margin: float) -> DataFrame:
+def mutual_best(scored: DataFrame, left: str, right: str, score: str, least: float, margin: float, many: dict[str, str] | None = None) -> DataFrame:
     """Pairs that are each other's best, good enough and clear of the runner-up on both sides.
 
-    Of a side's pairs only the best two leave the tasks that score them, so the pairs themselves are neither dealt nor kept.
+    Of a side's pairs only the best two leave the tasks that score them, so the pairs themselves are neither dealt nor kept; those too
+    low to be a best or a near runner-up are left out before.  ``many`` names, for ``left`` and ``right``, the column that says for how
+    many rows with the same scores it stands, of which it is the first.
     """
+    many = many or {}
+    near = scored.where(F.col(score) >= least - max(margin, 0) - 1e-6)
 
     def best(side: str, other: str) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(side).orderBy(F.desc(score), other))
-        two = scored.select(side, other, score).withColumn("__r", place).where("__r <= 2")
+        of = F.col(many[other]) if other in many else F.lit(1)
+        two = near.select(side, other, score, of.alias("__of")).withColumn("__r", place).where("__r <= 2")
         at = lambda k, c: F.max(F.when(F.col("__r") == k, F.col(c)))
-        top = two.groupBy(side).agg(at(1, other).alias(other), at(1, score).alias(score), at(2, score).alias("__next"))
+        top = two.groupBy(side).agg(at(1, other).alias(other), at(1, score).alias(score), F.when(at(1, "__of") > 1, at(1, score)).otherwise(at(2, score)).alias("__next"))
         return top.where((F.col(score) >= least) & (F.col("__next").isNull() | (F.col(score) - F.col("__next") >= margin))).drop("__next")
 
     return best(left, right).join(best(right, left).select(left, right), [left, right]).select(left, right, score)
 
 
+def mutual_best_alike(a: DataFrame, b: DataFrame, by: list[str], left: str, x: str, right: str, y: str, score: Column, least: float, margin: float) -> DataFrame:
+    """``left, right, score`` as ``mutual_best`` finds them, where ``score`` is told by ``x`` and ``y`` of rows that share ``by``; keys are unique.
+
+    Rows of a group that share ``x`` (or ``y``) are scored once.  All of them have the same best, and only the first of them can be
+    the best of another, so it stands for all; where there are more, they are each other's runners-up.
+    """
+    kinds = lambda df, key, text, n: df.groupBy(*by, text).agg(F.min(key).alias(key), F.count("*").alias(n))
+    scored = kinds(a, left, x, "__nl").join(kinds(b, right, y, "__nr"), by).select(left, right, "__nl", "__nr", score.alias("score"))
+    return mutual_best(scored, left, right, "score", least, margin, {left: "__nl", right: "__nr"})
+
+
 def greedy_match(scored: DataFrame, left: str, right: str, score: str, least: float) -> DataFrame:
     """One-to-one pairs taken best first, ties by left and then right.
 

@@ -69,7 +69,9 @@ def _part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q10_mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.mutual_best(_part_names(spark, sf_dir), "a", "b", "score", 0.5, 0.1)
+    """Parts and reworded ones that are clearly each other's best; names are scored once for all parts of a brand, type and size that share them."""
+    ours, theirs = _part_sides(spark, sf_dir)
+    return resolve.mutual_best_alike(ours, theirs, _BLOCK, "a", "x", "b", "y", _name_score(), 0.5, 0.1)
 
 
 _NAMES = """
