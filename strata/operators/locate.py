@@ -133,7 +133,7 @@ def place_batches(batches: Iterable[pa.RecordBatch], by: str, key: str) -> Itera
     page = None
     for batch in batches:
         held, pages = batch.column("__elements"), batch.column("__page")
-        each, of = held.flatten(), np.repeat(np.arange(len(held)), held.value_lengths().to_numpy(zero_copy_only=False))
+        each, of = held.flatten(), np.repeat(np.arange(len(held)), held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         owners, texts = {by: batch.column(by).take(pa.array(of)), key: each.field("__key")}, each.field("__text")
         parts, size, row = [], 0, None
         for k, i in enumerate(of):
@@ -168,7 +168,8 @@ def located(elements: DataFrame, pages: DataFrame, by: str, key: str, text: str
     earlier = Window.partitionBy(by).orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
     sliced = chosen.withColumn("__slice", F.floor(F.coalesce(F.sum(F.length("__text")).over(earlier), F.lit(0)) / SLICE))
     rows = sliced.groupBy(by, "__slice").agg(F.collect_list(F.struct("__key", "__text")).alias("__elements"))
-    met = rows.join(pages.select(by, F.col(text).alias("__page")), by, "left").select(by, "__elements", "__page")
+    # pages without elements are let go of later: a left join would ask pages alone for keys, and what both sides are made of would be dealt twice
+    met = rows.join(pages.select(by, F.col(text).alias("__page")), by, "full").select(by, "__elements", "__page")
     schema = T.StructType([chosen.schema[by], T.StructField(key, chosen.schema["__key"].dataType), *(T.StructField(c, k) for c, k in FOUND.items())])
     return met.mapInArrow(lambda it: place_batches(it, by, key), schema)
 

@@ -134,8 +134,8 @@ def m21_styling_told(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Turns as elements, some reworded, and their conversations as pages."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    """Turns as elements, some reworded, and their conversations as pages; both are made of turns dealt once."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").repartition("conv_id")
     page = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t.text), "\n\n").alias("text"))
     h, word = (F.col("conv_id") * 3 + F.col("turn")) % 5, F.split("text", " ")
     edit = F.when(h == 1, F.array_join(F.transform(word, lambda w, i: F.when(i % 9 == 4, F.concat(w, F.lit(","))).when(i % 9 == 7, F.upper(w)).otherwise(w)), " "))

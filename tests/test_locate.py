@@ -133,3 +133,10 @@ def test_slices_of_a_page_find_the_same(spark, monkeypatch):
     text = dict(pages)
     assert found[0] == {(g, k): w for g, k, t in rows if (w := one_by_one(t, text[g]))}
     assert found[1:] == found[:1] * 2
+
+
+def test_turns_are_dealt_once(spark):
+    df = vq.j30_located_words(spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("- Exchange hashpartitioning(conv_id") == 2 and plan.count("ReusedExchange") == 1  # the other deals the rows returned
